@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from sampleloom.llm import bpe, token_counts
+from sampleloom.llm import bpe, quality_rules, simhash_dedup, token_counts
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE,
+}
