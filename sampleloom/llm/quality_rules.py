@@ -220,11 +220,11 @@ def _quartiles(source: str, keys: list[str]) -> str:
 
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT r, list_filter(string_split_regex(t, '[ \\t-\\r]+'), x -> x <> '') AS w FROM d),
+w AS (SELECT r, list_filter(string_split_regex(t, '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM d),
 win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
 hit AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM hit, (VALUES (0), (1), (2)) AS v(k) GROUP BY r),
-lines AS (SELECT r, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ \\t-\\r]')) AS x FROM d),
+lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS x FROM d),
 m AS (
   SELECT d.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ \\t-\\r]+', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
