@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from sampleloom.llm import bpe, quality_rules, simhash_dedup, token_counts
+from sampleloom.llm import bpe, decontaminate, html_extract, language_id, quality_rules, simhash_dedup, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_language_id": language_id.op3_language_id,
     "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_html_extract": html_extract.op6_html_extract,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
