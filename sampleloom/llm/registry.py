@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sampleloom.llm import bpe, decontaminate, html_extract, language_id, license_scan, quality_rules, simhash_dedup, token_counts, url_filters
+from sampleloom.llm import bpe, decontaminate, html_extract, language_id, license_scan, quality_rules, simhash_dedup, token_counts, training_order, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_html_extract": html_extract.op6_html_extract,
+    "op7_training_order": training_order.op7_training_order,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_token_counts": token_counts.op10_token_counts,
