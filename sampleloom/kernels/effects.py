@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, fields
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -435,10 +436,14 @@ class Reverb(Effect):
         return out
 
 
+@lru_cache(maxsize=16)
+def _smoother(damp: float) -> linear.Filter:
+    return linear.Filter((1 - damp, 0.0), (-damp,))
+
+
 def _one_pole(x: np.ndarray, damp: float, low: float) -> tuple[np.ndarray, float]:
     """low = x (1 - damp) + low damp, by the block filter."""
-    own = linear.Filter((1 - damp, 0.0), (-damp,))
-    y, s = own.run(x, np.array([damp * low]))
+    y, _ = _smoother(damp).run(x, np.array([damp * low]))
     return y, float(y[-1]) if len(y) else low
 
 

@@ -10,40 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sampleloom.kernels.sinc import LOCAL, weights
 from sampleloom.operators.tables import KEY
 
-#: For each local quality the neighbours it needs, from before to after the floor of the position.
-TAPS = {"zoh": (0, 0), "linear": (0, 1), "catmull_rom": (-1, 2), "lagrange": (-2, 2)}
-
-
-def weights(quality: str, f):
-    """The weight of each tap at fraction f; f is a Column or an array."""
-    if quality == "zoh":
-        return [f * 0.0 + 1.0]
-    if quality == "linear":
-        return [1.0 - f, f]
-    if quality == "catmull_rom":
-        return [0.5 * (-f + 2 * f * f - f * f * f), 0.5 * (2 - 5 * f * f + 3 * f * f * f), 0.5 * (f + 4 * f * f - 3 * f * f * f), 0.5 * (-f * f + f * f * f)]
-    if quality == "lagrange":
-        out = []
-        for i in range(-2, 3):
-            w = None
-            for k in range(-2, 3):
-                if k != i:
-                    term = (f - float(k)) / float(i - k)
-                    w = term if w is None else w * term
-            out.append(w)
-        return out
-    raise ValueError(f"unknown quality {quality!r}")
-
-
 def resample_to(frames: DataFrame, src: float, dst: float, quality: str = "zoh") -> DataFrame:
     """floor(n * dst / src) frames; frames outside a track are silence. Equal rates return the input."""
     if src <= 0 or dst <= 0:
         raise ValueError("rates have to be greater than 0")
     if src == dst:
         return frames
-    first, last = TAPS[quality]
+    if quality not in LOCAL:
+        raise ValueError(f"{quality!r} is no local quality; operators.board.resample_chunks has the others")
+    first, last = LOCAL[quality]
     w = Window.partitionBy(*KEY).orderBy("frame")
     tap = lambda k: F.col("value") if k == 0 else F.lag("value", -k, 0.0).over(w) if k < 0 else F.lead("value", k, 0.0).over(w)
     with_taps = frames.select(*KEY, "frame", *[tap(k).alias(f"__t{k - first}") for k in range(first, last + 1)], F.max("frame").over(Window.partitionBy(*KEY)).alias("__last"))
