@@ -190,3 +190,39 @@ def test_silence_and_single_frames(spark):
     assert channels.trim_silence(quiet, -60.0).count() == 2
     assert channels.levels(quiet).head().peak_db is None
     assert channels.mix([], quiet).filter("value <> 0").count() == 0
+
+
+class Half(fx.Effect):
+    """A user's effect: half of each sample and half of the one before."""
+
+    def init_state(self, rate, channels):
+        return [np.zeros((channels, 1))]
+
+    def process(self, block, state, start):
+        line = np.concatenate((state[0], block), axis=1)
+        state[0] = line[:, -1:]
+        return 0.5 * (line[:, 1:] + line[:, :-1])
+
+
+def test_users_add_effects(spark):
+    x = noise(100)
+    want = 0.5 * (x + np.pad(x, ((0, 0), (1, 0)))[:, :-1])
+    for n in (1, 9, 100):
+        assert np.allclose(values_of(board.apply_board(chunks_of(spark, x, n), [Half()], RATE)), want.ravel())
+
+
+def test_stretch_by_curves(spark):
+    x = noise(3000, 1)
+    curves = spark.createDataFrame([(1, [1.0] * 1500 + [2.0] * 1500, [0.0] * 3000)], "track_id long, stretch array<double>, semitones array<double>")
+    got = values_of(board.time_stretch(chunks_of(spark, x, 500), curves=curves))
+    assert len(got) == 1500 + 750 and np.isfinite(got).all()
+
+
+def test_same_chunks_through_sinc_in_spark(spark):
+    x = noise(900, 1)
+    k = sinc.Resampler(1000.0, 1600.0, "sinc8")
+    want = k.outputs(x, 0, 0, k.length(900))[0]
+    for n in (33, 900):
+        got = board.resample_chunks(chunks_of(spark, x, n), 1000.0, 1600.0, "sinc8", 128)
+        assert np.array_equal(values_of(got), want) and {r.n for r in got.selectExpr("size(samples) n").collect()} <= {128, len(want) % 128}
+    assert values_of(board.resample_effect_chunks(chunks_of(spark, x, 90), 1000.0, 400.0, "sinc8")).shape == (900,)
