@@ -162,10 +162,13 @@ class Codec:
     def pack_pretoken(self, word: str) -> bytes:
         return np.array(self.encode_pretoken(word.encode("utf-8")), self.dtype).tobytes()
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of all ids, one after the other."""
+    def check(self, ids: np.ndarray) -> None:
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length) or not self.length[ids].all()):
             raise KeyError("an id is not in the vocabulary")
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, one after the other."""
+        self.check(ids)
         n = self.length[ids]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -234,6 +237,7 @@ def _binaries(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
 
 
 def _decoded(own: Codec, counts: np.ndarray, ids: np.ndarray) -> pa.Array:
+    own.check(ids)
     ends = np.concatenate(([0], np.cumsum(own.length[ids])))
     at = np.concatenate(([0], np.cumsum(counts)))
     return _binaries(np.diff(ends[at]), own.decode(ids))
