@@ -24,6 +24,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sampleloom.llm.common import map_text, saved, table
 
@@ -133,7 +134,8 @@ def keep_one(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     kept = near_duplicates(df, radius=radius).filter("doc_id = component_id").select("doc_id").distinct()
     named = df.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in df.columns if c != "doc_id"])
+    orderable = [f.name for f in df.schema if f.name != "doc_id" and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in orderable])
     one = named.withColumn("__row__", F.row_number().over(order)).filter("__row__ = 1").drop("__row__")
     return one.select(*df.columns).unionByName(df.filter("doc_id is null"))
 
