@@ -5,8 +5,8 @@ the text length, the punctuation, the text inside links and the number of blocks
 ratios text per block and punctuation per block, less the share of links, are fused with what the
 path's element names and classes say (menus, footers, adverts, forms and comments count nothing);
 the fused values, taken in page order, are smoothed by a Gaussian and brought back to their paths
-as means. Paths above a share of the standard deviation are content; so is all of the article or
-main element that holds the best path, without its own boilerplate.
+as means. Paths above a share of the standard deviation are content, with what is short and free of links
+between them; if they lie in an article or main element, it is all of that element, without its own boilerplate.
 
 Defined results: null and empty pages, and pages without content, give an empty text; character
 references are decoded, unknown ones stay as they are; broken markup is read as far as it goes
@@ -183,7 +183,12 @@ def content_of(page: str | None) -> list[str]:
     kept = {found[i][2] for i in inside if score[i] >= least}
     if kept:
         return [b[3] for b in found if not b[1] and b[2] in kept]
-    return [b[3] for b, v in zip(found, score, strict=True) if not b[1] and v > 0 and v >= least]
+    # content is one stretch: short blocks between content paths, and headings right before them, belong to it
+    chosen = [i for i, b in enumerate(found) if not b[1] and score[i] > 0 and score[i] >= least]
+    first, last = chosen[0], chosen[-1]
+    while first and not found[first - 1][1] and found[first - 1][0].rpartition("/")[2].partition(".")[0] in HEADINGS:
+        first -= 1
+    return [b[3] for b in found[first : last + 1] if not b[1] and 2 * b[4] <= len(b[3])]
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
