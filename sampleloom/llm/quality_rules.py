@@ -34,7 +34,7 @@ ALPHA = 0.01
 ENOUGH = 200
 SPREAD = 3.0
 #: Upper fences in parts per million of the words (lines for dup_lines) never fall below these.
-FLOORS = {"symbols": 100_000, "dup_lines": 300_000, "repeats": 200_000}
+FLOORS = {"symbols": 100_000, "dup_lines": 450_000, "repeats": 400_000}
 #: Threshold rows that may be broadcast.
 BROADCAST_ROWS = 50_000
 
