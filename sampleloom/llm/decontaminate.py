@@ -177,12 +177,12 @@ def leaks(bench: Benchmark, text: str | None, least: float = SIMILARITY) -> list
                     key = (-score, int(first + w), x.words)
                     if score >= least and key < best.get(x.items[i], (0.0,)):
                         best[x.items[i]] = key
-    return sorted((i, start, n, -score) for i, (score, start, n) in best.items())
+    return sorted(((i, start, n, -score) for i, (score, start, n) in best.items()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def blocks(benchmark: DataFrame) -> list[list[tuple]]:
     """The benchmark's (item_id, text) in blocks of about BLOCK_ITEMS, one at a time through the driver."""
-    rows = benchmark.select("item_id", "text").filter("text is not null and item_id is not null")
+    rows = benchmark.select("item_id", "text").filter("text is not null")
     n = max(1, math.ceil(rows.count() / BLOCK_ITEMS))
     for b in range(n):
         yield [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect()]
