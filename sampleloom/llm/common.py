@@ -62,17 +62,25 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(start, step)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows carry whole texts: unless the session says otherwise, Arrow batches hold 1000 of them, not 10000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def fields(ddl: str) -> list[T.StructField]:
     return T.StructType.fromDDL(ddl).fields
 
 
-def map_text(df: DataFrame, text_col: str, added: str, make: Callable[[], Callable[[list], list]], keep: list[str] | None = None) -> DataFrame:
+def map_text(df: DataFrame, text_col: str, added: str, make: Callable[[], Callable[[list], list]], keep: list[str] | None = None, most: int = SLICE_BYTES) -> DataFrame:
     """Adds the columns of the DDL string `added`, computed in Python from one text column.
 
     `make` runs once a task on the executor and returns f(texts) -> one list or Arrow array for
-    each added column. `keep` names the columns that stay beside them (default: all). A column
+    each added column; it gets about `most` bytes of text at a time. `keep` names the columns that stay beside them (default: all). A column
     of df with an added column's name is replaced.
     """
+    small_batches(df.sparkSession)
     new = fields(added)
     names = {f.name.lower() for f in new}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
@@ -83,7 +91,7 @@ def map_text(df: DataFrame, text_col: str, added: str, make: Callable[[], Callab
     def run(batches):
         f = make()
         for whole in batches:
-            for part in slices(whole, "__text__"):
+            for part in slices(whole, "__text__", most):
                 got = f(part.column("__text__").to_pylist())
                 cols = [a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a, type=field.type) for a, field in zip(got, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], names=[*kept, *[x.name for x in new]])

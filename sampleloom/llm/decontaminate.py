@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sampleloom.llm.common import map_text, slices, table
+from sampleloom.llm.common import map_text, slices, small_batches, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -190,6 +190,7 @@ def blocks(benchmark: DataFrame) -> list[list[tuple]]:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: for each document and item the best window that reaches `least`."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL("item_id long, start_word int, n_words int, similarity double").fields])
     arrow_id = source.schema["doc_id"].dataType

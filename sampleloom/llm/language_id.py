@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleloom.llm.common import map_text, table
+from sampleloom.llm.common import map_text, slices, small_batches, table
 
 #: Hashed features of a language.
 BUCKETS = 1 << 16
@@ -32,6 +32,8 @@ FIT_DOCS = 20_000
 SWITCH = 8.0
 #: A script belongs to a language if it has this share of the letters of its training texts.
 SCRIPT_SHARE = 0.01
+#: Text bytes that one step takes: its arrays hold about a hundred bytes for each of them.
+STEP_BYTES = 256 << 10
 #: Words that one Viterbi step holds for all texts of a block together.
 CELLS = 1 << 18
 
@@ -119,6 +121,7 @@ def training_sample(docs: DataFrame, text_col: str, lang_col: str, most: int) ->
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = FIT_DOCS) -> Model:
     """Feature counts are summed by the executors for each language; their sums, at most BUCKETS rows a language, make the model."""
+    small_batches(docs.sparkSession)
     sample = training_sample(docs, text_col, lang_col, most)
 
     def count(batches):
@@ -126,9 +129,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: i
         import pyarrow as pa
 
         for batch in batches:
-            langs, texts = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for start in range(0, len(texts), 256):
-                own, words = langs[start : start + 256], words_of(texts[start : start + 256])
+            for part in slices(batch, "text", STEP_BYTES):
+                own, words = part.column(1).to_pylist(), words_of(part.column(0).to_pylist())
                 of = np.array(own, dtype=object)[words.text]
                 per_letter = np.repeat(of, words.letters)
                 for lang in set(own):
@@ -137,7 +139,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: i
                     sums[BUCKETS:] += np.bincount(words.script[of == lang], words.letters[of == lang], minlength=64).astype(np.int64)
         for lang, sums in held.items():
             full = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full)), pa.array(full), pa.array(sums[full])], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full), pa.string()), pa.array(full, pa.int64()), pa.array(sums[full], pa.int64())], names=["lang", "bucket", "n"])
 
     rows = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows.lang.unique())
@@ -219,7 +221,9 @@ def spans_of(model: Model, texts: list[str | None]) -> list[list[dict]]:
     if not model.langs:
         return out
     words, _, labels = label_texts(model, texts)
-    cut = np.flatnonzero(np.concatenate(([True], (np.diff(words.text) != 0) | (np.diff(labels) != 0)))) if len(labels) else np.zeros(0, np.int64)
+    if not len(labels):
+        return out
+    cut = np.flatnonzero(np.concatenate(([True], (np.diff(words.text) != 0) | (np.diff(labels) != 0))))
     for a, b in zip(cut, [*cut[1:], len(labels)], strict=True):
         out[words.text[a]].append({"lang": model.langs[labels[a]], "words": int(b - a), "letters": int(words.letters[a:b].sum())})
     return out
@@ -233,7 +237,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", spans: bool =
         own = held.value
         return lambda texts: [*predictions(own, texts), *([spans_of(own, texts)] if spans else [])]
 
-    return map_text(df, text_col, "lang_pred string, score double" + (", spans array<struct<lang: string, words: int, letters: long>>" if spans else ""), make, keep)
+    return map_text(df, text_col, "lang_pred string, score double" + (", spans array<struct<lang: string, words: int, letters: long>>" if spans else ""), make, keep, STEP_BYTES)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sampleloom.llm.common import slices, table
+from sampleloom.llm.common import slices, small_batches, table
 
 SAMPLE = 4000
 CONFIRM = 0.6
@@ -207,6 +207,7 @@ def plain_sample(docs: DataFrame, most: int = SAMPLE) -> list[str]:
 
 def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, paragraph (its number among all lines), family, probability, template_share, text of each licence paragraph."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL("paragraph int, family string, probability double, template_share double, text string").fields])
     held = docs.sparkSession.sparkContext.broadcast(scanner)
