@@ -189,11 +189,12 @@ def quality(df: DataFrame) -> DataFrame:
 
 
 def keep_good(df: DataFrame) -> DataFrame:
-    """The rows of documents that the rules keep, with df's columns. Texts are measured twice, which moves none of them."""
+    """The rows of documents that the rules keep, with df's columns. Rows are saved with their metrics, so texts are measured once and never shuffled."""
     names = df.columns
-    source = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row__"), "doc_id", "text", "lang", "source")
-    fences = thresholds(saved(sketches(with_base(df.select("doc_id", "text", "lang", "source")).drop("text")), "sketches"))
-    return judged(with_base(source), fences).filter("kept").select("__row__.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row__")
+    measured = saved(with_base(df.select(row, "doc_id", "text", "lang", "source")).drop("text"), "measured")
+    fences = thresholds(saved(sketches(measured), "sketches"))
+    return judged(measured, fences).filter("kept").select("__row__.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
