@@ -16,13 +16,14 @@ Repeated rows stay; columns of df with an added column's name are replaced. All
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleloom.llm.common import map_text, slices, small_batches, table
+from sampleloom.llm.common import map_text, small_batches, table
 
 #: Hashed features of a language.
 BUCKETS = 1 << 16
@@ -32,7 +33,7 @@ FIT_DOCS = 20_000
 SWITCH = 8.0
 #: A script belongs to a language if it has this share of the letters of its training texts.
 SCRIPT_SHARE = 0.01
-#: Text bytes that one step takes: its arrays hold about a hundred bytes for each of them.
+#: Characters that one step takes: its arrays hold about a hundred bytes for each of them.
 STEP_BYTES = 256 << 10
 #: Words that one Viterbi step holds for all texts of a block together.
 CELLS = 1 << 18
@@ -129,11 +130,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: i
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, "text", STEP_BYTES):
-                own, words = part.column(1).to_pylist(), words_of(part.column(0).to_pylist())
-                of = np.array(own, dtype=object)[words.text]
+            own = batch.column(1).to_pylist()
+            for at, pieces in steps_of(batch.column(0).to_pylist()):
+                words = words_of(pieces)
+                of = np.array(own, dtype=object)[np.array(at)[words.text]]
                 per_letter = np.repeat(of, words.letters)
-                for lang in set(own):
+                for lang in set(of.tolist()):
                     sums = held.setdefault(lang, np.zeros(BUCKETS + 64, np.int64))
                     sums[:BUCKETS] += np.bincount(words.feature[per_letter == lang], minlength=BUCKETS) + np.bincount(words.whole[of == lang], minlength=BUCKETS)
                     sums[BUCKETS:] += np.bincount(words.script[of == lang], words.letters[of == lang], minlength=64).astype(np.int64)
@@ -192,17 +194,58 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
     return labels
 
 
-def label_texts(model: Model, texts: list[str | None]) -> tuple[Words, np.ndarray, np.ndarray]:
-    words = words_of(texts)
-    scores = word_scores(model, words)
-    return words, scores, viterbi(scores, np.bincount(words.text, minlength=len(texts)))
+def steps_of(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """(numbers of texts, pieces) of about STEP_BYTES characters; longer texts are cut where no letter is, so at the edge of a word."""
+    at, pieces, held = [], [], 0
+    for i, text in enumerate(texts):
+        start = 0
+        while text and start < len(text):
+            end = min(len(text), start + STEP_BYTES)
+            back = end
+            while back > start and back < len(text) and text[back].isalpha():
+                back -= 1
+            if back == start:  # one word fills the step: it stays whole
+                back = end
+                while back < len(text) and text[back].isalpha():
+                    back += 1
+            at.append(i)
+            pieces.append(text[start:back])
+            held += back - start
+            start = back
+            if held >= STEP_BYTES:
+                yield at, pieces
+                at, pieces, held = [], [], 0
+    if pieces:
+        yield at, pieces
+
+
+@dataclass
+class Labelled:
+    """Of each word: its text, letters, scores and label."""
+
+    text: np.ndarray
+    letters: np.ndarray
+    scores: np.ndarray
+    label: np.ndarray
+
+
+def label_texts(model: Model, texts: list[str | None]) -> Labelled:
+    """Words are scored in small steps; Viterbi then takes all texts at once, as its cost is by the longest one."""
+    text, letters, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, len(model.langs)), np.float32)]
+    for at, pieces in steps_of(texts):
+        words = words_of(pieces)
+        text.append(np.array(at)[words.text])
+        letters.append(words.letters)
+        scores.append(word_scores(model, words))
+    of, s = np.concatenate(text), np.concatenate(scores)
+    return Labelled(of, np.concatenate(letters), s, viterbi(s, np.bincount(of, minlength=len(texts))))
 
 
 def predictions(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     if not model.langs:
         return ["und"] * len(texts), np.zeros(len(texts))
-    words, scores, labels = label_texts(model, texts)
-    n = len(model.langs)
+    words = label_texts(model, texts)
+    labels, scores, n = words.label, words.scores, len(model.langs)
     letters = np.bincount(words.text * n + labels, words.letters, minlength=len(texts) * n).reshape(-1, n)
     total = letters.sum(1)
     best = letters.argmax(1)
@@ -220,7 +263,8 @@ def spans_of(model: Model, texts: list[str | None]) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in texts]
     if not model.langs:
         return out
-    words, _, labels = label_texts(model, texts)
+    words = label_texts(model, texts)
+    labels = words.label
     if not len(labels):
         return out
     cut = np.flatnonzero(np.concatenate(([True], (np.diff(words.text) != 0) | (np.diff(labels) != 0))))
@@ -237,7 +281,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", spans: bool =
         own = held.value
         return lambda texts: [*predictions(own, texts), *([spans_of(own, texts)] if spans else [])]
 
-    return map_text(df, text_col, "lang_pred string, score double" + (", spans array<struct<lang: string, words: int, letters: long>>" if spans else ""), make, keep, STEP_BYTES)
+    return map_text(df, text_col, "lang_pred string, score double" + (", spans array<struct<lang: string, words: int, letters: long>>" if spans else ""), make, keep)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -100,6 +100,21 @@ def test_mixed_text_and_scripts(spark, small):
     assert pred[:4] == ["und", "und", "und", "ru"] and score[0] == 0 and pred[4] in model.langs
 
 
+@pytest.mark.parametrize("step", [1, 7, 500])
+def test_texts_are_cut_between_words_only(small, monkeypatch, step):
+    texts = [r.text for r in small.limit(20).collect()] + [None, "", "x" * 3000, "мир " * 50]
+    model = language_id.fit(small.limit(60))
+    want = language_id.predictions(model, texts)
+    monkeypatch.setattr(language_id, "STEP_BYTES", step)
+    got = language_id.predictions(model, texts)
+    assert got[0] == want[0] and np.allclose(got[1], want[1])
+    joined: dict = {}
+    for at, pieces in language_id.steps_of(texts):
+        for i, piece in zip(at, pieces, strict=True):
+            joined[i] = joined.get(i, "") + piece
+    assert joined == {i: t for i, t in enumerate(texts) if t}
+
+
 def test_language_on_messy_and_empty(messy, empty):
     model = language_id.fit(messy)
     rows = language_id.identify(messy, model, spans=True).collect()
