@@ -26,11 +26,11 @@ import pyarrow as pa
 import tiktoken
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleloom.llm.bpe import Packer, read_ranks
-from sampleloom.llm.common import new_folder, saved, table
+from sampleloom.llm.bpe import read_ranks
+from sampleloom.llm.common import new_folder, saved, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SEQ_LEN = 1024
@@ -41,29 +41,29 @@ ROUNDS = 6
 BROADCAST_SPLITS = 1_000_000
 BATCH = 256
 
-_packers: dict[tuple[str, str], Packer] = {}
+_encodings: dict[tuple[str, str], tiktoken.Encoding] = {}
 
 
-def packer(path: str, pattern: str) -> Packer:
-    """text -> packed little-endian 16-bit ids, by the library with a memo; one for each worker process and file."""
-    if (path, pattern) not in _packers:
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={}).encode_ordinary
-        _packers[path, pattern] = Packer(lambda text: [text], lambda text: np.array(encode(text), "<u2").tobytes())
-    return _packers[path, pattern]
+def encoding(path: str, pattern: str) -> tiktoken.Encoding:
+    """One for each worker process and file."""
+    if (path, pattern) not in _encodings:
+        _encodings[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+    return _encodings[path, pattern]
 
 
 def pack(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, seq_len: int = SEQ_LEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """split, seq, n_tokens, doc_ids (of the documents with a token in it) and tokens (seq_len 16-bit ids) of every sequence."""
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     stride = 2 * seq_len
+    small_batches(docs.sparkSession)
 
     def rows(batches) -> Iterator[tuple]:
-        own = packer(path, pattern)
-        end = np.array([len(read_ranks(path))], "<u2").tobytes()
+        own = encoding(path, pattern)
+        end = np.array([own.n_vocab], "<u2").tobytes()
         held, owners, seq = bytearray(), [], 0  # owners: (doc_id, bytes of it that are still held)
         for batch in batches:
             for d, t in zip(batch.column(0), batch.column(1), strict=True):
-                new = own.pack(t.as_py()) + end
+                new = np.array(own.encode_ordinary(t.as_py() or ""), "<u2").tobytes() + end
                 held += new
                 owners.append([d.as_py(), len(new)])
                 at = 0
@@ -130,8 +130,8 @@ def feistel(numbers: np.ndarray, n: int, key: int = KEY, inverse: bool = False)
     return out.astype(np.int64)
 
 
-def with_slot(packed: DataFrame, key: int = KEY) -> DataFrame:
-    """Adds number (0..N-1 by split and place) and slot, its place in training order. packed has to be saved: it is read twice."""
+def with_slot(packed: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
+    """Adds number (0..N-1 by split and place) and slot, its place in training order; and N. packed has to be saved: it is read twice."""
     spark = packed.sparkSession
     per_split = packed.groupBy("split").agg(F.count(F.lit(1)).alias("n")).orderBy("split").collect()  # one row a split
     starts = np.concatenate(([0], np.cumsum([r.n for r in per_split]))).astype(np.int64)
@@ -147,23 +147,43 @@ def with_slot(packed: DataFrame, key: int = KEY) -> DataFrame:
         return pd.Series(feistel(number.to_numpy(), total, key))
 
     numbered = packed.join(first, "split").withColumn("number", F.col("first") + F.col("seq")).drop("first")
-    return numbered.withColumn("slot", slot_of("number"))
+    return numbered.withColumn("slot", slot_of("number")), total
+
+
+def squeezed(tokens: Column) -> Column:
+    """Sequences are shuffled compressed."""
+
+    @F.pandas_udf("binary")
+    def squeeze(values):
+        import pandas as pd
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
+        return pd.Series([z.compress(t) for t in values])
+
+    return squeeze(tokens)
 
 
 def shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
 
-def write_shards(slotted: DataFrame, folder: str, seq_len: int = SEQ_LEN, per_shard: int = SHARD_SEQUENCES) -> DataFrame:
-    """Writes the shard files; the result, one row a sequence, is where each one is: slot, shard, byte_offset, number, n_tokens, doc_ids, crc."""
+def write_shards(slotted: DataFrame, total: int, folder: str, seq_len: int = SEQ_LEN, per_shard: int = SHARD_SEQUENCES) -> DataFrame:
+    """Writes the shard files. As all slots below `total` are taken, the ranges of shards are known without a sample: partition p
+    gets the p-th run of consecutive shards. The result, one row a sequence, is where each one is: slot, shard, byte_offset, number, n_tokens, doc_ids, crc."""
     stride, spark = 2 * seq_len, slotted.sparkSession
     shards = slotted.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = shards.select("shard", "slot", "number", "n_tokens", "doc_ids", "tokens").repartitionByRange(parts, "shard").sortWithinPartitions("slot")
+    n_shards = max(1, -(-total // per_shard))
+    parts = min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = shards.select("shard", "slot", "number", "n_tokens", "doc_ids", squeezed(F.col("tokens")).alias("tokens"))
+    dealt = ranged.repartitionById(parts, F.floor(F.col("shard") * parts / n_shards).cast("int")).sortWithinPartitions("slot")
 
     def run(batches):
         import zlib
 
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         store.create_dir(root, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
@@ -176,6 +196,7 @@ def write_shards(slotted: DataFrame, folder: str, seq_len: int = SEQ_LEN, per_sh
 
         for batch in batches:
             shard, slot, tokens = (batch.column(i).to_pylist() for i in (0, 1, 5))
+            tokens = [unpack(t) for t in tokens]
             for s, t in zip(shard, tokens, strict=True):
                 if s != open_shard:
                     close()
@@ -205,7 +226,7 @@ def read_sequences(folder: str, first: int, count: int, seq_len: int = SEQ_LEN,
 def materialise(docs: DataFrame, path: str, folder: str, seq_len: int = SEQ_LEN, per_shard: int = SHARD_SEQUENCES, key: int = KEY) -> DataFrame:
     """All of it; the result is the manifest."""
     packed = saved(pack(docs, path, seq_len=seq_len), "packed", codec="zstd")
-    return write_shards(with_slot(packed, key), folder, seq_len, per_shard)
+    return write_shards(*with_slot(packed, key), folder, seq_len, per_shard)
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
