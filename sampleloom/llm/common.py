@@ -45,11 +45,11 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def saved(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back, so lost executors cost no recomputation."""
+def saved(df: DataFrame, label: str, codec: str = "snappy", options: dict[str, str] | None = None) -> DataFrame:
+    """Cuts the lineage: writes df to the shared folder and reads it back, so lost executors cost no recomputation. `options` are Parquet's."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

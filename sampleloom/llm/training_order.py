@@ -40,6 +40,8 @@ ROUNDS = 6
 #: Splits whose numbering may be broadcast: one row of two numbers each.
 BROADCAST_SPLITS = 1_000_000
 BATCH = 256
+#: How packed sequences are stored until they are dealt out; wide pages give the codec more context.
+PACKED = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 
 _encodings: dict[tuple[str, str], tiktoken.Encoding] = {}
 
@@ -158,7 +160,7 @@ def squeezed(tokens: Column) -> Column:
         import pandas as pd
         import zstandard
 
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=9)
         return pd.Series([z.compress(t) for t in values])
 
     return squeeze(tokens)
@@ -225,7 +227,7 @@ def read_sequences(folder: str, first: int, count: int, seq_len: int = SEQ_LEN,
 
 def materialise(docs: DataFrame, path: str, folder: str, seq_len: int = SEQ_LEN, per_shard: int = SHARD_SEQUENCES, key: int = KEY) -> DataFrame:
     """All of it; the result is the manifest."""
-    packed = saved(pack(docs, path, seq_len=seq_len), "packed", codec="zstd")
+    packed = saved(pack(docs, path, seq_len=seq_len), "packed", "zstd", PACKED)
     return write_shards(*with_slot(packed, key), folder, seq_len, per_shard)
 
 
