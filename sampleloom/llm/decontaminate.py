@@ -7,6 +7,9 @@ some block differs in at most RADIUS // BLOCKS bits, so an index from each block
 that close to it finds all fingerprints within the radius. What it finds is verified by the exact
 weighted similarity of the two shingle multisets, the sum of lesser over the sum of greater counts.
 
+A document of fewer words than an item is itself the one window. It is compared with all items that it could reach
+the threshold for, without fingerprints: at few shingles a missing one changes more bits than RADIUS allows for.
+
 Windows without any shingle of the benchmark have similarity zero and are not built. At similarity
 0.8 fingerprints differ in 10 bits in the mean (deviation 3), so RADIUS = 23 loses about one in a million.
 
@@ -162,7 +165,17 @@ def leaks(bench: Benchmark, text: str | None, least: float = SIMILARITY) -> list
             continue
         for x in bench.lengths:
             width = x.words - x.size + 1
-            if x.size != size or len(hashes) < width:
+            if x.size != size:
+                continue
+            if len(hashes) < width:
+                # the document is the one window; at most its known shingles are common, so few texts get as far as the items
+                if len(at) / width >= least:
+                    own = Counter(hashes.tolist())
+                    for item, counts in zip(x.items, x.counts, strict=True):
+                        score = similarity(own, counts)
+                        key = (-score, 0, len(words))
+                        if score >= least and key < best.get(item, (0.0,)):
+                            best[item] = key
                 continue
             # windows start from width - 1 shingles before an anchor up to it
             marks = np.zeros(len(hashes) + 1, np.int32)

@@ -241,6 +241,39 @@ def test_leaks_equal_brute_force(spark, sf):
     assert got == {i: x for i, t in enumerate(texts) if (x := brute(t, texts_items))}
 
 
+def test_documents_shorter_than_an_item(spark, sf):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    items += [(903, "one two three four five six seven eight nine"), (904, "one two three four five"), (905, "two words")]
+    texts = ["one two three four five six seven eight", "two three four five six seven eight nine", "one two three four five six seven", "one two three four", "two", "", None]
+    for _, t in items:
+        w = t.split()
+        texts += [" ".join(w[:-k]) for k in range(1, 15)] + [" ".join(w[k:]) for k in (1, 4, 9)] + [" ".join([*w[:20], *w[22:]])]
+    grams = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    def whole(text):
+        words, out = re.findall(r"\w+", (text or "").lower()), {}
+        for item, other in items:
+            want = re.findall(r"\w+", other.lower())
+            if len(words) < len(want):
+                a, b = grams(words, min(5, len(want))), grams(want, min(5, len(want)))
+                score = (a & b).total() / (a | b).total()
+                if score >= 0.8:
+                    out[item] = (0, len(words), round(score, 9))
+        return out
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    length = {i: len(re.findall(r"\w+", t)) for i, t in items}
+    got: dict = {}
+    for r in decontaminate.find_leaks(docs, bench).collect():
+        if len(re.findall(r"\w+", texts[r.doc_id])) < length[r.item_id]:
+            got.setdefault(r.doc_id, {})[r.item_id] = (r.start_word, r.n_words, round(r.similarity, 9))
+    want = {i: x for i, t in enumerate(texts) if (x := whole(t))}
+    assert got == want and {0, 1} <= set(want) and len(want) > len(items)
+    kept = {r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()}
+    assert not kept & set(want)
+
+
 def test_decontamination_in_blocks_and_edges(spark, sf, messy, empty, monkeypatch):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     want = sorted(decontaminate.op5_decontaminate(spark, sf).collect())
