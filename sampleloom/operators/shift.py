@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ def delay(frames: DataFrame, rate: float, delay_seconds: float = 0.5, feedback:
     """(1 - mix) x[n] + mix line[n - D] with line[n] = x[n] + feedback * line[n - D] and D = int(delay_seconds * rate).
 
     Frames of equal place modulo D are chains of their own: without feedback a lag in the chain,
-    with feedback a weighted running sum (the sum over j of feedback^j x[n - jD]) in the chain.
+    with feedback the recurrence itself, in one ordered pass over the chain.
     """
     _check(delay_seconds, feedback, mix)
     d = int(delay_seconds * rate)
@@ -29,13 +30,28 @@ def delay(frames: DataFrame, rate: float, delay_seconds: float = 0.5, feedback:
     if feedback == 0:
         late = F.lag("value", 1, 0.0).over(chain)
         return frames.withColumn("value", (1.0 - mix) * F.col("value") + mix * late)
-    held = F.collect_list("value").over(chain.rowsBetween(-MEMORY, -1))
-    late = F.aggregate(held, F.lit(0.0), lambda a, x: a * feedback + x)
-    return frames.withColumn("value", (1.0 - mix) * F.col("value") + mix * late)
+    chained = frames.withColumn("value", F.col("value").cast("double")).withColumn("__chain__", F.col("frame") % d)
+    dealt = chained.repartition(*KEY, "__chain__").sortWithinPartitions(*KEY, "__chain__", "frame")
+    return dealt.mapInArrow(_echoes(feedback, mix), chained.drop("__chain__").schema)
 
 
-#: Echoes that a feedback delay sums: 0.97^1024 is under 1e-13. For stronger feedback use the block kernel, which has no end.
-MEMORY = 1024
+def _echoes(feedback: float, mix: float):
+    """Goes through the sorted chains and carries the line from batch to batch, so echoes have no end. A null value adds nothing and stays null."""
+
+    def run(batches):
+        last, line = None, 0.0
+        for batch in batches:
+            values = batch.column("value").to_pylist()
+            out = []
+            for key, x in zip(zip(*[batch.column(c).to_pylist() for c in (*KEY, "__chain__")], strict=True), values, strict=True):
+                if key != last:
+                    last, line = key, 0.0
+                out.append(None if x is None else (1.0 - mix) * x + mix * line)
+                line = line * feedback + (x or 0.0)
+            names = [c for c in batch.schema.names if c != "__chain__"]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()) if c == "value" else batch.column(c) for c in names], names=names)
+
+    return run
 
 
 def shift(frames: DataFrame, n: int, num_frames: DataFrame | None = None) -> DataFrame:

@@ -226,3 +226,20 @@ def test_same_chunks_through_sinc_in_spark(spark):
         got = board.resample_chunks(chunks_of(spark, x, n), 1000.0, 1600.0, "sinc8", 128)
         assert np.array_equal(values_of(got), want) and {r.n for r in got.selectExpr("size(samples) n").collect()} <= {128, len(want) % 128}
     assert values_of(board.resample_effect_chunks(chunks_of(spark, x, 90), 1000.0, 400.0, "sinc8")).shape == (900,)
+
+
+@pytest.mark.parametrize("feedback", [0.999, 1.0])
+def test_feedback_delay_has_no_end(spark, feedback):
+    d, xs = 2, {(1, 0): np.random.default_rng(3).uniform(-1, 1, 6001), (1, 1): np.eye(1, 5000)[0], (2, 0): np.ones(3)}
+    rows = [(t, c, i, float(v), f"n{i}") for (t, c), x in xs.items() for i, v in enumerate(x)]
+    frames = spark.createDataFrame(rows, "track_id long, channel int, frame long, value double, note string").repartition(5)
+    done = shift.delay(frames, 1000.0, d / 1000, feedback, 0.25)
+    assert done.columns == frames.columns
+    got = {(r.track_id, r.channel, r.frame): r for r in done.collect()}
+    assert len(got) == len(rows) and all(r.note == f"n{r.frame}" for r in got.values())
+    for (t, c), x in xs.items():
+        line = np.zeros(len(x))
+        for i in range(len(x)):
+            line[i] = x[i] + (feedback * line[i - d] if i >= d else 0.0)
+        want = 0.75 * x + 0.25 * np.concatenate((np.zeros(d), line[:-d]))
+        assert np.allclose([got[t, c, i].value for i in range(len(x))], want, atol=1e-9)
