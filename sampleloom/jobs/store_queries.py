@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,20 +71,50 @@ def s4_encode_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("track_id", F.length("content").cast("long").alias("bytes"), F.hex(F.substring("content", 1, 4)).alias("mark"))
 
 
-def _streamed(spark: SparkSession, df: DataFrame, transform, files: int = 4) -> DataFrame:
-    """df as a stream of files, two a trigger, through `transform` to a table. The state store setting is put back."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    source, out = scratch(spark, "stream-in"), scratch(spark, "stream-out")
-    df.repartition(files).write.parquet(source)
+#: Blocks that one file of a stream holds, about.
+BLOCKS_A_FILE = 20_000
+
+
+def _files_of(rows: int, least: int) -> int:
+    return max(least, math.ceil(rows / BLOCKS_A_FILE))
+
+
+def _streamed(spark: SparkSession, df: DataFrame, transform, steps: int = 0) -> DataFrame:
+    """df as a stream of files through `transform` to a table; the number of files grows with the rows. Settings are put back.
+
+    Without steps, blocks come in any order, half of the files a trigger. With steps, the chunks are cut into so many ranges;
+    each range is one trigger of several files, many tracks in each, and a track's blocks come in order from range to range.
+    """
+    provider, idle = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = {k: spark.conf.get(k) for k in (provider, idle)}
+    source, out, state, held = (scratch(spark, f"stream-{x}") for x in ("in", "out", "state", "held"))
+
+    def run(a_trigger: int | None) -> DataFrame:
+        reader = spark.readStream.schema(df.schema)
+        done = transform((reader.option("maxFilesPerTrigger", a_trigger) if a_trigger else reader).parquet(source))
+        done.writeStream.format("parquet").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start().awaitTermination()
+        return done
+
     try:
         spark.conf.set(provider, stateful.ROCKSDB)
-        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(source)
-        done = transform(stream)
-        q = done.writeStream.format("parquet").option("checkpointLocation", scratch(spark, "stream-state")).option("path", out).trigger(availableNow=True).start()
-        q.awaitTermination()
+        if not steps:
+            df.write.parquet(held)
+            rows = spark.read.schema(df.schema).parquet(held)
+            files = _files_of(rows.count(), 4)
+            rows.repartition(files).write.parquet(source)
+            done = run(files // 2)
+        else:
+            spark.conf.set(idle, "false")  # a batch without rows writes all state once more and puts nothing out
+            n = (df.agg(F.max("chunk")).head()[0] or 0) + 1
+            df.withColumn("__step__", F.floor(F.col("chunk") * steps / n).cast("int")).write.partitionBy("__step__").parquet(held)
+            rows = spark.read.schema(df.withColumn("__step__", F.lit(0)).schema).parquet(held)
+            for step in range(steps):
+                part = rows.filter(F.col("__step__") == step).drop("__step__")
+                part.repartition(_files_of(part.count(), 2), "track_id").write.mode("append").parquet(source)
+                done = run(None)
     finally:
-        spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(done.schema).parquet(out)
 
 
@@ -101,8 +133,12 @@ def t2_stream_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t3_dropped_frames", f"WITH {EMB} SELECT track_id, max(frame) + 1 AS next_frame, CAST(sum(CASE WHEN (frame // 16 + track_id) % 4 = 1 AND frame // 16 < 3 THEN 1 ELSE 0 END) AS BIGINT) AS dropped FROM emb WHERE track_id % 4 <> 2 GROUP BY track_id")
 def t3_dropped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of 16 frames without one in four; tracks whose last block would be the missing one are left out."""
-    sent = emb_chunks(spark, sf_dir).filter("(chunk + track_id) % 4 <> 1 and track_id % 4 <> 2")
+    """Blocks of 16 frames without one in four; tracks whose last block would be the missing one are left out, here and in the SQL."""
+    return lost_frames(spark, emb_chunks(spark, sf_dir).filter("(chunk + track_id) % 4 <> 1 and track_id % 4 <> 2"))
+
+
+def lost_frames(spark: SparkSession, sent: DataFrame) -> DataFrame:
+    """track_id, next_frame, dropped of every track: next_frame is the end of the last block received, what is lost after it isn't counted."""
     timed = sent.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("chunk")))
-    got = _streamed(spark, timed, lambda s: stateful.dropped_frames(s, "1 hour"), files=1)  # in order: a late block counts as lost
+    got = _streamed(spark, timed, lambda s: stateful.dropped_frames(s, "1 hour"), steps=2)  # in order: a late block counts as lost
     return got.groupBy("track_id").agg(F.max("next_frame").alias("next_frame"), F.max("dropped").alias("dropped"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sampleloom.jobs import store_queries
 from sampleloom.kernels import effects as fx
 from sampleloom.kernels.sinc import Resampler
 from sampleloom.operators import board, tables
@@ -70,3 +71,19 @@ def test_stream_levels(spark, tmp_path):
     )
     out = got.orderBy("block_start").collect()
     assert len(out) >= 2 and all(abs(r.peak - 0.5) < 1e-12 and abs(r.rms - 0.5) < 1e-12 for r in out)
+
+
+def test_lost_frames_of_all_tracks(spark, monkeypatch):
+    """Also of tracks whose last block is lost; blocks come in several files a step, whose number grows with the rows."""
+    monkeypatch.setattr(store_queries, "BLOCKS_A_FILE", 20)
+    folders = {}
+    own = store_queries.scratch
+    monkeypatch.setattr(store_queries, "scratch", lambda s, name: folders.setdefault(name, own(s, name)))
+    length = {t: 3 + t % 9 for t in range(60)}
+    sent = {t: [c for c in range(n) if (c + t) % 4 != 1] for t, n in length.items()}
+    rows = [(t, 0, c, 16 * c, [0.0] * 16) for t, cs in sent.items() for c in cs]
+    got = {r.track_id: (r.next_frame, r.dropped) for r in store_queries.lost_frames(spark, spark.createDataFrame(rows, tables.CHUNKS)).collect()}
+    assert got == {t: (16 * (cs[-1] + 1), 16 * (cs[-1] + 1 - len(cs))) for t, cs in sent.items()}
+    assert any(cs[-1] < length[t] - 1 for t, cs in sent.items())
+    files = spark.read.parquet(folders["stream-in"]).groupBy(F.input_file_name()).agg(F.countDistinct("track_id").alias("tracks")).collect()
+    assert len(files) >= 8 and max(r.tracks for r in files) > 1
