@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import html as chars
+import random
 import re
+import time
+
+import numpy as np
+import pytest
 
 from sampleloom.llm import html_extract, url_filters
 from tests.oracle import compare, connect
@@ -23,6 +28,120 @@ def test_article_without_its_boilerplate():
     assert html_extract.content_of(page) == ["Big", "One, two, three. Four.", "Five", "six", "seven"]
 
 
+LONG = "This paragraph says something, at some length, of what the page is about; and it ends."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p>{LONG}</p><svg/><p>{LONG} 2</p><iframe src=x /><p>{LONG} 3</p></article>", [LONG, f"{LONG} 2", f"{LONG} 3"]),
+        (f"<article><p>{LONG}</p><svg><p>{LONG} 2</p></article>", [LONG, f"{LONG} 2"]),
+        (f"<article><p>One <svg-icon></svg-icon> two, three. {LONG}</p><p>{LONG} 2</p></article>", [f"One two, three. {LONG}", f"{LONG} 2"]),
+        (f"<title-bar>Top</title-bar><article><p>{LONG}</p></article>", [LONG]),
+        (f"<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds. {LONG}</p></article>", [f"So x=2 holds. {LONG}"]),
+        (f"<article><p class='share-price'>{LONG} 1</p><p>{LONG}</p><section id=legal><p>{LONG} 2</p></section></article>", [f"{LONG} 1", LONG, f"{LONG} 2"]),
+        (f"<div class=c1><h1>Top</h1><p>{LONG}</p><p>{LONG} 2</p><ul><li>one<li>two<li>three</ul></div><div class=footer>Bye, all.</div>", ["Top", LONG, f"{LONG} 2", "one", "two", "three"]),
+        (f"<main><div><a href=/1>Home</a> <a href=/2>News</a></div><article><h1>Top</h1><p>{LONG}</p></article></main>", ["Top", LONG]),
+        (f"<form id=aspnet><div class=top><a href=/>Home</a></div><div class=mid><p>{LONG} {LONG}</p><p>{LONG} {LONG}</p></div></form>", [f"{LONG} {LONG}"] * 2),
+        (f"<div class=mid><p>{LONG}</p><p>{LONG}</p></div><form>Your name, please: <input></form><div hidden><p>{LONG} 9</p></div>", [LONG, LONG]),
+    ],
+)
+def test_nothing_else_is_lost(page, want):
+    assert html_extract.content_of(page) == want
+
+
+def brute_scores(page):
+    """Scores by their definition: every pair of paths, and distances by walking up the tree."""
+    h, paths = html_extract, page.paths
+    weight = {i: p.weight for i, p in enumerate(paths)}
+    inner = {p.parent for i, p in enumerate(paths) if i}
+
+    def holder(i):
+        return paths[paths[i].parent].container if paths[i].container == i and i not in inner else paths[i].container
+
+    def up_from(i):
+        chain = [i]
+        while chain[-1]:
+            chain.append(holder(paths[chain[-1]].parent))
+        return chain
+
+    def far(a, b):
+        x, y = up_from(a), up_from(b)
+        return min(x.index(c) + y.index(c) for c in set(x) & set(y))
+
+    ratio = {i: (h.NO_LENGTH + (1 - h.NO_LENGTH) * (t := p.text / p.blocks) / (t + h.HALF_LENGTH)) * (h.NO_MARKS + (1 - h.NO_MARKS) * (m := p.marks / p.blocks) / (m + h.HALF_MARKS)) * (1 - (1 - h.ALL_LINKS) * p.links / p.text) for i, p in enumerate(paths) if p.blocks}
+    seq = [ratio[b[0]] for b in page.blocks]
+    side = np.exp(-0.5)
+    smooth = [(side * seq[max(0, k - 1)] + seq[k] + side * seq[min(len(seq) - 1, k + 1)]) / (1 + 2 * side) for k in range(len(seq))]
+    mass = {i: weight[i] ** 2 * r * paths[i].text for i, r in ratio.items()}
+    out = {}
+    for i in ratio:
+        near = sum(m * h.DECAY ** far(holder(i), holder(j)) for j, m in mass.items()) / (sum(mass.values()) or 1)
+        out[i] = weight[i] * np.sqrt(np.mean([v for v, b in zip(smooth, page.blocks, strict=True) if b[0] == i]) * min(near, 1))
+    return out
+
+
+def made_page(rng, number):
+    """(html, content blocks) of a page without article and main, whose classes mislead: the content's container may be called post-list, its neighbours story or text."""
+    sentence = lambda n: " ".join(rng.choice("river stone walks under bright morning light over quiet fields while people talk".split()) for _ in range(n)).capitalize()
+    name = lambda: rng.choice(["story", "text", "c%d" % rng.randint(1, 99), "post-list", "block inner", "share-price", "x"])
+    content, body = [], []
+    for k in range(rng.randint(4, 14)):
+        kind = rng.random()
+        if kind < 0.15:
+            content.append(f"{sentence(3)} {number}-{k}")
+            body.append(f"<h2>{content[-1]}</h2>")
+        elif kind < 0.3:
+            own = [f"{sentence(rng.randint(2, 6))} {number}-{k}-{j}" for j in range(3)]
+            content += own
+            body.append("<ul>" + "".join(f"<li>{x}" for x in own) + "</ul>")
+        else:
+            content.append(", ".join(sentence(rng.randint(4, 9)) for _ in range(rng.randint(3, 8))) + f". {number}-{k}.")
+            body.append(f"<p class='{name()}'>{content[-1]}</p>" if rng.random() < 0.3 else f"<p>{content[-1]}</p>")
+    links = lambda n: "".join(f"<li><a href=/{j}>{sentence(rng.randint(1, 4))}</a>" for j in range(n))
+    page = f"<html><body><div class='{name()}'><ul>{links(6)}</ul></div><div class=wrap><div class='{name()} col'>{''.join(body)}</div><div class='{name()} side'><ul>{links(8)}</ul><a href=/x>{sentence(2)}</a></div></div><div class='{name()} end'><a href=/a>About</a> <a href=/b>Terms</a> {sentence(2)}</div></body></html>"
+    return page, content
+
+
+def test_scores_equal_their_definition(spark, sf):
+    rng = random.Random(5)
+    pages = [made_page(rng, i)[0] for i in range(20)] + [PAGE] + [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").limit(10).collect()]
+    for text in pages:
+        page = html_extract.read_page(text)
+        got = html_extract.scores(page)
+        assert all(abs(got[i] - v) < 1e-9 for i, v in brute_scores(page).items())
+        least = html_extract.THRESHOLD * max(1.0, got.max())
+        assert html_extract.content_of(text) == [t for p, t in page.blocks if got[p] >= least]
+
+
+def test_precision_and_recall_without_article():
+    rng, right, returned, wanted = random.Random(11), 0, 0, 0
+    for i in range(300):
+        page, content = made_page(rng, i)
+        got = html_extract.content_of(page)
+        right += len(set(got) & set(content))
+        returned += len(got)
+        wanted += len(content)
+    assert right / returned >= 0.98 and right / wanted >= 0.98, (right / returned, right / wanted)
+
+
+def test_work_is_linear_in_the_page():
+    took = []
+    for n in (20_000, 80_000):
+        for page in ("<div>" * n + LONG, "<svg>" * n + LONG, "<a href=x>" * n + LONG, "<p class=a" * n, "".join(f"<div class=c{i}>{i}" for i in range(n))):
+            began = time.time()
+            html_extract.content_of(page)
+            took.append(time.time() - began)
+    assert all(b < 12 * max(a, 0.05) for a, b in zip(took[:5], took[5:], strict=True)), took
+
+
+def test_extract_with_clashing_columns_and_no_rows(spark):
+    rows = spark.createDataFrame([(1, f"<p>{LONG}</p>", "old", 5, "k")], "page_id long, html string, text string, N_CHARS int, url string")
+    (got,) = html_extract.extract(rows).collect()
+    assert (got.text, got.n_chars, got.url, got.html) == (LONG, len(LONG), "k", f"<p>{LONG}</p>")
+    assert html_extract.extract(rows.filter("false")).collect() == []
+
+
 def test_broken_and_empty_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "   "), (4, "u", "<div"), (5, "u", "plain text, no tags."), (6, None, "<p>unclosed, <b>bold text. <p>next, one here."), (7, "u", "<" * 2000), (8, "u", "<p>" * 3000 + "deep, text."), (8, "u", "<p a='x>quoted, text.</p>"), (9, "u", "<!-- only -->"), (10, "u", "<nav>menu, only.</nav>")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), keep=["page_id", "url"]).collect()
