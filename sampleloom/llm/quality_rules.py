@@ -5,13 +5,19 @@ learned from the corpus itself: every metric of every document goes into a merge
 sketch for its (lang, source), a DDSketch (logarithmic buckets with a bounded relative error), here
 plain rows (lang, source, metric, bucket, n). Sketches merge by adding their buckets, so a hot
 source costs a few hundred rows from each task, sketches of a language are sums of its sources',
-and results do not depend on the order of rows. Sources with few documents use the merged sketch of
-their language, languages with few use that of the corpus. A document is kept if each metric is
-within the fence that the quantiles give; the thresholds are joined to the documents and filter
-them. Everything is DataFrame functions.
+and results do not depend on the order of rows. Each metric of a source is judged by the source's own
+sketch if that has MEMBERS values above zero, else by the merged one of its language, else by that of the
+corpus; if that has fewer too, the metric rejects nothing. A document is kept if each metric is within its fences;
+these are joined to the documents and filter them. Everything is DataFrame functions.
 
-Fences: ratios reject above max(floor, q75 + SPREAD * (q75 - q25)); the mean word length rejects outside
-[q25 - SPREAD * max(q75 - q25, median / 8), q75 + the same]. The floors keep a clean corpus whole, where quartiles are zero.
+Fences come from the sketches' quantiles alone. Let low and high be the first and last decile of a metric's values
+above zero, and spread = (high / low) ** SPREAD of the metric:
+
+* the mean word length has to lie within low / spread and high * spread;
+* of the ratios (symbols, repeated lines, repeated words), which most documents have at zero, the values above zero are
+  either the tail of the clean documents or a population of their own. They are their own if they are rare (RARE of
+  the documents at most) and even low / spread is over what one occurrence makes in a document of median size;
+  then the fence is right below low / spread, so that population goes. Else the fence is high * spread.
 
 Defined results: a null text has no words and fails the base rules, as any text under MIN_WORDS
 words does; null lang and source are groups of their own; an empty table gives no rows; repeated
@@ -30,17 +36,20 @@ from sampleloom.llm.common import saved, table
 MIN_WORDS = 50
 #: Relative error of the sketches.
 ALPHA = 0.01
-#: Documents that a sketch needs; with fewer, the next wider one is used.
-ENOUGH = 200
-SPREAD = 3.0
-#: Upper fences in parts per million of the words (lines for dup_lines) never fall below these.
-FLOORS = {"symbols": 100_000, "dup_lines": 450_000, "repeats": 400_000}
+#: Values above zero that a sketch needs; with fewer, the next wider one is used.
+MEMBERS = 30
+#: Values above zero are rare if at most one document in RARE has them.
+RARE = 4
+#: The metrics, how far their fences lie beyond the deciles (as a power of their quotient), and the size that a ratio is of.
+SPREAD = {"symbols": 1, "dup_lines": 1, "repeats": 1, "word_len": 3}
+SIZE = {"symbols": "words", "dup_lines": "lines", "repeats": "words"}
+METRICS = list(SPREAD)
+SIZES = ["words", "lines"]
 #: Threshold rows that may be broadcast.
 BROADCAST_ROWS = 50_000
 
 SPACE = " \t\n\x0b\x0c\r"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-METRICS = ["symbols", "dup_lines", "repeats", "word_len"]
 
 
 def let(value: Column, body) -> Column:
@@ -49,11 +58,14 @@ def let(value: Column, body) -> Column:
 
 
 def _repeats(words: Column) -> Column:
-    """Words in 3-word windows that occur twice or more: sort the windows with their places, keep those that equal
-    a neighbour, sort their places, and add up what each adds to the stretch before it."""
+    """Words in 3-word windows that occur twice or more. Windows are hashed, and only those whose hash occurs twice are
+    compared as strings: sort them with their places, keep those that equal a neighbour, sort their places, and add up
+    what each adds to the stretch before it."""
+    known = lambda c: F.coalesce(c, F.lit(False))
 
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.slice(w, i + 1, 3)))
+    def equal_neighbours(rows: Column) -> Column:
+        """The places of those rows(w, at), sorted, whose w equals that of the row before or after."""
+        return F.transform(F.filter(F.transform(rows, lambda x, i: F.struct((known(F.get(rows, i - 1)["w"] == x["w"]) | known(F.get(rows, i + 1)["w"] == x["w"])).alias("twice"), x["at"].alias("at"))), lambda x: x["twice"]), lambda x: x["at"])
 
     def covered(places: Column) -> Column:
         return F.aggregate(
@@ -63,16 +75,18 @@ def _repeats(words: Column) -> Column:
             lambda a: a["n"],
         )
 
-    def twice(seen: Column) -> Column:
-        same = lambda i, j: F.get(seen, i)["w"] == F.get(seen, j)["w"]
-        at = F.filter(F.transform(seen, lambda x, i: F.when(F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)), x["at"])), lambda p: p.isNotNull())
-        return let(F.array_sort(at), covered)
+    def placed(values: Column) -> Column:
+        return F.array_sort(F.transform(values, lambda x, i: F.struct(x.alias("w"), i.alias("at"))))
+
+    def verified(places: Column) -> Column:
+        named = F.array_sort(F.transform(places, lambda i: F.struct(F.concat_ws(" ", F.slice(words, i + 1, 3)).alias("w"), i.alias("at"))))
+        return let(named, lambda n: let(F.array_sort(equal_neighbours(n)), covered))
 
-    def counted(win: Column) -> Column:
-        placed = F.array_sort(F.transform(win, lambda x, i: F.struct(x.alias("w"), i.alias("at"))))
-        return F.when(F.size(F.array_distinct(win)) == F.size(win), F.lit(0)).otherwise(let(placed, twice))
+    def counted(hashes: Column) -> Column:
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(placed(hashes), lambda p: let(equal_neighbours(p), verified)))
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(windows(words), counted))
+    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(windows, counted))
 
 
 def with_base(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -119,11 +133,12 @@ _GAMMA = (1 + ALPHA) / (1 - ALPHA)
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, metric, bucket, n): one sketch for each group and metric of the documents that pass the base rules.
+    """(lang, source, metric, bucket, n): one sketch for each group and metric, and for the sizes, of the documents that pass the base rules.
 
     Bucket -1 holds zeros; bucket k holds (gamma^(k-1), gamma^k].
     """
-    long = measured.filter(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("v")) for m, v in _values().items()])).alias("x"))
+    held = _values() | {"words": F.col("n_words"), "lines": F.col("n_lines")}
+    long = measured.filter(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("v")) for m, v in held.items()])).alias("x"))
     bucket = F.when(F.col("x.v") <= 0, F.lit(-1)).otherwise(F.ceil(F.log(F.col("x.v").cast("double")) / F.lit(math.log(_GAMMA)))).cast("int")
     return long.groupBy("lang", "source", F.col("x.metric").alias("metric"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -133,40 +148,57 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """keys, metric, n, and q1, q2, q3: the quartiles as the middle of their bucket (0 for zeros)."""
+    """keys, metric, n (documents), hits (values above zero), and of those low, mid and high, the first, fifth and ninth decile as the middle of their bucket."""
     w = Window.partitionBy(*keys, "metric")
-    run = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    value = F.when(F.col("bucket") < 0, F.lit(0.0)).otherwise(F.lit(2.0) * F.pow(F.lit(_GAMMA), F.col("bucket")) / F.lit(_GAMMA + 1))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, value))
-    return run.groupBy(*keys, "metric").agg(F.max("total").alias("n"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
+    above = F.when(F.col("bucket") >= 0, F.col("n")).otherwise(F.lit(0))
+    run = sketch.withColumn("upto", F.sum(above).over(w.orderBy("bucket"))).withColumn("hits", F.sum(above).over(w)).withColumn("total", F.sum("n").over(w))
+    value = F.when(F.col("bucket") >= 0, F.lit(2.0) * F.pow(F.lit(_GAMMA), F.col("bucket")) / F.lit(_GAMMA + 1))
+    at = lambda q: F.min(F.when(F.col("upto") * 10 >= F.col("hits") * q, value))
+    return run.groupBy(*keys, "metric").agg(F.max("total").alias("n"), F.max("hits").alias("hits"), at(1).alias("low"), at(5).alias("mid"), at(9).alias("high"))
+
+
+def fences(found: DataFrame, *keys: str) -> DataFrame:
+    """keys, metric, least and most: the fences of each metric whose sketch has enough values; null where there is none."""
+    names = [f"__{k}__" for k in keys]
+    sizes = found.filter(F.col("metric").isin(SIZES)).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("metric").alias("__size__"), F.col("mid").alias("__mid__"))
+    of = F.when(F.lit(False), F.lit(""))
+    power = F.when(F.lit(False), F.lit(0.0))
+    for m, p in SPREAD.items():
+        of = of.when(F.col("metric") == m, F.lit(SIZE.get(m, "words")))
+        power = power.when(F.col("metric") == m, F.lit(float(p)))
+    on = of == F.col("__size__")
+    for k, n in zip(keys, names, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    spread = F.pow(F.col("high") / F.col("low"), power)
+    under, over = F.col("low") / spread, F.col("high") * spread
+    own = (F.col("hits") * RARE <= F.col("n")) & (under > F.lit(1e6) / F.col("__mid__"))
+    least = F.when(F.col("metric") == "word_len", under / F.lit(_GAMMA)).otherwise(F.lit(-1.0))
+    most = F.when((F.col("metric") != "word_len") & own, under / F.lit(_GAMMA)).otherwise(over * F.lit(_GAMMA))
+    return found.filter(F.col("metric").isin(METRICS) & (F.col("hits") >= MEMBERS)).join(sizes, on).select(*keys, "metric", least.alias("least"), most.alias("most"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, metric, low, high): the fences of each group, from its own sketch or the narrowest merged one with enough documents."""
-    own = quantiles(sketch, "lang", "source")
-    by_lang = quantiles(merged(sketch, "lang"), "lang").select(F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), F.col("n").alias("l_n"), *[F.col(q).alias(f"l_{q}") for q in ("q1", "q2", "q3")])
-    all_ = quantiles(merged(sketch)).select(F.col("metric").alias("a_metric"), *[F.col(q).alias(f"a_{q}") for q in ("q1", "q2", "q3")])
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric"))).join(all_, F.col("metric") == F.col("a_metric"))
-    pick = lambda q: F.when(F.col("n") >= ENOUGH, F.col(q)).when(F.col("l_n") >= ENOUGH, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    q1, q2, q3 = pick("q1"), pick("q2"), pick("q3")
-    floor = F.when(F.lit(False), F.lit(0))
-    for m, v in FLOORS.items():
-        floor = floor.when(F.col("metric") == m, F.lit(float(v)))
-    room = F.lit(SPREAD) * F.greatest(q3 - q1, q2 / 8)
-    high = F.when(F.col("metric") == "word_len", q3 + room).otherwise(F.greatest(floor, q3 + F.lit(SPREAD) * (q3 - q1)))
-    low = F.when(F.col("metric") == "word_len", q1 - room).otherwise(F.lit(-1.0))
-    return joined.select("lang", "source", "metric", low.alias("low"), high.alias("high"))
-
-
-def wide(fences: DataFrame) -> DataFrame:
+    """(lang, source, metric, level, low, high): the fences of each group and metric and the sketch they are from; low and high are null where the corpus has too few values."""
+    wider = lambda df, name: df.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns])
+    groups = sketch.filter(F.col("metric").isin(METRICS)).select("lang", "source", "metric").distinct()
+    own = wider(fences(quantiles(sketch, "lang", "source"), "lang", "source"), "own")
+    by_lang = wider(fences(quantiles(merged(sketch, "lang"), "lang"), "lang"), "lang_of")
+    every = wider(fences(quantiles(merged(sketch))), "all")
+    same = F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")) & (F.col("metric") == F.col("own_metric"))
+    joined = groups.join(own, same, "left").join(by_lang, F.col("lang").eqNullSafe(F.col("lang_of_lang")) & (F.col("metric") == F.col("lang_of_metric")), "left").join(every, F.col("metric") == F.col("all_metric"), "left")
+    level = F.when(F.col("own_most").isNotNull(), "source").when(F.col("lang_of_most").isNotNull(), "lang").when(F.col("all_most").isNotNull(), "corpus")
+    return joined.select("lang", "source", "metric", level.alias("level"), F.coalesce("own_least", "lang_of_least", "all_least").alias("low"), F.coalesce("own_most", "lang_of_most", "all_most").alias("high"))
+
+
+def wide(found: DataFrame) -> DataFrame:
     """One row for each group: t_lang, t_source and low_/high_ of each metric."""
     pick = lambda m, side: F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{side}_{m}")
-    return fences.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*[pick(m, s) for m in METRICS for s in ("low", "high")])
+    return found.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*[pick(m, s) for m in METRICS for s in ("low", "high")])
 
 
-def judged(measured: DataFrame, fences: DataFrame) -> DataFrame:
+def judged(measured: DataFrame, found: DataFrame) -> DataFrame:
     """measured with kept. The thresholds, one row a group, are broadcast if they are few; else documents are joined by group and salt."""
-    rows = saved(wide(fences), "fences")
+    rows = saved(wide(found), "fences")
     ok = ~F.col("base_failed")
     for m, v in _values().items():
         ok = ok & (v.cast("double") >= F.coalesce(F.col(f"low_{m}"), F.lit(-1.0))) & (v.cast("double") <= F.coalesce(F.col(f"high_{m}"), F.lit(1e18)))
@@ -184,8 +216,7 @@ def judged(measured: DataFrame, fences: DataFrame) -> DataFrame:
 def quality(df: DataFrame) -> DataFrame:
     """doc_id, the base metrics, base_failed and kept of every row of documents. Texts are read once; the metrics are saved between."""
     measured = saved(with_base(df.select("doc_id", "text", "lang", "source")).drop("text"), "metrics")
-    fences = thresholds(saved(sketches(measured), "sketches"))
-    return judged(measured, fences).select("doc_id", *BASE, "base_failed", "kept")
+    return judged(measured, thresholds(saved(sketches(measured), "sketches"))).select("doc_id", *BASE, "base_failed", "kept")
 
 
 def keep_good(df: DataFrame) -> DataFrame:
@@ -193,8 +224,7 @@ def keep_good(df: DataFrame) -> DataFrame:
     names = df.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row__")
     measured = saved(with_base(df.select(row, "doc_id", "text", "lang", "source")).drop("text"), "measured")
-    fences = thresholds(saved(sketches(measured), "sketches"))
-    return judged(measured, fences).filter("kept").select("__row__.*")
+    return judged(measured, thresholds(saved(sketches(measured), "sketches"))).filter("kept").select("__row__.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,15 +240,21 @@ _METRIC_SQL = {
 }
 
 
-def _quartiles(source: str, keys: list[str]) -> str:
+def _fences(source: str, keys: list[str]) -> str:
+    """The fences of one level in SQL."""
     part = ", ".join([*keys, "metric"])
-    at = lambda q: f"min(CASE WHEN upto * 4 >= total * {q} THEN value END) AS q{q}"
-    return f"""SELECT {part}, max(total) AS n, {at(1)}, {at(2)}, {at(3)} FROM (
-        SELECT {part}, CASE WHEN bucket < 0 THEN 0.0 ELSE 2.0 * pow({_GAMMA!r}, bucket) / {_GAMMA + 1!r} END AS value,
-               sum(n) OVER (PARTITION BY {part} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {part}) AS total
-        FROM (SELECT {part}, bucket, sum(n) AS n FROM {source} GROUP BY {part}, bucket)) GROUP BY {part}"""
-
-
+    at = lambda q: f"min(CASE WHEN bucket >= 0 AND upto * 10 >= hits * {q} THEN 2.0 * pow({_GAMMA!r}, bucket) / {_GAMMA + 1!r} END)"
+    same = " AND ".join(["TRUE", *[f"q.{k} IS NOT DISTINCT FROM z.{k}" for k in keys]])
+    size, power = (f"CASE q.metric {' '.join(f'WHEN {m!r} THEN {x!r}' for m, x in d.items())} END" for d in ({m: SIZE.get(m, "words") for m in METRICS}, {m: float(p) for m, p in SPREAD.items()}))
+    return f"""SELECT {part}, CASE WHEN metric = 'word_len' THEN under / {_GAMMA!r} ELSE -1.0 END AS least,
+      CASE WHEN metric <> 'word_len' AND hits * {RARE} <= n AND under > 1e6 / z_mid THEN under / {_GAMMA!r} ELSE over_ * {_GAMMA!r} END AS most
+    FROM (SELECT q.*, z.mid AS z_mid, q.low / pow(q.high / q.low, {power}) AS under, q.high * pow(q.high / q.low, {power}) AS over_
+      FROM {source} q JOIN {source} z ON {same} AND z.metric = {size}) WHERE metric IN ({', '.join(map(repr, METRICS))}) AND hits >= {MEMBERS}""", f"""SELECT {part}, max(total) AS n, max(hits) AS hits, {at(1)} AS low, {at(5)} AS mid, {at(9)} AS high FROM (
+        SELECT *, sum(CASE WHEN bucket >= 0 THEN n ELSE 0 END) OVER (PARTITION BY {part} ORDER BY bucket) AS upto, sum(CASE WHEN bucket >= 0 THEN n ELSE 0 END) OVER (PARTITION BY {part}) AS hits, sum(n) OVER (PARTITION BY {part}) AS total
+        FROM (SELECT {part}, bucket, sum(n) AS n FROM s GROUP BY {part}, bucket)) GROUP BY {part}"""
+
+
+_LEVELS = {"own": ["lang", "source"], "bylang": ["lang"], "alld": []}
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, list_filter(string_split_regex(t, '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM d),
@@ -232,15 +268,13 @@ m AS (
     CAST(len(x) - len(list_distinct(x)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(x) AS BIGINT) AS n_lines
   FROM d JOIN w USING (r) JOIN lines USING (r) LEFT JOIN rep USING (r)),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {', '.join(f'{s} AS v_{m}' for m, s in _METRIC_SQL.items())} FROM m),
-v AS (SELECT lang, source, metric, v FROM b, LATERAL (VALUES {', '.join(f"('{m}', v_{m})" for m in METRICS)}) AS u(metric, v) WHERE NOT base_failed),
+v AS (SELECT lang, source, metric, v FROM b, LATERAL (VALUES {', '.join(f"('{m}', v_{m})" for m in METRICS)}, ('words', n_words), ('lines', n_lines)) AS u(metric, v) WHERE NOT base_failed),
 s AS (SELECT lang, source, metric, CASE WHEN v <= 0 THEN -1 ELSE CAST(ceil(ln(v) / {math.log(_GAMMA)!r}) AS INT) END AS bucket, count(*) AS n FROM v GROUP BY ALL),
-own AS ({_quartiles('s', ['lang', 'source'])}),
-bylang AS ({_quartiles('s', ['lang'])}),
-alld AS ({_quartiles('s', [])}),
-p AS (SELECT own.lang, own.source, own.metric, {', '.join(f'CASE WHEN own.n >= {ENOUGH} THEN own.{q} WHEN bylang.n >= {ENOUGH} THEN bylang.{q} ELSE alld.{q} END AS {q}' for q in ('q1', 'q2', 'q3'))}
-  FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang AND own.metric = bylang.metric JOIN alld ON own.metric = alld.metric),
-f AS (SELECT lang, source, metric, CASE WHEN metric = 'word_len' THEN q1 - {SPREAD} * greatest(q3 - q1, q2 / 8) ELSE -1.0 END AS low,
-  CASE metric WHEN 'word_len' THEN q3 + {SPREAD} * greatest(q3 - q1, q2 / 8) {' '.join(f"WHEN '{m}' THEN greatest({float(x)}, q3 + {SPREAD} * (q3 - q1))" for m, x in FLOORS.items())} END AS high FROM p),
+{', '.join(f'q_{name} AS ({_fences("", keys)[1]}), {name} AS ({_fences(f"q_{name}", keys)[0]})' for name, keys in _LEVELS.items())},
+f AS (SELECT g.lang, g.source, g.metric, coalesce(own.least, bylang.least, alld.least) AS low, coalesce(own.most, bylang.most, alld.most) AS high
+  FROM (SELECT DISTINCT lang, source, metric FROM s WHERE metric IN ({', '.join(map(repr, METRICS))})) g
+  LEFT JOIN own ON g.lang IS NOT DISTINCT FROM own.lang AND g.source IS NOT DISTINCT FROM own.source AND g.metric = own.metric
+  LEFT JOIN bylang ON g.lang IS NOT DISTINCT FROM bylang.lang AND g.metric = bylang.metric LEFT JOIN alld ON g.metric = alld.metric),
 bad AS (SELECT DISTINCT b.r FROM b JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
   JOIN LATERAL (SELECT CASE f.metric {' '.join(f"WHEN '{m}' THEN v_{m}" for m in METRICS)} END AS v) ON true WHERE v < low OR v > high)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.r IS NULL AS kept FROM b LEFT JOIN bad USING (r)
