@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sampleloom-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
@@ -45,12 +47,20 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def saved(df: DataFrame, label: str, codec: str = "snappy", options: dict[str, str] | None = None) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back, so lost executors cost no recomputation. `options` are Parquet's."""
+def saved_in(df: DataFrame, label: str, codec: str = "snappy", options: dict[str, str] | None = None) -> tuple[DataFrame, str]:
+    """Cuts the lineage: writes df to the shared folder and reads it back, so lost executors cost no recomputation. `options` are Parquet's.
+
+    The second result is the folder, for drop_folder() once nothing reads it any more.
+    """
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.option("compression", codec).options(**(options or {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """saved_in() for a table that is read until the session ends."""
+    return saved_in(df, label)[0]
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,8 @@ apart by a broadcast of at most HOT rows.
 
 Defined results: null and empty texts, and texts of white space only, have fingerprint zero and
 link like others; texts of one or two words are one shingle; a missing doc_id never becomes a
-component_id unless the whole component has none (then it is null); repeated rows stay.
+component_id unless the whole component has none (then it is null); repeated rows stay. Rows are known by
+doc_id and fingerprint, so rows of one doc_id with different texts have components of their own.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sampleloom.llm.common import map_text, saved, table
+from sampleloom.llm.common import drop_folder, map_text, saved, saved_in, table
 
 SHINGLE = 3
 RADIUS = 2
@@ -80,40 +81,45 @@ def buckets(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def labels(members: DataFrame) -> DataFrame:
     """(fp, label): the least fingerprint of each component of the bipartite graph members(variant, fp)."""
-    w = Window.partitionBy("variant")
-    known = None
+    w, spark = Window.partitionBy("variant"), members.sparkSession
+    known, before = None, None
     while True:
         had = members.withColumn("label", F.col("fp")) if known is None else members.join(known, "fp")
         least = had.select("fp", F.col("label").alias("before"), F.min("label").over(w).alias("label"))
-        step = saved(least.groupBy("fp").agg(F.min("label").alias("label"), F.min("before").alias("before")), "labels")
+        step, folder = saved_in(least.groupBy("fp").agg(F.min("label").alias("label"), F.min("before").alias("before")), "labels")
+        if before:
+            drop_folder(spark, before)
         if not step.filter("label < before").head(1):
             return step.select("fp", "label")
         jump = step.select(F.col("fp").alias("label"), F.col("label").alias("beyond"))
-        known = saved(step.join(jump, "label", "left").select("fp", F.least("label", "beyond").alias("label")), "jumped")
+        known, before = saved_in(step.join(jump, "label", "left").select("fp", F.least("label", "beyond").alias("label")), "jumped")
+        drop_folder(spark, folder)
 
 
-def join_hot(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame) -> DataFrame:
-    """rows left join lookup (unique by key), where counts(key, n) says how many rows a key has.
+def join_hot(rows: DataFrame, lookup: DataFrame, keys: list[str], counts: DataFrame, how: str = "left") -> DataFrame:
+    """rows joined ("left" or "inner") with lookup (unique by keys), where counts(keys, n) says how many rows each key has.
 
     Keys with over one in HOT of all rows, which are fewer than HOT, go by broadcast; the others by a shuffle.
     """
     total = counts.agg(F.sum("n")).head()[0] or 0
-    hot = F.broadcast(counts.filter(F.col("n") * HOT > total).filter(F.col("n") > 1).select(key).join(lookup, key, "left").withColumn("__hot__", F.lit(True)))
-    cold = rows.join(hot.select(key), key, "left_anti").join(lookup, key, "left")
-    return cold.unionByName(rows.join(hot, key).drop("__hot__"))
+    hot = F.broadcast(counts.filter(F.col("n") * HOT > total).filter(F.col("n") > 1).select(*keys).join(lookup, keys, how).withColumn("__hot__", F.lit(True)))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(lookup, keys, how)
+    return cold.unionByName(rows.join(hot, keys).drop("__hot__"))
 
 
 def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs(doc_id, fp) with component_id, the least doc_id reachable over links of at most `radius` differing bits."""
+    """(fp, least, n, root, component_id) of each distinct fingerprint of docs(doc_id, fp): its least doc_id, its rows, the fingerprint
+    that names its component, and the least doc_id reachable over links of at most `radius` differing bits."""
     by_fp = saved(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fps")
-    label = labels(saved(buckets(by_fp.select("fp"), radius), "buckets"))
+    met, folder = saved_in(buckets(by_fp.select("fp"), radius), "buckets")
+    label = labels(met)
+    drop_folder(docs.sparkSession, folder)
     linked = saved(by_fp.join(label, "fp", "left").withColumn("root", F.coalesce("label", "fp")), "roots")
-    multi = linked.filter("label is not null").select("fp", "root", "least")
+    multi = linked.filter("label is not null").select("fp", "least", "n", "root")
     by_root = saved(multi.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
-    far = join_hot(multi.select("fp", "root"), by_root.select("root", "component_id"), "root", by_root.select("root", "n"))
-    alone = linked.filter("label is null").select("fp", F.col("least").alias("component_id"))
-    found = saved(alone.unionByName(far.select("fp", "component_id")), "by-fp")
-    return join_hot(docs, found, "fp", by_fp.select("fp", "n"))
+    far = join_hot(multi.withColumnRenamed("n", "rows"), by_root.select("root", "component_id"), ["root"], by_root.select("root", "n")).withColumnRenamed("rows", "n")
+    alone = linked.filter("label is null").select("fp", "least", "n", "root", F.col("least").alias("component_id"))
+    return saved(alone.unionByName(far), "by-fp")
 
 
 def hex_of(fp: Column) -> Column:
@@ -124,20 +130,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, fingerprint (16 hex digits) and component_id of every row of df."""
     source = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     docs = saved(with_fingerprint(source, keep=["doc_id"]).select("doc_id", F.col("fingerprint").alias("fp")), "fingerprints")
-    return components(docs, radius).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    found = components(docs, radius)
+    whole = join_hot(docs, found.select("fp", "component_id"), ["fp"], found.select("fp", "n"))
+    return whole.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of documents whose doc_id is their component's; of repeated rows of that doc_id one stays, the least by text.
-
-    Rows without a doc_id can't be named by a component and stay.
-    """
-    kept = near_duplicates(df, radius=radius).filter("doc_id = component_id").select("doc_id").distinct()
-    named = df.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    orderable = [f.name for f in df.schema if f.name != "doc_id" and not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in orderable])
-    one = named.withColumn("__row__", F.row_number().over(order)).filter("__row__ = 1").drop("__row__")
-    return one.select(*df.columns).unionByName(df.filter("doc_id is null"))
+    """One row of each component: of the rows with its least doc_id those with the least fingerprint, and of these, which are
+    alike or nearly so, the one whose columns have the least hash. Components without a doc_id can't be named; their rows stay."""
+    names = df.columns
+    hashable = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row__"), "doc_id", F.col("text"), F.xxhash64(*hashable).alias("__hash__"))
+    held = saved(with_fingerprint(row, keep=["__row__", "doc_id", "__hash__"]).withColumnRenamed("fingerprint", "fp"), "with-fp")
+    found = components(held.select("doc_id", "fp"), radius)
+    first = found.filter("component_id is not null").groupBy("root").agg(F.min(F.when(F.col("least") == F.col("component_id"), F.struct("least", "fp"))).alias("x")).select(F.col("x.least").alias("doc_id"), F.col("x.fp").alias("fp"))
+    # most of the rows that stay are alone with their doc_id and fingerprint; of the others one is chosen, before any shuffle where a task has several
+    counts = saved(held.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")), "counts")
+    once = saved(first.join(counts, ["doc_id", "fp"]), "first")
+    out = held.join(once.filter("n = 1").select("doc_id", "fp"), ["doc_id", "fp"]).select("__row__")
+    repeated = once.filter("n > 1")
+    if repeated.head(1):
+        alike = join_hot(held, repeated.select("doc_id", "fp"), ["doc_id", "fp"], counts, "inner")
+        out = out.unionByName(alike.groupBy("doc_id", "fp").agg(F.min_by("__row__", "__hash__").alias("__row__")).select("__row__"))
+    if df.schema["doc_id"].nullable:
+        nameless = found.filter("component_id is null").select("fp")
+        out = out.unionByName(held.filter("doc_id is null").join(nameless, "fp", "left_semi").select("__row__"))
+    return out.select("__row__.*")
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,10 +61,51 @@ def test_many_groups_are_joined_by_salt(small, monkeypatch):
 def test_sketch_quantiles_are_within_the_error(spark):
     df = spark.range(1, 5001).selectExpr("'l' as lang", "'s' as source", "id * 7 as word_chars", "1000L as n_words", "0L as n_symbols", "0L as n_dup_lines", "0L as n_repeat_words", "1L as n_lines", "false as base_failed")
     q = quality_rules.quantiles(quality_rules.sketches(df), "lang", "source").filter("metric = 'word_len'").head()
-    for got, want in ((q.q1, 1250 * 7), (q.q2, 2500 * 7), (q.q3, 3750 * 7)):
+    for got, want in ((q.low, 500 * 7), (q.mid, 2500 * 7), (q.high, 4500 * 7)):
         assert abs(got - want) <= 0.011 * want
     halves = quality_rules.sketches(df.filter("word_chars < 9000")).unionByName(quality_rules.sketches(df.filter("word_chars >= 9000")))
-    assert quality_rules.quantiles(quality_rules.merged(halves, "lang"), "lang").filter("metric = 'word_len'").head().q2 == q.q2
+    assert quality_rules.quantiles(quality_rules.merged(halves, "lang"), "lang").filter("metric = 'word_len'").head().mid == q.mid
+
+
+def measured_rows(spark, groups):
+    """Documents of 200 words; groups are (lang, source, the symbols of each document)."""
+    rows = [(i, lang, source, 200, 1000 + (i % 40), symbols, 0, 0, 10, False) for lang, source, all_ in groups for i, symbols in enumerate(all_)]
+    return spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, base_failed boolean")
+
+
+def symbol_fences(spark, groups):
+    df = measured_rows(spark, groups)
+    found = quality_rules.thresholds(quality_rules.sketches(df))
+    kept = {(r.source, r.n_symbols) for r in quality_rules.judged(df, found).filter("kept").collect()}
+    return {r.source: (r.level, r.high) for r in found.filter("metric = 'symbols'").collect()}, kept
+
+
+def test_fences_are_learned_for_each_source(spark):
+    web = [0] * 460 + [60 + i % 500 for i in range(40)]  # a rare population of its own, far from one symbol a document
+    code = [40 + i % 100 for i in range(400)] + [0] * 100  # symbols are the rule
+    shifted = [4 * (40 + i % 100) for i in range(400)] + [0] * 100
+    prose = [0] * 400 + [1 + i % 3 for i in range(100)]  # rare, but a symbol or two: the tail of the clean ones
+    fences, kept = symbol_fences(spark, [("en", "web", web), ("en", "code", code), ("en", "shifted", shifted), ("en", "prose", prose)])
+    assert all(level == "source" for level, _ in fences.values())
+    assert {n for s, n in kept if s == "web"} == {0}
+    assert {n for s, n in kept if s == "code"} == set(code) and {n for s, n in kept if s == "shifted"} == set(shifted) and {n for s, n in kept if s == "prose"} == set(prose)
+    assert abs(fences["shifted"][1] / fences["code"][1] - 4) < 0.25
+    # the same document goes in one source and stays in the other
+    assert ("code", 100) in kept and ("web", 100) not in kept
+
+
+def test_sources_with_few_values_use_wider_sketches(spark):
+    fences, kept = symbol_fences(spark, [("en", "big", [0] * 460 + [60] * 40), ("en", "small", [0] * 20 + [70] * 2), ("fr", "far", [0] * 20 + [80]), (None, None, [0, 90])])
+    assert {s: level for s, (level, _) in fences.items()} == {"big": "source", "small": "lang", "far": "corpus", None: "corpus"}
+    assert len({high for _, high in fences.values()}) <= 3 and all(n == 0 for _, n in kept)
+    few, kept = symbol_fences(spark, [("en", "few", [0] * 20 + [200] * 5)])
+    assert few == {"few": (None, None)} and ("few", 200) in kept
+
+
+def test_windows_whose_hashes_collide_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *c: F.size(F.array(*c)))  # all windows collide
+    df = spark.createDataFrame([(t,) for t in ["a b c d e f g", "a b c a b c", "x a b c y a b c z"]], "text string")
+    assert [r.n_repeat_words for r in quality_rules.with_base(df).collect()] == [0, 6, 6]
 
 
 # language
@@ -182,15 +223,18 @@ def test_components_of_chains_and_hot_fingerprints(spark, radius):
     ids = list(range(len(fps)))
     rng.shuffle(ids)
     df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in zip(ids, fps, strict=True)], "doc_id long, fp long")
-    got = {r.doc_id: r.component_id for r in simhash_dedup.components(df, radius).collect()}
+    got = {r.doc_id: r.component_id for r in df.join(simhash_dedup.components(df, radius), "fp").collect()}
     assert [got[i] for i in ids] == groups_of(fps, ids, radius)
 
 
 def test_one_of_each_group_stays(messy, empty, small):
     kept = simhash_dedup.keep_one(messy)
     assert kept.columns == messy.columns
+    rows = simhash_dedup.near_duplicates(messy).collect()
+    named = {r.component_id for r in rows} - {None}
+    nameless = sum(r.component_id is None for r in rows)
     ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(1) == 1 and ids.count(None) == 2
+    assert ids.count(1) == 1 and set(ids) - {None} == named and ids.count(None) == nameless
     assert simhash_dedup.keep_one(empty).count() == 0
     groups = simhash_dedup.near_duplicates(small)
     assert sorted(r.doc_id for r in simhash_dedup.keep_one(small).collect()) == sorted(r[0] for r in groups.select("component_id").distinct().collect())
@@ -198,6 +242,16 @@ def test_one_of_each_group_stays(messy, empty, small):
         simhash_dedup.ball(3)
 
 
+@pytest.mark.parametrize("hot", [1, 1024])
+def test_rows_of_one_doc_id_are_known_by_their_text(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash_dedup, "HOT", hot)
+    a, b, c = ("the first text of all, about rivers", "quite another one that is of stones", "a third text for those without an id")
+    rows = [(1, a, "x"), (2, b, "x"), (2, a, "x"), (3, c, "y"), (3, c, "x"), (3, c, "x"), (None, a, "z"), (None, "nothing like the others here at all", "z")] + [(7, "many rows that are the same in all", "w")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, `odd.name` string").withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    got = [(r.doc_id, r.text) for r in simhash_dedup.keep_one(df).collect()]
+    assert Counter(got) == Counter([(1, a), (2, b), (3, c), (None, "nothing like the others here at all"), (7, "many rows that are the same in all")])
+
+
 # decontamination
 
 
