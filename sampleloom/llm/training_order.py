@@ -9,8 +9,9 @@ random keys and can be computed, and inverted, for any slot alone. Range partiti
 SHARD_SEQUENCES records of fixed stride: the sequence in slot s is at byte (s mod SHARD_SEQUENCES) *
 stride of shard s div SHARD_SEQUENCES, so a reader streams from any slot and resumes where it stopped.
 
-A shard is written under a temporary name and renamed; its content depends on the input alone, so
-a repeated or lost task writes the same bytes again.
+A shard is written under a temporary name and renamed. Its content depends on the input and on how Spark
+splits it, so a repeated or lost task writes the same bytes again, and so does another run over the same
+files with the same spark.sql.files.maxPartitionBytes and default parallelism; other splits pack other sequences.
 
 Defined results: null and empty texts add their end mark only; no documents give no sequences and no
 files; repeated rows are packed as often as they occur; padding is the end mark.
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sampleloom.llm.bpe import read_ranks
-from sampleloom.llm.common import new_folder, saved, small_batches, table
+from sampleloom.llm.common import drop_folder, new_folder, saved, saved_in, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SEQ_LEN = 1024
@@ -227,8 +228,10 @@ def read_sequences(folder: str, first: int, count: int, seq_len: int = SEQ_LEN,
 
 def materialise(docs: DataFrame, path: str, folder: str, seq_len: int = SEQ_LEN, per_shard: int = SHARD_SEQUENCES, key: int = KEY) -> DataFrame:
     """All of it; the result is the manifest."""
-    packed = saved(pack(docs, path, seq_len=seq_len), "packed", "zstd", PACKED)
-    return write_shards(*with_slot(packed, key), folder, seq_len, per_shard)
+    packed, store = saved_in(pack(docs, path, seq_len=seq_len), "packed", "zstd", PACKED)
+    manifest = write_shards(*with_slot(packed, key), folder, seq_len, per_shard)
+    drop_folder(docs.sparkSession, store)  # shards and manifest are written
+    return manifest
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
