@@ -6,8 +6,9 @@ training texts of that language use the word's script. A Viterbi pass over the w
 with a penalty for each switch, then labels spans; the language with the most letters is the
 prediction and its share of the letters, times the posterior of its spans, the score.
 
-The model is fitted on at most about FIT_DOCS labelled documents: of more, those with the least
-hash of their text and language, so the same ones on every run. Its size is BUCKETS x languages.
+The model is fitted on different labelled texts, at most about FIT_DOCS; each language has an equal share of that bound, so that
+rare ones are learned on large tables too. Of more texts those with the least hash are taken, the same ones on every run.
+The model's size is BUCKETS x languages.
 
 Defined results: null texts, texts without letters, and any text if there are no labelled
 documents get `und` with score 0. Equal scores go to the language that comes first by name.
@@ -111,13 +112,18 @@ class Model:
 
 
 def training_sample(docs: DataFrame, text_col: str, lang_col: str, most: int) -> DataFrame:
-    """(text, lang) of labelled documents; beyond `most`, those whose hash is under a bound."""
-    held = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    n = held.count()
-    if n <= most:
-        return held
-    share = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30))
-    return held.filter(share < int(most / n * (1 << 30)))
+    """(text, lang): the different texts of each language; of a language that has more than its share of `most`, those whose hash is under a bound.
+
+    Counts are by sketch (one row a language comes to the driver), copies are joined before the shuffle, so a group of copies counts once.
+    """
+    held = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
+    sizes = held.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    share = most / max(1, len(sizes))
+    bounds = {r.lang: int(share / r.n * (1 << 30)) for r in sizes if r.n > share}
+    if bounds:
+        of = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
+        held = held.filter(F.pmod(F.col("h"), F.lit(1 << 30)) < F.coalesce(of[F.col("lang")], F.lit(1 << 30)))
+    return held.groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = FIT_DOCS) -> Model:
@@ -177,7 +183,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
         at += len(block)
         n = counts[block]
         active = np.searchsorted(-n, -np.arange(steps), side="left")  # texts with more than t words come first
-        value, back = scores[starts[block]].copy(), np.zeros((steps, len(block), scores.shape[1]), np.int8)
+        value, back = scores[starts[block]].copy(), np.zeros((steps, len(block), scores.shape[1]), np.min_scalar_type(scores.shape[1]))
         for t in range(1, steps):
             k = active[t]
             v = value[:k]
@@ -241,21 +247,22 @@ def label_texts(model: Model, texts: list[str | None]) -> Labelled:
     return Labelled(of, np.concatenate(letters), s, viterbi(s, np.bincount(of, minlength=len(texts))))
 
 
-def predictions(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+def predictions(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of each text: the language, the score, and the mean posterior of all words' labels, which many languages in one text don't lower."""
     if not model.langs:
-        return ["und"] * len(texts), np.zeros(len(texts))
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     words = label_texts(model, texts)
-    labels, scores, n = words.label, words.scores, len(model.langs)
+    labels, s, n = words.label, words.scores, len(model.langs)
     letters = np.bincount(words.text * n + labels, words.letters, minlength=len(texts) * n).reshape(-1, n)
     total = letters.sum(1)
     best = letters.argmax(1)
     share = letters.max(1) / np.maximum(total, 1)
+    sure = np.exp(s[np.arange(len(s)), labels]) / np.maximum(np.exp(s).sum(1), 1e-30) * words.letters
     # how sure the words in spans of the predicted language are of it, in the mean
     own = labels == best[words.text]
-    s = scores[own]
-    sure = np.exp(s[np.arange(len(s)), labels[own]]) / np.maximum(np.exp(s).sum(1), 1e-30)
-    mean = np.bincount(words.text[own], sure * words.letters[own], minlength=len(texts)) / np.maximum(1, np.bincount(words.text[own], words.letters[own], minlength=len(texts)))
-    return [model.langs[b] if t else "und" for b, t in zip(best, total, strict=True)], np.where(total > 0, np.clip(share * mean, 0, 1), 0.0)
+    mean = np.bincount(words.text[own], sure[own], minlength=len(texts)) / np.maximum(1, letters.max(1))
+    certain = np.bincount(words.text, sure, minlength=len(texts)) / np.maximum(1, total)
+    return [model.langs[b] if t else "und" for b, t in zip(best, total, strict=True)], np.where(total > 0, np.clip(share * mean, 0, 1), 0.0), np.where(total > 0, np.clip(certain, 0, 1), 0.0)
 
 
 def spans_of(model: Model, texts: list[str | None]) -> list[list[dict]]:
@@ -274,14 +281,14 @@ def spans_of(model: Model, texts: list[str | None]) -> list[list[dict]]:
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", spans: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score; with spans also the labelled spans array<struct<lang, words, letters>>."""
+    """Adds lang_pred, score and certainty; with spans also the labelled spans array<struct<lang, words, letters>>."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
         own = held.value
         return lambda texts: [*predictions(own, texts), *([spans_of(own, texts)] if spans else [])]
 
-    return map_text(df, text_col, "lang_pred string, score double" + (", spans array<struct<lang: string, words: int, letters: long>>" if spans else ""), make, keep)
+    return map_text(df, text_col, "lang_pred string, score double, certainty double" + (", spans array<struct<lang: string, words: int, letters: long>>" if spans else ""), make, keep)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -289,11 +296,12 @@ def held_out(id_col: str = "doc_id"):
 
 
 def keep_known(df: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of documents with a predicted language whose score is at least `least`. The model is learned from those not held out."""
+    """The rows of documents with a predicted language whose words are certain of their labels by `least` in the mean, whether
+    they are in one language or several. The model is learned from those not held out."""
     names = df.columns
     model = fit(df.filter(~held_out()))
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row__"), F.col("text"))
-    return identify(row, model, keep=["__row__"]).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("__row__.*")
+    return identify(row, model, keep=["__row__"]).filter((F.col("lang_pred") != "und") & (F.col("certainty") >= least)).select("__row__.*")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

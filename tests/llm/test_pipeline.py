@@ -21,7 +21,7 @@ def test_stages(spark, sf, small):
         ids, had = {r.doc_id for r in out.select("doc_id").collect()}, {r.doc_id for r in docs.select("doc_id").collect()}
         if name == "language_id":
             got = language_id.identify(docs, language_id.fit(docs.filter(~language_id.held_out())))
-            want = {r.doc_id for r in got.collect() if r.lang_pred != "und" and r.score >= 0.3}
+            want = {r.doc_id for r in got.collect() if r.lang_pred != "und" and r.certainty >= 0.3}
         elif name == "quality_rules":
             want = {r.doc_id for r in quality_rules.quality(docs).collect() if r.kept}
         elif name == "simhash_near_dedup":

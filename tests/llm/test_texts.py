@@ -137,7 +137,7 @@ def test_mixed_text_and_scripts(spark, small):
     en, de = (small.filter(F.col("lang") == x).filter("n_chars between 300 and 3000").head().text.split(".")[0][:200] for x in ("en", "de"))
     spans = language_id.spans_of(model, [f"{en} {de}", "мир и слова", None, "123"])
     assert [s["lang"] for s in spans[0]] == ["en", "de"] and {s["lang"] for s in spans[1]} == {"ru"} and spans[2:] == [[], []]
-    pred, score = language_id.predictions(model, [None, "", "12 !", "мир", "漢字"])
+    pred, score, _ = language_id.predictions(model, [None, "", "12 !", "мир", "漢字"])
     assert pred[:4] == ["und", "und", "und", "ru"] and score[0] == 0 and pred[4] in model.langs
 
 
@@ -166,6 +166,70 @@ def test_language_on_messy_and_empty(messy, empty):
     assert language_id.keep_known(messy).columns == messy.columns and language_id.keep_known(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [128, 300])
+def test_many_languages(n):
+    scores = np.full((600, n), -9, np.float32)
+    want = np.repeat(np.arange(300) * (n - 1) // 299, 2)
+    scores[np.arange(600), want] = 0
+    assert (language_id.viterbi(scores, np.array([600]), 4.0) == want).all()
+
+
+def brute_language(model, text):
+    """Prediction, score and certainty by their definitions, word by word."""
+    words, run = [], ""
+    for c in text.lower() + " ":
+        if c.isalpha():
+            run += c
+        elif run:
+            words.append(run)
+            run = ""
+    kind, scored = language_id._letters(), []
+    for w in words:
+        own = language_id.words_of([w])
+        s = sum(model.weight[own.feature[i]].astype(float) for i in range(len(w))) + model.weight[own.whole[0]]
+        fits = model.candidate[kind[ord(w[0])]]
+        scored.append(np.where(fits if fits.any() else ~fits, np.maximum(s - s.max(), -12), -30))
+    paths = [(scored[0][k], [k]) for k in range(len(model.langs))]
+    for s in scored[1:]:
+        paths = [max(((v - (language_id.SWITCH if p[-1] != k else 0) + s[k], [*p, k]) for v, p in paths), key=lambda x: x[0]) for k in range(len(s))]
+    label = max(paths, key=lambda x: x[0])[1]
+    letters, sure = Counter(), Counter()
+    for w, s, k in zip(words, scored, label, strict=True):
+        letters[k] += len(w)
+        sure[k] += len(w) * np.exp(s[k]) / np.exp(s).sum()
+    best = max(sorted(letters), key=lambda k: letters[k])
+    return model.langs[best], sure[best] / letters.total(), sure.total() / letters.total()
+
+
+def test_predictions_equal_their_definition(small):
+    model = language_id.fit(small.limit(80))
+    texts = [r.text[:400] for r in small.limit(40).collect()]
+    texts += [a[:150] + ". " + b[-150:] for a, b in zip(texts[:20], texts[20:], strict=True)]
+    texts = [t for t in texts if any(map(str.isalpha, t))]
+    got = language_id.predictions(model, texts)
+    for t, pred, score, certain in zip(texts, *got, strict=True):
+        want = brute_language(model, t)
+        assert pred == want[0] and abs(score - want[1]) < 1e-3 and abs(certain - want[2]) < 1e-3
+
+
+def test_rare_languages_and_copies_in_the_sample(spark):
+    rows = [(f"text number {i} of the common language", "aa") for i in range(900)] + [("one text that is there many times", "aa")] * 500 + [("selten und kurz", "zz"), (None, "zz"), ("x", None)]
+    sample = language_id.training_sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 200).collect()
+    n = Counter(r.lang for r in sample)
+    assert n["zz"] == 1 and 60 < n["aa"] < 150 and len(set(sample)) == len(sample)
+
+
+def test_a_text_in_many_languages_is_known(spark):
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(6)) for _ in range(60)] for lang, letters in zip("pqrst", ["abcde", "fghij", "klmno", "uvwxy", "éèàùç"], strict=True)}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(40)), lang) for i, lang in enumerate(list(words) * 12)]
+    rows.append((1000, " ".join(" ".join(words[lang][:20]) for lang in words), "p"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(df, language_id.fit(df), keep=["doc_id"]).filter("doc_id = 1000").head()
+    assert got.score < 0.3 and got.certainty > 0.8
+    assert language_id.keep_known(df).filter("doc_id = 1000").count() == 1
+
+
 def test_fit_is_bounded_and_repeatable(small):
     few = language_id.training_sample(small, "text", "lang", 50)
     assert few.count() < 100 and sorted(few.collect()) == sorted(language_id.training_sample(small.repartition(3), "text", "lang", 50).collect())
