@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -406,16 +407,51 @@ def test_decontamination_in_blocks_and_edges(spark, sf, messy, empty, monkeypatc
 
 def test_blocks_find_all_within_the_radius():
     rng = random.Random(1)
-    x = decontaminate.Length(10, 5)
-    x.prints = [rng.getrandbits(64) for _ in range(50)]
-    x.index()
-    probes = []
-    for f in x.prints:
-        for b in rng.sample(range(64), decontaminate.RADIUS):
-            f ^= 1 << b
-        probes.append(f)
-    found = {tuple(p) for p in x.close(np.array(probes, np.uint64)).tolist()}
-    assert all((i, i) in found for i in range(50))
+    prints = [rng.getrandbits(64) for _ in range(50)]
+    near, far = [], []
+    for f in prints:
+        flips = rng.sample(range(64), decontaminate.RADIUS + 1)
+        far.append(f ^ sum(1 << b for b in flips))
+        near.append(f ^ sum(1 << b for b in flips[1:]))
+    as_array = lambda x: np.array(x, np.uint64)
+    assert decontaminate.close(as_array(near), as_array(prints)).all() and not decontaminate.close(as_array(far), as_array(prints)).any()
+
+
+@pytest.mark.parametrize("step", [3, 1 << 16])
+def test_items_that_are_alike(monkeypatch, step):
+    """Templates: all items share most shingles; documents hold edited copies, runs of them, and repeated words."""
+    monkeypatch.setattr(decontaminate, "STEP", step)
+    rng = random.Random(9)
+    frame = "in the year the town of had about people and the river near it was called by all who lived there for long".split()
+    items = []
+    for i in range(40):
+        w = frame[:]
+        for p in rng.sample(range(len(w)), 3):
+            w[p] = f"x{rng.randrange(6)}"
+        items.append((i, " ".join(w)))
+    items += [(50, "so it goes " * 8), (51, "a b c d e f"), (52, "well then")]
+    texts = ["start " + rng.choice(items)[1] + " middle " + rng.choice(items)[1] + " end" for _ in range(12)] + ["so it goes " * 20, "a b c d e f " * 3, "nothing at all", "well then " * 2] + [" ".join(frame)]
+    bench = decontaminate.prepare(items)
+    for t in texts:
+        assert {i: round(s, 9) for i, start, n, s in decontaminate.leaks(bench, t) if n <= len(t.split())} == brute(t, items)
+    for t in texts:  # the best window is the first of equals
+        for i, start, n, s in decontaminate.leaks(bench, t):
+            at = [p for p in range(len(t.split()) - n + 1) if round(brute(" ".join(t.split()[p : p + n]), [(i, dict(items)[i])]).get(i, 0), 9) == round(s, 9)]
+            assert not at or start == at[0]
+
+
+def test_work_does_not_grow_with_unlike_items():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    text = " ".join(word() for _ in range(20_000))
+    took = []
+    for n in (500, 10_000):
+        items = [(i, " ".join(word() for _ in range(40))) for i in range(n)]
+        bench = decontaminate.prepare([*items, (n, " ".join(text.split()[5000:5040]))])
+        began = time.time()
+        assert [x[:3] for x in decontaminate.leaks(bench, text)] == [(n, 5000, 40)]
+        took.append(time.time() - began)
+    assert took[1] < 4 * max(took[0], 0.05), took
 
 
 # licences
