@@ -179,6 +179,34 @@ def test_captures_are_judged_as_of_their_fetch(spark):
     assert by[6].category == "malware" and by[5].listed_at == day(20) and by[3].host == "www.bad.com" and by[8].host is None
 
 
+def brute_judge(captures, entries):
+    """The latest listing that holds, by trying all entries for each capture."""
+    out = []
+    for page, url, at in captures:
+        host = (m[1].lower().rstrip(".") if (m := re.match(r"[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")) else "") or None
+        best = None
+        for pattern, category in {(p.lower().strip("."), c) for p, c, *_ in entries}:
+            own = sorted({(d, a) for p, c, a, d in entries if (p.lower().strip("."), c) == (pattern, category)})
+            for (since, action), after in zip(own, [*[d for d, _ in own[1:]], None], strict=True):
+                if host and at and action == "add" and (host == pattern or host.endswith("." + pattern)) and since <= at and (after is None or at < after):
+                    best = max(best or (since, len(pattern), category), (since, len(pattern), category))
+        out.append((page, host, best is not None, best and best[2], best and best[0]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [2, 1024])
+def test_suffixes_and_many_subdomains(spark, monkeypatch, hot):
+    monkeypatch.setattr(url_filters, "HOT", hot)
+    rng = random.Random(hot)
+    entries = [("com", "tld", "add", day(20)), (".co.uk", "tld", "add", day(3)), ("b.com", "spam", "add", day(2)), ("b.com", "spam", "remove", day(9)), ("A.b.com.", "adult", "add", day(4))]
+    entries += [(f"s{i}.big.org", rng.choice(["x", "y"]), rng.choice(["add", "remove"]), day(rng.randint(1, 28))) for i in range(300) for _ in range(2)]
+    hosts = ["com", "x.com", "b.com", "a.b.com", "z.a.b.com", "ab.com", "news.co.uk", "co.uk", "uk", "big.org", "s1.big.org", "t.s2.big.org"] + [f"s{i}.big.org" for i in range(80)]
+    captures = [(i, f"http://{rng.choice(hosts)}/p", day(rng.randint(1, 28))) for i in range(400)] + [(None, "http://b.com", day(5)), (None, None, None), (None, None, None), (9, "http://b.com", None)]
+    left = spark.createDataFrame([(*c, "mine", 1) for c in captures], "page_id long, url string, fetched_at timestamp_ntz, host string, n int")
+    got = url_filters.judge(left, spark.createDataFrame(entries, "pattern string, category string, action string, dated timestamp_ntz")).collect()
+    assert sorted(((r.page_id, r.host, r.blocked, r.category, r.listed_at) for r in got), key=str) == brute_judge(captures, entries)
+
+
 def test_filters_on_empty_tables(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     none = pages.filter("false")
