@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sampleloom.functions import values
 from sampleloom.jobs.signals import EMB, EMB2, EV, LI, RATE, emb, emb2, emb_chunks, ev, frames_out, li, li_chunks, read, rounded, value_sql
 from sampleloom.kernels import effects as fx
-from sampleloom.kernels import linear
+from sampleloom.kernels import linear, sinc
 from sampleloom.operators import board, channels, filters, resample, shift, tables
 
 ALL: dict[str, tuple] = {}
@@ -87,7 +87,28 @@ for _name, (_filter, _apply) in _FILTERS.items():
     ALL[_name] = (lambda spark, sf_dir, f=_apply: out(f(ev_chunks(spark, sf_dir))), value_sql(recurrence(_filter), "SELECT track_id, channel, frame, y1 AS v FROM r", recursive=True))
 
 
-@query("f6_ladder", None)
+def steps(base: str, *columns: tuple[str, str]) -> str:
+    """base with columns that build on each other, one after the other."""
+    for name, value in columns:
+        base = f"SELECT *, {value} AS {name} FROM ({base})"
+    return base
+
+
+def recursion(source: str, state: str, fresh: str, columns: list[tuple[str, str]], keep: str) -> str:
+    """r(track_id, frame, <state>): a recurrence over the frames of source(track_id, frame, ...); frame -1 is the fresh state."""
+    own = ", ".join(f"r.{c}" for c in state.split(", "))
+    base = f"SELECT r.track_id AS track_id, x.frame AS frame, {own}, x.* EXCLUDE (track_id, frame) FROM r JOIN {source} x ON x.track_id = r.track_id AND x.frame = r.frame + 1"
+    return f"r({'track_id, frame, ' + state}) AS (SELECT DISTINCT track_id, CAST(-1 AS BIGINT), {fresh} FROM {source} UNION ALL SELECT track_id, frame, {keep} FROM ({steps(base, *columns)}))"
+
+
+_G = 1 - math.exp(-2 * math.pi * 120.0 / RATE)
+_LADDER = [
+    ("u", "tanh(1.5 * value) - 1.6 * (tanh(e) - 0.5 * tanh(1.5 * value))"), ("a2", f"a + {_G!r} * (tanh(u) - tanh(a))"), ("b2", f"b + {_G!r} * (tanh(a2) - tanh(b))"),
+    ("d2", f"d + {_G!r} * (tanh(b2) - tanh(d))"), ("e2", f"e + {_G!r} * (tanh(d2) - tanh(e))"),
+]
+
+
+@query("f6_ladder", value_sql(f"{LI}, {recursion('li', 'a, b, d, e', '0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE', _LADDER, 'a2, b2, d2, e2')}", "SELECT track_id, CAST(0 AS INTEGER) AS channel, frame, e AS v FROM r WHERE frame >= 0", recursive=True))
 def f6_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.apply_effects(li_chunks(spark, sf_dir), [fx.LadderFilter("LPF24", 120.0, 0.4, 1.5)], RATE))
 
@@ -160,17 +181,56 @@ def m1_chorus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.apply_effects(li_chunks(spark, sf_dir), [fx.Chorus(3.0, 0.4, 7.0, 0.0, 0.4)], RATE))
 
 
-@query("m1_chorus_feedback", None)
+_SWUNG = [
+    ("pos", f"frame - greatest(7.0 * (1 + 0.4 * sin(2 * {math.pi!r} * 3.0 * frame / 1000)), 0)"), ("low", "CAST(floor(pos) AS BIGINT)"),
+    ("wet", "(1 - (pos - low)) * hist[16 - (frame - 1 - low)] + (pos - low) * hist[16 - (frame - 2 - low)]"), ("line", "hist[2:] || [value + 0.5 * wet]"),
+]
+
+
+@query("m1_chorus_feedback", value_sql(f"{LI}, {recursion('li', 'hist, v', 'list_transform(range(16), lambda i: 0.0::DOUBLE), 0.0::DOUBLE', _SWUNG, 'line, 0.6 * value + 0.4 * wet')}", "SELECT track_id, CAST(0 AS INTEGER) AS channel, frame, v FROM r WHERE frame >= 0", recursive=True))
 def m1_chorus_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.apply_effects(li_chunks(spark, sf_dir), [fx.Chorus(3.0, 0.4, 7.0, 0.5, 0.4)], RATE))
 
 
-@query("m2_phaser", None)
+_SWEPT = [("t", f"tan({math.pi!r} * greatest(1.0, least(490.0, 150.0 * (1 + 0.5 * sin(2 * {math.pi!r} * 2.0 * frame / 1000)))) / 1000)"), ("c", "(t - 1) / (t + 1)"), ("y0", "value + 0.3 * s6")]
+_SWEPT += [(f"y{k}", f"c * y{k - 1} + s{k - 1} - c * s{k}") for k in range(1, 7)]
+
+
+@query(
+    "m2_phaser",
+    value_sql(
+        f"{LI}, {recursion('li', ', '.join(f's{k}' for k in range(7)) + ', v', ', '.join(['0.0::DOUBLE'] * 8), _SWEPT, ', '.join(f'y{k}' for k in range(7)) + ', 0.5 * value + 0.5 * y6')}",
+        "SELECT track_id, CAST(0 AS INTEGER) AS channel, frame, v FROM r WHERE frame >= 0",
+        recursive=True,
+    ),
+)
 def m2_phaser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.apply_effects(li_chunks(spark, sf_dir), [fx.Phaser(2.0, 0.5, 150.0, 0.3, 0.5)], RATE))
 
 
-@query("m3_reverb", None)
+def reverb_sql(own: fx.Reverb) -> str:
+    """The network on two-channel tracks: lines as lists, the next output first."""
+    length = lambda n, side: max(1, int((n + side * own.SPREAD) * RATE / 44100))
+    zeros = lambda lengths: "[" + ", ".join(f"list_transform(range({n}), lambda i: 0.0::DOUBLE)" for n in lengths) + "]"
+    damp, feedback = own.damping * 0.4, own.room_size * 0.28 + 0.7
+    fresh = [zeros([length(n, s) for s in (0, 1) for n in own.COMBS]), "list_transform(range(16), lambda i: 0.0::DOUBLE)", *[zeros([length(n, s) for s in (0, 1)]) for n in own.ALLPASSES], "[0.0::DOUBLE, 0.0]"]
+    columns = [
+        ("x", "(v0 + v1) * 0.015"), ("late", "list_transform(combs, lambda l: l[1])"), ("low2", f"list_transform(range(1, 17), lambda i: late[i] * {1 - damp!r} + low[i] * {damp!r})"),
+        ("combs2", f"list_transform(range(1, 17), lambda i: combs[i][2:] || [x + {feedback!r} * low2[i]])"), ("w0", "[list_sum(late[1:8]), list_sum(late[9:16])]"),
+    ]
+    for k in range(1, 5):
+        columns += [
+            (f"l{k}", f"list_transform(p{k}, lambda l: l[1])"), (f"q{k}", f"list_transform([1, 2], lambda i: p{k}[i][2:] || [w{k - 1}[i] + 0.5 * l{k}[i]])"), (f"w{k}", f"list_transform([1, 2], lambda i: l{k}[i] - w{k - 1}[i])"),
+        ]
+    wet, dry = 3.0 * own.wet_level, 2.0 * own.dry_level
+    same, other = 0.5 * wet * (1 + own.width), 0.5 * wet * (1 - own.width)
+    out = f"[{dry!r} * v0 + {same!r} * w4[1] + {other!r} * w4[2], {dry!r} * v1 + {same!r} * w4[2] + {other!r} * w4[1]]"
+    pairs = "pairs AS (SELECT track_id, frame, max(CASE WHEN channel = 0 THEN value END) AS v0, max(CASE WHEN channel = 1 THEN value END) AS v1 FROM emb2 GROUP BY track_id, frame)"
+    ctes = f"{EMB2}, {pairs}, {recursion('pairs', 'combs, low, p1, p2, p3, p4, both_', ', '.join(fresh), columns, f'combs2, low2, q1, q2, q3, q4, {out}')}"
+    return value_sql(ctes, "SELECT track_id, CAST(c AS INTEGER) AS channel, frame, both_[c + 1] AS v FROM r CROSS JOIN (VALUES (0), (1)) AS u(c) WHERE frame >= 0", recursive=True)
+
+
+@query("m3_reverb", reverb_sql(fx.Reverb(0.6, 0.4)))
 def m3_reverb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.apply_effects(tables.pack(emb2(spark, sf_dir), BLOCK), [fx.Reverb(0.6, 0.4)], RATE))
 
@@ -201,12 +261,30 @@ def r2_linear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.resample_chunks(li_chunks(spark, sf_dir), 1000.0, 1600.0, "linear", 100))
 
 
-@query("r5_sinc", None)
+def sinc_sql(src: float, dst: float, quality: str, t: str = "li") -> str:
+    """The windowed sinc from its definition: a table of PRECISION points a crossing (the Bessel function by its series), read between two points."""
+    k, n = sinc.Resampler(src, dst, quality), sinc.crossings(quality)
+    last, beta = n * sinc.PRECISION, sinc.BETAS.get(n, 8.0)
+    bessel = lambda z: f"list_sum(list_transform(range(33), lambda k: pow(({z}) * ({z}) / 4, k) / pow(CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE), 2)))"
+    x = f"(i / {sinc.PRECISION}.0::DOUBLE)"
+    window = f"{bessel(f'{beta!r} * sqrt(1 - pow({x} / {n}, 2))')} / {bessel(repr(beta))}"
+    table = f"SELECT i, CASE WHEN i > {last} THEN 0.0 ELSE {sinc.ROLLOFF!r} * CASE WHEN i = 0 THEN 1.0 ELSE sin(pi() * {sinc.ROLLOFF!r} * {x}) / (pi() * {sinc.ROLLOFF!r} * {x}) END * {window} END AS w FROM range({last + 3}) u(i)"
+    length, position = (f"CAST(floor(n * {dst!r}::DOUBLE / {src!r}::DOUBLE) AS BIGINT)", f"j * {src!r}::DOUBLE / {dst!r}::DOUBLE")
+    if quality != "windowed_sinc":
+        length, position = f"greatest(0, CAST(floor((n + {k.latency}) * {dst!r}::DOUBLE / {src!r}::DOUBLE) AS BIGINT) - {k.skip})", f"(j + {k.skip}) * {src!r}::DOUBLE / {dst!r}::DOUBLE - {k.latency}"
+    outputs = f"SELECT track_id, channel, unnest(range(0, {length})) AS j FROM (SELECT track_id, channel, max(frame) + 1 AS n FROM {t} GROUP BY ALL)"
+    placed = f"SELECT *, CAST(floor(p) AS BIGINT) AS low, p - floor(p) AS f FROM (SELECT *, {position} AS p FROM ({outputs}))"
+    taps = f"SELECT *, abs(f - tap) / {k.stretch!r} * {sinc.PRECISION} AS spot FROM ({placed}) CROSS JOIN range({-k.before}, {k.after + 1}) u(tap) WHERE abs(f - tap) / {k.stretch!r} <= {n}"
+    return f"""SELECT q.track_id, q.channel, q.j AS frame, coalesce(sum((a.w + (q.spot - floor(q.spot)) * (b.w - a.w)) / {k.stretch!r} * x.value), 0) AS v FROM ({taps}) q
+    JOIN ({table}) a ON a.i = CAST(floor(q.spot) AS BIGINT) JOIN ({table}) b ON b.i = CAST(floor(q.spot) AS BIGINT) + 1 LEFT JOIN {t} x ON x.track_id = q.track_id AND x.channel = q.channel AND x.frame = q.low + q.tap GROUP BY q.track_id, q.channel, q.j"""
+
+
+@query("r5_sinc", value_sql(LI, sinc_sql(1000.0, 1600.0, "sinc32")))
 def r5_sinc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.resample_chunks(li_chunks(spark, sf_dir), 1000.0, 1600.0, "sinc32", 256))
 
 
-@query("r6_windowed_sinc", None)
+@query("r6_windowed_sinc", value_sql(LI, sinc_sql(1000.0, 600.0, "windowed_sinc")))
 def r6_windowed_sinc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.resample_chunks(li_chunks(spark, sf_dir), 1000.0, 600.0, "windowed_sinc", 256))
 
@@ -227,7 +305,10 @@ def r7_resample_effect_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames_out(resample.resample_effect(li(spark, sf_dir), 1000.0, 400.0, "linear"))
 
 
-@query("r7_resample_effect_sinc", None)
+_DOWN3 = f"{LI}, down AS ({sinc_sql(1000.0, 400.0, 'sinc16')}), low AS (SELECT track_id, channel, frame, v AS value FROM down), back AS ({sinc_sql(400.0, 1000.0, 'sinc16', 'low')})"
+
+
+@query("r7_resample_effect_sinc", value_sql(_DOWN3, "SELECT li.track_id, li.channel, li.frame, coalesce(back.v, 0) AS v FROM li LEFT JOIN back ON back.track_id = li.track_id AND back.frame = li.frame"))
 def r7_resample_effect_sinc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.resample_effect_chunks(li_chunks(spark, sf_dir), 1000.0, 400.0, "sinc16"))
 

@@ -64,11 +64,16 @@ def s3_wav_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(frames, spark, folder).select("track_id", "channel", "frame", "pcm")
 
 
-@query("s4_encode_wav", f"WITH {LI} SELECT track_id, 44 + 3 * count(*) AS bytes, hex('RIFF'::BLOB) AS mark FROM li GROUP BY track_id")
+@query("s4_encode_wav", f"WITH {LI} SELECT track_id, frame, CAST(round_even(greatest(-1.0, least(1.0, value)) * 8388607, 0) AS INTEGER) AS pcm, 44 + 3 * count(*) OVER (PARTITION BY track_id) AS bytes, hex('RIFF'::BLOB) AS mark FROM li")
 def s4_encode_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of each coded file, read from its bytes."""
     chunks = li_chunks(spark, sf_dir)
     coded = wav.encode_wav(chunks, channels.track_info(tables.unpack(chunks), RATE), 24)
-    return coded.select("track_id", F.length("content").cast("long").alias("bytes"), F.hex(F.substring("content", 1, 4)).alias("mark"))
+    size = F.length("content").cast("long")
+    each = coded.select("track_id", "content", size.alias("bytes"), F.hex(F.substring("content", 1, 4)).alias("mark"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((size - 44) / 3) - 1)).alias("frame"))
+    byte = lambda k: F.hex(F.substring(F.col("content"), (45 + 3 * F.col("frame") + k).cast("int"), F.lit(1)))
+    unsigned = F.conv(F.concat(byte(2), byte(1), byte(0)), 16, 10).cast("int")
+    return each.select("track_id", "frame", F.when(unsigned >= 1 << 23, unsigned - (1 << 24)).otherwise(unsigned).alias("pcm"), "bytes", "mark")
 
 
 #: Blocks that one file of a stream holds, about.
@@ -131,14 +136,17 @@ def t2_stream_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames_out(tables.unpack(_streamed(spark, chunks.unionByName(ends), lambda s: stateful.stream_resample(s, 1000.0, 1600.0, "linear"))))
 
 
-@query("t3_dropped_frames", f"WITH {EMB} SELECT track_id, max(frame) + 1 AS next_frame, CAST(sum(CASE WHEN (frame // 16 + track_id) % 4 = 1 AND frame // 16 < 3 THEN 1 ELSE 0 END) AS BIGINT) AS dropped FROM emb WHERE track_id % 4 <> 2 GROUP BY track_id")
+@query("t3_dropped_frames", f"WITH {EMB} SELECT track_id, max(frame) + 1 AS next_frame, CAST(sum(CASE WHEN (frame // 16 + track_id) % 4 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS dropped FROM emb GROUP BY track_id")
 def t3_dropped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of 16 frames without one in four; tracks whose last block would be the missing one are left out, here and in the SQL."""
-    return lost_frames(spark, emb_chunks(spark, sf_dir).filter("(chunk + track_id) % 4 <> 1 and track_id % 4 <> 2"))
+    """Blocks of 16 frames, one in four of which is lost; each track ends with a mark, a block without samples, so a lost last block counts too."""
+    whole = emb_chunks(spark, sf_dir)
+    ends = whole.groupBy("track_id", "channel").agg(F.max(F.col("chunk") + 1).alias("chunk"), F.max(F.col("start_frame") + F.size("samples")).alias("start_frame")).withColumn("samples", F.array().cast("array<double>"))
+    return lost_frames(spark, whole.filter("(chunk + track_id) % 4 <> 1").unionByName(ends))
 
 
 def lost_frames(spark: SparkSession, sent: DataFrame) -> DataFrame:
-    """track_id, next_frame, dropped of every track: next_frame is the end of the last block received, what is lost after it isn't counted."""
+    """track_id, next_frame, dropped of every track: next_frame is the end of the last block received. What is lost after that isn't
+    counted, unless a mark follows: a block without samples at the track's end."""
     timed = sent.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("chunk")))
     got = _streamed(spark, timed, lambda s: stateful.dropped_frames(s, "1 hour"), steps=2)  # in order: a late block counts as lost
     return got.groupBy("track_id").agg(F.max("next_frame").alias("next_frame"), F.max("dropped").alias("dropped"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sampleloom.functions import text, values
@@ -267,6 +267,19 @@ def a7_normalise_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames_out(channels.normalise_energy(emb2(spark, sf_dir)))
 
 
-@query("o1_ordered", value_sql(EMB2, "SELECT track_id, channel, frame, value AS v FROM emb2"))
+@query("o1_ordered", f"WITH {EMB2} SELECT track_id, channel, frame, round(value, 6) + 0.0 AS value, row_number() OVER (PARTITION BY track_id ORDER BY frame, channel) - 1 AS place FROM emb2")
 def o1_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames_out(tables.ordered(emb2(spark, sf_dir)))
+    """place: where a row stands among its track's rows, as a writer would get them."""
+    came = tables.ordered(emb2(spark, sf_dir)).withColumn("__at__", F.monotonically_increasing_id())
+    placed = came.withColumn("place", F.row_number().over(Window.partitionBy("track_id").orderBy("__at__")).cast("long") - 1)
+    return rounded(placed.select("track_id", "channel", "frame", "value", "place"), "value")
+
+
+_KINDS = "s AS (SELECT CAST(s_suppkey AS BIGINT) AS track_id, 50 + (s_suppkey % 4) * 50 AS n FROM supplier), f AS (SELECT track_id, n, unnest(range(0, n)) AS frame FROM s)"
+
+
+@query("s8_synth_ramp_impulse", value_sql(_KINDS, "SELECT track_id * 2 AS track_id, CAST(0 AS INTEGER) AS channel, frame, 3.0 * frame / (n - 1) AS v FROM f UNION ALL SELECT track_id * 2 + 1, 0, frame, CASE WHEN frame = 0 THEN 1.0 ELSE 0.0 END FROM f"))
+def s8_synth_ramp_impulse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("track_id"), F.lit(1000.0).alias("sample_rate"), ((50 + (F.col("s_suppkey") % 4) * 50) / 1000.0 + 1e-9).alias("seconds"), F.lit(1.0).alias("fundamental_hz"))
+    each = lambda kind, k: tables.synth(spark, specs, kind).withColumn("track_id", F.col("track_id") * 2 + k)
+    return frames_out(each("ramp", 0).unionByName(each("impulse", 1)))

@@ -38,6 +38,10 @@ class Effect:
         """May change state in place."""
         raise NotImplementedError
 
+    def memory(self, rate: float) -> int | None:
+        """How many frames before its own an output depends on; None if on all of them. With a number, a track can be cut."""
+        return 0 if self.key == "none" else None
+
     @property
     def params(self) -> dict[str, Any]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
@@ -154,6 +158,9 @@ class Delay(Effect):
         between("feedback", self.feedback, 0, 1)
         between("mix", self.mix, 0, 1)
 
+    def memory(self, rate):
+        return int(self.delay_seconds * rate) if self.feedback == 0 else None
+
     def init_state(self, rate, channels):
         return [np.zeros((channels, int(self.delay_seconds * rate)))]
 
@@ -264,9 +271,14 @@ class Chorus(Effect):
         between("depth", self.depth, 0, 1)
         between("feedback", self.feedback, -1, 1)
 
+    def _most(self, rate: float) -> int:
+        return int(math.ceil(2 * self.centre_delay_ms * rate / 1000)) + 2
+
+    def memory(self, rate):
+        return self._most(rate) if self.feedback == 0 else None
+
     def init_state(self, rate, channels):
-        most = int(math.ceil(2 * self.centre_delay_ms * rate / 1000)) + 2
-        return [rate, np.zeros((channels, most))]
+        return [rate, np.zeros((channels, self._most(rate)))]
 
     def process(self, block, state, start):
         rate, past = state
@@ -388,46 +400,40 @@ class Reverb(Effect):
             between(name, value, 0, 1)
 
     def init_state(self, rate, channels):
+        """All combs of both sides are rows of one array of what went into their lines lately, as are each all-pass's two sides."""
         length = lambda n, side: max(1, int((n + side * self.SPREAD) * rate / 44100))
         sides = range(min(2, channels))
-        return [[([np.zeros(length(n, s)) for n in self.COMBS], [0.0] * 8, [np.zeros(length(n, s)) for n in self.ALLPASSES]) for s in sides]]
+        combs = np.array([length(n, s) for s in sides for n in self.COMBS])
+        passes = [np.array([length(n, s) for s in sides]) for n in self.ALLPASSES]
+        return [combs, np.zeros((len(combs), combs.max())), np.zeros((len(combs), 1)), passes, [np.zeros((len(sides), p.max())) for p in passes]]
 
     def process(self, block, state, start):
         frozen = self.freeze_mode >= 0.5
         gain = 0.0 if frozen else 0.015
         damp, feedback = (0.0, 1.0) if frozen else (self.damping * 0.4, self.room_size * 0.28 + 0.7)
+        combs, line, low, passes, lines = state
         x = block[:2].sum(0) * gain
-        n = block.shape[1]
-        wets = []
-        for combs, lows, passes in state[0]:
-            total = np.zeros(n)
-            for j, line in enumerate(combs):
-                low, size = lows[j], len(line)
-                for i in range(0, n, size):
-                    part = x[i : i + size]
-                    k = len(part)
-                    late = line[:k].copy()
-                    total[i : i + k] += late
-                    if damp:
-                        smooth, low = _one_pole(late, damp, low)
-                    else:
-                        smooth, low = late, (float(late[-1]) if k else low)
-                    line = np.concatenate((line[k:], part + feedback * smooth))
-                combs[j], lows[j] = line, low
-            for j, line in enumerate(passes):
-                size = len(line)
-                for i in range(0, n, size):
-                    part = total[i : i + size].copy()
-                    k = len(part)
-                    late = line[:k]
-                    total[i : i + k] = late - part
-                    line = np.concatenate((line[k:], part + 0.5 * late))
-                passes[j] = line
-            wets.append(total)
+        n, sides = block.shape[1], len(combs) // len(self.COMBS)
+        wets = np.empty((sides, n))
+        for i in range(0, n, combs.min()):  # no comb's output of a part depends on that part
+            part = x[i : i + combs.min()]
+            late = _late(line, combs, len(part))
+            smooth, low = _smoother(damp).run(late, low) if damp else (late, low)
+            line = np.concatenate((line[:, len(part) :], part + feedback * smooth), axis=1)
+            wets[:, i : i + len(part)] = late.reshape(sides, -1, len(part)).sum(1)
+        for j, length in enumerate(passes):
+            held = lines[j]
+            for i in range(0, n, length.min()):
+                part = wets[:, i : i + length.min()].copy()
+                late = _late(held, length, part.shape[1])
+                wets[:, i : i + part.shape[1]] = late - part
+                held = np.concatenate((held[:, part.shape[1] :], part + 0.5 * late), axis=1)
+            lines[j] = held
+        state[1], state[2] = line, low
         wet = 3.0 * self.wet_level
         dry = 0.0 if frozen else 2.0 * self.dry_level
         out = block * dry
-        if len(wets) == 1:
+        if sides == 1:
             out[0] += wet * wets[0]
         else:
             same, other = 0.5 * wet * (1 + self.width), 0.5 * wet * (1 - self.width)
@@ -436,17 +442,17 @@ class Reverb(Effect):
         return out
 
 
+def _late(line: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+    """The next n outputs of delay lines of these lengths; line has what went in last, in its last columns."""
+    return np.stack([row[len(row) - k : len(row) - k + n] for row, k in zip(line, length.tolist(), strict=True)])
+
+
 @lru_cache(maxsize=16)
 def _smoother(damp: float) -> linear.Filter:
+    """low = x (1 - damp) + low damp."""
     return linear.Filter((1 - damp, 0.0), (-damp,))
 
 
-def _one_pole(x: np.ndarray, damp: float, low: float) -> tuple[np.ndarray, float]:
-    """low = x (1 - damp) + low damp, by the block filter."""
-    y, _ = _smoother(damp).run(x, np.array([damp * low]))
-    return y, float(y[-1]) if len(y) else low
-
-
 @dataclass(eq=False)
 class Convolution(Effect):
     """Overlap-save with FFTs; ir (channels, taps) is at the track's rate and already normalised. Channels past the IR's get its last one's, past two the wet signal of channel 0."""
@@ -458,6 +464,9 @@ class Convolution(Effect):
         between("mix", self.mix, 0, 1)
         self.ir = np.atleast_2d(np.asarray(self.ir, float))[:2]
 
+    def memory(self, rate):
+        return self.ir.shape[1] - 1
+
     def init_state(self, rate, channels):
         return [np.zeros((channels, self.ir.shape[1] - 1))]
 
@@ -488,6 +497,10 @@ class Mix(Effect):
     def params(self):
         return {"branches": self.branches}
 
+    def memory(self, rate):
+        own = [memory(b, rate) for b in self.branches]
+        return None if None in own else max(own, default=0) + self.latency
+
     def init_state(self, rate, channels):
         return [([(e, e.init_state(rate, channels)) for e in b], np.zeros((channels, self.latency - sum(e.latency for e in b)))) for b in self.branches]
 
@@ -514,6 +527,9 @@ class AddLatency(Effect):
     def params(self):
         return {"samples": self.latency}
 
+    def memory(self, rate):
+        return self.latency
+
     def init_state(self, rate, channels):
         return [np.zeros((channels, self.latency))]
 
@@ -536,3 +552,9 @@ def _chain(x) -> list[Effect]:
 def worst(effects: list[Effect]) -> str:
     """The widest key of a list of effects."""
     return max((e.key for e in effects), key=["none", "channel", "track"].index, default="none")
+
+
+def memory(effects: list[Effect], rate: float) -> int | None:
+    """Of a chain: the sum of its parts'."""
+    own = [e.memory(rate) for e in effects]
+    return None if None in own else sum(own)

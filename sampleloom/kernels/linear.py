@@ -40,8 +40,8 @@ class Filter:
         return a_, b_, c_, self.b[0]
 
     @cached_property
-    def block(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(T, O, G, P) with y = T x + O s and s' = P s + G x over BLOCK samples."""
+    def block(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(T, O, G, P) with y = T x + O s and s' = P[BLOCK] s + G x over BLOCK samples; over fewer, their first rows and last columns."""
         a, b, c, d = self.system
         powers = [np.eye(self.order)]
         for _ in range(BLOCK):
@@ -50,7 +50,7 @@ class Filter:
         impulse = np.array([d, *[c @ powers[i] @ b for i in range(BLOCK - 1)]])
         t = np.array([[impulse[i - j] if i >= j else 0.0 for j in range(BLOCK)] for i in range(BLOCK)])
         g = np.stack([powers[BLOCK - 1 - i] @ b for i in range(BLOCK)], axis=1)
-        return t, o, g, powers[BLOCK]
+        return t, o, g, powers
 
     def run(self, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """x (..., n) from state (..., order) -> y, the state after it."""
@@ -58,15 +58,11 @@ class Filter:
         s = np.zeros((*lead, self.order)) if state is None else np.array(state, float)
         y = np.empty(x.shape)
         t, o, g, p = self.block
-        whole = n - n % BLOCK
-        for i in range(0, whole, BLOCK):
+        for i in range(0, n, BLOCK):
             part = x[..., i : i + BLOCK]
-            y[..., i : i + BLOCK] = part @ t.T + s @ o.T
-            s = s @ p.T + part @ g.T
-        a, b, c, d = self.system
-        for i in range(whole, n):
-            y[..., i] = s @ c + d * x[..., i]
-            s = s @ a.T + x[..., i, None] * b
+            m = part.shape[-1]
+            y[..., i : i + m] = part @ t[:m, :m].T + s @ o[:m].T
+            s = s @ p[m].T + part @ g[:, BLOCK - m :].T
         return y, s
 
     def power(self, n: int) -> np.ndarray:

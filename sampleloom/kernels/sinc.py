@@ -122,6 +122,7 @@ class Resampler:
         inside = (index >= 0) & (index < pad.shape[1])
         return np.einsum("cjt,jt->cj", pad[:, np.where(inside, index, 0)], w * inside)
 
+
 class StreamResampler:
     """Constant memory: keeps only the input that later outputs need. Chunking changes no output value."""
 

@@ -1,9 +1,11 @@
 """Chains of effects over the packed form.
 
 A board of any length costs one shuffle at most. Leading and trailing sample-wise effects stay in
-the JVM, as one projection each. All others run in one pass: blocks are dealt by the widest key
-of these effects (channel, or track where channels meet) and sorted by chunk, and one Python
-stream per partition carries the state from block to block, so memory does not grow with a track.
+the JVM, as one projection each. All others run in one pass, by the widest key of these effects
+(channel, or track where channels meet). If the outputs of all of them depend on a bounded stretch of frames, as those of
+convolution, chorus, delay without feedback and resampling do, a track is cut into ranges of RANGE_FRAMES frames that also get the blocks they
+reach into, and each range is a task's work of its own. Else blocks are dealt by key and sorted by chunk, and one Python
+stream per partition carries the state from block to block. Memory does not grow with a track either way.
 """
 
 from __future__ import annotations
@@ -17,10 +19,15 @@ from pyspark.sql import functions as F
 
 from sampleloom.functions import values
 from sampleloom.kernels import effects as fx
-from sampleloom.kernels.sinc import StreamResampler
+from sampleloom.kernels.sinc import Resampler
 from sampleloom.kernels.vocoder import time_stretch as stretch_kernel
 from sampleloom.operators.tables import CHUNKS, KEY
 
+#: Frames of a track that one range holds, but for its halo.
+RANGE_FRAMES = 1 << 18
+#: Frames that are gathered from short blocks before effects run over them at once.
+GATHER = 4096
+
 _COLUMNS: dict[type, Callable[[fx.Effect, Column], Column]] = {
     fx.Gain: lambda e, c: values.gain(c, e.gain_db),
     fx.Invert: lambda e, c: values.invert(c),
@@ -96,8 +103,9 @@ def plan(effects: list[fx.Effect]) -> tuple[list, list, list]:
     return effects[:head], effects[head:tail], effects[tail:]
 
 
-def _rows(batches, by: list[str]) -> Iterator[tuple[tuple, int, int, list[int], np.ndarray]]:
-    """(key, chunk, start_frame, channels, block) of sorted rows; the channels of one chunk come together if the key is the track."""
+def _rows(batches, by: list[str], ranged: bool = False) -> Iterator[tuple[tuple, int, int, list[int], np.ndarray]]:
+    """(key, chunk, start_frame, channels, block) of sorted rows; the channels of one chunk come together if the key is the track. With
+    `ranged` a sixth column is part of the key."""
     held: list[tuple] = []
 
     def block():
@@ -110,9 +118,10 @@ def _rows(batches, by: list[str]) -> Iterator[tuple[tuple, int, int, list[int],
     for batch in batches:
         t, c, k, s = (batch.column(i).to_pylist() for i in range(4))
         lists = batch.column(4)
+        r = batch.column(5).to_pylist() if ranged else None
         flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
         for i in range(batch.num_rows):
-            key = (t[i],) if by == ["track_id"] else (t[i], c[i])
+            key = ((t[i],) if by == ["track_id"] else (t[i], c[i])) + ((r[i],) if ranged else ())
             if held and (key, k[i]) != (held[0][0], held[0][1]):
                 yield block()
                 held.clear()
@@ -168,27 +177,86 @@ def in_order(chunks: DataFrame, by: list[str], make: Callable[[], Callable]) ->
     return dealt.mapInArrow(run, CHUNKS)
 
 
+def in_ranges(chunks: DataFrame, by: list[str], before: int, after: int, work: Callable) -> DataFrame:
+    """Tracks cut into ranges of RANGE_FRAMES frames. work(x, first, blocks, low, high, ended) gets the samples (channels, frames) from frame
+    `first` on, which hold frames low - before .. high + after - 1 of the track as far as it has them; the blocks (chunk, start_frame, frames) in
+    them; and whether the track ends with them. It gives (chunk, start_frame, block) of what belongs to frames low .. high - 1.
+    """
+    most, after = RANGE_FRAMES, max(1, after)
+    typed = chunks.select("track_id", "channel", "chunk", "start_frame", F.col("samples").cast("array<double>").alias("samples"))
+    first = F.greatest(F.floor((F.col("start_frame") - after) / most), F.lit(0)).cast("long")
+    last = F.greatest(first, F.floor((F.col("start_frame") + F.size("samples") - 1 + before) / most).cast("long"))
+    dealt = typed.withColumn("range", F.explode(F.sequence(first, last))).repartition(*by, "range").sortWithinPartitions(*by, "range", "chunk", "channel")
+
+    def run(batches):
+        held: list[tuple] = []
+        key, channels = None, []
+
+        def done():
+            low = key[-1] * most
+            high = low + most
+            x, blocks = np.concatenate([h[2] for h in held], axis=1), [(h[0], h[1], h[2].shape[1]) for h in held]
+            end = held[-1][1] + held[-1][2].shape[1]
+            if end <= low and (low or not any(low <= s < high for _, s, _ in blocks)):
+                return None  # what is before the range reaches into it, but the track doesn't
+            return _batch([(key[0], c, k, s, block[i]) for k, s, block in work(x, held[0][1], blocks, low, high, end < high + after) for i, c in enumerate(channels)])
+
+        for own, chunk, start, chans, block in _rows(batches, by, ranged=True):
+            if held and own != key:
+                if (out := done()) is not None:
+                    yield out
+                held.clear()
+            key, channels = own, chans
+            held.append((chunk, start, block))
+        if held and (out := done()) is not None:
+            yield out
+
+    return dealt.mapInArrow(run, CHUNKS)
+
+
 def apply_effects(chunks: DataFrame, effects: list[fx.Effect], rate: float) -> DataFrame:
     head, middle, tail = plan(effects)
     df = chunks if not head else values.on_chunks(chunks, lambda c: sample_wise(head, c))
     if middle:
         by = ["track_id"] if fx.worst(middle) == "track" else KEY
+        memory = fx.memory(middle, rate)
+
+        def through(block, states, start):
+            if not states:
+                states.extend(e.init_state(rate, block.shape[0]) for e in middle)
+            for e, s in zip(middle, states, strict=True):
+                block = e.process(block, s, start)
+            return block
+
+        def cut(whole, blocks):
+            ends = np.cumsum([n for _, _, n in blocks]).tolist()
+            return [(k, s, whole[:, e - n : e]) for (k, s, n), e in zip(blocks, ends, strict=True)]
 
         def make():
             states: list = []
+            waiting: list[tuple] = []
 
             def f(block, at, channels):
-                if block is None:
+                if block is not None:
+                    waiting.append((*at, block))
+                if not waiting or block is not None and sum(w[2].shape[1] for w in waiting) < GATHER:
                     return []
-                if not states:
-                    states.extend(e.init_state(rate, block.shape[0]) for e in middle)
-                for e, s in zip(middle, states, strict=True):
-                    block = e.process(block, s, at[1])
-                return [(block, at)]
+                whole = through(np.concatenate([w[2] for w in waiting], axis=1), states, waiting[0][1])
+                out = [(b, (k, s)) for k, s, b in cut(whole, [(k, s, b.shape[1]) for k, s, b in waiting])]
+                waiting.clear()
+                return out
 
             return f
 
-        df = in_order(df, by, make)
+        def work(x, first, blocks, low, high, ended):
+            own = [b for b in blocks if low <= b[1] < high]
+            if not own:
+                return []
+            stop = own[-1][1] + own[-1][2] - first
+            whole = through(x[:, :stop], [], first)
+            return cut(whole[:, own[0][1] - first :], own)
+
+        df = in_order(df, by, make) if memory is None else in_ranges(df, by, memory, 0, work)
     return df if not tail else values.on_chunks(df, lambda c: sample_wise(tail, c))
 
 
@@ -198,67 +266,76 @@ def apply_board(chunks: DataFrame, board: Board | list, rate: float) -> DataFram
 
 
 def resample_chunks(chunks: DataFrame, src: float, dst: float, quality: str = "sinc32", chunk_frames: int = 8192) -> DataFrame:
-    """Any quality; outputs do not depend on how the input is cut, as positions come from their numbers."""
+    """Any quality; outputs do not depend on how the input is cut, as positions come from their numbers. A block of outputs
+    belongs to the range of frames in which its first one lies."""
     if src == dst:
         return chunks
-
-    def make():
-        held: list[StreamResampler] = []
-        waiting: list[np.ndarray] = []
-
-        def f(block, at, channels):
-            if not held:
-                if block is None:
-                    return []
-                held.append(StreamResampler(src, dst, quality, block.shape[0]))
-            waiting.append(held[0].process(block))
-            have = sum(w.shape[1] for w in waiting)
-            if have < chunk_frames and block is not None:
-                return []
-            whole = np.concatenate(waiting, axis=1)
-            waiting.clear()
-            cut = whole.shape[1] if block is None else have - have % chunk_frames
-            if cut < whole.shape[1]:
-                waiting.append(whole[:, cut:])
-            return [(whole[:, i : min(i + chunk_frames, cut)], None) for i in range(0, cut, chunk_frames)]
-
-        return f
-
-    return in_order(chunks, KEY, make)
+    kernel = Resampler(src, dst, quality)
+    reach = int(np.ceil(chunk_frames * kernel.ratio)) + kernel.after + 2
+
+    def place(block: int) -> int:
+        return max(0, int(np.floor(kernel.position(np.array([float(block * chunk_frames)]))[0])))
+
+    def first_from(frame: int) -> int:
+        """The first block of outputs that begins at this frame or later."""
+        block = max(0, int(frame / kernel.ratio / chunk_frames) - 2)
+        while block and place(block - 1) >= frame:
+            block -= 1
+        while place(block) < frame:
+            block += 1
+        return block
+
+    def work(x, first, blocks, low, high, ended):
+        length = kernel.length(first + x.shape[1]) if ended else None
+        block = 0 if low == 0 else first_from(low)
+        out = []
+        while (place(block) < high) and (length is None or block * chunk_frames < length):
+            begin, stop = block * chunk_frames, (block + 1) * chunk_frames
+            made = [kernel.outputs(x, first, i, min(i + 4096, stop if length is None else min(stop, length))) for i in range(begin, stop if length is None else min(stop, length), 4096)]
+            out.append((block, begin, np.concatenate(made, axis=1)))
+            block += 1
+        # the end of a track may put out more than its frames' places say
+        while ended and high >= first + x.shape[1] > low and block * chunk_frames < length:
+            begin, stop = block * chunk_frames, min((block + 1) * chunk_frames, length)
+            out.append((block, begin, np.concatenate([kernel.outputs(x, first, i, min(i + 4096, stop)) for i in range(begin, stop, 4096)], axis=1)))
+            block += 1
+        return out
+
+    return in_ranges(chunks, KEY, kernel.before + 2, reach, work)
 
 
 def resample_effect_chunks(chunks: DataFrame, rate: float, target_rate: float = 8000.0, quality: str = "sinc32") -> DataFrame:
     """Down and back, cut or padded to the input's blocks."""
     if target_rate <= 0:
         raise ValueError("target_rate has to be greater than 0")
-
-    def make():
-        stages: list[StreamResampler] = []
-        shapes: list[tuple] = []
-        waiting: list[np.ndarray] = []
-
-        def f(block, at, channels):
-            if block is not None:
-                if not stages:
-                    stages.extend([StreamResampler(rate, target_rate, quality, block.shape[0]), StreamResampler(target_rate, rate, quality, block.shape[0])])
-                shapes.append((at, block.shape[1]))
-                waiting.append(stages[1].process(stages[0].process(block)))
-            elif stages:
-                waiting.append(stages[1].process(stages[0].process(None)))
-                waiting.append(stages[1].process(None))
-            if not waiting:
-                return []
-            whole, out = np.concatenate(waiting, axis=1), []
-            while shapes and (whole.shape[1] >= shapes[0][1] or block is None):
-                at_, n = shapes.pop(0)
-                part, whole = whole[:, :n], whole[:, n:]
-                out.append((np.pad(part, ((0, 0), (0, n - part.shape[1]))), at_))
-            waiting[:] = [whole]
-            return out
-
-        return f
-
-    return in_order(chunks, KEY, make)
+    down, up = Resampler(rate, target_rate, quality), Resampler(target_rate, rate, quality)
+    # frames on each side that outputs reach: those of the way back, at the lower rate, and those of the way down
+    reach = lambda side: int(np.ceil((getattr(up, side) + 3) * max(1.0, down.ratio) + getattr(down, side) + abs(down.latency) + abs(up.latency) * down.ratio)) + 4
+
+    def work(x, first, blocks, low, high, ended):
+        own = [b for b in blocks if low <= b[1] < high]
+        if not own:
+            return []
+        begin, stop = own[0][1], own[-1][1] + own[-1][2]
+        if not ended and stop + reach("after") > first + x.shape[1]:
+            raise ValueError("blocks are too long to be resampled in ranges; rechunk() them first")
+        between_ = down.length(first + x.shape[1]) if ended else None
+        at = up.position(np.array([float(begin), float(stop - 1)]))
+        j, k = max(0, int(np.floor(at[0])) - up.before - 1), int(np.floor(at[1])) + up.after + 2
+        if between_ is not None:
+            k = min(k, between_)
+        middle = down.outputs(x, first, j, max(j, k))
+        made = stop if between_ is None else min(stop, up.length(between_))
+        whole = up.outputs(middle, j, begin, max(begin, made))
+        whole = np.pad(whole, ((0, 0), (0, stop - begin - whole.shape[1])))
+        out, ends = [], 0
+        for chunk, start, n in own:
+            out.append((chunk, start, whole[:, ends : ends + n]))
+            ends += n
+        return out
+
+    # blocks that begin in a range end after it, so the reach counts from their ends
+    return in_ranges(chunks, KEY, reach("before"), reach("after") + RANGE_FRAMES // 4, work)
 
 
 def time_stretch(chunks: DataFrame, stretch_factor: float = 1.0, semitones: float = 0.0, chunk_frames: int = 8192, curves: DataFrame | None = None) -> DataFrame:
@@ -290,9 +367,11 @@ def time_stretch(chunks: DataFrame, stretch_factor: float = 1.0, semitones: floa
         import pandas as pd
 
         rows = []
+        # a track without a curve has the constants
+        how = (np.asarray(right.stretch.iloc[0], float), np.asarray(right.semitones.iloc[0], float)) if len(right) else (stretch_factor, semitones)
         for c, part in left.sort_values("chunk").groupby("channel"):
             x = np.concatenate([np.asarray(s, float) for s in part.samples])[None, :]
-            out = stretch_kernel(x, np.asarray(right.stretch.iloc[0], float), np.asarray(right.semitones.iloc[0], float))[0]
+            out = stretch_kernel(x, *how)[0]
             rows += [(int(key[0]), int(c), i // chunk_frames, i, out[i : i + chunk_frames]) for i in range(0, len(out), chunk_frames)]
         return pd.DataFrame(rows, columns=["track_id", "channel", "chunk", "start_frame", "samples"])
 

@@ -145,10 +145,16 @@ def _encoded(batches, bit_depth: int, floating: bool):
                 meta[row[0]] = row[1:]
             yield batch
 
-    current, channels, written = None, 0, 0
+    current, channels, frames, written = None, 0, 0, 0
+
+    def whole() -> None:
+        if written != frames:
+            raise ValueError(f"track {current} has {written} frames and {frames} in its description")
+
     for (own,), _, _, chans, block in _rows(seen(), ["track_id"]):
         if own != current:
             if current is not None:
+                whole()
                 yield current, None, None
                 meta.pop(current, None)
             rate, channels, frames = meta[own]
@@ -159,6 +165,7 @@ def _encoded(batches, bit_depth: int, floating: bool):
         written += block.shape[1]
         yield own, None, wav.encode(block, bit_depth, floating)
     if current is not None:
+        whole()
         yield current, None, None
 
 
