@@ -138,9 +138,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=["track_id", "channel", "chunk", "start_frame", "samples"])
 
 
+def _tasks(df: DataFrame) -> int:
+    """Named, so that Spark doesn't merge what are few bytes but much work."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def in_order(chunks: DataFrame, by: list[str], make: Callable[[], Callable]) -> DataFrame:
     """One ordered pass: make() gives, once for each key, f(block or None at the key's end, start_frame, channels) -> blocks of output."""
-    dealt = chunks.select("track_id", "channel", "chunk", "start_frame", F.col("samples").cast("array<double>").alias("samples")).repartition(*by).sortWithinPartitions(*by, "chunk", "channel")
+    dealt = chunks.select("track_id", "channel", "chunk", "start_frame", F.col("samples").cast("array<double>").alias("samples")).repartition(_tasks(chunks), *by).sortWithinPartitions(*by, "chunk", "channel")
 
     def run(batches):
         out: list[tuple] = []
@@ -186,7 +191,7 @@ def in_ranges(chunks: DataFrame, by: list[str], before: int, after: int, work: C
     typed = chunks.select("track_id", "channel", "chunk", "start_frame", F.col("samples").cast("array<double>").alias("samples"))
     first = F.greatest(F.floor((F.col("start_frame") - after) / most), F.lit(0)).cast("long")
     last = F.greatest(first, F.floor((F.col("start_frame") + F.size("samples") - 1 + before) / most).cast("long"))
-    dealt = typed.withColumn("range", F.explode(F.sequence(first, last))).repartition(*by, "range").sortWithinPartitions(*by, "range", "chunk", "channel")
+    dealt = typed.withColumn("range", F.explode(F.sequence(first, last))).repartition(_tasks(chunks), *by, "range").sortWithinPartitions(*by, "range", "chunk", "channel")
 
     def run(batches):
         held: list[tuple] = []

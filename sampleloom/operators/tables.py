@@ -68,8 +68,11 @@ def interleave(frames: DataFrame) -> DataFrame:
     return rows.select("track_id", F.col("x.value").alias("samples"))
 
 
-def read_window(df: DataFrame, start: int, n: int) -> DataFrame:
-    """n frames from `start` of every track; shorter at a track's end. Works on both forms: on chunks whole blocks are skipped first."""
+def read_window(df: DataFrame, start: int, n: int, longest: int | None = None) -> DataFrame:
+    """n frames from `start` of every track; shorter at a track's end. Works on both forms: on chunks whole blocks are skipped first.
+
+    If no block has more than `longest` frames, the bound below on start_frame is a plain one, which sources can use to read no block before.
+    """
     for name, x in (("start", start), ("n", n)):
         if not isinstance(x, int) or isinstance(x, bool):
             raise TypeError(f"{name} has to be a whole number of frames")
@@ -78,6 +81,8 @@ def read_window(df: DataFrame, start: int, n: int) -> DataFrame:
     if "frame" in df.columns:
         return df.filter((F.col("frame") >= start) & (F.col("frame") < start + n))
     near = df.filter((F.col("start_frame") < start + n) & (F.col("start_frame") + F.size("samples") > start))
+    if longest is not None:
+        near = near.filter(F.col("start_frame") > start - longest)
     skip = F.greatest(F.lit(0), F.lit(start) - F.col("start_frame"))
     stop = F.least(F.size("samples"), F.lit(start + n) - F.col("start_frame"))
     cut = F.slice(F.col("samples"), (skip + 1).cast("int"), (stop - skip).cast("int"))

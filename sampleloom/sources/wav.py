@@ -1,7 +1,8 @@
 """WAV files as tables, and tables as WAV files.
 
-Files are opened through Arrow's file systems, so a path may name any store that they reach. Reads
-are cut into ranges of frames: a long recording is read by many tasks, each from its own offset.
+Files are opened through Arrow's file systems, so a path may name any store that they reach. A read is planned from the
+listing alone: long recordings are cut into pieces for many tasks, short ones share a task, and headers are read by the tasks. Filters
+on track_id and start_frame reach the source: other files are not opened, other blocks not read.
 """
 
 from __future__ import annotations
@@ -18,15 +19,18 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from sampleloom.kernels import wav
 from sampleloom.operators.board import _rows
 from sampleloom.operators.tables import CHUNK
 
 TRACKS = "track_id long, path string, sample_rate double, num_channels int, num_frames long, duration_s double, file_dtype string"
-#: Frames that one task reads at most.
-TASK_FRAMES = 1 << 22
+#: Bytes of files, and files, that one task reads, about.
+TASK_BYTES = 64 << 20
+TASK_FILES = 4096
+#: Frames that a batch of rows holds, about.
+BATCH_FRAMES = 1 << 16
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -64,44 +68,92 @@ def read_wav_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 @dataclass
-class Range(InputPartition):
-    path: str
-    start: int
-    n: int
+class Pieces(InputPartition):
+    """(path, number of the piece, pieces of that file)."""
+
+    files: list[tuple[str, int, int]]
 
 
 class WavReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.chunk = options["path"], int(options.get("chunk_frames", CHUNK))
         self.raw = options.get("raw", "false") == "true"
-        self.per_task = max(self.chunk, int(options.get("task_frames", TASK_FRAMES)) // self.chunk * self.chunk)
+        self.task_bytes = int(options.get("task_bytes", TASK_BYTES))
+        self.tracks: set[int] | None = None
+        self.low, self.high = 0, None  # start_frame of the blocks that are read: low <= start_frame < high
+
+    def pushFilters(self, filters):
+        """What files and blocks can be left out; Spark applies the filters once more."""
+        for f in filters:
+            name = getattr(f, "attribute", ("",))[0]
+            if name == "track_id" and isinstance(f, (EqualTo, In)):
+                found = {int(v) for v in (f.value if isinstance(f, In) else [f.value]) if v is not None}
+                self.tracks = found if self.tracks is None else self.tracks & found
+            elif name == "start_frame" and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.value is not None:
+                v = int(f.value)
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, v + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    stop = v + (not isinstance(f, LessThan))
+                    self.high = stop if self.high is None else min(self.high, stop)
+            yield f
 
     def partitions(self):
-        """Ranges by file and frame. The files' heads are read here, a few bytes each."""
+        """From the listing's names and sizes alone."""
         store, root = located(self.path)
         info = store.get_file_info(root)
-        found = [root] if info.type == fs.FileType.File else sorted(x.path for x in store.get_file_info(fs.FileSelector(root, recursive=True)) if x.type == fs.FileType.File and posixpath.splitext(x.path)[1].lower() == ".wav")
+        found = [info] if info.type == fs.FileType.File else sorted((x for x in store.get_file_info(fs.FileSelector(root, recursive=True)) if x.type == fs.FileType.File and posixpath.splitext(x.path)[1].lower() == ".wav"), key=lambda x: x.path)
         scheme = self.path[: self.path.index("://") + 3] if "://" in self.path and not self.path.startswith("file:") else ""
-        out = []
-        for p in found:
-            frames = _header(scheme + p).frames
-            out += [Range(scheme + p, s, min(self.per_task, frames - s)) for s in range(0, frames, self.per_task)]
-        return out or [Range("", 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        store, name = located(partition.path)
-        own = track_id(partition.path)
+        out, held, size = [], [], 0
+        for x in found:
+            path = scheme + x.path
+            if self.tracks is not None and track_id(path) not in self.tracks:
+                continue
+            pieces = max(1, -(-x.size // self.task_bytes))
+            if pieces > 1:
+                out += [Pieces([(path, i, pieces)]) for i in range(pieces)]
+                continue
+            if held and (size + x.size > self.task_bytes or len(held) == TASK_FILES):
+                out.append(Pieces(held))
+                held, size = [], 0
+            held.append((path, 0, 1))
+            size += x.size
+        return [*out, *([Pieces(held)] if held else [])] or [Pieces([])]
+
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0  # track, channel, chunk, start, samples
+        for path, piece, pieces in partition.files:
+            for row in self._blocks(path, piece, pieces):
+                rows.append(row)
+                held += len(row[4])
+                if held >= BATCH_FRAMES:
+                    yield self._batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    def _blocks(self, path: str, piece: int, pieces: int) -> Iterator[tuple]:
+        store, name = located(path)
+        own = track_id(path)
         with store.open_input_file(name) as f:
             h = wav.read_header(f, f.size())
-            for s in range(partition.start, partition.start + partition.n, self.chunk):
+            blocks = -(-h.frames // self.chunk)
+            first, stop = blocks * piece // pieces, blocks * (piece + 1) // pieces
+            first = max(first, -(-self.low // self.chunk))
+            if self.high is not None:
+                stop = min(stop, -(-self.high // self.chunk))
+            for k in range(first, stop):
+                s = k * self.chunk
                 f.seek(h.offset + s * h.frame_bytes)
-                raw = f.read(min(self.chunk, partition.start + partition.n - s) * h.frame_bytes)
-                block = (wav.decode_raw if self.raw else wav.decode)(raw, h)
-                c, n = block.shape
-                samples = pa.ListArray.from_arrays(pa.array(np.arange(c + 1, dtype=np.int32) * n), pa.array(np.ascontiguousarray(block).ravel(), pa.int32() if self.raw else pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array([own] * c), pa.array(range(c), pa.int32()), pa.array([s // self.chunk] * c), pa.array([s] * c), samples], names=["track_id", "channel", "chunk", "start_frame", "samples"])
+                raw = f.read(min(self.chunk, h.frames - s) * h.frame_bytes)
+                for c, samples in enumerate((wav.decode_raw if self.raw else wav.decode)(raw, h)):
+                    yield own, c, k, s, samples
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        t, c, k, s, x = zip(*rows, strict=True)
+        ends = np.concatenate(([0], np.cumsum([len(v) for v in x]))).astype(np.int32)
+        samples = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x), pa.int32() if self.raw else pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(c, pa.int32()), pa.array(k, pa.int64()), pa.array(s, pa.int64()), samples], names=["track_id", "channel", "chunk", "start_frame", "samples"])
 
 
 class WavSource(DataSource):
@@ -116,10 +168,11 @@ class WavSource(DataSource):
         return WavReader(dict(self.options))
 
 
-def read_wav(spark: SparkSession, path: str, chunk_frames: int = CHUNK, raw: bool = False, task_frames: int = TASK_FRAMES) -> DataFrame:
+def read_wav(spark: SparkSession, path: str, chunk_frames: int = CHUNK, raw: bool = False, task_bytes: int = TASK_BYTES) -> DataFrame:
     """chunks of all WAV files under a path (or of one file)."""
     spark.dataSource.register(WavSource)
-    return spark.read.format("wav").option("chunk_frames", chunk_frames).option("task_frames", task_frames).option("raw", str(raw).lower()).load(path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("wav").option("chunk_frames", chunk_frames).option("task_bytes", task_bytes).option("raw", str(raw).lower()).load(path)
 
 
 def read_wav_raw(spark: SparkSession, path: str, chunk_frames: int = CHUNK) -> DataFrame:

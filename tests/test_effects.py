@@ -243,3 +243,60 @@ def test_feedback_delay_has_no_end(spark, feedback):
             line[i] = x[i] + (feedback * line[i - d] if i >= d else 0.0)
         want = 0.75 * x + 0.25 * np.concatenate((np.zeros(d), line[:-d]))
         assert np.allclose([got[t, c, i].value for i in range(len(x))], want, atol=1e-9)
+
+
+@pytest.mark.parametrize("most", [64, 250, 1 << 18])
+def test_ranges_equal_one_pass(spark, monkeypatch, most):
+    """Tracks cut into ranges give what one pass over the whole track gives."""
+    monkeypatch.setattr(board, "RANGE_FRAMES", most)
+    x = noise(930, 2)
+    ir = np.random.default_rng(4).uniform(-1, 1, (1, 37))
+    chains = [
+        lambda: [fx.Convolution(ir, 0.7)],
+        lambda: [fx.Delay(0.02), fx.Chorus(3.0, 0.4, 7.0, 0.0, 0.4)],
+        lambda: [fx.Mix([[fx.Delay(0.011), fx.Convolution(ir)], fx.AddLatency(13), None]), fx.Gain(2.0), fx.AddLatency(5)],
+    ]
+    for make in chains:
+        assert fx.memory(make(), RATE) is not None
+        want = x
+        for e in make():
+            want = e.process(want, e.init_state(RATE, 2), 0)
+        got = board.apply_effects(chunks_of(spark, x, 33), make(), RATE)
+        assert np.allclose(values_of(got), want.ravel(), atol=1e-10)
+        assert {(r.chunk, r.start_frame, r.n) for r in got.selectExpr("chunk", "start_frame", "size(samples) n").collect()} == {(k, 33 * k, min(33, 930 - 33 * k)) for k in range(29)}
+    assert fx.memory([fx.Delay(0.02, 0.5)], RATE) is None and fx.memory([fx.Delay(0.02), fx.Reverb()], RATE) is None
+
+
+@pytest.mark.parametrize("quality", ["zoh", "lagrange", "sinc16", "windowed_sinc"])
+def test_resampling_in_ranges(spark, monkeypatch, quality):
+    x = noise(930, 2)
+    for most, src, dst, n, block in ((64, 1000.0, 1600.0, 33, 50), (256, 1000.0, 437.5, 930, 40), (100, 1000.0, 3000.0, 7, 1000), (930, 1000.0, 1600.0, 31, 64), (1 << 18, 1000.0, 600.0, 100, 64)):
+        monkeypatch.setattr(board, "RANGE_FRAMES", most)
+        k = sinc.Resampler(src, dst, quality)
+        want = np.concatenate([k.outputs(x[c : c + 1], 0, 0, k.length(930)) for c in (0, 1)])
+        got = board.resample_chunks(chunks_of(spark, x, n), src, dst, quality, block)
+        assert np.array_equal(values_of(got), want.ravel()), (most, src, dst)
+        there, back = sinc.Resampler(1000.0, 400.0, quality), sinc.Resampler(400.0, 1000.0, quality)
+        low = there.outputs(x, 0, 0, there.length(930))
+        high = back.outputs(low, 0, 0, min(930, back.length(low.shape[1])))
+        if n <= most // 4:
+            got = board.resample_effect_chunks(chunks_of(spark, x, n), 1000.0, 400.0, quality)
+            assert np.allclose(values_of(got), np.pad(high, ((0, 0), (0, 930 - high.shape[1]))).ravel(), atol=1e-12)
+    monkeypatch.setattr(board, "RANGE_FRAMES", 64)
+    if quality == "sinc16":
+        with pytest.raises(Exception, match="rechunk"):
+            board.resample_effect_chunks(chunks_of(spark, x, 500), 1000.0, 400.0, quality).collect()
+
+
+def test_a_long_track_has_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(board, "RANGE_FRAMES", 4096)
+    frames = spark.range(200).selectExpr("1L as track_id", "0 as channel", "id as chunk", "id * 1000 as start_frame", "transform(sequence(0, 999), i -> sin((id * 1000 + i) / 9.0D)) as samples")
+    done = board.resample_chunks(frames, 1000.0, 1600.0, "sinc16").selectExpr("spark_partition_id() as task")
+    assert done.distinct().count() == 4
+
+
+def test_tracks_without_a_curve_have_the_constants(spark):
+    x = noise(3000, 1)
+    curves = spark.createDataFrame([(9, [1.0] * 10, [0.0] * 10)], "track_id long, stretch array<double>, semitones array<double>")
+    got = values_of(board.time_stretch(chunks_of(spark, x, 500), 1.5, curves=curves))
+    assert len(got) == 2000

@@ -25,7 +25,7 @@ def test_round_trip(spark, tmp_path, bits, floating):
     assert len(done) == 1
     catalog = source.read_wav_catalog(spark, str(tmp_path)).collect()[0]
     assert (catalog.sample_rate, catalog.num_channels, catalog.num_frames) == (8000.0, 2, 1050)
-    back = source.read_wav(spark, str(tmp_path), 128, task_frames=256)
+    back = source.read_wav(spark, str(tmp_path), 128, task_bytes=2048)
     assert {r.track_id for r in back.select("track_id").collect()} == {catalog.track_id}
     rows = tables.unpack(back).orderBy("channel", "frame").collect()
     got = np.array([r.value for r in rows]).reshape(2, -1)
@@ -63,3 +63,71 @@ def test_refusals():
     h = wav.Header(wav.PCM, 1, 8000.0, 24, 44, 1)
     with pytest.raises(wav.UnsupportedWav):
         wav.decode_raw(b"\0\0\0", h)
+
+
+def test_reads_are_planned_from_the_listing(spark, tmp_path):
+    """Short files share a task, long ones are cut, and nothing is opened to plan that."""
+    rows = [(t, 0, 0, 0, [0.1] * 20) for t in range(300)] + [(1000, 0, k, 500 * k, [0.2] * 500) for k in range(40)]
+    chunks = spark.createDataFrame(rows, tables.CHUNKS)
+    source.write_wav(chunks, channels.track_info(tables.unpack(chunks), 1000.0), str(tmp_path), 16)
+    reader = source.WavReader({"path": str(tmp_path), "chunk_frames": "500", "task_bytes": "8192"})
+    parts = reader.partitions()
+    assert len(parts) <= 300 * 84 // 8192 + 1 + 40_044 // 8192 + 2 and sum(len(p.files) for p in parts) == 300 + 5
+    back = source.read_wav(spark, str(tmp_path), 500, task_bytes=8192)
+    assert back.count() == 340 and back.selectExpr("sum(size(samples))").head()[0] == 300 * 20 + 20_000
+
+
+def test_filters_reach_the_source(spark, tmp_path, monkeypatch):
+    rows = [(t, c, k, 100 * k, [0.01 * k] * 100) for t in (1, 2, 3) for c in (0, 1) for k in range(50)]
+    chunks = spark.createDataFrame(rows, tables.CHUNKS)
+    source.write_wav(chunks, channels.track_info(tables.unpack(chunks), 1000.0), str(tmp_path), 16)
+    wanted = source.track_id(f"{tmp_path}/2.wav")
+    reader = source.WavReader({"path": str(tmp_path), "chunk_frames": "100"})
+    pushed = [source.EqualTo(("track_id",), wanted), source.LessThan(("start_frame",), 1250), source.GreaterThan(("start_frame",), 950)]
+    assert list(reader.pushFilters(pushed)) == pushed
+    opened, read = [], []
+    own = source.located
+
+    class Counted:
+        def __init__(self, store):
+            self.store = store
+
+        def __getattr__(self, name):
+            return getattr(self.store, name)
+
+        def open_input_file(self, name):
+            opened.append(name)
+            f = self.store.open_input_file(name)
+
+            class File:
+                def __enter__(self):
+                    return self
+
+                def __exit__(self, *_):
+                    f.close()
+
+                def read(self, n):
+                    read.append(n)
+                    return f.read(n)
+
+                seek, size = staticmethod(f.seek), staticmethod(f.size)
+
+            return File()
+
+    monkeypatch.setattr(source, "located", lambda path: (Counted(own(path)[0]), own(path)[1]))
+    got = [(r["chunk"], r["channel"]) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert got == [(k, c) for k in (10, 11, 12) for c in (0, 1)]
+    assert opened == [f"{tmp_path}/2.wav"] and sum(read) < 3 * 400 + 100  # three blocks of two 16-bit channels, and the header
+    monkeypatch.undo()
+    window = tables.read_window(source.read_wav(spark, str(tmp_path), 100).filter(f"track_id = {wanted}"), 1010, 40, longest=100)
+    assert {(r.channel, r.start_frame, len(r.samples)) for r in window.collect()} == {(0, 1010, 40), (1, 1010, 40)}
+
+
+def test_descriptions_have_to_fit(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, 0, 0, 0, [0.5] * 1400)], tables.CHUNKS)
+    tracks = spark.createDataFrame([(1, 1000.0, 1, 999_999)], "track_id long, sample_rate double, num_channels int, num_frames long")
+    with pytest.raises(Exception, match="1400 frames and 999999"):
+        source.write_wav(chunks, tracks, str(tmp_path))
+    with pytest.raises(Exception, match="1400 frames and 999999"):
+        source.encode_wav(chunks, tracks).collect()
+    assert not list(tmp_path.glob("*.wav"))
