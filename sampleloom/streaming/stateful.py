@@ -1,7 +1,9 @@
 """Effects, resampling and loss counts over streams of blocks, with state per key.
 
-Blocks may come late or out of order: a block waits in the state until all before it are there. The
-kernels are those of the batch operators, so a stream's output equals the batch's.
+Blocks may come late or out of order: a block waits in the state until all before it are there, or, with `patience`, until nothing
+has come for its key for so long: then the missing blocks are given up, what waits is released, and the frames that were lost are
+reported in the column `dropped` of the next block. Blocks that come after that are dropped too. The kernels are those of the batch
+operators, so a stream's output equals the batch's. `forget` is a time after which the state of a key that gets no more blocks goes.
 The session needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
 """
 
@@ -23,82 +25,148 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class _Ordered(StatefulProcessor):
-    """Calls step(state, block) for the blocks of a key in the order of their numbers; a block of no samples ends the key.
+    """Calls step(state, block, chunk, start) for the blocks of a key in the order of their numbers; a block of no samples ends the key.
 
-    The value state holds (next block, kernel state), the map state the blocks that came early.
+    A block is (channels, samples): one channel, or all `channels` of a track once each has come. The value state holds (next block, next frame,
+    kernel state), the map state what came early.
     """
 
-    def __init__(self, fresh: Callable, step: Callable):
-        self.fresh, self.step = fresh, step
+    def __init__(self, fresh: Callable, step: Callable, channels: int | None, patience: float | None, forget: float | None):
+        self.fresh, self.step, self.channels, self.patience, self.forget = fresh, step, channels, patience, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "state binary")
-        self.early = handle.getMapState("early", "chunk long", "start_frame long, samples array<double>")
+        ttl = None if self.forget is None else int(self.forget * 1000)
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "state binary", ttl)
+        self.early = handle.getMapState("early", "chunk long, channel int", "start_frame long, samples array<double>", ttl)
 
-    def handleInputRows(self, key, rows, timerValues):
+    def _held(self) -> tuple:
+        held = self.kept.get() if self.kept.exists() else None
+        return pickle.loads(held[0]) if held else (0, 0, self.fresh())
+
+    def _block(self, chunk: int) -> tuple[int, np.ndarray | None, list[int]] | None:
+        """(start_frame, block or None at the end, channels) if all of it is there; it leaves the state."""
+        if self.channels is None:
+            names = [self.channel]
+        else:
+            names = list(range(self.channels))
+        if not all(self.early.containsKey((chunk, c)) for c in names):
+            return None
+        got = [self.early.getValue((chunk, c)) for c in names]
+        for c in names:
+            self.early.removeKey((chunk, c))
+        n = max(len(x) for _, x in got)
+        block = np.zeros((len(names), n))
+        for i, (_, x) in enumerate(got):
+            block[i, : len(x)] = x
+        return int(got[0][0]), block if n else None, names
+
+    def _through(self, track: int, held: tuple, dropped: int = 0) -> tuple[list[tuple], tuple]:
+        """What the blocks from the next one on give, as far as they are there."""
+        expected, frame, state = held
+        out: list[tuple] = []
+        while (found := self._block(expected)) is not None:
+            start, block, names = found
+            for chunk, at, made in self.step(state, block, expected, start):
+                out += [(track, c, chunk, at, made[i].tolist(), dropped if i == 0 else 0) for i, c in enumerate(names)]
+                dropped = 0
+            expected, frame = expected + 1, start + (0 if block is None else block.shape[1])
+            if block is None:  # the end of the signal: the next block is a new one's first
+                expected, frame, state = 0, 0, self.fresh()
+        return out, (expected, frame, state)
+
+    def _done(self, out: list[tuple], held: tuple):
         import pandas as pd
 
-        held = self.kept.get() if self.kept.exists() else None
-        expected, state = pickle.loads(held[0]) if held else (0, self.fresh())
+        self.kept.update((pickle.dumps(held),))
+        made = pd.DataFrame(out, columns=["track_id", "channel", "chunk", "start_frame", "samples", "dropped"])
+        return made if self.patience is not None else made.drop(columns="dropped")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self._held()
+        self.channel = int(key[1]) if self.channels is None else None
         for pdf in rows:
-            for r in pdf.sort_values("chunk").itertuples(index=False):
-                if r.chunk >= expected:
-                    self.early.updateValue((int(r.chunk),), (int(r.start_frame), [float(x) for x in r.samples]))
-        out = []
-        while self.early.containsKey((expected,)):
-            start, samples = self.early.getValue((expected,))
-            self.early.removeKey((expected,))
-            made = self.step(state, np.array(samples, float)[None, :] if len(samples) else None, expected, start)
-            out += [(int(key[0]), int(key[1]), *m) for m in made]
-            expected += 1
-            if not len(samples):  # the end of the signal: the next block is a new one's first
-                expected, state = 0, self.fresh()
-        self.kept.update((pickle.dumps((expected, state)),))
-        yield pd.DataFrame(out, columns=["track_id", "channel", "chunk", "start_frame", "samples"])
+            for r in pdf.itertuples(index=False):
+                if r.chunk >= held[0]:
+                    self.early.updateValue((int(r.chunk), int(r.channel)), (int(r.start_frame), [float(x) for x in r.samples]))
+        out, held = self._through(int(key[0]), held)
+        if self.patience is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+            if any(True for _ in self.early.keys()):
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.patience * 1000))
+        yield self._done(out, held)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """Nothing came for so long: what is incomplete before the first whole block is given up."""
+        held = self._held()
+        self.channel = int(key[1]) if self.channels is None else None
+        out: list[tuple] = []
+        while waiting := sorted(tuple(k) for k in self.early.keys()):
+            need = 1 if self.channels is None else self.channels
+            chunks = [k for k, _ in waiting]
+            whole = next((k for k in chunks if chunks.count(k) == need), None)
+            for k, c in waiting:
+                if whole is None or k < whole:
+                    self.early.removeKey((k, c))
+            if whole is None:
+                break
+            start = int(self.early.getValue((whole, waiting[chunks.index(whole)][1]))[0])
+            more, held = self._through(int(key[0]), (whole, start, held[2]), max(0, start - held[1]))
+            out += more
+        yield self._done(out, held)
 
     def close(self) -> None:
         pass
 
 
-def _stateful(chunks_stream: DataFrame, fresh: Callable, step: Callable) -> DataFrame:
+def _stateful(chunks_stream: DataFrame, fresh: Callable, step: Callable, channels: int | None = None, patience: float | None = None, forget: float | None = None) -> DataFrame:
     rows = chunks_stream.select("track_id", "channel", "chunk", "start_frame", F.col("samples").cast("array<double>").alias("samples"))
-    return rows.groupBy(*KEY).transformWithStateInPandas(_Ordered(fresh, step), outputStructType=CHUNKS, outputMode="Append", timeMode="None")
+    by = KEY if channels is None else ["track_id"]
+    timed = "None" if patience is None and forget is None else "ProcessingTime"
+    schema = CHUNKS if patience is None else f"{CHUNKS}, dropped long"
+    return rows.groupBy(*by).transformWithStateInPandas(_Ordered(fresh, step, channels, patience, forget), outputStructType=schema, outputMode="Append", timeMode=timed)
+
 
+def stream_effects(chunks_stream: DataFrame, effects: list[fx.Effect], rate: float, channels: int | None = None, patience: float | None = None, forget: float | None = None) -> DataFrame:
+    """A chain of effects, block by block. A block without samples resets the state and keeps the parameters.
 
-def stream_effects(chunks_stream: DataFrame, effects: list[fx.Effect], rate: float) -> DataFrame:
-    """A chain of per-channel effects, block by block. A block without samples resets the state and keeps the parameters."""
-    if fx.worst(effects) == "track":
-        raise ValueError("effects that join channels need all channels of a track under one key")
+    Effects that join channels, as Reverb does, need `channels`, how many a track has; a block then waits for all of its channels. `patience` and
+    `forget` are in seconds. After a loss the kernels go on with the state that they had before it.
+    """
+    joined = fx.worst(effects) == "track"
+    if joined and channels is None:
+        raise ValueError("effects that join channels need the number of a track's channels")
 
     def fresh():
-        return [e.init_state(rate, 1) for e in effects]
+        return [e.init_state(rate, channels if joined else 1) for e in effects]
 
     def step(state, block, chunk, start):
         if block is None:
             return []
         for e, s in zip(effects, state, strict=True):
             block = e.process(block, s, start)
-        return [(chunk, start, block[0].tolist())]
+        return [(chunk, start, block)]
 
-    return _stateful(chunks_stream, fresh, step)
+    return _stateful(chunks_stream, fresh, step, channels if joined else None, patience, forget)
 
 
-def stream_resample(chunks_stream: DataFrame, src: float, dst: float, quality: str = "sinc32") -> DataFrame:
+def stream_resample(chunks_stream: DataFrame, src: float, dst: float, quality: str = "sinc32", patience: float | None = None, forget: float | None = None) -> DataFrame:
     """Resampling in constant memory: unused input and totals are kept; a block without samples flushes and resets."""
 
     def fresh():
         return {"resampler": StreamResampler(src, dst, quality), "chunk": 0, "frame": 0}
 
     def step(state, block, chunk, start):
-        made = state["resampler"].process(block)[0]
-        if not len(made):
+        made = state["resampler"].process(block)
+        if not made.shape[1]:
             return []
-        row = (state["chunk"], state["frame"], made.tolist())
+        row = (state["chunk"], state["frame"], made)
         state["chunk"] += 1
-        state["frame"] += len(made)
+        state["frame"] += made.shape[1]
         return [row]
 
-    return _stateful(chunks_stream, fresh, step)
+    return _stateful(chunks_stream, fresh, step, None, patience, forget)
 
 
 class _Gaps(StatefulProcessor):

@@ -56,6 +56,31 @@ def test_resample_stream_equals_batch(spark, tmp_path):
     assert np.array_equal(have, k.outputs(x[None, :], 0, 0, k.length(700))[0])
 
 
+def test_a_lost_block_is_given_up(spark, tmp_path):
+    """Block 3 never comes: what waits behind it is released after `patience`, with the frames that were lost; the stream goes on."""
+    x = np.sin(np.arange(500) / 9.0)
+    rows = rows_of(x, 50)
+    got = streamed(spark, tmp_path, [rows[:3], rows[4:6], rows_of(x, 50, track=2)[:2], rows[6:]], lambda s: stateful.stream_effects(s, [fx.Gain(6.0)], 1000.0, patience=0.0), "lost")
+    out = {(r.track_id, r.chunk): (r.start_frame, r.dropped, r.samples) for r in got.collect()}
+    assert set(out) == {(1, k) for k in range(10) if k != 3} | {(2, 0), (2, 1)}
+    assert {k: d for (_, k), (_, d, _) in out.items() if d} == {4: 50}
+    for (_, k), (start, _, samples) in out.items():
+        assert start == 50 * k and np.allclose(samples, x[start : start + 50] * 10 ** (6 / 20))
+
+
+def test_reverb_streams_like_the_batch(spark, tmp_path):
+    """Channels of a block may come apart, and the blocks in another order."""
+    x = np.random.default_rng(5).uniform(-1, 1, (2, 400))
+    rows = [rows_of(x[c], 50)[k][:1] + (c,) + rows_of(x[c], 50)[k][2:] for k in range(8) for c in (0, 1)]
+    effects = lambda: [fx.Delay(0.01, 0.3), fx.Reverb(0.6, 0.4)]
+    got = streamed(spark, tmp_path, [rows[:3], rows[7:], rows[3:7]], lambda s: stateful.stream_effects(s, effects(), 1000.0, channels=2), "reverb")
+    want = board.apply_effects(spark.createDataFrame([r[:5] for r in rows], tables.CHUNKS), effects(), 1000.0)
+    values = lambda df: [r.value for r in tables.unpack(df).orderBy("channel", "frame").collect()]
+    assert np.allclose(values(got), values(want), atol=1e-12)
+    with pytest.raises(ValueError, match="number of a track's channels"):
+        stateful.stream_effects(got, [fx.Reverb()], 1000.0)
+
+
 def test_dropped_frames(spark, tmp_path):
     rows = rows_of(np.zeros(500), 50)
     got = streamed(spark, tmp_path, [rows[:2] + rows[:1], rows[4:5], rows[6:]], lambda s: stateful.dropped_frames(s), "gaps")
