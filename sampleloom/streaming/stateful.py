@@ -4,6 +4,8 @@ Blocks may come late or out of order: a block waits in the state until all befor
 has come for its key for so long: then the missing blocks are given up, what waits is released, and the frames that were lost are
 reported in the column `dropped` of the next block. Blocks that come after that are dropped too. The kernels are those of the batch
 operators, so a stream's output equals the batch's. `forget` is a time after which the state of a key that gets no more blocks goes.
+Streams with `patience` or `forget` run batches without rows for their timers; for a trigger that should end (availableNow), set
+spark.sql.streaming.noDataMicroBatches.enabled to false.
 The session needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
 """
 

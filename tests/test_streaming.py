@@ -60,7 +60,12 @@ def test_a_lost_block_is_given_up(spark, tmp_path):
     """Block 3 never comes: what waits behind it is released after `patience`, with the frames that were lost; the stream goes on."""
     x = np.sin(np.arange(500) / 9.0)
     rows = rows_of(x, 50)
-    got = streamed(spark, tmp_path, [rows[:3], rows[4:6], rows_of(x, 50, track=2)[:2], rows[6:]], lambda s: stateful.stream_effects(s, [fx.Gain(6.0)], 1000.0, patience=0.0), "lost")
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(idle, "false")  # else a stream with timers waits for them and doesn't end
+    try:
+        got = streamed(spark, tmp_path, [rows[:3], rows[4:6], rows_of(x, 50, track=2)[:2], rows[6:]], lambda s: stateful.stream_effects(s, [fx.Gain(6.0)], 1000.0, patience=0.0), "lost")
+    finally:
+        spark.conf.set(idle, "true")
     out = {(r.track_id, r.chunk): (r.start_frame, r.dropped, r.samples) for r in got.collect()}
     assert set(out) == {(1, k) for k in range(10) if k != 3} | {(2, 0), (2, 1)}
     assert {k: d for (_, k), (_, d, _) in out.items() if d} == {4: 50}
