@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sampleloom.functions import values
 from sampleloom.jobs.signals import CURVE, EMB, EV, LI, MIDI, RATE, curve, emb, ev, frames_out, li, midi, read, rounded, value_sql
-from sampleloom.operators import channels, joins, params, shift
+from sampleloom.operators import channels, joins, params, shift, tables
 from sampleloom.operators import midi as midi_ops
 
 ALL: dict[str, tuple] = {}
@@ -27,6 +27,26 @@ def j1_automate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames_out(held.withColumn("value", values.gain("value", F.col("param"))))
 
 
+@query("j1_automate_chunks", ALL["j1_automate"][1])
+def j1_automate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = joins.automate_chunks(tables.pack(ev(spark, sf_dir), 16), curve(spark, sf_dir), 0.0, 16, name="gain_db")
+    return frames_out(tables.unpack(held.withColumn("samples", F.zip_with("samples", "param", values.gain)).drop("param")))
+
+
+@query(
+    "j1_automate_effects",
+    value_sql(
+        f"{EV}, {CURVE}, a AS (SELECT ev.*, coalesce(curve.value, 0) AS p FROM ev ASOF LEFT JOIN curve ON ev.track_id = curve.track_id AND ev.frame >= curve.frame)",
+        "SELECT track_id, channel, frame, (1 + p / 4) * greatest(-pow(10, (p - 6) / 20), least(pow(10, (p - 6) / 20), value)) - p / 4 * round_even(tanh(value * pow(10, (10 + p) / 20)) * pow(2, 8 + p), 0) / pow(2, 8 + p) AS v FROM a",
+    ),
+)
+def j1_automate_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clipping threshold, drive, bit depth and mix from one curve."""
+    held, p = joins.automate(ev(spark, sf_dir), curve(spark, sf_dir), 0.0, name="gain_db"), F.col("param")
+    wet = values.bitcrush(values.distortion("value", p + 10.0), p + 8.0)
+    return frames_out(held.withColumn("value", values.blend(values.clipping("value", p - 6.0), wet, -p / 4)))
+
+
 def _presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = read(spark, sf_dir, "region")
     return region.select(F.col("r_regionkey").cast("int").alias("preset_id"), F.lit(0).alias("step"), F.lit("gain").alias("effect"), F.create_map(F.lit("gain_db"), (F.col("r_regionkey") * -3.0).cast("double")).alias("args"))
@@ -124,6 +144,12 @@ def w2_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames_out(joins.blend_tables(dry, values.on_frames(dry, lambda c: values.distortion(c, 15.0)), 0.35))
 
 
+@query("w2_blend_chunks", ALL["w2_blend"][1])
+def w2_blend_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dry = tables.pack(ev(spark, sf_dir), 16)
+    return frames_out(tables.unpack(joins.blend_chunks(dry, values.on_chunks(dry, lambda c: values.distortion(c, 15.0)), 0.35)))
+
+
 @query(
     "u1_concat_tracks",
     value_sql(

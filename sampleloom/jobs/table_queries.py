@@ -224,6 +224,24 @@ def a2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames_out(channels.mix([None, quiet, short], dry))
 
 
+@query("a1_mono_chunks", ALL["a1_to_mono"][1])
+def a1_mono_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames_out(tables.unpack(channels.to_mono_chunks(tables.pack(emb2(spark, sf_dir), 16))))
+
+
+@query("a1_mono_kept_chunks", ALL["a1_mono_kept"][1])
+def a1_mono_kept_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames_out(tables.unpack(channels.to_mono_chunks(tables.pack(emb2(spark, sf_dir), 16), keep_channels=True)))
+
+
+@query("a2_mix_chunks", ALL["a2_mix"][1])
+def a2_mix_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dry = tables.pack(ev(spark, sf_dir), 8)
+    quiet = values.on_chunks(dry, lambda c: values.gain(c, -6.0))
+    short = values.on_chunks(dry.filter("start_frame < 40"), lambda c: values.distortion(c, 10.0))
+    return frames_out(tables.unpack(channels.mix_chunks([None, quiet, short], dry)))
+
+
 @query("a3_levels", f"WITH {LI} SELECT track_id, channel, round(max(abs(value)), 6) AS peak, round(sqrt(avg(value * value)), 6) AS rms, round(20 * log10(max(abs(value))), 6) + 0.0 AS peak_db, round(20 * log10(sqrt(avg(value * value))), 6) + 0.0 AS rms_db FROM li GROUP BY track_id, channel")
 def a3_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(channels.levels(li(spark, sf_dir)), "peak", "rms", "peak_db", "rms_db")

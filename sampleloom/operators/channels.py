@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sampleloom.functions.values import gain_to_db
@@ -28,6 +28,29 @@ def mix(branches: list[DataFrame | None], dry: DataFrame) -> DataFrame:
     return summed.filter(F.col("n") == len(branches)).drop("n")
 
 
+def _summed(blocks: Column) -> Column:
+    """The sum of arrays, place by place; a missing place adds nothing."""
+    none = F.lit(0.0)
+    return F.aggregate(blocks, F.array().cast("array<double>"), lambda acc, x: F.zip_with(acc, x, lambda a, b: F.coalesce(a, none) + F.coalesce(b, none)))
+
+
+def to_mono_chunks(chunks: DataFrame, keep_channels: bool = False) -> DataFrame:
+    """to_mono() on blocks: a row a block is shuffled, not one a sample. Channels of a track have to be cut alike."""
+    held = chunks.groupBy("track_id", "chunk", "start_frame").agg(F.array_sort(F.collect_list(F.struct("channel", F.col("samples").cast("array<double>").alias("samples")))).alias("x"))
+    mean = F.transform(_summed(F.col("x.samples")), lambda v: v / F.size("x"))
+    channel = F.explode("x.channel") if keep_channels else F.lit(0)
+    return held.select("track_id", channel.alias("channel"), "chunk", "start_frame", mean.alias("samples")).select(*KEY, "chunk", "start_frame", "samples")
+
+
+def mix_chunks(branches: list[DataFrame | None], dry: DataFrame) -> DataFrame:
+    """mix() on blocks that are cut alike in all branches."""
+    if not branches:
+        return dry.withColumn("samples", F.transform(F.col("samples").cast("array<double>"), lambda v: v * 0.0))
+    all_ = reduce(DataFrame.unionByName, [(dry if b is None else b).select(*KEY, "chunk", "start_frame", F.col("samples").cast("array<double>").alias("samples")) for b in branches])
+    held = all_.groupBy(*KEY, "chunk", "start_frame").agg(F.collect_list("samples").alias("x"))
+    return held.filter(F.size("x") == len(branches)).select(*KEY, "chunk", "start_frame", _summed(F.col("x")).alias("samples"))
+
+
 def levels(frames: DataFrame, by: list[str] | tuple = tuple(KEY)) -> DataFrame:
     """Peak and RMS, also in dB (null for silence)."""
     peak, rms = F.max(F.abs("value")).alias("peak"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sampleloom.operators.tables import KEY
+from sampleloom.operators.tables import CHUNK, KEY
 
 #: Preset rows that may be broadcast; more are joined by a shuffle of the tracks' ids.
 BROADCAST_PRESETS = 100_000
@@ -27,12 +27,35 @@ def automate(frames: DataFrame, params: DataFrame, default: float, name: str | N
     return held.filter("__kind = 1").select(*KEY, "frame", "value", out)
 
 
+def automate_chunks(chunks: DataFrame, params: DataFrame, default: float, n: int = CHUNK, name: str | None = None, out: str = "param") -> DataFrame:
+    """automate() on blocks of n frames: each gets an array of the parameter's values, one a frame. Only points and block numbers are ordered, not samples."""
+    curve = params if name is None else params.filter(F.col("name") == name)
+    points = curve.groupBy("track_id", F.floor(F.col("frame") / n).cast("long").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct(F.col("frame").cast("long").alias("frame"), F.col("value").cast("double").alias("value")))).alias("__points"))
+    blocks = chunks.select("track_id", "chunk").distinct().join(points, ["track_id", "chunk"], "full")
+    earlier = Window.partitionBy("track_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    held = blocks.select("track_id", "chunk", "__points", F.coalesce(F.last(F.element_at("__points", -1)["value"], ignorenulls=True).over(earlier), F.lit(float(default))).alias("__held"))
+    joined = chunks.join(held, ["track_id", "chunk"])
+    start, end = F.col("start_frame"), F.col("start_frame") + F.size("samples")
+    marks = F.concat(F.array(F.struct(start.cast("long").alias("frame"), F.col("__held").alias("value"))), F.coalesce(F.filter("__points", lambda p: p["frame"] < end), F.array().cast("array<struct<frame:bigint,value:double>>")))
+    runs = joined.withColumn("__marks", marks)
+    until = lambda i: F.coalesce(F.get("__marks", i + 1)["frame"], end)
+    values = F.flatten(F.transform("__marks", lambda p, i: F.array_repeat(p["value"], (until(i) - p["frame"]).cast("int"))))
+    return runs.select(*KEY, "chunk", "start_frame", "samples", values.alias(out))
+
+
+def blend_chunks(dry: DataFrame, wet: DataFrame, mix: float) -> DataFrame:
+    """blend_tables() on blocks that are cut alike."""
+    both = dry.withColumnRenamed("samples", "__dry").join(wet.select(*KEY, "chunk", F.col("samples").alias("__wet")), [*KEY, "chunk"])
+    return both.select(*KEY, "chunk", "start_frame", F.zip_with("__dry", "__wet", lambda d, w: (1.0 - mix) * d + mix * w).alias("samples"))
+
+
 def apply_presets(tracks: DataFrame, presets: DataFrame) -> DataFrame:
-    """One row for each track and preset step. The presets are a stated set; only a counted small one is broadcast."""
+    """One row for each track and preset step. The presets are a stated set; only a counted small one is broadcast; beyond that the tracks' ids
+    meet the presets' ids, and the rows of both are joined to that by their keys."""
     if presets.limit(BROADCAST_PRESETS + 1).count() <= BROADCAST_PRESETS:
         return tracks.join(F.broadcast(presets), how="cross")
-    ids = presets.select("preset_id").distinct()
-    return tracks.join(ids, how="cross").join(presets, "preset_id")
+    pairs = tracks.select("track_id").distinct().join(presets.select("preset_id").distinct(), how="cross")
+    return tracks.join(pairs, "track_id").join(presets, "preset_id")
 
 
 def augment_gain(frames: DataFrame, presets: DataFrame) -> DataFrame:
@@ -64,11 +87,16 @@ def concat_tracks(frames: DataFrame, order: DataFrame, info: DataFrame) -> DataF
 
 def supported(tracks: DataFrame, formats: DataFrame) -> DataFrame:
     """Tracks whose extension (and rate, where a format is bound to one) can be read."""
-    return tracks.join(F.broadcast(formats), _readable(tracks, formats), "left_semi")
+    return tracks.join(_few(formats), _readable(tracks, formats), "left_semi")
 
 
 def unsupported(tracks: DataFrame, formats: DataFrame) -> DataFrame:
-    return tracks.join(F.broadcast(formats), _readable(tracks, formats), "left_anti")
+    return tracks.join(_few(formats), _readable(tracks, formats), "left_anti")
+
+
+def _few(formats: DataFrame) -> DataFrame:
+    """To be broadcast, if counted few."""
+    return F.broadcast(formats) if formats.limit(BROADCAST_PRESETS + 1).count() <= BROADCAST_PRESETS else formats
 
 
 def _readable(tracks: DataFrame, formats: DataFrame) -> Column:
