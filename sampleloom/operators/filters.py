@@ -1,8 +1,8 @@
 """Linear filters of the packed form by an exact block scan, and convolution.
 
 1. every block alone from zero state: output and end state (no shuffle);
-2. a small table of one row a block: the states are handed on along each track;
-3. what the start state puts out is added to each block.
+2. a small table of one row a block: the states are handed on along each track; it is stored in the shared folder;
+3. each block is filtered from its start state. The states are broadcast if there are few, so that no samples are shuffled.
 
 So one long track is filtered by many tasks. Results equal the serial filter up to rounding, whatever
 the block size.
@@ -20,6 +20,10 @@ from sampleloom.kernels.effects import Convolution
 from sampleloom.kernels.sinc import Resampler
 from sampleloom.operators.board import _batch, apply_effects
 from sampleloom.operators.tables import CHUNKS, KEY
+from sampleloom.sources.store import scratch
+
+#: Blocks whose start states, some 50 bytes each, may be broadcast.
+BROADCAST_BLOCKS = 200_000
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[list[list], list[np.ndarray]]:
@@ -69,7 +73,12 @@ def _typed(chunks: DataFrame) -> DataFrame:
 
 
 def filter_chunks(chunks: DataFrame, own: linear.Filter) -> DataFrame:
+    spark, path = chunks.sparkSession, scratch(chunks.sparkSession, "states")
     starts = start_states(end_states(chunks, own), own)
+    starts.write.parquet(path)
+    starts = spark.read.schema(starts.schema).parquet(path)
+    if starts.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
     joined = _typed(chunks).join(starts, [*KEY, "chunk"]).select("track_id", "channel", "chunk", "start_frame", "samples", "state")
 
     def run(batches):

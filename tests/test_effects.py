@@ -157,7 +157,9 @@ def test_board_lists():
         b.append("gain")
 
 
-def test_scan_equals_serial(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_scan_equals_serial(spark, monkeypatch, few):
+    monkeypatch.setattr(filters, "BROADCAST_BLOCKS", few)
     x = noise(1000, 1)
     own = linear.peak(RATE, 900.0, 6.0)
     want = own.run(x[0])[0]
