@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sampleloom.llm import bpe, decontaminate, language_id, quality_rules, simhash_dedup
-from sampleloom.llm.common import saved, table
+from sampleloom.llm.common import drop_folder, saved_in, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = saved(docs, name)
-    return docs
+    """The last stage's rows. A stage's table goes once the next one's is written, so two of them are held at most."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs, folder = saved_in(stage(spark, docs, sf_dir), name)
+        if before:
+            drop_folder(spark, before)
+        before = folder
+    return STAGES[-1][1](spark, docs, sf_dir)
