@@ -334,6 +334,14 @@ def p1_stretch_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stretched.groupBy("track_id").agg(F.sum(F.size("samples")).cast("long").alias("frames"))
 
 
+@query("p1_stretch_curves", f"WITH {LI} SELECT track_id, CAST(floor(sum(CASE frame // 64 % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 2.0 END)) AS BIGINT) AS frames FROM li GROUP BY track_id")
+def p1_stretch_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each track at speeds 1, 2 and 0.5 in turn, a semitone up every 64 frames; its length."""
+    last = li(spark, sf_dir).groupBy("track_id").agg((F.max("frame") + 1).cast("int").alias("n")).withColumn("at", F.sequence(F.lit(0), F.col("n") - 1))
+    curves = last.select("track_id", F.expr("transform(at, i -> CASE floor(i / 64) % 3 WHEN 0 THEN 1.0D WHEN 1 THEN 2.0D ELSE 0.5D END)").alias("stretch"), F.expr("transform(at, i -> CAST(floor(i / 64) % 12 AS DOUBLE))").alias("semitones"))
+    return board.time_stretch(li_chunks(spark, sf_dir), curves=curves).groupBy("track_id").agg(F.sum(F.size("samples")).cast("long").alias("frames"))
+
+
 @query("p2_pitch_shift", None)
 def p2_pitch_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.pitch_shift(li_chunks(spark, sf_dir), 5.0))

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from sampleloom.functions import values
 from sampleloom.kernels import effects as fx
 from sampleloom.kernels.sinc import Resampler
-from sampleloom.kernels.vocoder import time_stretch as stretch_kernel
+from sampleloom.kernels.vocoder import Stretcher
+from sampleloom.kernels.vocoder import check as check_stretch
 from sampleloom.operators.tables import CHUNKS, KEY
 
 #: Frames of a track that one range holds, but for its halo.
@@ -167,7 +168,7 @@ def in_order(chunks: DataFrame, by: list[str], make: Callable[[], Callable]) ->
                     for b, at in f(None, 0, channels):
                         emit(b, at)
                 key, f, chunk_no, frame = own, make(), 0, 0
-            channels = chans
+            channels = [c for c in chans if c >= 0]
             for b, at in f(block, (chunk, start), chans):
                 emit(b, at)
             if sum(len(r[4]) for r in out) > 1 << 18:
@@ -344,43 +345,55 @@ def resample_effect_chunks(chunks: DataFrame, rate: float, target_rate: float =
 
 
 def time_stretch(chunks: DataFrame, stretch_factor: float = 1.0, semitones: float = 0.0, chunk_frames: int = 8192, curves: DataFrame | None = None) -> DataFrame:
-    """int(n / stretch_factor) frames. The phases of a track depend on all before, so a track is one task and is held there.
+    """int(n / stretch_factor) frames. The phases of a track depend on all before, so a track is one stream; a few windows of it are held.
 
-    curves(track_id, stretch array<double>, semitones array<double>), one value a frame, replaces the constants.
+    curves(track_id, stretch array<double>, semitones array<double>), one value a frame, replaces the constants; they act in steps of
+    at least 1024 frames, and a null array or a track without a row has the constants. A wrong length or a bad element is an error.
     """
-    if curves is None:
+    check_stretch(np.array([float(stretch_factor)]), np.array([float(semitones)]))  # on the driver
+
+    def make():
+        own: list[Stretcher] = []
+        made: list[np.ndarray] = []
+
+        def f(block, at, channels):
+            if block is not None:
+                lead = sum(c < 0 for c in channels)  # the curves' rows
+                if not own:
+                    own.append(Stretcher(len(channels) - lead, stretch_factor, semitones, curves=lead > 0))
+                made.append(own[0].process(block[lead:], *block[:lead]))
+            else:
+                made.append(own[0].finish())
+            have = sum(m.shape[1] for m in made)
+            if have < chunk_frames and block is not None:
+                return []
+            whole = np.concatenate(made, axis=1)
+            stop = have if block is None else have - have % chunk_frames
+            made[:] = [whole[:, stop:]]
+            return [(whole[:, i : min(i + chunk_frames, stop)], None) for i in range(0, stop, chunk_frames)]
 
-        def whole(block: np.ndarray) -> np.ndarray:
-            return stretch_kernel(block, stretch_factor, semitones)
+        return f
 
-        def make():
-            held: list[np.ndarray] = []
+    if curves is not None:
+        # curves travel beside a track's blocks, as channels -2 and -1
+        blocks = chunks.select("track_id", F.col("channel").cast("int").alias("channel"), F.col("chunk").cast("long").alias("chunk"), "start_frame", F.col("samples").cast("array<double>").alias("samples"))
+        chunks = blocks.unionByName(_curve_rows(chunks, curves, stretch_factor, semitones))
+    return in_order(chunks, ["track_id"], make)
 
-            def f(block, at, channels):
-                if block is not None:
-                    held.append(block)
-                    return []
-                out = whole(np.concatenate(held, axis=1))
-                return [(out[:, i : i + chunk_frames], None) for i in range(0, out.shape[1], chunk_frames)]
 
-            return f
-
-        stretch_kernel(np.zeros((1, 0)), stretch_factor, semitones)  # parameters are checked on the driver
-        return in_order(chunks, ["track_id"], make)
-
-    def grouped(key, left, right):
-        import pandas as pd
+def _curve_rows(chunks: DataFrame, curves: DataFrame, stretch_factor: float, semitones: float) -> DataFrame:
+    """Each track's curves, cut as its blocks are: one small row a block is gathered by track, the arrays are cut where they are."""
+    blocks = chunks.groupBy("track_id", "chunk", "start_frame").agg(F.max(F.size("samples")).alias("n"))
+    cuts = blocks.groupBy("track_id").agg(F.collect_list(F.struct("chunk", "start_frame", "n")).alias("cuts"), F.max(F.col("start_frame") + F.col("n")).cast("int").alias("total"))
 
-        rows = []
-        # a track without a curve has the constants
-        how = (np.asarray(right.stretch.iloc[0], float), np.asarray(right.semitones.iloc[0], float)) if len(right) else (stretch_factor, semitones)
-        for c, part in left.sort_values("chunk").groupby("channel"):
-            x = np.concatenate([np.asarray(s, float) for s in part.samples])[None, :]
-            out = stretch_kernel(x, *how)[0]
-            rows += [(int(key[0]), int(c), i // chunk_frames, i, out[i : i + chunk_frames]) for i in range(0, len(out), chunk_frames)]
-        return pd.DataFrame(rows, columns=["track_id", "channel", "chunk", "start_frame", "samples"])
+    def checked(name: str, constant: float) -> Column:
+        wrong = F.raise_error(F.concat(F.lit(f"{name} has "), F.size(name).cast("string"), F.lit(" values for "), F.col("total").cast("string"), F.lit(" frames"))).cast("array<double>")
+        return F.when(F.col(name).isNull(), F.array_repeat(F.lit(float(constant)), F.col("total"))).when(F.size(name) == F.col("total"), F.col(name).cast("array<double>")).otherwise(wrong).alias(name)
 
-    return chunks.groupBy("track_id").cogroup(curves.groupBy("track_id")).applyInPandas(grouped, CHUNKS)
+    both = cuts.join(curves.select("track_id", "stretch", "semitones"), "track_id").select("track_id", "cuts", checked("stretch", stretch_factor), checked("semitones", semitones))
+    rows = both.select("track_id", F.explode(F.transform("cuts", lambda c: F.struct(c["chunk"].alias("chunk"), c["start_frame"].alias("start_frame"), *[F.slice(name, (c["start_frame"] + 1).cast("int"), c["n"]).alias(name) for name in ("stretch", "semitones")]))).alias("c"))
+    pair = rows.select("track_id", "c.chunk", "c.start_frame", F.explode(F.array(F.struct(F.lit(-2).alias("channel"), F.col("c.stretch").alias("samples")), F.struct(F.lit(-1).alias("channel"), F.col("c.semitones").alias("samples")))).alias("r"))
+    return pair.select("track_id", F.col("r.channel").alias("channel"), F.col("chunk").cast("long").alias("chunk"), "start_frame", F.col("r.samples").alias("samples"))
 
 
 def pitch_shift(chunks: DataFrame, semitones: float = 0.0) -> DataFrame:

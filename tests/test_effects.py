@@ -119,6 +119,64 @@ def test_stretch_and_pitch():
     assert np.isfinite(vocoder.time_stretch(x, np.linspace(0.75, 1.25, 22050), np.linspace(-1, 1, 22050))).all()
 
 
+def brute_stretch(x, speed, total):
+    """Grain by grain over the whole signal."""
+    w, hop, n = vocoder.WINDOW, vocoder.HOP, x.shape[1]
+    times, window = np.concatenate(([0.0], np.cumsum(1.0 / speed))), np.hanning(w + 1)[:-1]
+    pad, out, weight, phase = np.pad(x, ((0, 0), (w, 2 * w))), np.zeros((x.shape[0], total + 3 * w)), np.zeros(total + 3 * w), None
+    turn = 2 * np.pi * np.arange(w // 2 + 1) * hop / w
+    for o in range(0, total + w, hop):
+        a = int(np.rint(np.interp(o, times, np.arange(n + 1)))) + w // 2
+        now, before = (np.fft.rfft(pad[:, i : i + w] * window) for i in (a, a - hop))
+        new = np.angle(now)
+        if phase is not None:
+            step = new - np.angle(before) - turn
+            free = phase + turn + step - 2 * np.pi * np.rint(step / (2 * np.pi))
+            for c, size in enumerate(np.abs(now)):
+                get = lambda i, s=size: s[i] if 0 <= i < len(s) else 0.0
+                peaks = [i for i in range(len(size)) if get(i) >= get(i - 2) and get(i) > get(i - 1) and get(i) >= get(i + 1) and get(i) >= get(i + 2)]
+                near = [min(peaks, key=lambda p, i=i: (abs(p - i), p)) if peaks else i for i in range(len(size))]
+                new[c] = free[c, near] + np.angle(now[c]) - np.angle(now[c, near])
+        phase = new
+        out[:, o : o + w] += np.fft.irfft(np.abs(now) * np.exp(1j * phase), w) * window
+        weight[o : o + w] += window**2
+    return out[:, w // 2 : w // 2 + total] / np.maximum(weight[w // 2 : w // 2 + total], 1e-6)
+
+
+def streamed(x, n, curves=(None, None), **how):
+    s = vocoder.Stretcher(x.shape[0], curves=curves[0] is not None, **how)
+    parts = [s.process(x[:, i : i + n], *[c if c is None else c[i : i + n] for c in curves]) for i in range(0, x.shape[1], n)]
+    return np.concatenate([*parts, s.finish()], axis=1), s
+
+
+@pytest.mark.parametrize("n", [300, 1111, 9000])
+def test_streamed_stretch_equals_brute_force(n):
+    x = np.sin(np.arange(9000) / 11.0) + 0.1 * noise(9000)
+    got, _ = streamed(x, n, stretch_factor=1.5)
+    assert got.shape == (2, 6000) and np.allclose(got, brute_stretch(x, np.full(9000, 1.5), 6000), atol=1e-6)
+    speed = np.repeat([1.0, 2.0, 0.5], 3000)
+    got, _ = streamed(x, n, (speed, np.zeros(9000)))
+    held = speed  # it changes less often than every 1024 frames
+    assert got.shape == (2, 10500) and np.allclose(got, brute_stretch(x, held, 10500), atol=1e-6)
+
+
+def test_stretch_holds_a_few_windows_and_any_cut_is_alike():
+    x, speed, tone = noise(40000, 1), np.linspace(0.6, 1.7, 40000), np.linspace(-3, 5, 40000)
+    for curves, how in (((None, None), {"stretch_factor": 0.8, "semitones": 4.0}), ((speed, tone), {})):
+        whole, _ = streamed(x, 40000, curves, **how)
+        got, s = streamed(x, 500, curves, **how)
+        assert got.shape == whole.shape and np.allclose(got, whole, atol=1e-6) and np.isfinite(got).all()
+        assert s.vocoder.line.shape[1] < 4 * vocoder.WINDOW and s.pitch.line.shape[1] < 8 * vocoder.WINDOW
+    assert whole.shape[1] == int(np.sum(1 / speed))
+
+
+def test_curves_act_in_steps():
+    s = vocoder.Stretcher(1, curves=True)
+    f = np.where(np.arange(3000) < 100, 1.0, 2.0)
+    held = np.concatenate([s._steps(f[i : i + 70], np.zeros(len(f[i : i + 70])))[0] for i in range(0, 3000, 70)])
+    assert np.array_equal(held, np.where(np.arange(3000) < 1024, 1.0, 2.0))
+
+
 def chunks_of(spark, x, n, track=1):
     rows = [(track, c, i // n, i, [float(v) for v in x[c, i : i + n]]) for c in range(x.shape[0]) for i in range(0, x.shape[1], n)]
     return spark.createDataFrame(rows, tables.CHUNKS)
@@ -217,7 +275,11 @@ def test_stretch_by_curves(spark):
     x = noise(3000, 1)
     curves = spark.createDataFrame([(1, [1.0] * 1500 + [2.0] * 1500, [0.0] * 3000)], "track_id long, stretch array<double>, semitones array<double>")
     got = values_of(board.time_stretch(chunks_of(spark, x, 500), curves=curves))
-    assert len(got) == 1500 + 750 and np.isfinite(got).all()
+    assert len(got) == 1500 + 750 and np.allclose(got, vocoder.time_stretch(x, np.repeat([1.0, 2.0], 1500), np.zeros(3000)).ravel(), atol=1e-6)
+    for bad, match in (([1.0] * 7, "7 values for 3000"), ([1.0] * 2999 + [0.0], "element 2999")):
+        curves = spark.createDataFrame([(1, bad, [0.0] * 3000)], "track_id long, stretch array<double>, semitones array<double>")
+        with pytest.raises(Exception, match=match):
+            board.time_stretch(chunks_of(spark, x, 500), curves=curves).collect()
 
 
 def test_same_chunks_through_sinc_in_spark(spark):
