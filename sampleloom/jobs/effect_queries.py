@@ -173,8 +173,8 @@ def y3_noise_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "m1_chorus",
     value_sql(
-        LI + f", p AS (SELECT *, frame - greatest(7.0 * (1 + 0.4 * sin(2 * {math.pi!r} * 3.0 * frame / 1000)), 0) AS pos FROM li), q AS (SELECT *, CAST(floor(pos) AS BIGINT) AS low, pos - floor(pos) AS f FROM p)",
-        "SELECT q.track_id, q.channel, q.frame, 0.6 * q.value + 0.4 * ((1 - f) * coalesce(a.value, 0) + f * coalesce(b.value, 0)) AS v FROM q LEFT JOIN li a ON a.track_id = q.track_id AND a.frame = low LEFT JOIN li b ON b.track_id = q.track_id AND b.frame = low + 1",
+        LI + f", l AS (SELECT track_id, list(value ORDER BY frame) AS xs FROM li GROUP BY track_id), q AS (SELECT *, frame - greatest(7.0 * (1 + 0.4 * sin(2 * {math.pi!r} * 3.0 * frame / 1000)), 0) AS pos FROM li)",
+        "SELECT track_id, channel, frame, 0.6 * value + 0.4 * ((1 - (pos - floor(pos))) * CASE WHEN pos >= 0 THEN xs[CAST(floor(pos) AS BIGINT) + 1] ELSE 0 END + (pos - floor(pos)) * CASE WHEN pos >= -1 THEN xs[CAST(floor(pos) AS BIGINT) + 2] ELSE 0 END) AS v FROM q JOIN l USING (track_id)",
     ),
 )
 def m1_chorus(spark: SparkSession, sf_dir: str) -> DataFrame:

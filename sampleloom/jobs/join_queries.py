@@ -37,14 +37,14 @@ def j1_automate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     "j1_automate_effects",
     value_sql(
         f"{EV}, {CURVE}, a AS (SELECT ev.*, coalesce(curve.value, 0) AS p FROM ev ASOF LEFT JOIN curve ON ev.track_id = curve.track_id AND ev.frame >= curve.frame)",
-        "SELECT track_id, channel, frame, (1 + p / 4) * greatest(-pow(10, (p - 6) / 20), least(pow(10, (p - 6) / 20), value)) - p / 4 * round_even(tanh(value * pow(10, (10 + p) / 20)) * pow(2, 8 + p), 0) / pow(2, 8 + p) AS v FROM a",
+        "SELECT track_id, channel, frame, (1 + p / 4.7) * greatest(-pow(10, (p - 6) / 20), least(pow(10, (p - 6) / 20), value)) - p / 4.7 * round_even(tanh(value * pow(10, (10.3 + p) / 20)) * pow(2, 8 + p), 0) / pow(2, 8 + p) AS v FROM a",
     ),
 )
 def j1_automate_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clipping threshold, drive, bit depth and mix from one curve."""
     held, p = joins.automate(ev(spark, sf_dir), curve(spark, sf_dir), 0.0, name="gain_db"), F.col("param")
-    wet = values.bitcrush(values.distortion("value", p + 10.0), p + 8.0)
-    return frames_out(held.withColumn("value", values.blend(values.clipping("value", p - 6.0), wet, -p / 4)))
+    wet = values.bitcrush(values.distortion("value", p + 10.3), p + 8.0)
+    return frames_out(held.withColumn("value", values.blend(values.clipping("value", p - 6.0), wet, -p / 4.7)))
 
 
 def _presets(spark: SparkSession, sf_dir: str) -> DataFrame:

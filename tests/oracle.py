@@ -19,7 +19,7 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
 
 def plain(v):
     if isinstance(v, float):
-        return round(v, 5) + 0.0
+        return round(v, 6) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(map(plain, v))
     if getattr(v, "tzinfo", None):
