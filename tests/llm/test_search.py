@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import collections
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sampleloom.llm import hard_negatives
+from sampleloom.llm import hard_negatives, lexical_search
 from tests.oracle import compare, connect
 
 VECTORS = "vec_id long, embedding array<float>, label int, score string, rank string"
@@ -73,3 +75,83 @@ def test_scores_are_exact():
 
 def test_hard_negatives_equal_sql(spark, sf):
     compare(hard_negatives.op11_hard_negatives(spark, sf), connect(sf), hard_negatives.ORACLE)
+
+
+# ranked search
+
+
+def ranked(docs, items, most=10):
+    """The definition over all documents, by regular expression."""
+    words = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+    own = [(i, words(t)) for i, t in docs]
+    own = [(i, w) for i, w in own if w]
+    number, length = len(own), sum(len(w) for _, w in own)
+    df = collections.Counter(t for _, w in own for t in set(w))
+    out = []
+    for item, text in set(items):
+        asked, found = set(words(text)), []
+        for i, w in own:
+            tf, m = collections.Counter(w), 100 - 90 + (90 * len(w) * number) // length
+            score = sum(math.floor(1000 * math.log((2 * number + 2) / (2 * df[t] + 1))) * ((1000000000 * tf[t]) // (1000 * tf[t] + 8 * m)) for t in asked if t in tf)
+            if score > 0:
+                found.append((-score, i is None, i or 0, i))
+        out += [(item, rank + 1, f[3], -f[0]) for rank, f in enumerate(sorted(found, key=lambda f: f[:3])[:most])]
+    return sorted(out, key=str)
+
+
+@pytest.fixture(scope="module")
+def library():
+    rng = np.random.default_rng(11)
+    common, topics = [f"w{i}" for i in range(12)], [[f"t{t}x{i}" for i in range(40)] for t in range(5)]
+
+    def text(topic, n):
+        return " ".join(str(x) for x in np.where(rng.random(n) < 0.5, rng.choice(common, n), rng.choice(topics[topic], n)))
+
+    docs = [(i, text(i % 5, int(rng.integers(3, 60)))) for i in range(700)]
+    docs += [(1000 + i, docs[7][1]) for i in range(40)] + docs[:20] * 2  # copies: ties
+    docs += [(2000, None), (2001, ""), (2002, " .;- "), (None, docs[3][1]), (None, docs[9][1]), (2003, "É é Éa NAÏVE naïve x\u00a0y 漢字 42"), (2004, "w1 " * 30_000)]
+    items = [(i, text(i % 5, 12)) for i in range(20)] + [(30, None), (31, ""), (32, "unknown words"), (33, "É NAÏVE 42"), (33, "w1"), (None, "t1x1 t1x2"), (34, docs[7][1]), (34, docs[7][1])]
+    return docs, items
+
+
+@pytest.mark.parametrize("block", [4096, 5])
+def test_search_equals_brute_force(spark, library, block, monkeypatch):
+    monkeypatch.setattr(lexical_search, "ITEMS", block)
+    docs, items = library
+    df = spark.createDataFrame([(*d, 1, 1) for d in docs], "doc_id long, text string, score int, n int").repartition(3)
+    asked = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, rank int")
+    got = lexical_search.search(df, asked)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == ranked(docs, items)
+
+
+def test_search_over_nothing(spark, library):
+    docs, items = library
+    df, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert lexical_search.search(df.filter("false"), asked).count() == 0
+    assert lexical_search.search(df, asked.filter("false")).count() == 0
+    assert lexical_search.search(df.filter("doc_id = 2000"), asked).count() == 0
+
+
+def test_blocks_are_skipped_and_bounds_hold():
+    """Summaries bound every document of their block; with a good threshold few documents are scored."""
+    rng = np.random.default_rng(5)
+    rows = [np.unique(np.concatenate(([0], 1 + 30 * (i % 8) + rng.integers(0, 30, 12)))) for i in range(1600)]
+    terms, indptr = np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    index = lexical_search.Slice(np.arange(1600), np.full(1600, 20), indptr, terms, rng.integers(1, 4, len(terms)), (1600, 32000), np.full(241, 3000, np.int64))
+    own, starts, summary, at = index.blocks(0, np.arange(len(index.columns)))
+    assert sorted(own) == list(range(1600)) and len(starts) > 10
+    block = np.repeat(np.arange(len(starts)), np.diff(starts, append=1600))
+    assert (index.matrix[own] <= summary[block]).all()
+    asked, scored = [np.concatenate(([0], 1 + np.arange(10)))], []
+    full = index.scores(np.arange(1600), index.place[asked[0]])
+    real = index.scores
+    index.scores = lambda docs, columns: scored.append(len(docs)) or real(docs, columns)
+    top = lexical_search.Top(10, int(np.sort(full)[-10]))
+    lexical_search._search(index, list(range(1600)), asked, [top])
+    assert [-r[0] for r in top.rows] == np.sort(full)[::-1][:10].tolist()
+    assert sum(scored) < 800
+
+
+def test_search_equals_sql(spark, sf):
+    compare(lexical_search.op13_lexical_search(spark, sf), connect(sf), lexical_search.ORACLE)
