@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sampleloom.llm import bpe, decontaminate, hard_negatives, html_extract, language_id, lexical_search, license_scan, quality_rules, simhash_dedup, token_counts, training_order, url_filters
+from sampleloom.llm import bpe, decontaminate, hard_negatives, html_extract, language_id, lexical_search, license_scan, personal_data, quality_rules, simhash_dedup, token_counts, training_order, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_personal_data": personal_data.op12_personal_data,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
