@@ -12,7 +12,7 @@ from sampleloom.functions import values
 from sampleloom.jobs.signals import EMB, EMB2, EV, LI, RATE, emb, emb2, emb_chunks, ev, frames_out, li, li_chunks, read, rounded, value_sql
 from sampleloom.kernels import effects as fx
 from sampleloom.kernels import linear, sinc
-from sampleloom.operators import board, channels, filters, resample, shift, tables
+from sampleloom.operators import board, channels, filters, resample, scan, shift, tables
 
 ALL: dict[str, tuple] = {}
 BLOCK = 16
@@ -49,6 +49,15 @@ def d2_feedback_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames_out(shift.delay(ev(spark, sf_dir), RATE, 0.005, feedback=0.6))
 
 
+_FULL = _ECHO.replace("0.6 *", "1.0 *")
+
+
+@query("d2_full_feedback", value_sql(_FULL, "SELECT track_id, channel, frame, 0.5 * value + 0.5 * late AS v FROM line", recursive=True))
+def d2_full_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Echoes that never fade."""
+    return frames_out(shift.delay(ev(spark, sf_dir), RATE, 0.005, feedback=1.0))
+
+
 @query("d2_delay_kernel", value_sql(_ECHO, "SELECT track_id, channel, frame, 0.5 * value + 0.5 * late AS v FROM line", recursive=True))
 def d2_delay_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.apply_effects(ev_chunks(spark, sf_dir), [fx.Delay(0.005, 0.6, 0.5)], RATE))
@@ -169,6 +178,22 @@ def y3_noise_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.apply_effects(ev_chunks(spark, sf_dir), [fx.NoiseGate(-12.0, 4.0, 2.0, 30.0)], RATE))
 
 
+# the same along time: the blocks of a track by all tasks
+@query("y1_compressor_scan", ALL["y1_compressor"][1])
+def y1_compressor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(scan.apply_along_time(ev_chunks(spark, sf_dir), [fx.Compressor(-20.0, 4.0, 2.0, 50.0)], RATE))
+
+
+@query("y2_limiter_scan", ALL["y2_limiter"][1])
+def y2_limiter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(scan.apply_along_time(ev_chunks(spark, sf_dir), [fx.Limiter(-14.0, 60.0)], RATE))
+
+
+@query("y3_noise_gate_scan", ALL["y3_noise_gate"][1])
+def y3_noise_gate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(scan.apply_along_time(ev_chunks(spark, sf_dir), [fx.NoiseGate(-12.0, 4.0, 2.0, 30.0)], RATE))
+
+
 # modulation and space
 @query(
     "m1_chorus",
@@ -208,6 +233,12 @@ def m2_phaser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.apply_effects(li_chunks(spark, sf_dir), [fx.Phaser(2.0, 0.5, 150.0, 0.3, 0.5)], RATE))
 
 
+@query("m2_phaser_scan", ALL["m2_phaser"][1])
+def m2_phaser_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its blocks by all tasks, as maps of its seven values."""
+    return out(scan.apply_along_time(li_chunks(spark, sf_dir), [fx.Phaser(2.0, 0.5, 150.0, 0.3, 0.5)], RATE))
+
+
 def reverb_sql(own: fx.Reverb) -> str:
     """The network on two-channel tracks: lines as lists, the next output first."""
     length = lambda n, side: max(1, int((n + side * own.SPREAD) * RATE / 44100))

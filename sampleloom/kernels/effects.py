@@ -15,7 +15,7 @@ from typing import Any
 
 import numpy as np
 
-from sampleloom.kernels import linear
+from sampleloom.kernels import linear, scans
 
 
 def between(name: str, value: float, low: float, high: float) -> None:
@@ -46,6 +46,42 @@ class Effect:
     def params(self) -> dict[str, Any]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
+    def stages(self) -> list["Effect"]:
+        """Effects that give the same one after the other."""
+        return [self]
+
+
+class Scanned:
+    """An effect on single channels whose state is a few numbers and whose blocks compose: what a block makes of the state before it is a map that is known
+    from one run over the block (`exact`), or the best of the tangents known so far. So blocks of one track can be worked on apart (operators/scan.py).
+    """
+
+    exact = True
+    #: Whether a block's output depends on its samples and state alone, not on where it is.
+    anywhere = True
+
+    def guess(self, rate: float, x: np.ndarray) -> np.ndarray:
+        """States (rows, numbers) to begin with, for blocks (rows, frames)."""
+        raise NotImplementedError
+
+    def maps(self, rate: float, x: np.ndarray, start: int, states: np.ndarray) -> np.ndarray:
+        """(rows, numbers): each block's map, near these states."""
+        raise NotImplementedError
+
+    def reached(self, maps: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The state after a block, by its maps (known, numbers)."""
+        raise NotImplementedError
+
+    def loaded(self, rate: float, states: np.ndarray) -> Any:
+        """What process() takes, with these states of its channels."""
+        raise NotImplementedError
+
+
+def _affine(maps: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """A map is a matrix, row by row, and what is added."""
+    k = len(state)
+    return maps[0, : k * k].reshape(k, k) @ state + maps[0, k * k :]
+
 
 @dataclass(eq=False)
 class Gain(Effect):
@@ -95,10 +131,23 @@ class Bitcrush(Effect):
         return np.rint(block * 2.0**self.bit_depth) / 2.0**self.bit_depth
 
 
-class _Linear(Effect):
+class _Linear(Scanned, Effect):
     def filter(self, rate: float) -> linear.Filter:
         raise NotImplementedError
 
+    def guess(self, rate, x):
+        return np.zeros((len(x), self.filter(rate).order))
+
+    def maps(self, rate, x, start, states):
+        own = self.filter(rate)
+        return np.concatenate((np.tile(own.power(x.shape[1]).ravel(), (len(x), 1)), own.run(x)[1]), axis=1)
+
+    def reached(self, maps, state):
+        return _affine(maps, state)
+
+    def loaded(self, rate, states):
+        return [self.filter(rate), states]
+
     def init_state(self, rate, channels):
         own = self.filter(rate)
         return [own, np.zeros((channels, own.order))]
@@ -108,6 +157,20 @@ class _Linear(Effect):
         return out
 
 
+class Filtered(_Linear):
+    """A filter that is given by its coefficients, for whatever rate."""
+
+    def __init__(self, own: linear.Filter):
+        self.own = own
+
+    @property
+    def params(self):
+        return {"own": self.own}
+
+    def filter(self, rate):
+        return self.own
+
+
 @dataclass(eq=False)
 class LowpassFilter(_Linear):
     cutoff_frequency_hz: float = 50.0
@@ -184,21 +247,37 @@ def smoothing(rate: float, ms: float) -> float:
     return math.exp(-1000.0 / (rate * ms)) if ms > 0 else 0.0
 
 
-def envelope(block: np.ndarray, held: np.ndarray, attack: float, release: float) -> np.ndarray:
-    """Branching peak detector; held (channels,) is changed in place. Sequential in time."""
-    out = np.empty_like(block)
-    for c in range(block.shape[0]):
-        e, own = float(held[c]), []
-        for x in np.abs(block[c]).tolist():
-            e = x + (attack if x > e else release) * (e - x)
-            own.append(e)
-        out[c] = own
-        held[c] = e
-    return out
+class _Dynamics(Scanned, Effect):
+    """A gain that follows the branching peak detector, e = |x| + coefficient (e - |x|)."""
+
+    exact = False
+
+    def init_state(self, rate, channels):
+        return self.loaded(rate, np.zeros((channels, 1)))
+
+    def envelope(self, block, state):
+        """The detector over a block, which moves the state on."""
+        out, _ = scans.follow(np.abs(block), *state)
+        if block.shape[1]:
+            state[0] = out[:, -1].copy()
+        return out
+
+    def guess(self, rate, x):
+        return np.abs(x[:, :512]).max(axis=1, initial=0)[:, None]
+
+    def maps(self, rate, x, start, states):
+        return scans.tangent(np.abs(x), *self.loaded(rate, states))
+
+    def reached(self, maps, state):
+        after = maps[:, 0] * state[0] + maps[:, 1]
+        return np.array([after.max() if self.attack_ms <= self.release_ms else after.min()])
+
+    def loaded(self, rate, states):
+        return [states[:, 0].copy(), smoothing(rate, self.attack_ms), smoothing(rate, self.release_ms)]
 
 
 @dataclass(eq=False)
-class Compressor(Effect):
+class Compressor(_Dynamics):
     threshold_db: float = 0.0
     ratio: float = 1.0
     attack_ms: float = 1.0
@@ -208,17 +287,14 @@ class Compressor(Effect):
         if self.ratio < 1:
             raise ValueError("ratio has to be at least 1")
 
-    def init_state(self, rate, channels):
-        return [np.zeros(channels), smoothing(rate, self.attack_ms), smoothing(rate, self.release_ms)]
-
     def process(self, block, state, start):
         t = 10 ** (self.threshold_db / 20)
-        e = envelope(block, *state) / t
+        e = self.envelope(block, state) / t
         return block * np.where(e > 1, np.maximum(e, 1) ** (1 / self.ratio - 1), 1.0)
 
 
 @dataclass(eq=False)
-class NoiseGate(Effect):
+class NoiseGate(_Dynamics):
     threshold_db: float = -100.0
     ratio: float = 10.0
     attack_ms: float = 1.0
@@ -228,11 +304,8 @@ class NoiseGate(Effect):
         if self.ratio < 1:
             raise ValueError("ratio has to be at least 1")
 
-    def init_state(self, rate, channels):
-        return [np.zeros(channels), smoothing(rate, self.attack_ms), smoothing(rate, self.release_ms)]
-
     def process(self, block, state, start):
-        e = envelope(block, *state) / 10 ** (self.threshold_db / 20)
+        e = self.envelope(block, state) / 10 ** (self.threshold_db / 20)
         return block * np.where(e < 1, np.minimum(e, 1) ** (self.ratio - 1), 1.0)
 
 
@@ -304,7 +377,7 @@ class Chorus(Effect):
 
 
 @dataclass(eq=False)
-class Phaser(Effect):
+class Phaser(Scanned, Effect):
     """Six first-order all-pass stages, swept by a sine LFO around the centre frequency."""
 
     rate_hz: float = 1.0
@@ -312,33 +385,36 @@ class Phaser(Effect):
     centre_frequency_hz: float = 1300.0
     feedback: float = 0.0
     mix: float = 0.5
-    STAGES = 6
+    anywhere = False
 
     def __post_init__(self):
         between("mix", self.mix, 0, 1)
         between("depth", self.depth, 0, 1)
 
     def init_state(self, rate, channels):
-        return [rate, np.zeros((channels, self.STAGES, 2)), np.zeros(channels)]
+        return self.loaded(rate, np.zeros((channels, scans.ALLPASS)))
 
-    def process(self, block, state, start):
-        rate, held, last = state
-        n = block.shape[1]
+    def _coefficient(self, rate: float, start: int, n: int) -> np.ndarray:
         sweep = self.centre_frequency_hz * (1 + self.depth * np.sin(2 * math.pi * self.rate_hz * np.arange(start, start + n) / rate))
         t = np.tan(math.pi * np.clip(sweep, 1.0, 0.49 * rate) / rate)
-        coefficient = (t - 1) / (t + 1)
-        out = np.empty_like(block)
-        for c in range(block.shape[0]):
-            stages, back = held[c].tolist(), float(last[c])
-            for i, (x, a) in enumerate(zip(block[c].tolist(), coefficient.tolist(), strict=True)):
-                y = x + self.feedback * back
-                for s in stages:  # s: input and output before
-                    s[0], y = y, a * y + s[0] - a * s[1]
-                    s[1] = y
-                back = y
-                out[c, i] = (1 - self.mix) * x + self.mix * y
-            held[c], last[c] = stages, back
-        return out
+        return (t - 1) / (t + 1)
+
+    def process(self, block, state, start):
+        wet, state[1], _ = scans.swept(block, self._coefficient(state[0], start, block.shape[1]), self.feedback, state[1])
+        return (1 - self.mix) * block + self.mix * wet
+
+    def guess(self, rate, x):
+        return np.zeros((len(x), scans.ALLPASS))
+
+    def maps(self, rate, x, start, states):
+        _, after, whole = scans.swept(x, self._coefficient(rate, start, x.shape[1]), self.feedback, np.zeros((len(x), scans.ALLPASS)), transition=True)
+        return np.concatenate((np.tile(whole.ravel(), (len(x), 1)), after), axis=1)
+
+    def reached(self, maps, state):
+        return _affine(maps, state)
+
+    def loaded(self, rate, states):
+        return [rate, states]
 
 
 @dataclass(eq=False)

@@ -27,7 +27,7 @@ from sampleloom.operators.tables import CHUNKS, KEY
 #: Frames of a track that one range holds, but for its halo.
 RANGE_FRAMES = 1 << 18
 #: Frames that are gathered from short blocks before effects run over them at once.
-GATHER = 4096
+GATHER = 1 << 15
 
 _COLUMNS: dict[type, Callable[[fx.Effect, Column], Column]] = {
     fx.Gain: lambda e, c: values.gain(c, e.gain_db),

@@ -1,9 +1,6 @@
-"""Linear filters of the packed form by an exact block scan, and convolution.
-
-1. every block alone from zero state: output and end state (no shuffle);
-2. a small table of one row a block: the states are handed on along each track; it is stored in the shared folder;
-3. each block is filtered from its start state. The states are broadcast if there are few, so that no samples are shuffled.
+"""Linear filters of the packed form by an exact block scan (operators/scan.py), and convolution.
 
+A block is filtered once, from zero state, and what its true start state puts out by itself is added once that is known.
 So one long track is filtered by many tasks. Results equal the serial filter up to rounding, whatever
 the block size.
 """
@@ -11,83 +8,17 @@ the block size.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sampleloom.kernels import linear
-from sampleloom.kernels.effects import Convolution
+from sampleloom.kernels.effects import Convolution, Filtered
 from sampleloom.kernels.sinc import Resampler
-from sampleloom.operators.board import _batch, apply_effects
-from sampleloom.operators.tables import CHUNKS, KEY
-from sampleloom.sources.store import scratch
-
-#: Blocks whose start states, some 50 bytes each, may be broadcast.
-BROADCAST_BLOCKS = 200_000
-
-
-def _columns(batch: pa.RecordBatch) -> tuple[list[list], list[np.ndarray]]:
-    lists = batch.column(4)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-    return [batch.column(i).to_pylist() for i in range(4)], [flat[ends[i] : ends[i + 1]] for i in range(batch.num_rows)]
-
-
-def end_states(chunks: DataFrame, own: linear.Filter) -> DataFrame:
-    """track_id, channel, chunk, n, state: where each block ends from zero state."""
-
-    def run(batches):
-        for batch in batches:
-            (t, c, k, _), xs = _columns(batch)
-            states = [own.run(x)[1].tolist() for x in xs]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t, pa.int64()), pa.array(c, pa.int32()), pa.array(k, pa.int64()), pa.array([len(x) for x in xs], pa.int64()), pa.array(states, pa.list_(pa.float64()))], names=["track_id", "channel", "chunk", "n", "state"]
-            )
-
-    return _typed(chunks).mapInArrow(run, "track_id long, channel int, chunk long, n long, state array<double>")
-
-
-def start_states(ends: DataFrame, own: linear.Filter) -> DataFrame:
-    """track_id, channel, chunk, state at each block's start: a running composition, one small row a block."""
-    dealt = ends.repartition(*KEY).sortWithinPartitions(*KEY, "chunk")
-
-    def run(batches):
-        key, s, powers = None, None, {}
-        for batch in batches:
-            t, c, k, n, v = (batch.column(i).to_pylist() for i in range(5))
-            out = []
-            for i in range(batch.num_rows):
-                if (t[i], c[i]) != key:
-                    key, s = (t[i], c[i]), np.zeros(own.order)
-                out.append(s.tolist())
-                if n[i] not in powers:
-                    powers[n[i]] = own.power(n[i])
-                s = powers[n[i]] @ s + np.array(v[i])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.float64()))], names=["track_id", "channel", "chunk", "state"])
-
-    return dealt.mapInArrow(run, "track_id long, channel int, chunk long, state array<double>")
-
-
-def _typed(chunks: DataFrame) -> DataFrame:
-    return chunks.select("track_id", "channel", "chunk", "start_frame", F.col("samples").cast("array<double>").alias("samples"))
+from sampleloom.operators.board import apply_effects
+from sampleloom.operators.scan import scan_effect
 
 
 def filter_chunks(chunks: DataFrame, own: linear.Filter) -> DataFrame:
-    spark, path = chunks.sparkSession, scratch(chunks.sparkSession, "states")
-    starts = start_states(end_states(chunks, own), own)
-    starts.write.parquet(path)
-    starts = spark.read.schema(starts.schema).parquet(path)
-    if starts.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
-        starts = F.broadcast(starts)
-    joined = _typed(chunks).join(starts, [*KEY, "chunk"]).select("track_id", "channel", "chunk", "start_frame", "samples", "state")
-
-    def run(batches):
-        for batch in batches:
-            (t, c, k, f), xs = _columns(batch)
-            states = batch.column(5).to_pylist()
-            yield _batch([(t[i], c[i], k[i], f[i], own.run(x, np.array(states[i]))[0]) for i, x in enumerate(xs)])
-
-    return joined.mapInArrow(run, CHUNKS)
+    return scan_effect(chunks, Filtered(own), 1.0)
 
 
 def lowpass(chunks: DataFrame, rate: float, cutoff_frequency_hz: float = 50.0) -> DataFrame:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from sampleloom.kernels import effects as fx
 from sampleloom.kernels import linear, sinc, vocoder
-from sampleloom.operators import board, filters, params, resample, shift, tables
+from sampleloom.operators import board, filters, params, resample, scan, shift, tables
 
 RATE = 8000.0
 ALL = {
@@ -217,7 +217,7 @@ def test_board_lists():
 
 @pytest.mark.parametrize("few", [0, 200_000])
 def test_scan_equals_serial(spark, monkeypatch, few):
-    monkeypatch.setattr(filters, "BROADCAST_BLOCKS", few)
+    monkeypatch.setattr(scan, "BROADCAST_BLOCKS", few)
     x = noise(1000, 1)
     own = linear.peak(RATE, 900.0, 6.0)
     want = own.run(x[0])[0]
