@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sampleloom.functions import values
-from sampleloom.jobs.signals import EMB, EMB2, EV, LI, RATE, emb, emb2, emb_chunks, ev, frames_out, li, li_chunks, read, rounded, value_sql
+from sampleloom.jobs.signals import CURVE, EMB, EMB2, EV, LI, RATE, curve, emb, emb2, emb_chunks, ev, frames_out, li, li_chunks, read, rounded, value_sql
 from sampleloom.kernels import effects as fx
 from sampleloom.kernels import linear, sinc
-from sampleloom.operators import board, channels, filters, resample, scan, shift, tables
+from sampleloom.operators import automation, board, channels, filters, resample, scan, shift, tables
 
 ALL: dict[str, tuple] = {}
 BLOCK = 16
@@ -239,8 +239,8 @@ def m2_phaser_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(scan.apply_along_time(li_chunks(spark, sf_dir), [fx.Phaser(2.0, 0.5, 150.0, 0.3, 0.5)], RATE))
 
 
-def reverb_sql(own: fx.Reverb) -> str:
-    """The network on two-channel tracks: lines as lists, the next output first."""
+def reverb_sql(own: fx.Reverb, curve_: str = "", wet_level: str = "") -> str:
+    """The network on two-channel tracks: lines as lists, the next output first. `curve_` gives curve(track_id, frame, level), and `wet_level` an expression on it."""
     length = lambda n, side: max(1, int((n + side * own.SPREAD) * RATE / 44100))
     zeros = lambda lengths: "[" + ", ".join(f"list_transform(range({n}), lambda i: 0.0::DOUBLE)" for n in lengths) + "]"
     damp, feedback = own.damping * 0.4, own.room_size * 0.28 + 0.7
@@ -253,10 +253,12 @@ def reverb_sql(own: fx.Reverb) -> str:
         columns += [
             (f"l{k}", f"list_transform(p{k}, lambda l: l[1])"), (f"q{k}", f"list_transform([1, 2], lambda i: p{k}[i][2:] || [w{k - 1}[i] + 0.5 * l{k}[i]])"), (f"w{k}", f"list_transform([1, 2], lambda i: l{k}[i] - w{k - 1}[i])"),
         ]
-    wet, dry = 3.0 * own.wet_level, 2.0 * own.dry_level
-    same, other = 0.5 * wet * (1 + own.width), 0.5 * wet * (1 - own.width)
-    out = f"[{dry!r} * v0 + {same!r} * w4[1] + {other!r} * w4[2], {dry!r} * v1 + {same!r} * w4[2] + {other!r} * w4[1]]"
+    level, dry = wet_level or repr(own.wet_level), 2.0 * own.dry_level
+    same, other = (f"(1.5 * {level} * {w!r})" for w in (1 + own.width, 1 - own.width))
+    out = f"[{dry!r} * v0 + {same} * w4[1] + {other} * w4[2], {dry!r} * v1 + {same} * w4[2] + {other} * w4[1]]"
     pairs = "pairs AS (SELECT track_id, frame, max(CASE WHEN channel = 0 THEN value END) AS v0, max(CASE WHEN channel = 1 THEN value END) AS v1 FROM emb2 GROUP BY track_id, frame)"
+    if curve_:
+        pairs = pairs.replace("pairs AS", "own AS", 1) + f", curve AS ({curve_}), pairs AS (SELECT own.*, curve.level FROM own ASOF LEFT JOIN curve ON curve.track_id = own.track_id AND own.frame >= curve.frame)"
     ctes = f"{EMB2}, {pairs}, {recursion('pairs', 'combs, low, p1, p2, p3, p4, both_', ', '.join(fresh), columns, f'combs2, low2, q1, q2, q3, q4, {out}')}"
     return value_sql(ctes, "SELECT track_id, CAST(c AS INTEGER) AS channel, frame, both_[c + 1] AS v FROM r CROSS JOIN (VALUES (0), (1)) AS u(c) WHERE frame >= 0", recursive=True)
 
@@ -266,6 +268,48 @@ def m3_reverb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.apply_effects(tables.pack(emb2(spark, sf_dir), BLOCK), [fx.Reverb(0.6, 0.4)], RATE))
 
 
+# effects with state whose parameters follow curves
+_CURVED = f"{EV}, {CURVE}, a AS (SELECT ev.*, curve.value AS p FROM ev ASOF LEFT JOIN curve ON ev.track_id = curve.track_id AND ev.frame >= curve.frame)"
+
+
+def _scaled(spark: SparkSession, sf_dir: str, times: float, plus: float) -> DataFrame:
+    """The curve as another parameter's."""
+    return curve(spark, sf_dir).withColumn("value", F.col("value") * times + plus)
+
+
+_MOVING = [("t", f"tan({math.pi!r} * coalesce(p * -55.0 + 40.0, 90.0) / 1000)"), ("y", "t / (t + 1) * value + s"), ("s2", "t / (t + 1) * value - (t - 1) / (t + 1) * y")]
+
+
+@query("j1_automate_lowpass", value_sql(f"{_CURVED}, {recursion('a', 's, v', '0.0::DOUBLE, 0.0::DOUBLE', _MOVING, 's2, y')}", "SELECT track_id, CAST(0 AS INTEGER) AS channel, frame, v FROM r WHERE frame >= 0", recursive=True))
+def j1_automate_lowpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running filter's cutoff from 40 to 260 Hz."""
+    return out(automation.apply_automated(ev_chunks(spark, sf_dir), [fx.LowpassFilter(90.0)], RATE, _scaled(spark, sf_dir, -55.0, 40.0), {(0, "cutoff_frequency_hz"): "gain_db"}))
+
+
+@query(
+    "j1_automate_compressor",
+    value_sql(
+        f"{_CURVED}, {follower(2.0, 50.0, 'ev', 'c')}, t AS (SELECT c.*, pow(10, coalesce(a.p * 5.3 - 3.1, -20.0) / 20) AS t FROM c JOIN a USING (track_id, frame))",
+        f"SELECT track_id, channel, frame, x * CASE WHEN e > t THEN pow(e / t, {1 / 4.0 - 1!r}) ELSE 1 END AS v FROM t",
+        recursive=True,
+    ),
+)
+def j1_automate_compressor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compressor's threshold, whose envelope goes on."""
+    return out(automation.apply_automated(ev_chunks(spark, sf_dir), [fx.Compressor(-20.0, 4.0, 2.0, 50.0)], RATE, _scaled(spark, sf_dir, 5.3, -3.1), {(0, "threshold_db"): "gain_db"}))
+
+
+_WET = "SELECT track_id, frame, least(1.0, abs(value) * 3.0) AS level FROM emb2 WHERE channel = 0 AND frame % 12 = 5"
+
+
+@query("j1_automate_reverb", reverb_sql(fx.Reverb(0.6, 0.4), _WET, "coalesce(level, 0.33)"))
+def j1_automate_reverb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reverb's wet level, which doesn't cut its tail."""
+    frames = emb2(spark, sf_dir)
+    wet = frames.filter("channel = 0 AND frame % 12 = 5").select("track_id", "frame", F.lit("wet").alias("name"), F.least(F.lit(1.0), F.abs("value") * 3.0).alias("value"))
+    return out(automation.apply_automated(tables.pack(frames, BLOCK), [fx.Reverb(0.6, 0.4)], RATE, wet, {(0, "wet_level"): "wet"}))
+
+
 # resampling
 
 

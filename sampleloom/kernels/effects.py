@@ -30,6 +30,11 @@ class Effect:
 
     key = "channel"
     latency = 0
+    #: Parameters that the state's form depends on.
+    steady = ()
+
+    def retuned(self, rate: float, state: Any) -> None:
+        """Fits a state to parameters that have changed, so that processing goes on; in place."""
 
     def init_state(self, rate: float, channels: int) -> Any:
         return None
@@ -148,6 +153,9 @@ class _Linear(Scanned, Effect):
     def loaded(self, rate, states):
         return [self.filter(rate), states]
 
+    def retuned(self, rate, state):
+        state[0] = self.filter(rate)
+
     def init_state(self, rate, channels):
         own = self.filter(rate)
         return [own, np.zeros((channels, own.order))]
@@ -215,6 +223,7 @@ class Delay(Effect):
     delay_seconds: float = 0.5
     feedback: float = 0.0
     mix: float = 0.5
+    steady = ("delay_seconds",)
 
     def __post_init__(self):
         between("delay_seconds", self.delay_seconds, 0, 30)
@@ -275,6 +284,9 @@ class _Dynamics(Scanned, Effect):
     def loaded(self, rate, states):
         return [states[:, 0].copy(), smoothing(rate, self.attack_ms), smoothing(rate, self.release_ms)]
 
+    def retuned(self, rate, state):
+        state[1:] = smoothing(rate, self.attack_ms), smoothing(rate, self.release_ms)
+
 
 @dataclass(eq=False)
 class Compressor(_Dynamics):
@@ -327,6 +339,11 @@ class Limiter(Effect):
             block = s.process(block, own, start)
         return block
 
+    def retuned(self, rate, state):
+        state[:] = [(s, own) for s, (_, own) in zip(self.stages(), state, strict=True)]
+        for s, own in state:
+            s.retuned(rate, own)
+
 
 @dataclass(eq=False)
 class Chorus(Effect):
@@ -337,6 +354,7 @@ class Chorus(Effect):
     centre_delay_ms: float = 7.0
     feedback: float = 0.0
     mix: float = 0.5
+    steady = ("centre_delay_ms",)
 
     def __post_init__(self):
         between("rate_hz", self.rate_hz, 0, 100)
@@ -436,7 +454,12 @@ class LadderFilter(Effect):
             raise ValueError("drive has to be at least 1")
 
     def init_state(self, rate, channels):
-        return [1 - math.exp(-2 * math.pi * min(self.cutoff_hz, 0.49 * rate) / rate), np.zeros((channels, 4))]
+        state = [0.0, np.zeros((channels, 4))]
+        self.retuned(rate, state)
+        return state
+
+    def retuned(self, rate, state):
+        state[0] = 1 - math.exp(-2 * math.pi * min(self.cutoff_hz, 0.49 * rate) / rate)
 
     def process(self, block, state, start):
         g, held = state

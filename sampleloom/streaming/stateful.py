@@ -1,9 +1,15 @@
 """Effects, resampling and loss counts over streams of blocks, with state per key.
 
-Blocks may come late or out of order: a block waits in the state until all before it are there, or, with `patience`, until nothing
-has come for its key for so long: then the missing blocks are given up, what waits is released, and the frames that were lost are
-reported in the column `dropped` of the next block. Blocks that come after that are dropped too. The kernels are those of the batch
-operators, so a stream's output equals the batch's. `forget` is a time after which the state of a key that gets no more blocks goes.
+Blocks may come late or out of order: a block waits in the state until all before it are there. What never comes is given up, and what waits is released,
+
+* with `patience`, when nothing has come for its key for so many seconds;
+* with `ahead`, when more than so many blocks wait (this bounds the state);
+* with `event_time`, a column of the stream that has a watermark, when the watermark has passed the first block that waits.
+
+Frames that were lost are counted in the column `dropped`: of the next row that the key puts out or, if none comes before its end mark, of a row without
+samples in the mark's place. Blocks that come after they were given up are dropped too. The kernels are those of the batch
+operators, so a stream's output equals the batch's. `forget` is a time after which the state of a key that gets no more blocks goes, but for two numbers:
+a key that goes on after it starts with fresh effects at the first block that comes, and counts what is missing before that as lost.
 Streams with `patience` or `forget` run batches without rows for their timers; for a trigger that should end (availableNow), set
 spark.sql.streaming.noDataMicroBatches.enabled to false.
 The session needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
@@ -21,159 +27,218 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sampleloom.kernels import effects as fx
 from sampleloom.kernels.sinc import StreamResampler
+from sampleloom.operators.automation import Automated, Automation
 from sampleloom.operators.tables import CHUNKS, KEY
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Ordered(StatefulProcessor):
-    """Calls step(state, block, chunk, start) for the blocks of a key in the order of their numbers; a block of no samples ends the key.
+    """Calls step(state, block, chunk, start, lost, marks) for the blocks of a key in the order of their numbers; a block of no samples ends the key.
 
-    A block is (channels, samples): one channel, or all `channels` of a track once each has come. The value state holds (next block, next frame,
-    kernel state), the map state what came early.
+    A block is (channels, samples): one channel, or all `channels` of a track once each has come; `lost` is how many frames are missing before it. The value
+    state holds (next block, next frame, kernel state, losses that no row has told, losses before the next block), the map state what came early.
     """
 
-    def __init__(self, fresh: Callable, step: Callable, channels: int | None, patience: float | None, forget: float | None):
-        self.fresh, self.step, self.channels, self.patience, self.forget = fresh, step, channels, patience, forget
+    def __init__(self, fresh: Callable, step: Callable, place: Callable, channels: int | None, patience: float | None, ahead: int | None, event_time: bool, forget: float | None):
+        self.fresh, self.step, self.place, self.channels = fresh, step, place, channels
+        self.patience, self.ahead, self.event_time, self.forget = patience, ahead, event_time, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = None if self.forget is None else int(self.forget * 1000)
         self.handle = handle
         self.kept = handle.getValueState("kept", "state binary", ttl)
-        self.early = handle.getMapState("early", "chunk long, channel int", "start_frame long, samples array<double>", ttl)
+        self.early = handle.getMapState("early", "chunk long, channel int", "start_frame long, samples array<double>, marks array<double>, ts long", ttl)
+        self.reached = handle.getValueState("reached", "block long, frame long")
 
-    def _held(self) -> tuple:
+    def _held(self) -> list:
         held = self.kept.get() if self.kept.exists() else None
-        return pickle.loads(held[0]) if held else (0, 0, self.fresh())
-
-    def _block(self, chunk: int) -> tuple[int, np.ndarray | None, list[int]] | None:
-        """(start_frame, block or None at the end, channels) if all of it is there; it leaves the state."""
-        if self.channels is None:
-            names = [self.channel]
-        else:
-            names = list(range(self.channels))
+        return pickle.loads(held[0]) if held else [0, 0, self.fresh(), 0, 0]
+
+    def _names(self) -> list[int]:
+        return [self.channel] if self.channels is None else list(range(self.channels))
+
+    def _block(self, chunk: int) -> tuple[int, np.ndarray | None, list] | None:
+        """(start_frame, block or None at the end, marks) if all of it is there; it leaves the state."""
+        names = self._names()
         if not all(self.early.containsKey((chunk, c)) for c in names):
             return None
         got = [self.early.getValue((chunk, c)) for c in names]
         for c in names:
             self.early.removeKey((chunk, c))
-        n = max(len(x) for _, x in got)
+        n = max(len(x[1]) for x in got)
         block = np.zeros((len(names), n))
-        for i, (_, x) in enumerate(got):
-            block[i, : len(x)] = x
-        return int(got[0][0]), block if n else None, names
+        for i, x in enumerate(got):
+            block[i, : len(x[1])] = x[1]
+        return int(got[0][0]), block if n else None, list(got[0][2])
 
-    def _through(self, track: int, held: tuple, dropped: int = 0) -> tuple[list[tuple], tuple]:
-        """What the blocks from the next one on give, as far as they are there."""
-        expected, frame, state = held
+    def _through(self, track: int, held: list) -> list[tuple]:
+        """What the blocks from the next one on give, as far as they are there; held moves on."""
         out: list[tuple] = []
-        while (found := self._block(expected)) is not None:
-            start, block, names = found
-            for chunk, at, made in self.step(state, block, expected, start):
-                out += [(track, c, chunk, at, made[i].tolist(), dropped if i == 0 else 0) for i, c in enumerate(names)]
-                dropped = 0
-            expected, frame = expected + 1, start + (0 if block is None else block.shape[1])
+        names = self._names()
+        while (found := self._block(held[0])) is not None:
+            start, block, marks = found
+            for chunk, at, made in self.step(held[2], block, held[0], start, held[4], marks):
+                out += [(track, c, chunk, at, made[i].tolist(), held[3] if i == 0 else 0) for i, c in enumerate(names)]
+                held[3] = 0
+            held[4] = 0
             if block is None:  # the end of the signal: the next block is a new one's first
-                expected, frame, state = 0, 0, self.fresh()
-        return out, (expected, frame, state)
+                if held[3]:
+                    out.append((track, names[0], *self.place(held[2], held[0], start), [], held[3]))
+                held[:] = [0, 0, self.fresh(), 0, 0]
+            else:
+                held[0], held[1] = held[0] + 1, start + block.shape[1]
+        return out
+
+    @staticmethod
+    def _skip(held: list, block: int, start: int) -> None:
+        """Goes on at this block; what is missing before it is lost."""
+        lost = max(0, start - held[1])
+        held[0], held[1], held[3], held[4] = block, start, held[3] + lost, held[4] + lost
+
+    def _release(self, track: int, held: list, most: int = 0) -> list[tuple]:
+        """While more than `most` blocks wait: what is incomplete before the first whole block is given up."""
+        out: list[tuple] = []
+        need = len(self._names())
+        while True:
+            waiting = sorted(tuple(k) for k in self.early.keys())
+            if len({k for k, _ in waiting}) <= most:
+                return out
+            chunks = [k for k, _ in waiting]
+            whole = next((k for k in chunks if chunks.count(k) == need), None)
+            for k, c in waiting:
+                if whole is None or k < whole:
+                    self.early.removeKey((k, c))
+            if whole is None:
+                return out
+            self._skip(held, whole, int(self.early.getValue((whole, waiting[chunks.index(whole)][1]))[0]))
+            out += self._through(track, held)
 
-    def _done(self, out: list[tuple], held: tuple):
+    def _done(self, out: list[tuple], held: list):
         import pandas as pd
 
         self.kept.update((pickle.dumps(held),))
+        if self.forget is not None:
+            self.reached.update((held[0], held[1]))
         made = pd.DataFrame(out, columns=["track_id", "channel", "chunk", "start_frame", "samples", "dropped"])
-        return made if self.patience is not None else made.drop(columns="dropped")
+        return made if _counts(self.patience, self.ahead, self.event_time, self.forget) else made.drop(columns="dropped")
+
+    def _time(self, timerValues) -> None:
+        """One timer, as long as blocks wait."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+        waiting = [k for k in self.early.keys()]
+        if waiting and self.event_time:
+            self.handle.registerTimer(min(int(self.early.getValue(tuple(k))[3]) for k in waiting) + 1)
+        elif waiting:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.patience * 1000))
 
     def handleInputRows(self, key, rows, timerValues):
-        held = self._held()
         self.channel = int(key[1]) if self.channels is None else None
+        known, held, track = self.kept.exists(), self._held(), int(key[0])
+        first: tuple[int, int] | None = None
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 if r.chunk >= held[0]:
-                    self.early.updateValue((int(r.chunk), int(r.channel)), (int(r.start_frame), [float(x) for x in r.samples]))
-        out, held = self._through(int(key[0]), held)
-        if self.patience is not None:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-            if any(True for _ in self.early.keys()):
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.patience * 1000))
+                    self.early.updateValue((int(r.chunk), int(r.channel)), (int(r.start_frame), [float(x) for x in r.samples], [float(x) for x in r.marks], int(r.ts)))
+                    first = min(first or (int(r.chunk), int(r.start_frame)), (int(r.chunk), int(r.start_frame)))
+        if not known and self.forget is not None and first and self.reached.exists():
+            block, frame = self.reached.get()
+            if first[0] >= block > 0:  # forgotten in the middle of its signal; a number before that begins a new one
+                held[1] = int(frame)
+                self._skip(held, *first)
+        out = self._through(track, held)
+        if self.ahead is not None:
+            out += self._release(track, held, self.ahead)
+        if self.patience is not None or self.event_time:
+            self._time(timerValues)
         yield self._done(out, held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        """Nothing came for so long: what is incomplete before the first whole block is given up."""
-        held = self._held()
+        """Nothing came for so long, or what waits is of the past."""
         self.channel = int(key[1]) if self.channels is None else None
-        out: list[tuple] = []
-        while waiting := sorted(tuple(k) for k in self.early.keys()):
-            need = 1 if self.channels is None else self.channels
-            chunks = [k for k, _ in waiting]
-            whole = next((k for k in chunks if chunks.count(k) == need), None)
-            for k, c in waiting:
-                if whole is None or k < whole:
-                    self.early.removeKey((k, c))
-            if whole is None:
-                break
-            start = int(self.early.getValue((whole, waiting[chunks.index(whole)][1]))[0])
-            more, held = self._through(int(key[0]), (whole, start, held[2]), max(0, start - held[1]))
-            out += more
-        yield self._done(out, held)
+        held = self._held()
+        yield self._done(self._release(int(key[0]), held), held)
 
     def close(self) -> None:
         pass
 
 
-def _stateful(chunks_stream: DataFrame, fresh: Callable, step: Callable, channels: int | None = None, patience: float | None = None, forget: float | None = None) -> DataFrame:
-    rows = chunks_stream.select("track_id", "channel", "chunk", "start_frame", F.col("samples").cast("array<double>").alias("samples"))
+def _counts(patience: float | None, ahead: int | None, event_time: str | bool | None, forget: float | None) -> bool:
+    return patience is not None or ahead is not None or bool(event_time) or forget is not None
+
+
+def _stateful(chunks_stream: DataFrame, fresh: Callable, step: Callable, place: Callable, channels: int | None, patience: float | None, ahead: int | None, event_time: str | None, forget: float | None, marks: str | None = None) -> DataFrame:
+    if event_time and (patience is not None or forget is not None):
+        raise ValueError("event_time can't be used together with patience or forget, which go by the clock")
+    told = F.coalesce(F.col(marks).cast("array<double>"), F.array().cast("array<double>")) if marks else F.array().cast("array<double>")
+    ts = F.unix_millis(F.col(event_time).cast("timestamp")) if event_time else F.lit(0).cast("long")
+    extra = [F.col(event_time)] if event_time else []  # the column with the watermark has to stay
+    rows = chunks_stream.select("track_id", "channel", "chunk", "start_frame", F.col("samples").cast("array<double>").alias("samples"), told.alias("marks"), ts.alias("ts"), *[c.alias("__watermarked") for c in extra])
     by = KEY if channels is None else ["track_id"]
-    timed = "None" if patience is None and forget is None else "ProcessingTime"
-    schema = CHUNKS if patience is None else f"{CHUNKS}, dropped long"
-    return rows.groupBy(*by).transformWithStateInPandas(_Ordered(fresh, step, channels, patience, forget), outputStructType=schema, outputMode="Append", timeMode=timed)
+    timed = "EventTime" if event_time else ("None" if patience is None and forget is None else "ProcessingTime")
+    schema = f"{CHUNKS}, dropped long" if _counts(patience, ahead, event_time, forget) else CHUNKS
+    return rows.groupBy(*by).transformWithStateInPandas(_Ordered(fresh, step, place, channels, patience, ahead, bool(event_time), forget), outputStructType=schema, outputMode="Append", timeMode=timed)
 
 
-def stream_effects(chunks_stream: DataFrame, effects: list[fx.Effect], rate: float, channels: int | None = None, patience: float | None = None, forget: float | None = None) -> DataFrame:
+def stream_effects(
+    chunks_stream: DataFrame, effects: list[fx.Effect], rate: float, channels: int | None = None, patience: float | None = None, forget: float | None = None, ahead: int | None = None, event_time: str | None = None, automation: Automation | None = None, marks: str = "marks"
+) -> DataFrame:
     """A chain of effects, block by block. A block without samples resets the state and keeps the parameters.
 
     Effects that join channels, as Reverb does, need `channels`, how many a track has; a block then waits for all of its channels. `patience` and
-    `forget` are in seconds. After a loss the kernels go on with the state that they had before it.
+    `forget` are in seconds. After a loss the kernels go on with the state that they had before it. With `automation` each block brings the
+    points of its curves in the column `marks` (frame, which, value, frame, ...), as operators.automation has them.
     """
     joined = fx.worst(effects) == "track"
     if joined and channels is None:
         raise ValueError("effects that join channels need the number of a track's channels")
+    Automated(effects, automation or {}, rate)
 
     def fresh():
-        return [e.init_state(rate, channels if joined else 1) for e in effects]
+        return Automated(effects, automation or {}, rate)
 
-    def step(state, block, chunk, start):
+    def step(state, block, chunk, start, lost, points):
         if block is None:
             return []
-        for e, s in zip(effects, state, strict=True):
-            block = e.process(block, s, start)
-        return [(chunk, start, block)]
+        state.tell(points)
+        return [(chunk, start, state.process(block, start))]
 
-    return _stateful(chunks_stream, fresh, step, channels if joined else None, patience, forget)
+    def place(state, chunk, start):
+        return chunk, start
 
+    return _stateful(chunks_stream, fresh, step, place, channels if joined else None, patience, ahead, event_time, forget, marks if automation else None)
 
-def stream_resample(chunks_stream: DataFrame, src: float, dst: float, quality: str = "sinc32", patience: float | None = None, forget: float | None = None) -> DataFrame:
-    """Resampling in constant memory: unused input and totals are kept; a block without samples flushes and resets."""
+
+def stream_resample(chunks_stream: DataFrame, src: float, dst: float, quality: str = "sinc32", patience: float | None = None, forget: float | None = None, ahead: int | None = None, event_time: str | None = None) -> DataFrame:
+    """Resampling in constant memory: unused input and totals are kept; a block without samples flushes and resets. Lost frames move the numbers of
+    the frames after them on by as many frames as they would have given."""
 
     def fresh():
-        return {"resampler": StreamResampler(src, dst, quality), "chunk": 0, "frame": 0}
+        return {"resampler": StreamResampler(src, dst, quality), "chunk": 0, "frame": 0, "lost": 0}
 
-    def step(state, block, chunk, start):
+    def step(state, block, chunk, start, lost, points):
         made = state["resampler"].process(block)
+        state["lost"] += lost
         if not made.shape[1]:
             return []
-        row = (state["chunk"], state["frame"], made)
+        row = (state["chunk"], place(state, 0, 0)[1], made)
         state["chunk"] += 1
         state["frame"] += made.shape[1]
         return [row]
 
-    return _stateful(chunks_stream, fresh, step, None, patience, forget)
+    def place(state, chunk, start):
+        return state["chunk"], state["frame"] + int(state["lost"] * dst // src)
+
+    return _stateful(chunks_stream, fresh, step, place, None, patience, ahead, event_time, forget)
 
 
 class _Gaps(StatefulProcessor):
+    def __init__(self, forget: float | None):
+        self.forget = forget
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "next_frame long, dropped long")
+        self.kept = handle.getValueState("kept", "next_frame long, dropped long", None if self.forget is None else int(self.forget * 1000))
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
@@ -192,10 +257,11 @@ class _Gaps(StatefulProcessor):
         pass
 
 
-def dropped_frames(chunks_stream: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """track_id, next_frame, dropped: frames lost so far, an update for each batch. chunks_stream has ts; repeated blocks count once, blocks that come after a later one count as lost."""
+def dropped_frames(chunks_stream: DataFrame, delay: str = "10 seconds", forget: float | None = None) -> DataFrame:
+    """track_id, next_frame, dropped: frames lost so far, an update for each batch. chunks_stream has ts; repeated blocks count once, blocks that come after a later one count as lost.
+    After `forget` seconds without a block a track's counts go; what comes then is counted from frame 0 of a new signal."""
     blocks = chunks_stream.select("track_id", "ts", "start_frame", F.size("samples").alias("n")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["track_id", "start_frame"])
-    return blocks.groupBy("track_id").transformWithStateInPandas(_Gaps(), outputStructType="track_id long, next_frame long, dropped long", outputMode="Append", timeMode="None")
+    return blocks.groupBy("track_id").transformWithStateInPandas(_Gaps(forget), outputStructType="track_id long, next_frame long, dropped long", outputMode="Append", timeMode="None" if forget is None else "ProcessingTime")
 
 
 def check_dropped(counts: DataFrame) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sampleloom.jobs import store_queries
 from sampleloom.kernels import effects as fx
 from sampleloom.kernels.sinc import Resampler
-from sampleloom.operators import board, tables
+from sampleloom.operators import automation, board, tables
 from sampleloom.streaming import levels, stateful
 
 SCHEMA = "track_id long, channel int, chunk long, start_frame long, samples array<double>, ts timestamp_ntz"
@@ -73,6 +73,79 @@ def test_a_lost_block_is_given_up(spark, tmp_path):
         assert start == 50 * k and np.allclose(samples, x[start : start + 50] * 10 ** (6 / 20))
 
 
+def ended(spark, run):
+    """Streams with timers wait for them; so that they end, batches without rows are off."""
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(idle, "false")
+    try:
+        return run()
+    finally:
+        spark.conf.set(idle, "true")
+
+
+def lost(got):
+    return sum(r.dropped for r in got.collect())
+
+
+@pytest.mark.parametrize("how", [{"patience": 0.0}, {"ahead": 1}, {"event_time": "ts"}])
+def test_every_lost_frame_is_counted(spark, tmp_path, how):
+    """Also where the released block puts nothing out, as short blocks before a sinc's latency, and in front of the end mark."""
+    x = np.random.default_rng(3).uniform(-1, 1, 640)
+    rows = rows_of(x, 16)
+    end = (1, 0, len(rows), 640, [], rows[-1][5])
+    late = lambda s: s.withWatermark("ts", "0 seconds") if "event_time" in how else s
+    batches = [rows[:3], rows[4:6], rows_of(x, 16, track=2)[:1], rows[6:20], rows[20:39], [end, (3, 0, 0, 0, [0.0], rows[-1][5])]]
+    batches += [[(4, 0, 0, 0, [0.0], rows[-1][5].replace(year=2025))], [(4, 0, 1, 1, [0.0], rows[-1][5].replace(year=2026))]]
+    got = ended(spark, lambda: streamed(spark, tmp_path, batches, lambda s: stateful.stream_resample(late(s), 1000.0, 1600.0, "sinc32", **how), "count"))
+    one = got.filter("track_id = 1").orderBy("chunk").collect()
+    if "ahead" in how:  # what waits behind one gap only is not more than allowed, so the last block stays until more come
+        assert sum(r.dropped for r in one) == 16
+    else:
+        assert sum(r.dropped for r in one) == 32
+    made = [r for r in one if len(r.samples)]
+    # the frames that are missing move the others on
+    assert made[-1].start_frame + len(made[-1].samples) <= 1024 and made[-1].start_frame - sum(len(r.samples) for r in made[:-1]) == (25 if "ahead" in how or made[-1].dropped == 0 else 51)
+
+
+def test_a_loss_before_the_end_of_a_silent_effect(spark, tmp_path):
+    """The end mark itself has to tell what was lost."""
+    rows = rows_of(np.ones(200), 50)
+    end = (1, 0, 4, 200, [], rows[-1][5])
+    got = ended(spark, lambda: streamed(spark, tmp_path, [rows[:3], [end], rows_of(np.ones(50), 50, track=2)], lambda s: stateful.stream_effects(s, [fx.Gain(0.0)], 1000.0, patience=0.0), "end"))
+    out = [(r.chunk, r.start_frame, len(r.samples), r.dropped) for r in got.filter("track_id = 1").orderBy("chunk").collect()]
+    assert out == [(0, 0, 50, 0), (1, 50, 50, 0), (2, 100, 50, 0), (4, 200, 0, 50)]
+
+
+def test_a_forgotten_key_goes_on(spark, tmp_path):
+    rows = rows_of(np.ones(500), 50)
+    batches = [rows[:3], rows_of(np.ones(50), 50, track=2), rows[5:7], rows_of(np.ones(50), 50, track=3), rows[7:]]
+    got = ended(spark, lambda: streamed(spark, tmp_path, batches, lambda s: stateful.stream_effects(s, [fx.Gain(0.0)], 1000.0, forget=0.001), "forget"))
+    out = {r.chunk: r.dropped for r in got.filter("track_id = 1").collect()}
+    assert out == {0: 0, 1: 0, 2: 0, 5: 100, 6: 0, 7: 0, 8: 0, 9: 0}
+
+
+def test_too_many_waiting_blocks_end_the_wait(spark, tmp_path):
+    rows = rows_of(np.ones(500), 50)
+    got = streamed(spark, tmp_path, [rows[:1], rows[2:4], rows[4:6], rows[6:]], lambda s: stateful.stream_effects(s, [fx.Gain(0.0)], 1000.0, ahead=3), "ahead")
+    assert {r.chunk: r.dropped for r in got.collect()} == {0: 0, 2: 50} | {k: 0 for k in range(3, 10)}
+    with pytest.raises(ValueError, match="event_time"):
+        stateful.stream_effects(got, [fx.Gain()], 1000.0, patience=1.0, event_time="ts")
+
+
+def test_automated_stream_equals_batch(spark, tmp_path):
+    x = np.random.default_rng(8).uniform(-1, 1, 500)
+    rows = rows_of(x, 50)
+    params = [(1, 7, "cut", 900.0), (1, 50, "cut", 100.0), (1, 50, "wet", 0.9), (1, 223, "cut", 300.0), (1, 499, "wet", 0.0)]
+    own, follow = lambda: [fx.LowpassFilter(50.0), fx.Reverb(0.6)], {(0, "cutoff_frequency_hz"): "cut", (1, "wet_level"): "wet"}
+    chunks = spark.createDataFrame([r[:5] for r in rows], tables.CHUNKS)
+    table = spark.createDataFrame(params, "track_id long, frame long, name string, value double")
+    want = [r.value for r in tables.unpack(automation.apply_automated(chunks, own(), 4000.0, table, follow)).orderBy("frame").collect()]
+    told = {r.chunk: r.marks for r in automation.marks(chunks, table, follow, ["track_id"]).collect()}
+    stream = lambda s: s.withColumn("marks", F.expr("CASE chunk " + " ".join(f"WHEN {k} THEN array({', '.join(f'{v}D' for v in m)})" for k, m in told.items()) + " END"))
+    got = streamed(spark, tmp_path, [rows[:3], rows[6:], rows[3:6]], lambda s: stateful.stream_effects(stream(s), own(), 4000.0, channels=1, automation=follow), "auto")
+    assert np.allclose([r.value for r in tables.unpack(got).orderBy("frame").collect()], want, atol=1e-12)
+
+
 def test_reverb_streams_like_the_batch(spark, tmp_path):
     """Channels of a block may come apart, and the blocks in another order."""
     x = np.random.default_rng(5).uniform(-1, 1, (2, 400))
