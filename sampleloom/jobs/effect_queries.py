@@ -12,7 +12,7 @@ from sampleloom.functions import values
 from sampleloom.jobs.signals import CURVE, EMB, EMB2, EV, LI, RATE, curve, emb, emb2, emb_chunks, ev, frames_out, li, li_chunks, read, rounded, value_sql
 from sampleloom.kernels import effects as fx
 from sampleloom.kernels import linear, sinc
-from sampleloom.operators import automation, board, channels, filters, resample, scan, shift, tables
+from sampleloom.operators import automation, board, channels, filters, resample, responses, scan, shift, tables
 
 ALL: dict[str, tuple] = {}
 BLOCK = 16
@@ -138,6 +138,28 @@ def f7_convolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(filters.convolve(li_chunks(spark, sf_dir), RATE, impulse(spark, sf_dir), RATE, mix=0.75))
 
 
+_MANY = f"""{LI}, r AS (SELECT CAST(vec_id AS BIGINT) AS response_id, i - 1 AS k, CAST(embedding[i] AS DOUBLE) AS h FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)),
+    g AS (SELECT response_id, 0.125 / sqrt(sum(h * h)) AS g FROM r GROUP BY response_id), t AS (SELECT DISTINCT track_id FROM li),
+    c AS (SELECT track_id, track_id * 7 % (SELECT count(*) FROM embeddings) AS response_id, 0.75 AS mix FROM t UNION SELECT track_id, track_id * 3 % (SELECT count(*) FROM embeddings), 0.4 FROM t), u AS (SELECT track_id, response_id, max(mix) AS mix FROM c GROUP BY ALL)"""
+
+
+@query(
+    "f7_convolve_responses",
+    f"""WITH {_MANY}, v AS (SELECT x.track_id, u.response_id, x.channel, x.frame, (1 - u.mix) * x.value + u.mix * sum(g * h * y.value) AS v FROM u JOIN li x USING (track_id) JOIN g ON g.response_id = u.response_id JOIN r ON r.response_id = u.response_id
+    JOIN li y ON y.track_id = x.track_id AND y.frame = x.frame - r.k GROUP BY x.track_id, u.response_id, u.mix, x.channel, x.frame, x.value)
+    SELECT track_id, response_id, channel, frame, round(v, 6) + 0.0 AS value FROM v""",
+)
+def f7_convolve_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two responses a track, of as many as there are vectors."""
+    vectors = read(spark, sf_dir, "embeddings")
+    blocks = vectors.select(F.col("vec_id").alias("response_id"), F.lit(0).alias("channel"), F.lit(0).alias("chunk"), F.lit(0).alias("start_frame"), F.col("embedding").alias("samples"))
+    tracks, n = li(spark, sf_dir).select("track_id").distinct(), vectors.count()
+    chosen = tracks.select("track_id", (F.col("track_id") * 7 % n).alias("response_id"), F.lit(0.75).alias("mix")).unionByName(tracks.select("track_id", (F.col("track_id") * 3 % n).alias("response_id"), F.lit(0.4).alias("mix")))
+    made = responses.convolve_with(li_chunks(spark, sf_dir), responses.prepare_responses(blocks, RATE, RATE), chosen)
+    frames = made.select("track_id", "response_id", "channel", "start_frame", F.posexplode("samples").alias("i", "value"))
+    return rounded(frames.select("track_id", "response_id", "channel", (F.col("start_frame") + F.col("i")).cast("long").alias("frame"), "value"), "value")
+
+
 # dynamics, against the recurrence of the envelope
 
 
