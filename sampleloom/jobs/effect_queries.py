@@ -13,6 +13,7 @@ from sampleloom.jobs.signals import CURVE, EMB, EMB2, EV, LI, RATE, curve, emb,
 from sampleloom.kernels import effects as fx
 from sampleloom.kernels import linear, sinc
 from sampleloom.operators import automation, board, channels, filters, resample, responses, scan, shift, tables
+from sampleloom.sources.store import scratch
 
 ALL: dict[str, tuple] = {}
 BLOCK = 16
@@ -216,6 +217,15 @@ def y3_noise_gate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(scan.apply_along_time(ev_chunks(spark, sf_dir), [fx.NoiseGate(-12.0, 4.0, 2.0, 30.0)], RATE))
 
 
+@query("s6_bucketed_board", ALL["y1_compressor"][1])
+def s6_bucketed_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compressor over a bucketed store, which is shuffled once, when it is written."""
+    folder = scratch(spark, "store")
+    name = "store_" + folder.rsplit("-", 1)[-1]
+    tables.write_store(ev_chunks(spark, sf_dir), name, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return out(board.apply_effects(tables.read_store(spark, name), [fx.Compressor(-20.0, 4.0, 2.0, 50.0)], RATE, stored=True))
+
+
 # modulation and space
 @query(
     "m1_chorus",

@@ -144,11 +144,15 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_order(chunks: DataFrame, by: list[str], make: Callable[[], Callable]) -> DataFrame:
-    """One ordered pass: make() gives, once for each key, f(block or None at the key's end, start_frame, channels) -> blocks of output."""
-    dealt = chunks.select("track_id", "channel", "chunk", "start_frame", F.col("samples").cast("array<double>").alias("samples")).repartition(_tasks(chunks), *by).sortWithinPartitions(*by, "chunk", "channel")
+def in_order(chunks: DataFrame, by: list[str], make: Callable[[], Callable], stored: bool = False) -> DataFrame:
+    """One ordered pass: make() gives, once for each key, f(block or None at the key's end, start_frame, channels) -> blocks of output.
 
-    def run(batches):
+    `stored` says that a table's layout may do for the dealing (tables.read_store): where Spark finds that it does, nothing is shuffled, nor sorted that is known to be.
+    """
+    rows = chunks.select("track_id", "channel", "chunk", "start_frame", F.col("samples").cast("array<double>").alias("samples"))
+    order = dict.fromkeys([*by, "chunk", "channel"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         key, f, chunk_no, frame, channels = None, None, 0, 0, []
 
@@ -180,7 +184,15 @@ def in_order(chunks: DataFrame, by: list[str], make: Callable[[], Callable]) ->
         if out:
             yield _batch(out)
 
-    return dealt.mapInArrow(run, CHUNKS)
+    if stored:
+        made = rows.sortWithinPartitions(*order).groupBy(*by).applyInArrow(run, CHUNKS)
+        if _exchanges(made) == _exchanges(rows):  # else Spark would shuffle what is sorted
+            return made
+    return rows.repartition(_tasks(chunks), *by).sortWithinPartitions(*order).mapInArrow(run, CHUNKS)
+
+
+def _exchanges(df: DataFrame) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
 
 
 def in_ranges(chunks: DataFrame, by: list[str], before: int, after: int, work: Callable) -> DataFrame:
@@ -220,7 +232,8 @@ def in_ranges(chunks: DataFrame, by: list[str], before: int, after: int, work: C
     return dealt.mapInArrow(run, CHUNKS)
 
 
-def apply_effects(chunks: DataFrame, effects: list[fx.Effect], rate: float) -> DataFrame:
+def apply_effects(chunks: DataFrame, effects: list[fx.Effect], rate: float, stored: bool = False) -> DataFrame:
+    """`stored`: chunks come from tables.read_store(), so an ordered pass needs no shuffle."""
     head, middle, tail = plan(effects)
     df = chunks if not head else values.on_chunks(chunks, lambda c: sample_wise(head, c))
     if middle:
@@ -262,13 +275,13 @@ def apply_effects(chunks: DataFrame, effects: list[fx.Effect], rate: float) -> D
             whole = through(x[:, :stop], [], first)
             return cut(whole[:, own[0][1] - first :], own)
 
-        df = in_order(df, by, make) if memory is None else in_ranges(df, by, memory, 0, work)
+        df = in_order(df, by, make, stored) if memory is None else in_ranges(df, by, memory, 0, work)
     return df if not tail else values.on_chunks(df, lambda c: sample_wise(tail, c))
 
 
-def apply_board(chunks: DataFrame, board: Board | list, rate: float) -> DataFrame:
+def apply_board(chunks: DataFrame, board: Board | list, rate: float, stored: bool = False) -> DataFrame:
     """The board's output, of the same length; an empty board returns the input."""
-    return apply_effects(chunks, (board if isinstance(board, Board) else Board(board)).flat(), rate)
+    return apply_effects(chunks, (board if isinstance(board, Board) else Board(board)).flat(), rate, stored)
 
 
 def resample_chunks(chunks: DataFrame, src: float, dst: float, quality: str = "sinc32", chunk_frames: int = 8192) -> DataFrame:

@@ -116,6 +116,24 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Spark says how a bucketed scan is sorted only with this setting; without it an ordered pass over a store sorts each bucket once more, but doesn't shuffle.
+KNOWN_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+def write_store(chunks: DataFrame, table: str, path: str, buckets: int, by_channel: bool = True) -> None:
+    """A store whose layout Spark knows: `buckets` buckets by track, one sorted file each (by channel and block, or by block and channel for
+    boards that join channels). Boards over read_store(), joins and groups by track don't shuffle. `path` is a shared folder; the table replaces one of that name."""
+    order = ["track_id", "channel", "chunk"] if by_channel else ["track_id", "chunk", "channel"]
+    rows = chunks.select(*KEY, "chunk", "start_frame", F.col("samples").cast("array<double>").alias("samples"))
+    # dealt by the hash that buckets go by, so each task writes one file
+    dealt = rows.repartition(buckets, "track_id").sortWithinPartitions(*order)
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, "track_id").sortBy(*order).format("parquet").saveAsTable(table)
+
+
+def read_store(spark: SparkSession, table: str) -> DataFrame:
+    return spark.table(table)
+
+
 def synth(spark: SparkSession, specs: DataFrame, kind: str = "sine") -> DataFrame:
     """Test signals from specs(track_id, sample_rate, seconds, fundamental_hz): sine (faded in and out), noise, ramp or impulse."""
     n = F.floor(F.col("seconds") * F.col("sample_rate"))
