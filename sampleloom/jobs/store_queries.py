@@ -56,6 +56,30 @@ def s2_s5_wav_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames_out(_named(tables.unpack(wav.read_wav(spark, folder, 24)), spark, folder))
 
 
+@query("s2_wav_files", ALL["s2_s5_wav_round_trip"][1])
+def s2_wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files by a table of their names, which Spark lists."""
+    folder = _files(spark, sf_dir)
+    return frames_out(_named(tables.unpack(wav.read_wav_files(wav.listed(spark, folder), 24)), spark, folder))
+
+
+@query("t1_stream_wav", value_sql(EMB2, f"SELECT track_id, channel, frame, {_PCM} / 32767.0::DOUBLE * pow(10, -3.3 / 20) AS v FROM emb2"))
+def t1_stream_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as a stream, through an effect, to files, which are read back."""
+    folder, out, state = _files(spark, sf_dir), scratch(spark, "wav-out"), scratch(spark, "wav-state")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, stateful.ROCKSDB)
+    try:
+        made = stateful.stream_effects(_named(wav.stream_wav(spark, folder, 24), spark, folder), [fx.Gain(-3.3)], RATE)
+        wav.stream_to_wav(made, out, state, RATE, 64, floating=True).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    names = wav.read_wav_catalog(spark, out).select("track_id", F.regexp_extract("path", r"(\d+)/(\d+)\.wav$", 1).cast("long").alias("name"), F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("first"))
+    back = tables.unpack(wav.read_wav_files(wav.listed(spark, out), 24)).join(names, "track_id")
+    return frames_out(back.select(F.col("name").alias("track_id"), "channel", (F.col("frame") + F.col("first")).alias("frame"), "value"))
+
+
 @query("s3_wav_raw", f"WITH {EMB2} SELECT track_id, channel, frame, {_PCM} AS pcm FROM emb2")
 def s3_wav_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _files(spark, sf_dir)

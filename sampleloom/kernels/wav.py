@@ -25,6 +25,7 @@ class Header:
     bits: int
     offset: int  # of the samples
     frames: int
+    whole: bool = True  # whether the file has all the frames that its header says, and says any
 
     @property
     def frame_bytes(self) -> int:
@@ -61,8 +62,8 @@ def read_header(f: BinaryIO, size: int) -> Header:
                 raise UnsupportedWav(f"codec {NAMES.get(tag, 'unknown')} (format tag 0x{tag:04X}) can't be read")
             if bits not in ok or not channels:
                 raise UnsupportedWav(f"{bits}-bit samples in {channels} channels can't be read")
-            length = min(length, size - at - 8)
-            return Header(tag, channels, float(rate), bits, at + 8, length // (channels * bits // 8))
+            there = min(length, size - at - 8)
+            return Header(tag, channels, float(rate), bits, at + 8, there // (channels * bits // 8), 0 < length == there)
         at += 8 + length + (length & 1)
     raise UnsupportedWav("no samples")
 

@@ -5,6 +5,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sampleloom.kernels import wav
 from sampleloom.operators import channels, tables
@@ -131,3 +132,84 @@ def test_descriptions_have_to_fit(spark, tmp_path):
     with pytest.raises(Exception, match="1400 frames and 999999"):
         source.encode_wav(chunks, tracks).collect()
     assert not list(tmp_path.glob("*.wav"))
+
+
+def test_a_table_of_files(spark, tmp_path):
+    """The listing may be any table; long files are cut; a subset is a filter on it."""
+    rows = [(t, c, k, 100 * k, [0.01 * ((t + k) % 90)] * 100) for t in (1, 2, 3) for c in (0, 1) for k in range(50 if t == 1 else 2)]
+    chunks = spark.createDataFrame(rows, tables.CHUNKS)
+    source.write_wav(chunks, channels.track_info(tables.unpack(chunks), 1000.0), str(tmp_path), 16)
+    key = lambda df: sorted((r.track_id, r.channel, r.chunk, r.start_frame, tuple(r.samples)) for r in df.collect())
+    files = source.listed(spark, str(tmp_path))
+    want = key(source.read_wav(spark, str(tmp_path), 64))
+    assert key(source.read_wav_files(files, 64)) == want == key(source.read_wav_files(files, 64, task_bytes=1000))
+    two = source.read_wav_files(files.filter(f"xxhash64(regexp_replace(path, '^file:/*', '/')) = {source.track_id(f'{tmp_path}/2.wav')}"), 64)
+    assert two.select("track_id").distinct().count() == 1 and two.count() == 2 * 4
+    assert source.read_wav_files(files.filter("false")).count() == 0
+    with pytest.raises(Exception, match="float|24|refused|raw"):
+        source.write_wav(chunks, channels.track_info(tables.unpack(chunks), 1000.0), str(tmp_path / "f"), 24)
+        source.read_wav_files(source.listed(spark, str(tmp_path / "f")), raw=True).collect()
+
+
+def test_a_failing_job_leaves_nothing(spark, tmp_path):
+    """One track doesn't fit its description: other tasks' files don't appear either, older ones stay."""
+    rows = [(t, 0, k, 100 * k, [0.1] * 100) for t in range(40) for k in range(3)]
+    chunks = spark.createDataFrame(rows, tables.CHUNKS)
+    tracks = channels.track_info(tables.unpack(chunks), 1000.0)
+    (tmp_path / "7.wav").write_bytes(b"older")
+    bad = tracks.withColumn("num_frames", F.when(F.col("track_id") == 33, F.lit(5).cast("long")).otherwise(F.col("num_frames")))
+    with pytest.raises(Exception, match="300 frames and 5"):
+        source.write_wav(chunks, bad, str(tmp_path))
+    assert [p.name for p in tmp_path.rglob("*") if not p.name.endswith(".crc")] == ["7.wav"] and (tmp_path / "7.wav").read_bytes() == b"older"
+    done = source.write_wav(chunks, tracks, str(tmp_path))
+    assert done.count() == 40 and sorted(p.name for p in tmp_path.glob("*")) == sorted(f"{t}.wav" for t in range(40))
+    assert {r.bytes for r in done.collect()} == {44 + 600}
+
+
+def recorded(path, x, rate, closed):
+    """A 16-bit recording that is still written, or whole."""
+    data = np.rint(x.T * 32767).astype("<i2").tobytes()
+    head = bytearray(wav.make_header(rate, x.shape[0], x.shape[1], 16, False))
+    if not closed:
+        head[40:44] = b"\0\0\0\0"
+    path.write_bytes(bytes(head) + data)
+
+
+def test_growing_recordings_as_a_stream(spark, tmp_path):
+    """Stopped and started again while files grow: each frame comes once, and so does each end; what comes out are files, one a track and epoch."""
+    rng = np.random.default_rng(9)
+    x, y = rng.uniform(-0.5, 0.5, (2, 1000)), rng.uniform(-0.5, 0.5, (1, 130))
+    src, out = tmp_path / "src", tmp_path / "out"
+    src.mkdir()
+    own = source.track_id(f"{src}/a.wav")
+    steps = [lambda: recorded(src / "a.wav", x[:, :333], 8000.0, False), lambda: recorded(src / "a.wav", x[:, :750], 8000.0, False), lambda: None, lambda: (recorded(src / "a.wav", x, 8000.0, True), recorded(src / "b.wav", y, 8000.0, True)), lambda: (src / "c.wav").write_bytes(b"RIFF")]
+    seen = tmp_path / "seen"
+    for step in steps:
+        step()
+        blocks = source.stream_wav(spark, str(src), 100)
+        blocks.writeStream.format("parquet").option("path", str(seen)).option("checkpointLocation", str(tmp_path / "cp1")).trigger(availableNow=True).start().awaitTermination(120)
+        source.stream_to_wav(source.stream_wav(spark, str(src), 100), str(out), str(tmp_path / "cp2"), 8000.0).trigger(availableNow=True).start().awaitTermination(120)
+    rows = spark.read.parquet(str(seen)).collect()
+    ends = [(r.track_id == own, r.channel, r.chunk) for r in rows if not r.samples]
+    assert sorted(ends) == [(False, 0, 2), (True, 0, 10), (True, 1, 10)]
+    for c in (0, 1):
+        mine = sorted((r.start_frame, r.samples) for r in rows if r.track_id == own and r.channel == c and r.samples)
+        assert [s for s, _ in mine] == list(range(0, 1000, 100))
+        assert np.abs(np.concatenate([v for _, v in mine]) - x[c]).max() < 1 / 32767
+    files = sorted(out.glob(f"{own}/*.wav"))
+    assert [int(p.stem) for p in files] == [0, 300, 700]
+    whole = [wav.decode(p.read_bytes()[44:], wav.read_header(io.BytesIO(p.read_bytes()), p.stat().st_size)) for p in files]
+    assert np.abs(np.concatenate(whole, axis=1) - x).max() < 2 / 32767
+    assert not list(out.glob("_staging*"))
+
+
+def test_an_epoch_that_is_run_again_replaces_its_files(tmp_path):
+    import pyarrow as pa
+
+    writer = source.WavStreamWriter({"path": str(tmp_path), "sample_rate": "1000"})
+    batch = pa.RecordBatch.from_pydict({"track_id": [1, 1, 2], "channel": pa.array([0, 0, 0], pa.int32()), "chunk": [4, 3, 0], "start_frame": [40, 30, 0], "samples": [[0.5] * 10, [0.25] * 10, []]})
+    (tmp_path / "s").mkdir()
+    for _ in range(2):
+        made = list(writer._sorted([batch]))
+        assert sum(b.num_rows for b in made) == 2 and made[0].column(3).to_pylist()[0] == 30
+        assert made[0].column(7).to_pylist()[0] == 20
