@@ -9,7 +9,9 @@ things are then fused to a path's score:
 * its smoothed ratio;
 * the content near it in the tree: each path spreads its mass (ratio times text) to the containers around,
   DECAY of it for each step, so short list items beside long paragraphs gain and far-off boxes don't;
-* a weight for what its element names, classes and roles suggest. Weights scale the score, none decides alone.
+* a weight for what its element names, classes and roles suggest. What a class or id suggests counts by how much of the page is
+  elsewhere: with OUTSIDE of the mass outside the element (itself weighed by its hints) it counts in full, with less as a power of less than one, and around a whole
+  page not at all; so a wrapper called content-sidebar is no sidebar. On a paragraph, item or cell it counts half, and never decides alone.
 
 Paths whose score reaches THRESHOLD of the page's best (of 1, if that is greater) are content, and the
 text is all of their blocks, nothing else. An `article` is no exception: its blocks stand or fall by their paths.
@@ -67,6 +69,10 @@ WEAK = set("related recommend recommended recommendation recommendations widget
 #: Parts of a class name that say nothing: `share-bar` is a share, `share-price` is not.
 NEUTRAL = set("bar box list wrap wrapper wrapped container inner outer section block area main primary secondary top bottom left right side global site page post posts link links button buttons btn icon icons item items content text title label form head body group row col column unit slot area module component holder panel the a my js".split())
 STRONG_WEIGHT, WEAK_WEIGHT = 0.2, 0.45
+#: The share of the page's mass outside an element with which its classes count in full.
+OUTSIDE = 0.1
+#: Elements that hold text rather than areas: of what their classes say the square root counts.
+LEAVES = {"p", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption", "caption", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: A form that holds this share of a page's text, in blocks of this mean length, is the page itself.
 PAGE_FORM, FORM_LENGTH = 0.5, 100.0
 
@@ -90,7 +96,8 @@ class Path:
 
     parent: int
     container: int  # the node whose element holds its content
-    weight: float
+    weight: float  # of elements and roles
+    hint: float  # what the class or id of this element takes from it
     content: bool  # an article or main element is on it
     form: int  # the outermost form on it, or 0
     text: int = 0
@@ -101,7 +108,7 @@ class Path:
 
 @dataclass
 class Page:
-    paths: list[Path] = field(default_factory=lambda: [Path(0, 0, 1.0, False, 0)])
+    paths: list[Path] = field(default_factory=lambda: [Path(0, 0, 1.0, 1.0, False, 0)])
     blocks: list[tuple[int, str]] = field(default_factory=list)  # (path, text)
 
 
@@ -125,6 +132,7 @@ def read_page(page: str) -> Page:
     texts: list[str] = []
     where = links = at = 0
     in_link, unclosed = False, set()
+    cells: dict[int, int] = {}  # cells so far of the row that is open on a path
 
     def flush() -> None:
         nonlocal links
@@ -152,14 +160,17 @@ def read_page(page: str) -> Page:
 
     def opened(name: str, attrs: str) -> int:
         top = stack[-1][1]
-        label, own, content = name, 1.0, name in CONTENT
+        label, own, hinted, content = name, 1.0, 1.0, name in CONTENT
+        if name in ("td", "th"):  # the cells of a row may be the columns of a page
+            cells[top] = cells.get(top, 0) + 1
+            label += str(cells[top])
         if attrs:
             for key, *values in _ATTR.findall(attrs):
                 value, key = next(filter(None, values), ""), key.lower()
                 if key == "class":
                     label += "." + ".".join(value.lower().split())
                 if key in ("class", "id") and name not in ("html", "body"):
-                    own = min(own, hint(value))
+                    hinted = min(hinted, hint(value))
                 elif key == "role":
                     own = min(own, ROLES.get(value.lower(), 1.0))
                     content |= value.lower() in CONTENT_ROLES
@@ -167,20 +178,24 @@ def read_page(page: str) -> Page:
                     content |= value.lower() == "articlebody"
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                     own = 0.0
-                if key != "class" and (own != 1.0 or content):
-                    label += f"#{own}{content}"
+                if key != "class" and (own != 1.0 or hinted != 1.0 or content):
+                    label += f"#{own}{hinted}{content}"
+        if name == "tr" and (top, label) in known:
+            cells[known[top, label]] = 0
         if (top, label) not in known:
             up = paths[top]
             if name in HEADINGS and up.content and stack[-1][0] == "header":
                 weight = paths[up.parent].weight  # the title of an article is not its site's header
             else:
                 weight = up.weight
-            weight *= min(own, ELEMENTS.get(name, 1.0))
+            own = min(own, ELEMENTS.get(name, 1.0))
+            weight *= own
             if content:
                 weight *= NESTED_WEIGHT if up.content else CONTENT_WEIGHT
             known[top, label] = len(paths)
             held = up.container if name in WRAPPERS else len(paths)
-            paths.append(Path(top, held, weight, up.content or content, up.form or (len(paths) if name == "form" else 0)))
+            taken = min(1.0, hinted / own) if own else 1.0
+            paths.append(Path(top, held, weight, math.sqrt(taken) if name in LEAVES else taken, up.content or content, up.form or (len(paths) if name == "form" else 0)))
         return known[top, label]
 
     while m := _TOKEN.search(page, at):
@@ -248,6 +263,7 @@ def scores(page: Page) -> np.ndarray:
     length, marks = text / blocks, column("marks") / blocks
     ratio = (NO_LENGTH + (1 - NO_LENGTH) * length / (length + HALF_LENGTH)) * (NO_MARKS + (1 - NO_MARKS) * marks / (marks + HALF_MARKS)) * (1 - (1 - ALL_LINKS) * column("links") / np.maximum(text, 1))
     weight /= _forms(page, text, blocks)
+    weight *= _hinted(page, weight**2 * ratio * text)
     order = np.array([b[0] for b in page.blocks])
     smooth = np.bincount(order, np.convolve(np.pad(ratio[order], 1, mode="edge"), _KERNEL, mode="valid"), n) / blocks
     # each container's mass, summed up the tree, then handed down: the decayed sum over all containers, in two passes
@@ -266,6 +282,26 @@ def scores(page: Page) -> np.ndarray:
     return np.where(text > 0, weight * np.sqrt(smooth * np.minimum(around, 1.0)), 0.0)
 
 
+def _hinted(page: Page, mass: np.ndarray) -> np.ndarray:
+    """What the classes on each path take from its weight, given the mass that paths have without them."""
+    paths, n = page.paths, len(page.paths)
+    named = np.ones(n)
+    for i in range(1, n):  # parents come before their children
+        named[i] = named[paths[i].parent] * paths[i].hint
+    inside, inside_named = mass.copy(), mass * named**2
+    for i in range(n - 1, 0, -1):
+        inside[paths[i].parent] += inside[i]
+        inside_named[paths[i].parent] += inside_named[i]
+    out = np.ones(n)
+    for i in range(1, n):
+        own = paths[i].hint
+        if own < 1:
+            elsewhere = inside_named[0] - inside_named[i]
+            own **= min(1.0, elsewhere / (elsewhere + inside[i]) / OUTSIDE) if elsewhere > 0 else 0.0
+        out[i] = out[paths[i].parent] * own
+    return out
+
+
 def _forms(page: Page, text: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     """What to divide the weights of paths in a form by, where the form holds the whole page."""
     out, inside, n = np.ones(len(text)), {}, page.paths

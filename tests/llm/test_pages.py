@@ -54,6 +54,10 @@ def brute_scores(page):
     """Scores by their definition: every pair of paths, and distances by walking up the tree."""
     h, paths = html_extract, page.paths
     weight = {i: p.weight for i, p in enumerate(paths)}
+    above = {i: [i] for i in range(len(paths))}
+    for i in above:
+        while above[i][-1]:
+            above[i].append(paths[above[i][-1]].parent)
     inner = {p.parent for i, p in enumerate(paths) if i}
 
     def holder(i):
@@ -70,6 +74,16 @@ def brute_scores(page):
         return min(x.index(c) + y.index(c) for c in set(x) & set(y))
 
     ratio = {i: (h.NO_LENGTH + (1 - h.NO_LENGTH) * (t := p.text / p.blocks) / (t + h.HALF_LENGTH)) * (h.NO_MARKS + (1 - h.NO_MARKS) * (m := p.marks / p.blocks) / (m + h.HALF_MARKS)) * (1 - (1 - h.ALL_LINKS) * p.links / p.text) for i, p in enumerate(paths) if p.blocks}
+    named = {i: np.prod([paths[j].hint for j in above[i]]) for i in ratio}
+    bare = {i: weight[i] ** 2 * r * paths[i].text for i, r in ratio.items()}
+
+    def taken(j):
+        """What the class of one element takes: in full with a tenth of the mass elsewhere, else a power of it."""
+        elsewhere = sum(m * named[i] ** 2 for i, m in bare.items() if j not in above[i])
+        own = sum(m for i, m in bare.items() if j in above[i])
+        return paths[j].hint ** min(1, elsewhere / (elsewhere + own) / h.OUTSIDE) if elsewhere + own else 1.0
+
+    weight = {i: weight[i] * np.prod([taken(j) for j in above[i] if paths[j].hint < 1]) for i in ratio}
     seq = [ratio[b[0]] for b in page.blocks]
     side = np.exp(-0.5)
     smooth = [(side * seq[max(0, k - 1)] + seq[k] + side * seq[min(len(seq) - 1, k + 1)]) / (1 + 2 * side) for k in range(len(seq))]
@@ -103,6 +117,46 @@ def made_page(rng, number):
     return page, content
 
 
+NAMES = "right-sidebar content-sidebar left-rail sidebar modal-content overlay popup header-content page-header-wrapper masthead footer-wrap banner-page promo promotion nav-wrapper menu-page toolbar cookie-box share-page comment-page login-page newsletter ad-wrapper widget related".split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_name_around_the_whole_page_decides_nothing(name):
+    body = "<h1>Top</h1>" + "".join(f"<p>{LONG} {i}</p>" for i in range(6))
+    want = ["Top", *(f"{LONG} {i}" for i in range(6))]
+    menu, end = "<nav><a href=/>Home</a> <a href=/n>News</a></nav>", "<footer>Bye, all.</footer>"
+    assert html_extract.content_of(f"<body>{menu}<div class='{name}'>{body}</div>{end}</body>") == want
+    assert html_extract.content_of(f"<body><div class='{name}'>{menu}<div id='{name}-inner'>{body}</div>{end}</div></body>") == want
+    assert html_extract.content_of(f"<body>{menu}<div class='{name}'><article>{body}</article></div>{end}</body>") == want
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_name_beside_the_content_counts(name):
+    story = "".join(f"<p>{LONG} {i}</p>" for i in range(6))
+    for around in ("<article>{}</article>", "<div class=story>{}</div>"):
+        got = html_extract.content_of(f"<body>{around.format(story)}<div class='{name}'><p>{LONG} 8</p><p>{LONG} 9</p></div></body>")
+        assert got == [f"{LONG} {i}" for i in range(6)]
+
+
+def test_comments_longer_than_the_article():
+    story = f"<p>{LONG} 1</p><p>{LONG} 2</p>"
+    assert html_extract.content_of(f"<div class=story>{story}</div><div class=comments>{f'<p>{LONG} 3</p>' * 9}</div>") == [f"{LONG} 1", f"{LONG} 2"]
+
+
+def test_cells_of_a_table_layout():
+    links = "".join(f"<a href=/{i}>Some page {i}</a><br>" for i in range(8))
+    side = "".join(f"<li><a href=/{i}>Another {i}</a>" for i in range(6))
+    page = f"<table><tr><td>{links}</td><td><h1>Top</h1><p>{LONG} 1</p><p>{LONG} 2</p></td><td><ul>{side}</ul></td></tr></table>"
+    assert html_extract.content_of(page) == ["Top", f"{LONG} 1", f"{LONG} 2"]
+    data = "<table>" + "".join(f"<tr><td>Name number {i}</td><td>{i} units, about.</td></tr>" for i in range(5)) + "</table>"
+    got = html_extract.content_of(f"<article><p>{LONG} 1</p>{data}<p>{LONG} 2</p></article>")
+    assert got == [f"{LONG} 1", *(x for i in range(5) for x in (f"Name number {i}", f"{i} units, about.")), f"{LONG} 2"]
+
+
+def test_a_name_on_a_paragraph_does_not_decide():
+    assert html_extract.content_of(f"<article><p>{LONG} 1</p><p class='notice'>{LONG} 2</p><p>{LONG} 3</p></article>") == [f"{LONG} {i}" for i in (1, 2, 3)]
+
+
 def test_scores_equal_their_definition(spark, sf):
     rng = random.Random(5)
     pages = [made_page(rng, i)[0] for i in range(20)] + [PAGE] + [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").limit(10).collect()]
