@@ -75,6 +75,8 @@ OUTSIDE = 0.1
 LEAVES = {"p", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption", "caption", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: A form that holds this share of a page's text, in blocks of this mean length, is the page itself.
 PAGE_FORM, FORM_LENGTH = 0.5, 100.0
+#: A cell with this share of a page's mass is a column of the page, and so are those of its row.
+PAGE_CELL = 1 / 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -100,6 +102,7 @@ class Path:
     hint: float  # what the class or id of this element takes from it
     content: bool  # an article or main element is on it
     form: int  # the outermost form on it, or 0
+    table: int  # for a cell, the path of its row, else -1
     text: int = 0
     marks: int = 0
     links: int = 0
@@ -108,7 +111,7 @@ class Path:
 
 @dataclass
 class Page:
-    paths: list[Path] = field(default_factory=lambda: [Path(0, 0, 1.0, 1.0, False, 0)])
+    paths: list[Path] = field(default_factory=lambda: [Path(0, 0, 1.0, 1.0, False, 0, -1)])
     blocks: list[tuple[int, str]] = field(default_factory=list)  # (path, text)
 
 
@@ -195,7 +198,7 @@ def read_page(page: str) -> Page:
             known[top, label] = len(paths)
             held = up.container if name in WRAPPERS else len(paths)
             taken = min(1.0, hinted / own) if own else 1.0
-            paths.append(Path(top, held, weight, math.sqrt(taken) if name in LEAVES else taken, up.content or content, up.form or (len(paths) if name == "form" else 0)))
+            paths.append(Path(top, held, weight, math.sqrt(taken) if name in LEAVES else taken, up.content or content, up.form or (len(paths) if name == "form" else 0), top if name in ("td", "th") else -1))
         return known[top, label]
 
     while m := _TOKEN.search(page, at):
@@ -269,8 +272,11 @@ def scores(page: Page) -> np.ndarray:
     # each container's mass, summed up the tree, then handed down: the decayed sum over all containers, in two passes
     mass = np.where(text > 0, weight**2 * ratio * text, 0.0)
     inner = {p.parent for p in paths[1:]}
+    columns, hold = _columns(page, mass), [0] * n
+    for i in range(1, n):
+        hold[i] = i if paths[i].container == i or i in columns else hold[paths[i].parent]
     # an element of text only, as a div for a paragraph, holds nothing: its content is its parent's
-    container = [p.container if p.container != i or i in inner else paths[p.parent].container for i, p in enumerate(paths)]
+    container = [hold[i] if hold[i] != i or i in inner or i in columns else hold[p.parent] for i, p in enumerate(paths)]
     holds = [i for i in range(1, n) if container[i] == i]
     up = np.bincount(container, mass, n)
     for i in reversed(holds):  # parents come before their children
@@ -282,6 +288,17 @@ def scores(page: Page) -> np.ndarray:
     return np.where(text > 0, weight * np.sqrt(smooth * np.minimum(around, 1.0)), 0.0)
 
 
+def _columns(page: Page, mass: np.ndarray) -> set[int]:
+    """The cells of rows that lay out the page."""
+    inside, cells = mass.copy(), [i for i, p in enumerate(page.paths) if p.table >= 0]
+    if not cells:
+        return set()
+    for i in range(len(inside) - 1, 0, -1):
+        inside[page.paths[i].parent] += inside[i]
+    rows = {page.paths[i].table for i in cells if inside[i] >= PAGE_CELL * inside[0] > 0}
+    return {i for i in cells if page.paths[i].table in rows}
+
+
 def _hinted(page: Page, mass: np.ndarray) -> np.ndarray:
     """What the classes on each path take from its weight, given the mass that paths have without them."""
     paths, n = page.paths, len(page.paths)
