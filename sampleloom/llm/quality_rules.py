@@ -5,19 +5,19 @@ learned from the corpus itself: every metric of every document goes into a merge
 sketch for its (lang, source), a DDSketch (logarithmic buckets with a bounded relative error), here
 plain rows (lang, source, metric, bucket, n). Sketches merge by adding their buckets, so a hot
 source costs a few hundred rows from each task, sketches of a language are sums of its sources',
-and results do not depend on the order of rows. Each metric of a source is judged by the source's own
-sketch if that has MEMBERS values above zero, else by the merged one of its language, else by that of the
-corpus; if that has fewer too, the metric rejects nothing. A document is kept if each metric is within its fences;
-these are joined to the documents and filter them. Everything is DataFrame functions.
+and results do not depend on the order of rows. What a group's sketches say is pooled with what is wider, by counts: a quantile of a source is the geometric
+mean of its own and its language's, weighed with the source's number of values and PRIOR, and a language's is pooled with the corpus' in the same way; so is the share of
+documents with a value above zero. A source with many values goes by its own, one with few by its language, and nothing changes at once between.
+A document is kept if each metric is within its fences; these are joined to the documents and filter them. Everything is DataFrame functions.
 
-Fences come from the sketches' quantiles alone. Let low and high be the first and last decile of a metric's values
-above zero, and spread = (high / low) ** SPREAD of the metric:
+Fences come from the pooled quantiles alone. Let low and high be the first and last decile of a metric's values
+above zero, and spread = (high / low) ** SPREAD of the metric; for shares of at most one (repeated lines, repeated words) these are odds, so no fence reaches one.
 
 * the mean word length has to lie within low / spread and high * spread;
 * of the ratios (symbols, repeated lines, repeated words), which most documents have at zero, the values above zero are
-  either the tail of the clean documents or a population of their own. They are their own if they are rare (RARE of
-  the documents at most) and even low / spread is over what one occurrence makes in a document of median size;
-  then the fence is right below low / spread, so that population goes. Else the fence is high * spread.
+  either the tail of the clean documents, and then the fence is high * spread, or a population of their own, and then it is right below low / spread. How much
+  they are their own goes from 0 to 1 with two things, which are multiplied: how rare they are (from COMMON of the documents down to RARE), and how far low / spread is over what one
+  occurrence makes in a document of median size (up to GAP times). The fence lies between the two in that proportion, on a logarithmic scale.
 
 Defined results: a null text has no words and fails the base rules, as any text under MIN_WORDS
 words does; null lang and source are groups of their own; an empty table gives no rows; repeated
@@ -36,12 +36,15 @@ from sampleloom.llm.common import saved, table
 MIN_WORDS = 50
 #: Relative error of the sketches.
 ALPHA = 0.01
-#: Values above zero that a sketch needs; with fewer, the next wider one is used.
-MEMBERS = 30
-#: Values above zero are rare if at most one document in RARE has them.
-RARE = 4
-#: The metrics, how far their fences lie beyond the deciles (as a power of their quotient), and the size that a ratio is of.
-SPREAD = {"symbols": 1, "dup_lines": 1, "repeats": 1, "word_len": 3}
+#: Values above zero with which a group's own quantiles weigh as much as the wider ones.
+PRIOR = 10
+#: Shares of documents with a value above zero at which those are quite, and not at all, a population of their own.
+RARE, COMMON = 0.05, 0.3
+#: Occurrences that even the least of them are worth, to be quite their own.
+GAP = 10.0
+#: The metrics, and how far their fences lie beyond the deciles (as a power of their quotient); those that are shares; the size that a ratio is of.
+SPREAD = {"symbols": 1.0, "dup_lines": 0.5, "repeats": 0.5, "word_len": 3.0}
+SHARES = ("dup_lines", "repeats")
 SIZE = {"symbols": "words", "dup_lines": "lines", "repeats": "words"}
 METRICS = list(SPREAD)
 SIZES = ["words", "lines"]
@@ -157,37 +160,46 @@ def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
     return run.groupBy(*keys, "metric").agg(F.max("total").alias("n"), F.max("hits").alias("hits"), at(1).alias("low"), at(5).alias("mid"), at(9).alias("high"))
 
 
-def fences(found: DataFrame, *keys: str) -> DataFrame:
-    """keys, metric, least and most: the fences of each metric whose sketch has enough values; null where there is none."""
-    names = [f"__{k}__" for k in keys]
-    sizes = found.filter(F.col("metric").isin(SIZES)).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("metric").alias("__size__"), F.col("mid").alias("__mid__"))
-    of = F.when(F.lit(False), F.lit(""))
-    power = F.when(F.lit(False), F.lit(0.0))
-    for m, p in SPREAD.items():
-        of = of.when(F.col("metric") == m, F.lit(SIZE.get(m, "words")))
-        power = power.when(F.col("metric") == m, F.lit(float(p)))
-    on = of == F.col("__size__")
-    for k, n in zip(keys, names, strict=True):
-        on = on & F.col(k).eqNullSafe(F.col(n))
-    spread = F.pow(F.col("high") / F.col("low"), power)
-    under, over = F.col("low") / spread, F.col("high") * spread
-    own = (F.col("hits") * RARE <= F.col("n")) & (under > F.lit(1e6) / F.col("__mid__"))
-    least = F.when(F.col("metric") == "word_len", under / F.lit(_GAMMA)).otherwise(F.lit(-1.0))
-    most = F.when((F.col("metric") != "word_len") & own, under / F.lit(_GAMMA)).otherwise(over * F.lit(_GAMMA))
-    return found.filter(F.col("metric").isin(METRICS) & (F.col("hits") >= MEMBERS)).join(sizes, on).select(*keys, "metric", least.alias("least"), most.alias("most"))
+def pooled(sketch: DataFrame) -> DataFrame:
+    """lang, source, metric, share, low, mid, high of every group and metric or size: its own, pooled with its language's, pooled with the corpus'. Null
+    where the corpus has no value above zero."""
+    wider = lambda df, name: df.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns])
+    own, by_lang, every = quantiles(sketch, "lang", "source"), wider(quantiles(merged(sketch, "lang"), "lang"), "l"), wider(quantiles(merged(sketch)), "c")
+    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric"))).join(every, F.col("metric") == F.col("c_metric"))
+
+    def both(x: Column, hits: Column, up: Column) -> Column:
+        return F.when(hits > 0, F.exp((hits * F.log(x) + PRIOR * F.log(up)) / (hits + PRIOR))).otherwise(up)
+
+    part = lambda hits, n, up: (hits + PRIOR * up) / (n + PRIOR)
+    share = part(F.col("hits"), F.col("n"), part(F.col("l_hits"), F.col("l_n"), F.col("c_hits") / F.col("c_n")))
+    values = [both(F.col(q), F.col("hits"), both(F.col(f"l_{q}"), F.col("l_hits"), F.col(f"c_{q}"))).alias(q) for q in ("low", "mid", "high")]
+    return joined.select("lang", "source", "metric", share.alias("share"), *values)
+
+
+def _within(c: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, metric, level, low, high): the fences of each group and metric and the sketch they are from; low and high are null where the corpus has too few values."""
-    wider = lambda df, name: df.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns])
-    groups = sketch.filter(F.col("metric").isin(METRICS)).select("lang", "source", "metric").distinct()
-    own = wider(fences(quantiles(sketch, "lang", "source"), "lang", "source"), "own")
-    by_lang = wider(fences(quantiles(merged(sketch, "lang"), "lang"), "lang"), "lang_of")
-    every = wider(fences(quantiles(merged(sketch))), "all")
-    same = F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")) & (F.col("metric") == F.col("own_metric"))
-    joined = groups.join(own, same, "left").join(by_lang, F.col("lang").eqNullSafe(F.col("lang_of_lang")) & (F.col("metric") == F.col("lang_of_metric")), "left").join(every, F.col("metric") == F.col("all_metric"), "left")
-    level = F.when(F.col("own_most").isNotNull(), "source").when(F.col("lang_of_most").isNotNull(), "lang").when(F.col("all_most").isNotNull(), "corpus")
-    return joined.select("lang", "source", "metric", level.alias("level"), F.coalesce("own_least", "lang_of_least", "all_least").alias("low"), F.coalesce("own_most", "lang_of_most", "all_most").alias("high"))
+    """(lang, source, metric, own, low, high): the fences of each group and metric, and how much its values above zero are a population of their own."""
+    found = pooled(sketch)
+    sizes = found.filter(F.col("metric").isin(SIZES)).groupBy(F.col("lang").alias("z_lang"), F.col("source").alias("z_source")).agg(*[F.max(F.when(F.col("metric") == z, F.col("mid"))).alias(f"z_{z}") for z in SIZES])
+    joined = found.filter(F.col("metric").isin(METRICS)).join(sizes, F.col("lang").eqNullSafe(F.col("z_lang")) & F.col("source").eqNullSafe(F.col("z_source")))
+    power, size = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for m in METRICS:
+        power = F.when(F.col("metric") == m, F.lit(SPREAD[m])).otherwise(power)
+        size = F.when(F.col("metric") == m, F.col(f"z_{SIZE.get(m, 'words')}")).otherwise(size)
+    a_share, gamma = F.col("metric").isin(list(SHARES)), F.lit(_GAMMA)
+    odds = lambda v: F.when(a_share, v / F.greatest(F.lit(1e6) - v, F.lit(1.0))).otherwise(v)
+    back = lambda v: F.when(a_share, F.lit(1e6) * v / (F.lit(1.0) + v)).otherwise(v)
+    spread = F.pow(odds(F.col("high")) / odds(F.col("low")), power)
+    step = joined.withColumn("under", odds(F.col("low")) / spread).withColumn("over", odds(F.col("high")) * spread)
+    gap = back(F.col("under")) * size / F.lit(1e6)
+    own = _within(F.log(gap) / F.lit(math.log(GAP))) * _within((F.lit(COMMON) - F.col("share")) / F.lit(COMMON - RARE))
+    step = step.withColumn("own", F.when(F.col("metric") == "word_len", F.lit(0.0)).otherwise(own))
+    most = back(F.exp(F.col("own") * F.log("under") + (F.lit(1.0) - F.col("own")) * F.log("over"))) * F.pow(gamma, F.lit(1.0) - F.lit(2.0) * F.col("own"))
+    least = F.when(F.col("metric") == "word_len", F.col("under") / gamma).otherwise(F.lit(-1.0))
+    return step.select("lang", "source", "metric", "own", least.alias("low"), most.alias("high"))
 
 
 def wide(found: DataFrame) -> DataFrame:
@@ -240,21 +252,33 @@ _METRIC_SQL = {
 }
 
 
-def _fences(source: str, keys: list[str]) -> str:
-    """The fences of one level in SQL."""
+def _quantiles(keys: list[str]) -> str:
+    """The quantiles of one level in SQL."""
     part = ", ".join([*keys, "metric"])
     at = lambda q: f"min(CASE WHEN bucket >= 0 AND upto * 10 >= hits * {q} THEN 2.0 * pow({_GAMMA!r}, bucket) / {_GAMMA + 1!r} END)"
-    same = " AND ".join(["TRUE", *[f"q.{k} IS NOT DISTINCT FROM z.{k}" for k in keys]])
-    size, power = (f"CASE q.metric {' '.join(f'WHEN {m!r} THEN {x!r}' for m, x in d.items())} END" for d in ({m: SIZE.get(m, "words") for m in METRICS}, {m: float(p) for m, p in SPREAD.items()}))
-    return f"""SELECT {part}, CASE WHEN metric = 'word_len' THEN under / {_GAMMA!r} ELSE -1.0 END AS least,
-      CASE WHEN metric <> 'word_len' AND hits * {RARE} <= n AND under > 1e6 / z_mid THEN under / {_GAMMA!r} ELSE over_ * {_GAMMA!r} END AS most
-    FROM (SELECT q.*, z.mid AS z_mid, q.low / pow(q.high / q.low, {power}) AS under, q.high * pow(q.high / q.low, {power}) AS over_
-      FROM {source} q JOIN {source} z ON {same} AND z.metric = {size}) WHERE metric IN ({', '.join(map(repr, METRICS))}) AND hits >= {MEMBERS}""", f"""SELECT {part}, max(total) AS n, max(hits) AS hits, {at(1)} AS low, {at(5)} AS mid, {at(9)} AS high FROM (
+    return f"""SELECT {part}, max(total) AS n, max(hits) AS hits, {at(1)} AS low, {at(5)} AS mid, {at(9)} AS high FROM (
         SELECT *, sum(CASE WHEN bucket >= 0 THEN n ELSE 0 END) OVER (PARTITION BY {part} ORDER BY bucket) AS upto, sum(CASE WHEN bucket >= 0 THEN n ELSE 0 END) OVER (PARTITION BY {part}) AS hits, sum(n) OVER (PARTITION BY {part}) AS total
         FROM (SELECT {part}, bucket, sum(n) AS n FROM s GROUP BY {part}, bucket)) GROUP BY {part}"""
 
 
-_LEVELS = {"own": ["lang", "source"], "bylang": ["lang"], "alld": []}
+def _both(x: str, hits: str, up: str) -> str:
+    return f"CASE WHEN {hits} > 0 THEN exp(({hits} * ln({x}) + {PRIOR} * ln({up})) / ({hits} + {PRIOR})) ELSE {up} END"
+
+
+_POOLED = ", ".join(_both(f"o.{q}", "o.hits", _both(f"l.{q}", "l.hits", f"c.{q}")) + f" AS {q}" for q in ("low", "mid", "high"))
+_CASE = lambda d: f"CASE p.metric {' '.join(f'WHEN {m!r} THEN {x}' for m, x in d.items())} END"
+_ODDS = lambda v: f"CASE WHEN p.metric IN {SHARES} THEN {v} / greatest(1e6::DOUBLE - {v}, 1.0::DOUBLE) ELSE {v} END"
+_BACK = lambda v: f"CASE WHEN metric IN {SHARES} THEN 1e6::DOUBLE * {v} / (1.0::DOUBLE + {v}) ELSE {v} END"
+_SPREAD_SQL = f"pow(({_ODDS('p.high')}) / ({_ODDS('p.low')}), {_CASE(SPREAD)})"
+_FENCES = f"""q_own AS ({_quantiles(['lang', 'source'])}), q_lang AS ({_quantiles(['lang'])}), q_all AS ({_quantiles([])}),
+p AS (SELECT o.lang, o.source, o.metric, (o.hits + {PRIOR} * ((l.hits + {PRIOR} * (c.hits / c.n)) / (l.n + {PRIOR}))) / (o.n + {PRIOR}) AS share, {_POOLED}
+  FROM q_own o JOIN q_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN q_all c ON o.metric = c.metric),
+z AS (SELECT lang, source, {', '.join(f"max(CASE WHEN metric = '{z}' THEN mid END) AS z_{z}" for z in SIZES)} FROM p GROUP BY lang, source),
+e AS (SELECT p.*, {_CASE({m: 'z_' + SIZE.get(m, 'words') for m in METRICS})} AS size, ({_ODDS('p.low')}) / {_SPREAD_SQL} AS under, ({_ODDS('p.high')}) * {_SPREAD_SQL} AS over_
+  FROM p JOIN z ON p.lang IS NOT DISTINCT FROM z.lang AND p.source IS NOT DISTINCT FROM z.source WHERE p.metric IN {tuple(METRICS)}),
+g AS (SELECT *, CASE WHEN metric = 'word_len' THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, ln(({_BACK('under')}) * size / 1e6::DOUBLE) / {math.log(GAP)!r})) * greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({COMMON!r} - share) / {COMMON - RARE!r})) END AS own FROM e),
+f AS (SELECT lang, source, metric, CASE WHEN metric = 'word_len' THEN under / {_GAMMA!r} ELSE -1.0 END AS low,
+  ({_BACK('exp(own * ln(under) + (1.0 - own) * ln(over_))')}) * pow({_GAMMA!r}, 1.0 - 2.0 * own) AS high FROM g)"""
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, list_filter(string_split_regex(t, '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM d),
@@ -270,11 +294,7 @@ m AS (
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {', '.join(f'{s} AS v_{m}' for m, s in _METRIC_SQL.items())} FROM m),
 v AS (SELECT lang, source, metric, v FROM b, LATERAL (VALUES {', '.join(f"('{m}', v_{m})" for m in METRICS)}, ('words', n_words), ('lines', n_lines)) AS u(metric, v) WHERE NOT base_failed),
 s AS (SELECT lang, source, metric, CASE WHEN v <= 0 THEN -1 ELSE CAST(ceil(ln(v) / {math.log(_GAMMA)!r}) AS INT) END AS bucket, count(*) AS n FROM v GROUP BY ALL),
-{', '.join(f'q_{name} AS ({_fences("", keys)[1]}), {name} AS ({_fences(f"q_{name}", keys)[0]})' for name, keys in _LEVELS.items())},
-f AS (SELECT g.lang, g.source, g.metric, coalesce(own.least, bylang.least, alld.least) AS low, coalesce(own.most, bylang.most, alld.most) AS high
-  FROM (SELECT DISTINCT lang, source, metric FROM s WHERE metric IN ({', '.join(map(repr, METRICS))})) g
-  LEFT JOIN own ON g.lang IS NOT DISTINCT FROM own.lang AND g.source IS NOT DISTINCT FROM own.source AND g.metric = own.metric
-  LEFT JOIN bylang ON g.lang IS NOT DISTINCT FROM bylang.lang AND g.metric = bylang.metric LEFT JOIN alld ON g.metric = alld.metric),
+{_FENCES},
 bad AS (SELECT DISTINCT b.r FROM b JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
   JOIN LATERAL (SELECT CASE f.metric {' '.join(f"WHEN '{m}' THEN v_{m}" for m in METRICS)} END AS v) ON true WHERE v < low OR v > high)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.r IS NULL AS kept FROM b LEFT JOIN bad USING (r)
