@@ -197,7 +197,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     gap = back(F.col("under")) * size / F.lit(1e6)
     own = _within(F.log(gap) / F.lit(math.log(GAP))) * _within((F.lit(COMMON) - F.col("share")) / F.lit(COMMON - RARE))
     step = step.withColumn("own", F.when(F.col("metric") == "word_len", F.lit(0.0)).otherwise(own))
-    most = back(F.exp(F.col("own") * F.log("under") + (F.lit(1.0) - F.col("own")) * F.log("over"))) * F.pow(gamma, F.lit(1.0) - F.lit(2.0) * F.col("own"))
+    most = back(F.exp(F.col("own") * F.log("under") + (F.lit(1.0) - F.col("own")) * F.log("over")) * F.pow(gamma, F.lit(1.0) - F.lit(2.0) * F.col("own")))
     least = F.when(F.col("metric") == "word_len", F.col("under") / gamma).otherwise(F.lit(-1.0))
     return step.select("lang", "source", "metric", "own", least.alias("low"), most.alias("high"))
 
@@ -278,7 +278,7 @@ e AS (SELECT p.*, {_CASE({m: 'z_' + SIZE.get(m, 'words') for m in METRICS})} AS
   FROM p JOIN z ON p.lang IS NOT DISTINCT FROM z.lang AND p.source IS NOT DISTINCT FROM z.source WHERE p.metric IN {tuple(METRICS)}),
 g AS (SELECT *, CASE WHEN metric = 'word_len' THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, ln(({_BACK('under')}) * size / 1e6::DOUBLE) / {math.log(GAP)!r})) * greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({COMMON!r} - share) / {COMMON - RARE!r})) END AS own FROM e),
 f AS (SELECT lang, source, metric, CASE WHEN metric = 'word_len' THEN under / {_GAMMA!r} ELSE -1.0 END AS low,
-  ({_BACK('exp(own * ln(under) + (1.0 - own) * ln(over_))')}) * pow({_GAMMA!r}, 1.0 - 2.0 * own) AS high FROM g)"""
+  {_BACK(f'(exp(own * ln(under) + (1.0 - own) * ln(over_)) * pow({_GAMMA!r}, 1.0 - 2.0 * own))')} AS high FROM g)"""
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, list_filter(string_split_regex(t, '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM d),
