@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, fields
-from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -514,21 +513,25 @@ class Reverb(Effect):
         x = block[:2].sum(0) * gain
         n, sides = block.shape[1], len(combs) // len(self.COMBS)
         wets = np.empty((sides, n))
+        held, back = _grown(line, n)
         for i in range(0, n, combs.min()):  # no comb's output of a part depends on that part
             part = x[i : i + combs.min()]
-            late = _late(line, combs, len(part))
-            smooth, low = _smoother(damp).run(late, low) if damp else (late, low)
-            line = np.concatenate((line[:, len(part) :], part + feedback * smooth), axis=1)
+            late = _late(held, combs, back + i, len(part))
             wets[:, i : i + len(part)] = late.reshape(sides, -1, len(part)).sum(1)
+            if damp:
+                late = _smoothed(late, low[:, 0], damp)
+                low = late[:, -1:]
+            np.multiply(late, feedback, out=held[:, back + i : back + i + len(part)])
+            held[:, back + i : back + i + len(part)] += part
+        state[1], state[2] = held[:, n:].copy(), low.copy()
         for j, length in enumerate(passes):
-            held = lines[j]
+            held, back = _grown(lines[j], n)
             for i in range(0, n, length.min()):
                 part = wets[:, i : i + length.min()].copy()
-                late = _late(held, length, part.shape[1])
+                late = _late(held, length, back + i, part.shape[1])
                 wets[:, i : i + part.shape[1]] = late - part
-                held = np.concatenate((held[:, part.shape[1] :], part + 0.5 * late), axis=1)
-            lines[j] = held
-        state[1], state[2] = line, low
+                held[:, back + i : back + i + part.shape[1]] = part + 0.5 * late
+            lines[j] = held[:, n:].copy()
         wet = 3.0 * self.wet_level
         dry = 0.0 if frozen else 2.0 * self.dry_level
         out = block * dry
@@ -541,15 +544,30 @@ class Reverb(Effect):
         return out
 
 
-def _late(line: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
-    """The next n outputs of delay lines of these lengths; line has what went in last, in its last columns."""
-    return np.stack([row[len(row) - k : len(row) - k + n] for row, k in zip(line, length.tolist(), strict=True)])
+def _grown(line: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """A line with room for n frames more, and where they begin."""
+    held = np.empty((len(line), line.shape[1] + n))
+    held[:, : line.shape[1]] = line
+    return held, line.shape[1]
 
 
-@lru_cache(maxsize=16)
-def _smoother(damp: float) -> linear.Filter:
-    """low = x (1 - damp) + low damp."""
-    return linear.Filter((1 - damp, 0.0), (-damp,))
+def _late(held: np.ndarray, length: np.ndarray, at: int, n: int) -> np.ndarray:
+    """What delay lines of these lengths put out from column `at` on, for n frames."""
+    out = np.empty((len(held), n))
+    for row, k in enumerate(length.tolist()):
+        out[row] = held[row, at - k : at - k + n]
+    return out
+
+
+def _smoothed(x: np.ndarray, low: np.ndarray, damp: float) -> np.ndarray:
+    """y = x (1 - damp) + damp * (y before, at first low): sums of 1, 2, 4, ... terms, until damp ** terms is lost in rounding."""
+    y, factor, k = x * (1 - damp), damp, 1
+    y[:, 0] += damp * low
+    while factor > 1e-18 and k < x.shape[1]:
+        longer = y.copy()
+        longer[:, k:] += factor * y[:, :-k]
+        y, factor, k = longer, factor * factor, 2 * k
+    return y
 
 
 @dataclass(eq=False)
