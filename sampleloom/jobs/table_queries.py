@@ -49,6 +49,13 @@ def s7_frames_from_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames_out(li(spark, sf_dir))
 
 
+@query("s7_frames_from_long_rows", value_sql(LI, "SELECT track_id, channel, frame, value AS v FROM li"))
+def s7_frames_from_long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every track in ranges of about 100 rows, so that one long track would be the work of many tasks."""
+    rows = read(spark, sf_dir, "lineitem")
+    return frames_out(tables.frames_from_long_rows(rows, "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber"], F.col("l_discount") - 0.05, range_rows=100))
+
+
 @query(
     "s8_synth",
     """WITH s AS (SELECT CAST(s_suppkey AS BIGINT) AS track_id, 1000.0::DOUBLE AS rate, 0.05 + (s_suppkey % 4) * 0.05 AS seconds, 20.0 + s_suppkey % 7 AS hz FROM supplier),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sampleloom.functions.values import col
+from sampleloom.sources.store import scratch
 
 CHUNK = 8192
 KEY = ["track_id", "channel"]
@@ -25,6 +26,49 @@ def frames_from_rows(df: DataFrame, track: Column | str, order_by: list[Column |
     return rows.select(*KEY, (F.row_number().over(w) - 1).cast("long").alias("frame"), "value")
 
 
+#: Cuts, and offsets of ranges, that may be broadcast; there are as many as long tracks have RANGE_ROWS rows.
+BROADCAST_RANGES = 200_000
+RANGE_ROWS = 1 << 20
+
+
+def frames_from_long_rows(df: DataFrame, track: Column | str, order_by: list[Column | str], value: Column | str, channel: Column | int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """frames_from_rows() for tracks that are longer than one task should order: they are cut into ranges of about `range_rows` rows by
+    sketched quantiles of the first order column (a number, date or time), rows are counted in each range, and numbered within it from the sum of the counts before.
+
+    Rows that are equal in that column stay together, so a track with one value there is one range. The rows are read three times; what is joined to them is one
+    small row a range.
+    """
+    spark = df.sparkSession
+    channel = channel if isinstance(channel, Column) else F.lit(channel)
+    order = [f"__o{i}" for i in range(len(order_by))]
+    rows = df.select(col(track).cast("long").alias("track_id"), channel.cast("int").alias("channel"), col(value).cast("double").alias("value"), *[col(c).alias(o) for c, o in zip(order_by, order, strict=True)])
+    lengths = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    most = lengths.agg(F.max("n")).head()[0] or 0
+    ranges = -(-most // range_rows)
+    if ranges < 2:
+        w = Window.partitionBy(*KEY).orderBy(*order)
+        return rows.select(*KEY, (F.row_number().over(w) - 1).cast("long").alias("frame"), "value")
+    same = lambda a: (F.col("track_id").eqNullSafe(F.col(f"{a}_t"))) & (F.col("channel") == F.col(f"{a}_c"))
+    named = lambda d, a: d.withColumnsRenamed({"track_id": f"{a}_t", "channel": f"{a}_c"})
+    few = lambda d: F.broadcast(d) if d.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES else d
+    at = [i / ranges for i in range(1, ranges)]
+    cuts = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__o0", at, max(10_000, 20 * ranges)).alias("cuts")).filter(F.col("n") > range_rows).drop("n")
+    cuts = _written(named(cuts, "a"), "cuts")  # a sketch may come out otherwise when it is made again
+    cut = rows.join(few(cuts), same("a"), "left").withColumn("__range", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("__o0"))), F.lit(0))).withColumn("__range", F.when(F.col("cuts").isNull(), 0).otherwise(F.col("__range"))).drop("a_t", "a_c", "cuts")
+    counts = cut.groupBy(*KEY, "__range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*KEY).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = _written(named(counts.withColumn("offset", F.coalesce(before, F.lit(0))).filter("__range > 0").withColumnRenamed("__range", "b_r").drop("n"), "b"), "offsets")
+    numbered = cut.join(few(offsets), same("b") & (F.col("__range") == F.col("b_r")), "left")
+    w = Window.partitionBy(*KEY, "__range").orderBy(*order)
+    return numbered.select(*KEY, (F.row_number().over(w) - 1 + F.coalesce("offset", F.lit(0))).cast("long").alias("frame"), "value")
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def frames_from_arrays(df: DataFrame, track: Column | str, samples: Column | str, channel: Column | int = 0) -> DataFrame:
     channel = channel if isinstance(channel, Column) else F.lit(channel)
     return df.select(col(track).cast("long").alias("track_id"), channel.cast("int").alias("channel"), F.posexplode(col(samples)).alias("frame", "value")).select(*KEY, F.col("frame").cast("long"), F.col("value").cast("double"))
