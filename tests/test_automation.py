@@ -20,7 +20,7 @@ CASES = {
 
 
 def stepped(effects, follow, x, points):
-    """One stretch of constant parameters after the other, with state kept: what the reference's user would write as a loop."""
+    """One stretch of constant parameters after the other, with state kept: what one would write as a loop."""
     from dataclasses import replace
 
     effects, states, out = list(effects), None, []
