@@ -12,13 +12,15 @@ import math
 
 import numpy as np
 
+#: So few rows are chained one by one, in plain numbers, and cut into shorter stretches: as many frames as this times the root of a row's.
+FEW, TIMES = 4, 0.5
 #: States that differ by less than this, as a share of the peak, count as equal.
 CLOSE = 1e-13
 
 
-def _stretch(n: int) -> int:
+def _stretch(n: int, times: float = 1.5) -> int:
     """Frames that lanes advance one by one; their number is about n / this."""
-    return n if n < 64 else min(512, max(16, int(math.sqrt(n)) * 3 // 2))
+    return n if n < 64 else min(512, max(16, int(math.sqrt(n) * times)))
 
 
 def _sweep(v: np.ndarray, e: np.ndarray, attack: float, release: float) -> np.ndarray:
@@ -41,6 +43,16 @@ def _slopes(v: np.ndarray, start: np.ndarray, out: np.ndarray, attack: float, re
     return attack**rising * release ** (len(v) - rising)
 
 
+def _chained(e: float, tangents: list[tuple[list[float], list[float]]], greatest: bool) -> list[float]:
+    """One row's states before each stretch."""
+    out, best = [], max if greatest else min
+    lines = list(zip(*(zip(a, b, strict=True) for a, b in tangents), strict=True))
+    for own in lines:
+        out.append(e)
+        e = best([a * e + b for a, b in own])
+    return out
+
+
 def follow(v: np.ndarray, e: np.ndarray, attack: float, release: float) -> tuple[np.ndarray, np.ndarray]:
     """The envelopes of v (rows, frames) from the states e (rows,), and the slope of each last value in its e.
 
@@ -51,7 +63,7 @@ def follow(v: np.ndarray, e: np.ndarray, attack: float, release: float) -> tuple
     rows, n = v.shape
     if not n:
         return v.copy(), np.ones(rows)
-    steps = _stretch(n)
+    steps = _stretch(n, TIMES if rows <= FEW else 1.5)
     lanes, best = n // steps, np.maximum if attack <= release else np.minimum
     z = np.ascontiguousarray(v[:, : lanes * steps].reshape(rows, lanes, steps).transpose(2, 0, 1))
     starts = np.zeros((rows, lanes))
@@ -65,7 +77,10 @@ def follow(v: np.ndarray, e: np.ndarray, attack: float, release: float) -> tuple
         tangents.append((slope, out[-1] - slope * starts))
         chained = np.empty_like(starts)
         chained[:, 0] = e
-        for k in range(lanes - 1):
+        if rows <= FEW:
+            for r in range(rows):
+                chained[r] = _chained(float(e[r]), [(a[r].tolist(), b[r].tolist()) for a, b in tangents], attack <= release)
+        for k in range(lanes - 1 if rows > FEW else 0):
             at = chained[:, k]
             reached = tangents[0][0][:, k] * at + tangents[0][1][:, k]
             for a, b in tangents[1:]:
