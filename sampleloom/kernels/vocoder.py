@@ -15,24 +15,49 @@ HALF = WINDOW // 2
 STEP = 1024
 #: Grains that are transformed at once.
 GRAINS = 64
+SHAPE = np.hanning(WINDOW + 1)[:-1]
+
+
+def spectra(line: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the grains that stand at `index` (grains, WINDOW) in line (channels, frames), each (channels, grains, bins): angles; sizes; each bin's nearest
+    peak `near`, the lower of two, itself without any; and `turn`. A grain's phases are those of the grain before at `near`, plus `turn`."""
+    now = np.fft.rfft(line[:, index] * SHAPE)
+    angle, size, k = np.angle(now), np.abs(now), np.arange(HALF + 1)
+    bins = 2 * np.pi * k * HOP / WINDOW
+    advance = angle - np.angle(np.fft.rfft(line[:, index - HOP] * SHAPE)) - bins
+    advance -= 2 * np.pi * np.rint(advance / (2 * np.pi))
+    around = np.pad(size, ((0, 0), (0, 0), (2, 2)))
+    peak = (size >= around[..., :-4]) & (size > around[..., 1:-3]) & (size >= around[..., 3:-1]) & (size >= around[..., 4:])
+    below = np.maximum.accumulate(np.where(peak, k, -WINDOW), axis=-1)
+    above = np.minimum.accumulate(np.where(peak, k, 2 * WINDOW)[..., ::-1], axis=-1)[..., ::-1]
+    near = np.where(peak.any(axis=-1, keepdims=True), np.where(k - below <= above - k, below, above), k)
+    return angle, size, near, np.take_along_axis(bins + advance, near, -1) + angle - np.take_along_axis(angle, near, -1)
+
+
+def places(grains: np.ndarray, speed: float) -> np.ndarray:
+    """Where these grains are read at a constant speed: from their numbers, so that any cutting gives the same."""
+    return np.rint(grains * (HOP * speed))
 
 
 class Vocoder:
     """Grains every HOP output frames, each read where the speed's curve says; a grain's phases follow from those of the grain before."""
 
-    def __init__(self, channels: int):
+    def __init__(self, channels: int, speed: float | None = None):
+        self.speed = speed  # None: by the curve
         self.line, self.first, self.seen = np.zeros((channels, HALF + HOP)), -HALF - HOP, 0
         self.time, self.next = 0.0, 0  # output time of the input so far, next grain's
         self.waiting: list[tuple[int, int]] = []
         self.sum, self.weight = np.zeros((channels, WINDOW)), np.zeros(WINDOW)
         self.phase, self.made = None, -HALF
-        self.window = np.hanning(WINDOW + 1)[:-1]
 
     def process(self, x: np.ndarray, speed: np.ndarray) -> np.ndarray:
         times = np.cumsum(np.concatenate(([self.time], 1.0 / speed)))
         grains = np.arange(self.next, times[-1] + 1, HOP)
         grains = grains[grains <= times[-1]]
-        at = np.rint(np.interp(grains, times, np.arange(self.seen, self.seen + x.shape[1] + 1))).astype(np.int64)
+        if self.speed is None:
+            at = np.rint(np.interp(grains, times, np.arange(self.seen, self.seen + x.shape[1] + 1))).astype(np.int64)
+        else:
+            at = np.minimum(places(grains // HOP, self.speed), self.seen + x.shape[1]).astype(np.int64)
         self.waiting += zip(grains.astype(np.int64).tolist(), at.tolist(), strict=True)
         self.next += HOP * len(grains)
         self.time, self.seen = float(times[-1]), self.seen + x.shape[1]
@@ -62,31 +87,14 @@ class Vocoder:
         return made[:, skip:]
 
     def _some(self, at: np.ndarray) -> list[np.ndarray]:
-        index = at[:, None] - HALF - self.first + np.arange(WINDOW)[None, :]
-        now = np.fft.rfft(self.line[:, index] * self.window)
-        angle, size = np.angle(now), np.abs(now)
-        bins = 2 * np.pi * np.arange(HALF + 1) * HOP / WINDOW
-        advance = angle - np.angle(np.fft.rfft(self.line[:, index - HOP] * self.window)) - bins
-        advance -= 2 * np.pi * np.rint(advance / (2 * np.pi))
-        around = np.pad(size, ((0, 0), (0, 0), (2, 2)))
-        peak = (size >= around[..., :-4]) & (size > around[..., 1:-3]) & (size >= around[..., 3:-1]) & (size >= around[..., 4:])
+        angle, size, near, turn = spectra(self.line, at[:, None] - HALF - self.first + np.arange(WINDOW)[None, :])
         phases = np.empty_like(size)
         for g in range(len(at)):
-            if self.phase is None:
-                phases[:, g] = angle[:, g]
-            else:
-                free = self.phase + bins + advance[:, g]
-                phases[:, g] = free
-                for c in range(len(size)):  # every bin turns with its nearest peak
-                    p = np.flatnonzero(peak[c, g])
-                    if len(p):
-                        near = p[np.searchsorted((p[:-1] + p[1:]) / 2, np.arange(HALF + 1))]
-                        phases[c, g] = free[c, near] + angle[c, g] - angle[c, g, near]
-            self.phase = phases[:, g]
-        made, out = np.fft.irfft(size * np.exp(1j * phases), WINDOW) * self.window, []
+            self.phase = phases[:, g] = angle[:, g] if self.phase is None else np.take_along_axis(self.phase, near[:, g], -1) + turn[:, g]
+        made, out = np.fft.irfft(size * np.exp(1j * phases), WINDOW) * SHAPE, []
         for g in range(len(at)):
             self.sum += made[:, g]
-            self.weight += self.window**2
+            self.weight += SHAPE**2
             out.append(self.sum[:, :HOP] / np.maximum(self.weight[:HOP], 1e-6))
             self.sum = np.pad(self.sum[:, HOP:], ((0, 0), (0, HOP)))
             self.weight = np.pad(self.weight[HOP:], (0, HOP))
@@ -141,7 +149,7 @@ class Stretcher:
         check(np.array([stretch_factor]), np.array([semitones]))
         self.factor, self.semitones, self.curves = float(stretch_factor), float(semitones), curves
         self.same = not curves and stretch_factor == 1 and semitones == 0
-        self.vocoder = Vocoder(channels)
+        self.vocoder = Vocoder(channels, None if curves else self.factor / 2.0 ** (self.semitones / 12))
         self.pitch = _Pitch(channels, None if curves else 2.0 ** (semitones / 12)) if curves or semitones else None
         self.seen, self.length, self.age, self.now = 0, 0.0, STEP, None
 

@@ -284,9 +284,9 @@ def apply_board(chunks: DataFrame, board: Board | list, rate: float, stored: boo
     return apply_effects(chunks, (board if isinstance(board, Board) else Board(board)).flat(), rate, stored)
 
 
-def resample_chunks(chunks: DataFrame, src: float, dst: float, quality: str = "sinc32", chunk_frames: int = 8192) -> DataFrame:
+def resample_chunks(chunks: DataFrame, src: float, dst: float, quality: str = "sinc32", chunk_frames: int = 8192, more: int = 0) -> DataFrame:
     """Any quality; outputs do not depend on how the input is cut, as positions come from their numbers. A block of outputs
-    belongs to the range of frames in which its first one lies."""
+    belongs to the range of frames in which its first one lies. `more` outputs are made past a track's usual end."""
     if src == dst:
         return chunks
     kernel = Resampler(src, dst, quality)
@@ -305,7 +305,7 @@ def resample_chunks(chunks: DataFrame, src: float, dst: float, quality: str = "s
         return block
 
     def work(x, first, blocks, low, high, ended):
-        length = kernel.length(first + x.shape[1]) if ended else None
+        length = kernel.length(first + x.shape[1]) + more if ended else None
         block = 0 if low == 0 else first_from(low)
         out = []
         while (place(block) < high) and (length is None or block * chunk_frames < length):
