@@ -12,7 +12,7 @@ from sampleloom.functions import values
 from sampleloom.jobs.signals import CURVE, EMB, EMB2, EV, LI, RATE, curve, emb, emb2, emb_chunks, ev, frames_out, li, li_chunks, read, rounded, value_sql
 from sampleloom.kernels import effects as fx
 from sampleloom.kernels import linear, sinc
-from sampleloom.operators import automation, board, channels, filters, resample, responses, scan, shift, tables
+from sampleloom.operators import automation, board, channels, filters, resample, responses, scan, shift, stretch, tables
 from sampleloom.sources.store import scratch
 
 ALL: dict[str, tuple] = {}
@@ -368,20 +368,20 @@ def r2_linear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.resample_chunks(li_chunks(spark, sf_dir), 1000.0, 1600.0, "linear", 100))
 
 
-def sinc_sql(src: float, dst: float, quality: str, t: str = "li") -> str:
-    """The windowed sinc from its definition: a table of PRECISION points a crossing (the Bessel function by its series), read between two points."""
+def sinc_sql(src: float, dst: float, quality: str, t: str = "li", length: str | None = None) -> str:
+    """`length` is that of n input frames, where it isn't the usual one. The windowed sinc from its definition: a table of PRECISION points a crossing (the Bessel function by its series), read between two points."""
     k, n = sinc.Resampler(src, dst, quality), sinc.crossings(quality)
     last, beta = n * sinc.PRECISION, sinc.BETAS.get(n, 8.0)
     bessel = lambda z: f"list_sum(list_transform(range(33), lambda k: pow(({z}) * ({z}) / 4, k) / pow(CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE), 2)))"
     x = f"(i / {sinc.PRECISION}.0::DOUBLE)"
     window = f"{bessel(f'{beta!r} * sqrt(1 - pow({x} / {n}, 2))')} / {bessel(repr(beta))}"
     table = f"SELECT i, CASE WHEN i > {last} THEN 0.0 ELSE {sinc.ROLLOFF!r} * CASE WHEN i = 0 THEN 1.0 ELSE sin(pi() * {sinc.ROLLOFF!r} * {x}) / (pi() * {sinc.ROLLOFF!r} * {x}) END * {window} END AS w FROM range({last + 3}) u(i)"
-    length, position = (f"CAST(floor(n * {dst!r}::DOUBLE / {src!r}::DOUBLE) AS BIGINT)", f"j * {src!r}::DOUBLE / {dst!r}::DOUBLE")
+    usual, position = (f"CAST(floor(n * {dst!r}::DOUBLE / {src!r}::DOUBLE) AS BIGINT)", f"j * {src!r}::DOUBLE / {dst!r}::DOUBLE")
     if quality != "windowed_sinc":
-        length, position = f"greatest(0, CAST(floor((n + {k.latency}) * {dst!r}::DOUBLE / {src!r}::DOUBLE) AS BIGINT) - {k.skip})", f"(j + {k.skip}) * {src!r}::DOUBLE / {dst!r}::DOUBLE - {k.latency}"
-    outputs = f"SELECT track_id, channel, unnest(range(0, {length})) AS j FROM (SELECT track_id, channel, max(frame) + 1 AS n FROM {t} GROUP BY ALL)"
+        usual, position = f"greatest(0, CAST(floor((n + {k.latency}) * {dst!r}::DOUBLE / {src!r}::DOUBLE) AS BIGINT) - {k.skip})", f"(j + {k.skip}) * {src!r}::DOUBLE / {dst!r}::DOUBLE - {k.latency}"
+    outputs = f"SELECT track_id, channel, unnest(range(0, {length or usual})) AS j FROM (SELECT track_id, channel, max(frame) + 1 AS n FROM {t} GROUP BY ALL)"
     placed = f"SELECT *, CAST(floor(p) AS BIGINT) AS low, p - floor(p) AS f FROM (SELECT *, {position} AS p FROM ({outputs}))"
-    taps = f"SELECT *, abs(f - tap) / {k.stretch!r} * {sinc.PRECISION} AS spot FROM ({placed}) CROSS JOIN range({-k.before}, {k.after + 1}) u(tap) WHERE abs(f - tap) / {k.stretch!r} <= {n}"
+    taps = f"SELECT *, abs(f - tap) / {k.stretch!r} * {sinc.PRECISION} AS spot FROM ({placed}) CROSS JOIN range({-k.before}, {k.after + 1}) u(tap) WHERE abs(f - tap) / {k.stretch!r} * {sinc.PRECISION} < {last + 1}"
     return f"""SELECT q.track_id, q.channel, q.j AS frame, coalesce(sum((a.w + (q.spot - floor(q.spot)) * (b.w - a.w)) / {k.stretch!r} * x.value), 0) AS v FROM ({taps}) q
     JOIN ({table}) a ON a.i = CAST(floor(q.spot) AS BIGINT) JOIN ({table}) b ON b.i = CAST(floor(q.spot) AS BIGINT) + 1 LEFT JOIN {t} x ON x.track_id = q.track_id AND x.channel = q.channel AND x.frame = q.low + q.tap GROUP BY q.track_id, q.channel, q.j"""
 
@@ -454,6 +454,24 @@ def p2_pitch_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(board.pitch_shift(li_chunks(spark, sf_dir), 5.0))
 
 
+@query("p1_stretch_along_time", "WITH n AS (SELECT CAST(floor(count(*) / 1.5::DOUBLE) AS BIGINT) AS total FROM lineitem), b AS (SELECT CAST(unnest(range(0, (total + 1024 + 8191) // 8192)) AS BIGINT) AS chunk, total FROM n) SELECT CAST(1 AS BIGINT) AS track_id, chunk, greatest(0, chunk * 8192 - 1024) AS start_frame, least(total, (chunk + 1) * 8192 - 1024) - greatest(0, chunk * 8192 - 1024) AS frames FROM b")
+def p1_stretch_along_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of lineitem as one track, numbered, stretched and cut into blocks by many tasks; the blocks' lengths."""
+    rows = read(spark, sf_dir, "lineitem").withColumn("track", F.lit(1).cast("long"))
+    frames = tables.frames_from_long_rows(rows, "track", ["l_shipdate", "l_orderkey", "l_linenumber"], F.col("l_discount") - 0.05)
+    made = stretch.stretch_along_time(tables.pack(frames, 1024), 1.5, block_grains=16)
+    return made.select("track_id", "chunk", "start_frame", F.size("samples").cast("long").alias("frames"))
+
+
+_FOURTH = 2.0 ** (-5.0 / 12)
+
+
+@query("p2_varispeed", value_sql(LI, sinc_sql(_FOURTH, 1.0, "sinc32", length=f"CAST(floor((n + 2048) / {_FOURTH!r}::DOUBLE) AS BIGINT)")))
+def p2_varispeed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks with a silent tail, a fourth down and slower by as much, as a tape would be: the vocoder gives back what it gets, and all is the resampling's."""
+    return out(stretch.stretch_along_time(tables.pack(channels.pad(li(spark, sf_dir), 2048), 512), _FOURTH, -5.0))
+
+
 # boards
 _X2 = "tanh(greatest(-pow(10, -12.0 / 20), least(pow(10, -12.0 / 20), value * pow(10, 6.0 / 20))) * pow(10, 12.0 / 20))"
 

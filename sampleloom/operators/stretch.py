@@ -73,7 +73,9 @@ def _analysed(batch: pa.RecordBatch, speed: float, per: int) -> Iterator[tuple]:
     """(row, block, frames of the track, spectra of the block's grains)."""
     for i in range(batch.num_rows):
         block, start, samples = batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), np.asarray(batch.column(4)[i].values, float)
-        at = np.minimum(places(_grains(block, per), speed), samples[0]).astype(np.int64)
+        grains = _grains(block, per)
+        grains = grains[grains * HOP < int(samples[0] / speed) + HALF] if samples[0] < np.inf else grains  # those whose windows reach into the result
+        at = np.minimum(places(grains, speed), samples[0]).astype(np.int64)
         begin, stop = int(at[0]) - HALF - HOP, int(at[-1]) + HALF
         line = np.pad(samples[1:], (start - begin, max(0, stop - start - len(samples) + 1)))
         yield i, block, float(samples[0]), [s[0] for s in spectra(line[None, :], at[:, None] - HALF - begin + np.arange(WINDOW)[None, :])]
@@ -130,8 +132,10 @@ def _synthesized(inputs: DataFrame, phases: DataFrame, speed: float, per: int) -
                 for g in range(len(size)):
                     phase = turned[g] = phase[near[g]] + turn[g] if block or g else angle[0]
                 made = np.fft.irfft(size * np.exp(1j * turned), WINDOW) * SHAPE
-                none = per + SPAN - 1 - len(made)  # grains before the track's first
-                hops, there = np.pad(made, ((none, 0), (0, 0))).reshape(-1, SPAN, HOP), np.arange(per + SPAN - 1) >= none
+                # there are no grains before the track's first and after its end
+                before = 0 if block else SPAN - 1
+                after = per + SPAN - 1 - before - len(made)
+                hops, there = np.pad(made, ((before, after), (0, 0))).reshape(-1, SPAN, HOP), np.pad(np.ones(len(made)), (before, after))
                 total, weight = np.zeros((2, per, HOP))
                 for j in range(SPAN):
                     own = slice(SPAN - 1 - j, SPAN - 1 - j + per)
