@@ -6,11 +6,13 @@ intervals: an `add` holds from its date to the next entry of the same pattern an
 is judged by the intervals that hold at its fetch time, the latest listing first (an as-of join), so
 later changes of a list never alter what was right when a page was fetched.
 
-The join is by equality: a capture's host is listed if one of its suffixes (`a.b.com`, `b.com`, `com`) is a pattern, so
-a list of a million subdomains of one domain costs a capture no more than its own suffixes. Suffixes that over one in HOT of
+A capture's host is listed if one of its suffixes (`a.b.com`, `b.com`, `com`) is a pattern, so a list of a million
+subdomains of one domain costs a capture no more than its own suffixes. A capture meets each category of a listed
+suffix once; captures and listings of a pattern and category are then sorted by time together, and each capture takes the last
+listing before it, so a pattern's history may be of any length. Suffixes that over one in HOT of
 all suffix rows have, fewer than HOT, are counted first; those that the list has are spread over SALTS tasks, where their
-intervals are repeated, and those it hasn't are dropped before the shuffle, as `com` mostly is. Captures
-that are alike in every column are counted before the shuffle and repeated after it.
+listings are repeated, and those it hasn't are dropped before the shuffle, as `com` mostly is. Captures
+that are alike in every column are counted before the shuffle and repeated after it, in pieces of PIECE that are dealt out.
 
 Defined results: a null URL, or one without a host, is never blocked; a null fetch time matches no
 interval; entries with a null pattern, category, action or date are left out, and a pattern's leading and trailing dots are; of several
@@ -28,6 +30,8 @@ from sampleloom.llm.common import saved, table
 SALTS = 32
 #: A suffix is hot if more than one in HOT suffix rows has it, so there are fewer than HOT.
 HOT = 1024
+#: Copies of one capture that one row makes.
+PIECE = 4096
 
 
 def host_of(url: Column) -> Column:
@@ -65,13 +69,23 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     own = under.join(hot, F.col("pattern") == F.col("hot"), "left").filter("hot is null or listed").withColumn("salt", F.when(F.col("hot").isNotNull(), spread).otherwise(F.lit(0))).drop("hot", "listed")
     salts = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     lists = held.join(hot, F.col("pattern") == F.col("hot"), "left").withColumn("salt", F.explode(salts)).drop("hot", "listed")
-    during = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
-    found = own.join(lists, ["pattern", "salt"]).filter(during)
+    asked = own.join(lists.select("pattern", "salt", "category").distinct(), ["pattern", "salt"])
+    key = ["pattern", "category", "salt"]
+    rows = asked.select(*key, F.col("fetched_at").alias("at"), F.lit(1).alias("asks"), "page_id", "url", "fetched_at").unionByName(
+        lists.select(*key, F.col("valid_from").alias("at"), F.lit(0).alias("asks"), F.struct("valid_from", "valid_to").alias("listing")), allowMissingColumns=True
+    )
+    so_far = Window.partitionBy(*key).orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    asof = rows.withColumn("listing", F.last("listing", ignorenulls=True).over(so_far)).filter("asks = 1").select("page_id", "url", "fetched_at", "pattern", "category", "listing.*")
+    found = asof.filter(F.col("valid_from").isNotNull() & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
     latest = found.groupBy("page_id", "url", "fetched_at").agg(F.max(F.struct("valid_from", F.length("pattern").alias("l"), "category")).alias("x"))
     same = [F.col(f"c.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("page_id", "url", "fetched_at")]
     best = alike.alias("c").join(latest.alias("f"), same[0] & same[1] & same[2], "left")
-    each = best.withColumn("__copy__", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return each.select("c.page_id", "c.url", "host", "c.fetched_at", F.col("x").isNotNull().alias("blocked"), F.col("x.category").alias("category"), F.col("x.valid_from").alias("listed_at"))
+    judged = saved(best.select("c.page_id", "c.url", "host", "c.fetched_at", F.col("x").isNotNull().alias("blocked"), F.col("x.category").alias("category"), F.col("x.valid_from").alias("listed_at"), "n"), "judged")
+    pieces = judged.filter(F.col("n") > PIECE).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE))))
+    # a number, so that Spark doesn't merge what are few bytes but many rows
+    dealt = pieces.repartition(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id", "url", "fetched_at", "piece").withColumn("n", F.least(F.lit(PIECE), F.col("n") - F.col("piece") * PIECE)).drop("piece")
+    whole = judged.filter(F.col("n") <= PIECE).unionByName(dealt)
+    return whole.withColumn("__copy__", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("__copy__", "n")
 
 
 def _digits(text: Column, start: int) -> Column:

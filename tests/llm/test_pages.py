@@ -10,6 +10,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sampleloom.llm import html_extract, url_filters
 from tests.oracle import compare, connect
@@ -270,3 +271,21 @@ def test_filters_on_empty_tables(spark, sf):
 
 def test_filters_equal_sql(spark, sf):
     compare(url_filters.op9_url_filters(spark, sf), connect(sf), url_filters.ORACLE)
+
+
+def test_copies_of_a_capture_are_made_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(url_filters, "PIECE", 3)
+    captures = [(1, "http://b.com/x", day(9))] * 40 + [(2, "http://b.com/y", day(2))] * 3 + [(None, None, None)] * 7
+    entries = [("b.com", "spam", "add", day(5))]
+    got = url_filters.judge(spark.createDataFrame(captures, "page_id long, url string, fetched_at timestamp_ntz"), spark.createDataFrame(entries, "pattern string, category string, action string, dated timestamp_ntz"))
+    assert sorted(((r.page_id, r.host, r.blocked, r.category, r.listed_at) for r in got.collect()), key=str) == brute_judge(captures, entries)
+    assert got.filter("page_id = 1").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_a_long_history_is_met_once_a_category(spark):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    entries = [("b.com", kind, action, at(4 * i + shift)) for i in range(150) for kind, shift in (("adult", 0), ("spam", 1)) for action, shift in (("add", shift), ("remove", shift + 2))]
+    captures = [(i, "http://a.b.com/", at(i)) for i in range(0, 610)]
+    left, right = spark.createDataFrame(captures, "page_id long, url string, fetched_at timestamp_ntz"), spark.createDataFrame(entries, "pattern string, category string, action string, dated timestamp_ntz")
+    got = url_filters.judge(left, right).collect()
+    assert sorted(((r.page_id, r.host, r.blocked, r.category, r.listed_at) for r in got), key=str) == brute_judge(captures, entries)
