@@ -12,8 +12,10 @@ which are trained on. It is the probability that all but FALSE_RATE of them stay
 A paragraph is a line, and also a run of lines up to an empty one, from the first to the last line with a licence word: a
 notice may be wrapped. A run is reported, under its first line's number, if none of its lines is of a family by itself.
 
-The classifier is fitted on the driver from the fixed notices below and on at most SAMPLE different
-paragraphs of the corpus as examples of no licence, those with the least hashes; this bounds the fit.
+The classifier is fitted on the driver from the fixed notices below, from notices put together of the licences' names, versions and common
+SAYINGS (and of made-up names, which are unknown), from EVERYDAY sentences on other licences, and on at most SAMPLE different
+paragraphs of the corpus as examples of no licence, those with the least hashes; this bounds the fit. A name by itself is a template, so
+that short forms can be confirmed. Of two families that are equally likely the first by name is taken.
 
 Defined results: null and empty texts have no paragraphs; one row for each paragraph that is a licence
 or reads like one; repeated rows and paragraphs give repeated results; all paragraphs of a text are
@@ -174,6 +176,33 @@ HELD_OUT = {
     "openrail": ["This model is released under the OpenRAIL-M license with use restrictions", "SPDX-License-Identifier: OpenRAIL"],
     "wtfpl": ["Released under the Do What You Want To Public License, Version 2.", "SPDX-License-Identifier: WTFPL"],
 }
+# What the families' licences are called, and their versions.
+CALLED = {
+    "apache-2.0": (["Apache License", "Apache Software License", "Apache Public License", "Apache"], ["2.0", "v2.0", "2", "v2"]),
+    "mit": (["MIT License", "MIT", "MIT/X11 License", "Expat License"], []),
+    "isc": (["ISC License", "ISC"], []),
+    "bsd": (["BSD License", "BSD", "New BSD License", "Modified BSD License", "Simplified BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "3-Clause BSD License", "2-Clause BSD License", "BSD-3-Clause", "BSD-2-Clause"], []),
+    "gpl": (["GNU General Public License", "GNU GPL", "GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0"], ["2", "3", "v2", "v3", "2.0", "3.0"]),
+    "lgpl": (["GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "LGPL", "LGPLv3", "LGPLv2.1", "LGPL-2.1", "LGPL-3.0"], ["2.1", "3", "v2.1", "v3", "3.0"]),
+    "agpl": (["GNU Affero General Public License", "GNU AGPL", "AGPL", "AGPLv3", "AGPL-3.0"], ["3", "v3", "3.0"]),
+    "mpl": (["Mozilla Public License", "MPL", "MPL-2.0"], ["1.1", "2.0", "v2.0", "v. 2.0"]),
+    "cc-by-nc": (["CC BY-NC", "CC-BY-NC", "CC-BY-NC-SA", "Creative Commons Attribution-NonCommercial"], ["3.0", "4.0"]),
+    "cc-by-sa": (["CC BY-SA", "CC-BY-SA", "Creative Commons Attribution-ShareAlike"], ["3.0", "4.0"]),
+    "cc-by-nd": (["CC BY-ND", "CC-BY-ND", "Creative Commons Attribution-NoDerivatives"], ["3.0", "4.0"]),
+    "cc-by": (["CC BY", "CC-BY", "Creative Commons Attribution"], ["3.0", "4.0"]),
+    "public-domain": (["CC0", "CC0 1.0", "Unlicense", "public domain"], []),
+}
+#: What is said with a name: notices of all families, and of made-up licences, are put together from these.
+SAYINGS = [
+    "Licensed under the {}.", "Licensed under {}", "{} licensed", "Released under the {} license.", "Released under {}.", "This project is licensed under the {}", "Distributed under the terms of the {}.", "License: {}",
+    "This software is available under the {}.", "The code is under {}.", "Images are {}", "Published under the {}, see LICENSE", "This file is made available under the {}.", "Its license is the {}.", "{}, see COPYING", "Content is {}.",
+]
+# Sentences with words of licences that are none.
+EVERYDAY = [
+    "A driving license is renewed every ten years.", "The officer asked for a licence and a registration.", "She is a licensed therapist in the city.", "A fishing license costs ten dollars.", "He lost his driver's license at the station.", "They need permission to enter the building.",
+    "The pub has a licence to sell beer until midnight.", "Her medical license was suspended in May.", "The plate and the licence number were copied.", "The council granted a license for the market.", "Poetic license is allowed in songs.", "All of the software was sold to the public.",
+    "The general said that the public was free to go.", "The library opens at nine and is free of charge.", "Copies of the notice were distributed in the town.", "An apache helicopter landed near the domain.", "Students at MIT built a robot.", "The project was released in the spring.",
+]
 #: Frames and names by which more notices of unknown licences are made; each half of both is trained on or calibrates, never both.
 FRAMES = [
     "Licensed under the {} License.", "Released under the {} License.", "This project is licensed under the terms of the {} license.", "SPDX-License-Identifier: {}-{}", "See the file LICENSE for the terms of the {} agreement",
@@ -199,6 +228,20 @@ def made_notices(rng: random.Random, half: int, n: int) -> list[str]:
     return [rng.choice(frames).format(rng.choice(names), rng.choice(["1.0", "2.1", "3", "4.0"])) for _ in range(n)]
 
 
+def called(rng: random.Random, name: str, versions: list[str]) -> str:
+    """A name as it is written somewhere, mostly with a version if it has any."""
+    if versions and not name[-1].isdigit() and rng.random() < 0.75:
+        return f"{name}{rng.choice([', version ', ' version ', ' ', ' ', '-'])}{rng.choice(versions)}"
+    return name
+
+
+def said(rng: random.Random, families: dict[str, list[str]], n: int = 80) -> list[tuple[str, str]]:
+    """(notice, class): n notices of each family that has a name, put together from names, versions and sayings, and of made-up licences."""
+    out = [(rng.choice(SAYINGS).format(called(rng, rng.choice(names), versions)), family) for family, (names, versions) in sorted(CALLED.items()) if family in families for _ in range(n)]
+    strange = [f"{name}{kind}" for name in NAMES[: len(NAMES) // 2] for kind in (" License", " Public License", "", " Software License")]
+    return out + [(rng.choice(SAYINGS).format(called(rng, rng.choice(strange), ["1.0", "2.0", "3", "v4"])), "unknown") for _ in range(2 * n)]
+
+
 def varied(rng: random.Random, notice: str) -> str:
     """The notice with ordinary words before or after it."""
     extra = " ".join(rng.choice(FILLER) for _ in range(rng.randint(1, 6)))
@@ -209,7 +252,7 @@ def examples(rng: random.Random, families: dict[str, list[str]], strangers: dict
     """(notice, class): each notice as it is and varied."""
     out = [(n, family) for family, notices in families.items() for n in notices] + [(n, "unknown") for notices in strangers.values() for n in notices]
     out += [(varied(rng, n), kind) for n, kind in out for _ in range(4)]
-    return out + [(n, "unknown") for n in made_notices(rng, 0, 120)]
+    return out + [(n, "unknown") for n in made_notices(rng, 0, 120)] + said(rng, families)
 
 
 @dataclass
@@ -276,7 +319,8 @@ def fit(plain: list[str], families: dict[str, list[str]] | None = None, seed: in
     classes = [*sorted(families), "unknown", "none"]
     train = examples(rng, families, STRANGERS)
     feature: dict[str, int] = {}
-    for notices in [*families.values(), *STRANGERS.values(), [f.replace("{}", " ") for f in FRAMES[: len(FRAMES) // 2]]]:
+    names = [n for family, (forms, versions) in CALLED.items() if family in families for name in forms for n in (name, *[f"{name} {v}" for v in versions])]
+    for notices in [*families.values(), *STRANGERS.values(), [f.replace("{}", " ") for f in [*FRAMES[: len(FRAMES) // 2], *SAYINGS]], names]:
         for n in notices:
             for g in grams(words_of(n)):
                 feature.setdefault(g, len(feature))
@@ -286,7 +330,10 @@ def fit(plain: list[str], families: dict[str, list[str]] | None = None, seed: in
             common[w] = common.get(w, 0) + 1
     # words of notices that ordinary paragraphs have too don't tell them apart
     telling = frozenset(g for g in feature if " " not in g and common.get(g, 0) <= 0.002 * max(500, len(plain)))
-    none = {frozenset(feature[g] for g in grams(words_of(p)) if g in feature) for p in plain} | {frozenset()}
+    for p in EVERYDAY:  # what is said of other licences counts, but marks no paragraph
+        for g in grams(words_of(p)):
+            feature.setdefault(g, len(feature))
+    none = {frozenset(feature[g] for g in grams(words_of(p)) if g in feature) for p in [*plain, *EVERYDAY, *[varied(rng, p) for p in EVERYDAY for _ in range(4)]]} | {frozenset()}
     data = [([feature[g] for g in grams(words_of(text)) if g in feature], kind) for text, kind in train] + [(sorted(x), "none") for x in sorted(none, key=sorted)]
     x = np.zeros((len(data), len(feature) + 1), np.float32)
     y = np.zeros((len(data), len(classes)), np.float32)
@@ -305,7 +352,7 @@ def fit(plain: list[str], families: dict[str, list[str]] | None = None, seed: in
         p /= p.sum(1, keepdims=True)
         step = 0.9 * step - 2.0 * (x.T @ ((p - y) * scale) + 2e-5 * w)
         w += step
-    templates = {f: [frozenset(grams(words_of(n))) for n in ns] for f, ns in families.items()}
+    templates = {f: [frozenset(grams(words_of(n))) for n in [*ns, *CALLED.get(f, ([], []))[0]]] for f, ns in families.items()}
     scanner = Scanner(classes, feature, telling, w, 0.0, templates)
     unseen = [n for notices in HELD_OUT.values() for n in notices]
     unseen += [varied(rng, n) for n in unseen] + made_notices(rng, 1, 120)

@@ -522,6 +522,24 @@ def test_unseen_licences_stay_unknown(scanner, small):
         assert fewer.threshold != scanner.threshold
 
 
+def test_wordings_that_are_not_trained_on(scanner):
+    """None of these is among the notices or follows a saying; the strange ones set no threshold."""
+    wordings = [
+        ("You can use this library under the MIT license", "mit"), ("We license our code with Apache 2.0", "apache-2.0"), ("Code covered by the BSD license, docs by nobody", "bsd"), ("Everything here is GPLv3", "gpl"), ("Free software under the GNU GPL version 3", "gpl"),
+        ("available as CC BY 4.0", "cc-by"), ("All photos CC BY-NC 4.0 unless noted", "cc-by-nc"), ("This repository uses the ISC license", "isc"), ("Subject to the Mozilla Public License, version 2.0", "mpl"), ("The tool comes with the GNU Affero General Public License v3", "agpl"),
+        ("you may copy it under the LGPL 2.1", "lgpl"), ("the author dedicates this to the public domain (CC0)", "public-domain"), ("docs may be shared under CC-BY-ND 4.0", "cc-by-nd"), ("License MIT", "mit"), ("Open source, Apache-2.0", "apache-2.0"),
+        ("MIT licence applies to all files", "mit"), ("All texts fall under CC BY-SA 3.0", "cc-by-sa"), ("dual use under BSD terms", "bsd"),
+    ]
+    right = [t for t, family in wordings if (got := scanner.classify(t)) and got[0] == family]
+    assert len(right) >= 0.8 * len(wordings), {t for t, _ in wordings} - set(right)
+    for text, family in (("MIT licensed", "mit"), ("BSD licensed", "bsd"), ("Licensed under the Apache License v2.0", "apache-2.0"), ("Licensed under MPL 2.0", "mpl"), ("Released under the AGPL-3.0 license", "agpl"), ("LGPL v3", "lgpl"), ("Images are CC-BY-SA 4.0", "cc-by-sa")):
+        assert scanner.classify(text)[0] == family, text
+    for strange in ("Licensed under the NASA Open Source Agreement version 1.3", "Academic Free License version 3.0", "Released under the Reciprocal Public License", "Licensed under the Vovida Software License 1.0", "Use is subject to the Sleepycat License"):
+        assert scanner.classify(strange)[0] == "unknown", strange
+    for plain in ("I renewed my driving license last week.", "A liquor license was denied.", "The nurse held a license in two states.", "Public transport is free in this city.", "General opinion was against the new version."):
+        assert scanner.classify(plain) is None, plain
+
+
 def test_wrapped_notices(scanner):
     gpl = "This program is free software: you can redistribute it and/or\nmodify it under the terms of the GNU General\nPublic License as published by the Free Software\nFoundation, either version 3 of the License"
     mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and\nassociated documentation files"
