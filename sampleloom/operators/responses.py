@@ -62,7 +62,6 @@ def convolve_with(chunks: DataFrame, prepared: DataFrame, chosen: DataFrame, mix
     """
     if not 0 <= mix <= 1:
         raise ValueError("mix has to be between 0 and 1")
-    spark = chunks.sparkSession
     own_mix = F.col("mix").cast("double") if "mix" in chosen.columns else F.lit(float(mix))
     lengths = prepared.groupBy("response_id").agg(F.max(F.size("taps")).cast("long").alias("n"))
     use = chosen.select(F.col("track_id").cast("long").alias("track_id"), F.col("response_id").cast("long").alias("response_id"), F.coalesce(own_mix, F.lit(float(mix))).alias("mix")).groupBy("track_id", "response_id").agg(F.max("mix").alias("mix")).join(lengths, "response_id")
@@ -78,7 +77,7 @@ def convolve_with(chunks: DataFrame, prepared: DataFrame, chosen: DataFrame, mix
     by = ["track_id", "response_id", "range"]
     rows = ranged.select(*by, "channel", "chunk", "start_frame", "samples").unionByName(sent)
     place = F.struct("response_id", "range").alias("place")
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by, "chunk", "channel").select("track_id", "channel", "chunk", "start_frame", "samples", place)
+    dealt = board._dealt(rows, by).sortWithinPartitions(*by, "chunk", "channel").select("track_id", "channel", "chunk", "start_frame", "samples", place)
 
     def run(batches):
         key, response, held, channels = None, None, [], []

@@ -419,11 +419,11 @@ def read_wav_raw(spark: SparkSession, path: str, chunk_frames: int = CHUNK) -> D
 
 
 def _with_tracks(chunks: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Blocks in order, with rate, channels and frames of their track."""
+    """Blocks in order, with rate, channels and frames of their track; dealt as by board._dealt."""
     meta = tracks.select("track_id", "sample_rate", "num_channels", "num_frames")
     joined = chunks.select("track_id", "channel", "chunk", "start_frame", F.col("samples").cast("array<double>").alias("samples")).join(meta, "track_id")
     cols = ["track_id", "channel", "chunk", "start_frame", "samples", "sample_rate", "num_channels", "num_frames"]
-    return joined.select(*cols).repartition("track_id").sortWithinPartitions("track_id", "chunk", "channel")
+    return joined.select(*cols).repartition(F.xxhash64("track_id")).sortWithinPartitions("track_id", "chunk", "channel")
 
 
 def _encoded(batches, bit_depth: int, floating: bool):

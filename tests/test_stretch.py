@@ -70,3 +70,14 @@ def test_phases_and_ends_go_by_a_shuffle_where_they_are_many(spark, monkeypatch)
     monkeypatch.setattr(stretch, "BROADCAST_PHASES", 0)
     monkeypatch.setattr(stretch, "BROADCAST_BLOCKS", 0)
     assert np.allclose(arrays(stretch.stretch_along_time(chunks_of(spark, {1: x}, 3000), 1.25, 2.0, 8))[1, 0], want, atol=1e-6)
+
+
+def test_curves_and_blocks_are_dealt_together(spark):
+    """Shuffles under a union are merged by Spark each for itself, so they don't do for a pass over the union: on sf0.1 blocks came without their curves."""
+    frames = tables.frames_from_rows(spark.range(0, 2000, 1, 3).withColumn("track", F.col("id") % 5), "track", ["id"], F.sin("id"))
+    n = frames.groupBy("track_id").agg((F.max("frame") + 1).cast("int").alias("n"))
+    curves = n.select("track_id", *[F.array_repeat(F.lit(v), F.col("n")).alias(name) for name, v in (("stretch", 0.5), ("semitones", 1.0))])
+    made = board.time_stretch(tables.pack(frames, 128), curves=curves)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan[plan.index("MapInArrow") : plan.index("Union")]
+    assert sorted(tuple(r) for r in made.groupBy("track_id").agg(F.sum(F.size("samples"))).collect()) == [(t, 800) for t in range(5)]
