@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sampleloom.kernels.vocoder import HALF, HOP, SHAPE, WINDOW, check, places, spectra
 from sampleloom.operators.board import _batch, _tasks, in_ranges, resample_chunks
-from sampleloom.operators.scan import AT, BROADCAST_BLOCKS, NUMBERS, _kept, typed
+from sampleloom.operators.scan import AT, BROADCAST_BLOCKS, NUMBERS, ROWS, _kept, typed
 from sampleloom.operators.tables import CHUNKS, KEY
 
 #: Input frames that a block of grains reads, about; and the most grains it has.
@@ -35,6 +35,13 @@ BROADCAST_PHASES = 4096
 SPAN = WINDOW // HOP
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, as what is made of a row may be larger than the row."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, ROWS):
+            yield whole.slice(i, ROWS)
+
+
 def _grains(block: int, per: int) -> np.ndarray:
     return np.arange(max(0, block * per - SPAN + 1), (block + 1) * per)
 
@@ -85,7 +92,7 @@ def _maps(inputs: DataFrame, speed: float, per: int) -> DataFrame:
     """track_id, channel, chunk, frames, near, turn: what a block makes of the phases before it, up to where the next one begins."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             out = []
             for _, block, frames, (angle, _, near, turn) in _analysed(batch, speed, per):
                 n = len(near) - SPAN + 1
@@ -105,7 +112,7 @@ def _phases(maps: DataFrame) -> DataFrame:
 
     def run(batches):
         key, phase = None, np.zeros(0)
-        for batch in batches:
+        for batch in _few(batches):
             t, c = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
             for i in range(batch.num_rows):
@@ -125,24 +132,26 @@ def _synthesized(inputs: DataFrame, phases: DataFrame, speed: float, per: int) -
     shape = (SHAPE**2).reshape(SPAN, HOP)
 
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             t, c, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for i, block, frames, (angle, size, near, turn) in _analysed(batch, speed, per):
                 phase, turned = np.asarray(batch.column(5)[i].values), np.empty_like(size)
                 for g in range(len(size)):
                     phase = turned[g] = phase[near[g]] + turn[g] if block or g else angle[0]
                 made = np.fft.irfft(size * np.exp(1j * turned), WINDOW) * SHAPE
+                first = block * per * HOP - HALF
+                stop = per * HOP if frames == np.inf else max(0, min(per * HOP, int(frames / speed) - first))
+                n = -(-stop // HOP)  # hops of the block that the track has
                 # there are no grains before the track's first and after its end
                 before = 0 if block else SPAN - 1
-                after = per + SPAN - 1 - before - len(made)
+                made = made[: max(0, n + SPAN - 1 - before)]
+                after = n + SPAN - 1 - before - len(made)
                 hops, there = np.pad(made, ((before, after), (0, 0))).reshape(-1, SPAN, HOP), np.pad(np.ones(len(made)), (before, after))
-                total, weight = np.zeros((2, per, HOP))
+                total, weight = np.zeros((2, n, HOP))
                 for j in range(SPAN):
-                    own = slice(SPAN - 1 - j, SPAN - 1 - j + per)
+                    own = slice(SPAN - 1 - j, SPAN - 1 - j + n)
                     total += hops[own, j]
                     weight += there[own, None] * shape[j]
-                first = block * per * HOP - HALF
-                stop = per * HOP if frames == np.inf else min(per * HOP, int(frames / speed) - first)
                 skip = max(0, -first)
                 out.append((t[i], c[i], block, first + skip, (total / np.maximum(weight, 1e-6)).ravel()[skip : max(skip, stop)]))
             yield _batch(out)

@@ -81,3 +81,33 @@ def test_curves_and_blocks_are_dealt_together(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan[plan.index("MapInArrow") : plan.index("Union")]
     assert sorted(tuple(r) for r in made.groupBy("track_id").agg(F.sum(F.size("samples"))).collect()) == [(t, 800) for t in range(5)]
+
+
+def test_short_tracks_make_small_blocks(monkeypatch):
+    """What a block of grains puts out takes room for the frames that its track has, and for a few rows at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *a: self
+
+        def count(self):
+            return 0
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(stretch.F, "broadcast", lambda df: df)
+    run = stretch._synthesized(Rows(), Rows(), 0.5, 128)
+    n, many = 900, 150
+    lists = lambda x: pa.array([x] * many, pa.list_(pa.float64()))
+    same = lambda v, kind: pa.array([v] * many, kind)
+    cols = [same(1, pa.int64()), same(0, pa.int32()), same(0, pa.int64()), same(0, pa.int64()), lists([float(n), *signal(n, 1)[0]]), lists(np.zeros(vocoder.HALF + 1))]
+    batch = pa.RecordBatch.from_arrays(cols, names=list("abcdef"))
+    tracemalloc.start()
+    lengths = [len(x) for made in run(iter([batch])) for x in made.column(4)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lengths == [2 * n] * many and peak < 20e6
