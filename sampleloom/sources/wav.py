@@ -39,6 +39,10 @@ TRACKS = "track_id long, path string, sample_rate double, num_channels int, num_
 #: Bytes of files, and files, that one task reads, about.
 TASK_BYTES = 64 << 20
 TASK_FILES = 4096
+#: Recordings that one task of a stream reads at most.
+STREAM_FILES = 256
+#: And frames, but for a longer one alone.
+STREAM_FRAMES = 1 << 22
 #: Frames that a batch of rows holds, about.
 BATCH_FRAMES = 1 << 16
 
@@ -153,12 +157,6 @@ class WavReader(DataSourceReader):
                 stop = min(stop, -(-self.high // self.chunk))
             yield from self._decoded(f, h, track_id(path), first * self.chunk, min(stop * self.chunk, h.frames))
 
-    def _range(self, path: str, low: int, high: int) -> Iterator[tuple]:
-        """Blocks from frame `low`, where one begins, to `high`."""
-        store, name = located(path)
-        with store.open_input_file(name) as f:
-            yield from self._decoded(f, wav.read_header(f, f.size()), track_id(path), low, high)
-
     def _decoded(self, f, h: wav.Header, own: int, low: int, high: int) -> Iterator[tuple]:
         for s in range(low, high, self.chunk):
             f.seek(h.offset + s * h.frame_bytes)
@@ -174,7 +172,7 @@ class WavReader(DataSourceReader):
 
 
 @dataclass
-class Grown(InputPartition):
+class Grown:
     """Frames low to high of a recording, and whether it ends there."""
 
     path: str
@@ -183,6 +181,11 @@ class Grown(InputPartition):
     ended: bool
 
 
+@dataclass
+class GrownFiles(InputPartition):
+    files: list[Grown]
+
+
 class WavStreamReader(DataSourceStreamReader):
     """Recordings as they grow. An offset has, for each file, the frames that were read and whether its end was. While a file's header has no length yet,
     whole blocks are read; once it has, the rest, and a block without samples, which ends the track. Files that aren't WAV yet (no header) are left for later.
@@ -198,52 +201,65 @@ class WavStreamReader(DataSourceStreamReader):
     def latestOffset(self):
         store, root = located(self.path)
         scheme = self.path[: self.path.index("://") + 3] if "://" in self.path and not self.path.startswith("file:") else ""
-        out = {}
-        for x in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
-            if x.type != fs.FileType.File or posixpath.splitext(x.path)[1].lower() != ".wav":
-                continue
-            path = scheme + x.path
-            if path not in self.closed:
-                try:
-                    with store.open_input_file(x.path) as f:
-                        h = wav.read_header(f, x.size)
-                except wav.UnsupportedWav:
-                    if x.size > 4096:
-                        raise
-                    continue
-                if h.whole:
-                    self.closed[path] = h.frames
-                else:
-                    out[path] = {"frames": (x.size - h.offset) // h.frame_bytes // self.chunk * self.chunk, "ended": False}
-            if path in self.closed:
-                out[path] = {"frames": self.closed[path], "ended": True}
+        found = [x for x in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)) if x.type == fs.FileType.File and posixpath.splitext(x.path)[1].lower() == ".wav"]
+
+        def header(x) -> wav.Header | None:
+            try:
+                with store.open_input_file(x.path) as f:
+                    return wav.read_header(f, x.size)
+            except wav.UnsupportedWav:
+                if x.size > 4096:
+                    raise
+                return None
+
+        out, new = {}, [x for x in found if scheme + x.path not in self.closed]
+        with ThreadPoolExecutor(16) as pool:
+            for x, h in zip(new, pool.map(header, new), strict=True):
+                if h is not None and h.whole:
+                    self.closed[scheme + x.path] = h.frames
+                elif h is not None:
+                    out[scheme + x.path] = {"frames": (x.size - h.offset) // h.frame_bytes // self.chunk * self.chunk, "ended": False}
+        for x in found:
+            if scheme + x.path in self.closed:
+                out[scheme + x.path] = {"frames": self.closed[scheme + x.path], "ended": True}
         return out
 
     def partitions(self, start, end):
-        found = []
+        """Short recordings share a task, by the frames that they have got."""
+        out, held, frames = [], [], 0
         for path, to in sorted(end.items()):
             at = start.get(path, {"frames": 0, "ended": False})
-            if to != at:
-                found.append(Grown(path, at["frames"], to["frames"], to["ended"] and not at["ended"]))
-        return found
-
-    def read(self, partition: Grown):
+            if to == at:
+                continue
+            grown = Grown(path, at["frames"], to["frames"], to["ended"] and not at["ended"])
+            if held and (len(held) == STREAM_FILES or frames + grown.high - grown.low > STREAM_FRAMES):
+                out.append(GrownFiles(held))
+                held, frames = [], 0
+            held.append(grown)
+            frames += grown.high - grown.low
+        return [*out, *([GrownFiles(held)] if held else [])]
+
+    def read(self, partition: GrownFiles):
         reader = WavReader({"path": self.path, "chunk_frames": self.chunk})
         rows, held = [], 0
-        for row in reader._range(partition.path, partition.low, partition.high):
-            rows.append(row)
-            held += len(row[4])
-            if held >= BATCH_FRAMES:
-                yield reader._batch(rows)
-                rows, held = [], 0
-        if partition.ended:
-            store, name = located(partition.path)
-            with store.open_input_file(name) as f:
-                channels = wav.read_header(f, f.size()).channels
-            rows += [(track_id(partition.path), c, -(-partition.high // self.chunk), partition.high, np.zeros(0)) for c in range(channels)]
+        for grown in partition.files:
+            for row in self._rows(reader, grown):
+                rows.append(row)
+                held += len(row[4])
+                if held >= BATCH_FRAMES:
+                    yield reader._batch(rows)
+                    rows, held = [], 0
         if rows:
             yield reader._batch(rows)
 
+    def _rows(self, reader: WavReader, grown: Grown) -> Iterator[tuple]:
+        store, name = located(grown.path)
+        with store.open_input_file(name) as f:
+            h = wav.read_header(f, f.size())
+            yield from reader._decoded(f, h, track_id(grown.path), grown.low, grown.high)
+        if grown.ended:
+            yield from ((track_id(grown.path), c, -(-grown.high // self.chunk), grown.high, np.zeros(0)) for c in range(h.channels))
+
 
 @dataclass
 class Written(WriterCommitMessage):

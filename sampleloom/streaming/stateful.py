@@ -33,6 +33,36 @@ from sampleloom.operators.tables import CHUNKS, KEY
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+class _Early:
+    """The blocks of a key that wait: those of the state, and over them those of this batch, which reach the state only if they still wait after it."""
+
+    def __init__(self, state, known: bool):
+        self.state, self.own = state, {}
+        self.stored = {tuple(k) for k in state.keys()} if known else set()
+
+    def containsKey(self, k: tuple) -> bool:
+        return k in self.own or k in self.stored
+
+    def getValue(self, k: tuple) -> tuple:
+        return self.own[k] if k in self.own else self.state.getValue(k)
+
+    def updateValue(self, k: tuple, v: tuple) -> None:
+        self.own[k] = v
+
+    def removeKey(self, k: tuple) -> None:
+        self.own.pop(k, None)
+        if k in self.stored:
+            self.stored.remove(k)
+            self.state.removeKey(k)
+
+    def keys(self) -> set[tuple]:
+        return self.stored | set(self.own)
+
+    def keep(self) -> None:
+        for k, (start, samples, marks, ts) in self.own.items():
+            self.state.updateValue(k, (start, [float(x) for x in samples], [float(x) for x in marks], ts))
+
+
 class _Ordered(StatefulProcessor):
     """Calls step(state, block, chunk, start, lost, marks) for the blocks of a key in the order of their numbers; a block of no samples ends the key.
 
@@ -48,11 +78,11 @@ class _Ordered(StatefulProcessor):
         ttl = None if self.forget is None else int(self.forget * 1000)
         self.handle = handle
         self.kept = handle.getValueState("kept", "state binary", ttl)
-        self.early = handle.getMapState("early", "chunk long, channel int", "start_frame long, samples array<double>, marks array<double>, ts long", ttl)
+        self.waiting = handle.getMapState("early", "chunk long, channel int", "start_frame long, samples array<double>, marks array<double>, ts long", ttl)
         self.reached = handle.getValueState("reached", "block long, frame long")
 
-    def _held(self) -> list:
-        held = self.kept.get() if self.kept.exists() else None
+    def _held(self, known: bool) -> list:
+        held = self.kept.get() if known else None
         return pickle.loads(held[0]) if held else [0, 0, self.fresh(), 0, 0]
 
     def _names(self) -> list[int]:
@@ -117,6 +147,7 @@ class _Ordered(StatefulProcessor):
     def _done(self, out: list[tuple], held: list):
         import pandas as pd
 
+        self.early.keep()
         self.kept.update((pickle.dumps(held),))
         if self.forget is not None:
             self.reached.update((held[0], held[1]))
@@ -135,12 +166,13 @@ class _Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         self.channel = int(key[1]) if self.channels is None else None
-        known, held, track = self.kept.exists(), self._held(), int(key[0])
+        known = self.kept.exists()
+        held, track, self.early = self._held(known), int(key[0]), _Early(self.waiting, known)
         first: tuple[int, int] | None = None
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 if r.chunk >= held[0]:
-                    self.early.updateValue((int(r.chunk), int(r.channel)), (int(r.start_frame), [float(x) for x in r.samples], [float(x) for x in r.marks], int(r.ts)))
+                    self.early.updateValue((int(r.chunk), int(r.channel)), (int(r.start_frame), r.samples, r.marks, int(r.ts)))
                     first = min(first or (int(r.chunk), int(r.start_frame)), (int(r.chunk), int(r.start_frame)))
         if not known and self.forget is not None and first and self.reached.exists():
             block, frame = self.reached.get()
@@ -157,7 +189,8 @@ class _Ordered(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Nothing came for so long, or what waits is of the past."""
         self.channel = int(key[1]) if self.channels is None else None
-        held = self._held()
+        known = self.kept.exists()
+        held, self.early = self._held(known), _Early(self.waiting, True)
         yield self._done(self._release(int(key[0]), held), held)
 
     def close(self) -> None:

@@ -213,3 +213,18 @@ def test_an_epoch_that_is_run_again_replaces_its_files(tmp_path):
         made = list(writer._sorted([batch]))
         assert sum(b.num_rows for b in made) == 2 and made[0].column(3).to_pylist()[0] == 30
         assert made[0].column(7).to_pylist()[0] == 20
+
+
+def test_short_recordings_share_a_task_of_a_stream(tmp_path):
+    from sampleloom.kernels import wav as kernel
+    from sampleloom.sources import wav as source
+
+    for i in range(600):
+        x = np.full((2, 40), i / 1000)
+        (tmp_path / f"{i}.wav").write_bytes(kernel.make_header(1000.0, 2, 40, 16, False) + kernel.encode(x, 16, False))
+    reader = source.WavStreamReader({"path": str(tmp_path), "chunk_frames": "24"})
+    end = reader.latestOffset()
+    parts = reader.partitions({}, end)
+    assert len(end) == 600 and len(parts) == 3 and not reader.partitions(end, end)
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted((r["track_id"], r["chunk"], r["channel"], len(r["samples"])) for r in rows) == sorted((source.track_id(p), k, c, n) for p in end for k, n in enumerate((24, 16, 0)) for c in range(2))

@@ -190,3 +190,33 @@ def test_lost_frames_of_all_tracks(spark, monkeypatch):
     assert any(cs[-1] < length[t] - 1 for t, cs in sent.items())
     files = spark.read.parquet(folders["stream-in"]).groupBy(F.input_file_name()).agg(F.countDistinct("track_id").alias("tracks")).collect()
     assert len(files) >= 8 and max(r.tracks for r in files) > 1
+
+
+def test_blocks_that_go_on_within_a_batch_do_not_reach_the_state():
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = {}
+
+        def __getattr__(self, name):
+            calls.append(name)
+            own = {
+                "exists": lambda: bool(self.held), "get": lambda: self.held[0], "update": lambda v: self.held.update({0: v}), "keys": lambda: iter(list(self.held)), "containsKey": lambda k: k in self.held,
+                "getValue": lambda k: self.held[k], "updateValue": lambda k, v: self.held.update({k: v}), "removeKey": lambda k: self.held.pop(k),
+            }
+            return own[name]
+
+    class Handle:
+        getValueState = getMapState = lambda self, *a: State()
+
+    took = stateful._Ordered(lambda: [], lambda s, block, chunk, start, lost, marks: [] if block is None else [(chunk, start, block)], lambda *a: a[1:], None, None, None, False, None)
+    took.init(Handle())
+    order = [3, 0, 2, 1, 4, 5, 7]
+    rows = lambda ks: iter([pd.DataFrame([(1, 0, k, k * 2, np.array([k, k + 0.5]), np.zeros(0), 0) for k in ks], columns=["track_id", "channel", "chunk", "start_frame", "samples", "marks", "ts"])])
+    made = pd.concat(list(took.handleInputRows((1, 0), rows(order), None)))
+    assert made.chunk.tolist() == list(range(6)) and len(calls) <= 4
+    made = pd.concat(list(took.handleInputRows((1, 0), rows([6]), None)))
+    assert made.chunk.tolist() == [6, 7] and made.samples.tolist() == [[6, 6.5], [7, 7.5]]
