@@ -21,7 +21,7 @@ import pickle
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,18 +33,33 @@ from sampleloom.operators.tables import CHUNKS, KEY
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Groups that a stream's signals are dealt to by a hash. One call, and one table of output, serves all signals of a group that a batch has, each with a state of
+#: its own: per signal there is little but reading its state and writing it. A stream that goes on from a checkpoint has to keep the number.
+GROUPS = 1024
+#: Samples of waiting blocks that may go with their signal's own state; of more, each block is a row of the map state.
+HELD_SAMPLES = 4096
+#: Samples put out at once, about.
+OUT_SAMPLES = 1 << 18
+#: In place of a channel where a signal is all channels of a track.
+ALL = -1
+
+
+def _group(*by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(GROUPS)).cast("int")
+
+
 class _Early:
-    """The blocks of a key that wait: those of the state, and over them those of this batch, which reach the state only if they still wait after it."""
+    """The blocks of a signal that wait, by block and channel: those that came with its own state and in this batch, and those of the map state, where blocks get
+    only if they still wait after their batch."""
 
-    def __init__(self, state, known: bool):
-        self.state, self.own = state, {}
-        self.stored = {tuple(k) for k in state.keys()} if known else set()
+    def __init__(self, state, signal: tuple, few: dict, stored: set):
+        self.state, self.signal, self.own, self.stored = state, signal, few, stored
 
     def containsKey(self, k: tuple) -> bool:
         return k in self.own or k in self.stored
 
     def getValue(self, k: tuple) -> tuple:
-        return self.own[k] if k in self.own else self.state.getValue(k)
+        return self.own[k] if k in self.own else pickle.loads(self.state.getValue((*self.signal, *k))[0])
 
     def updateValue(self, k: tuple, v: tuple) -> None:
         self.own[k] = v
@@ -53,21 +68,26 @@ class _Early:
         self.own.pop(k, None)
         if k in self.stored:
             self.stored.remove(k)
-            self.state.removeKey(k)
+            self.state.removeKey((*self.signal, *k))
 
     def keys(self) -> set[tuple]:
         return self.stored | set(self.own)
 
-    def keep(self) -> None:
-        for k, (start, samples, marks, ts) in self.own.items():
-            self.state.updateValue(k, (start, [float(x) for x in samples], [float(x) for x in marks], ts))
+    def keep(self) -> tuple[dict, set]:
+        """What goes with the signal's own state: few blocks, and the names of those of the map state."""
+        if sum(len(samples) + len(marks) for _, samples, marks, _ in self.own.values()) > HELD_SAMPLES:
+            for k, v in self.own.items():
+                self.state.updateValue((*self.signal, *k), (pickle.dumps(v),))
+            self.stored, self.own = self.stored | set(self.own), {}
+        return self.own, self.stored
 
 
 class _Ordered(StatefulProcessor):
     """Calls step(state, block, chunk, start, lost, marks) for the blocks of a key in the order of their numbers; a block of no samples ends the key.
 
-    A block is (channels, samples): one channel, or all `channels` of a track once each has come; `lost` is how many frames are missing before it. The value
-    state holds (next block, next frame, kernel state, losses that no row has told, losses before the next block), the map state what came early.
+    A block is (channels, samples): one channel, or all `channels` of a track once each has come; `lost` is how many frames are missing before it. The state of a
+    signal holds (next block, next frame, kernel state, losses that no row has told, losses before the next block) and what came early. Spark's key is a group of
+    signals; where timers are set, which are a key's, it is one signal.
     """
 
     def __init__(self, fresh: Callable, step: Callable, place: Callable, channels: int | None, patience: float | None, ahead: int | None, event_time: bool, forget: float | None):
@@ -77,13 +97,23 @@ class _Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = None if self.forget is None else int(self.forget * 1000)
         self.handle = handle
-        self.kept = handle.getValueState("kept", "state binary", ttl)
-        self.waiting = handle.getMapState("early", "chunk long, channel int", "start_frame long, samples array<double>, marks array<double>, ts long", ttl)
-        self.reached = handle.getValueState("reached", "block long, frame long")
-
-    def _held(self, known: bool) -> list:
-        held = self.kept.get() if known else None
-        return pickle.loads(held[0]) if held else [0, 0, self.fresh(), 0, 0]
+        self.kept = handle.getMapState("kept", "track_id long, channel int", "state binary", ttl)
+        self.waiting = handle.getMapState("early", "track_id long, channel int, chunk long, part int", "block binary", ttl)
+        self.reached = handle.getMapState("reached", "track_id long, channel int", "block long, frame long")
+
+    def _begin(self, signal: tuple) -> tuple[bool, list]:
+        """Whether the signal's state is there, and the state; what waits is in `early`."""
+        known = self.kept.containsKey(signal)
+        held, few, stored = pickle.loads(self.kept.getValue(signal)[0]) if known else ([0, 0, self.fresh(), 0, 0], {}, set())
+        if self.forget is not None:  # blocks may have gone before
+            stored = {k for k in stored if self.waiting.containsKey((*signal, *k))}
+        self.channel, self.early = signal[1], _Early(self.waiting, signal, few, stored)
+        return known, held
+
+    def _end(self, signal: tuple, held: list) -> None:
+        self.kept.updateValue(signal, (pickle.dumps((held, *self.early.keep())),))
+        if self.forget is not None:
+            self.reached.updateValue(signal, (held[0], held[1]))
 
     def _names(self) -> list[int]:
         return [self.channel] if self.channels is None else list(range(self.channels))
@@ -144,13 +174,9 @@ class _Ordered(StatefulProcessor):
             self._skip(held, whole, int(self.early.getValue((whole, waiting[chunks.index(whole)][1]))[0]))
             out += self._through(track, held)
 
-    def _done(self, out: list[tuple], held: list):
+    def _table(self, out: list[tuple]):
         import pandas as pd
 
-        self.early.keep()
-        self.kept.update((pickle.dumps(held),))
-        if self.forget is not None:
-            self.reached.update((held[0], held[1]))
         made = pd.DataFrame(out, columns=["track_id", "channel", "chunk", "start_frame", "samples", "dropped"])
         return made if _counts(self.patience, self.ahead, self.event_time, self.forget) else made.drop(columns="dropped")
 
@@ -164,34 +190,47 @@ class _Ordered(StatefulProcessor):
         elif waiting:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.patience * 1000))
 
-    def handleInputRows(self, key, rows, timerValues):
-        self.channel = int(key[1]) if self.channels is None else None
-        known = self.kept.exists()
-        held, track, self.early = self._held(known), int(key[0]), _Early(self.waiting, known)
+    def _signal(self, signal: tuple, came: list[tuple], timerValues) -> list[tuple]:
+        """What the blocks (block and channel, value) that came for a signal give."""
+        known, held = self._begin(signal)
         first: tuple[int, int] | None = None
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                if r.chunk >= held[0]:
-                    self.early.updateValue((int(r.chunk), int(r.channel)), (int(r.start_frame), r.samples, r.marks, int(r.ts)))
-                    first = min(first or (int(r.chunk), int(r.start_frame)), (int(r.chunk), int(r.start_frame)))
-        if not known and self.forget is not None and first and self.reached.exists():
-            block, frame = self.reached.get()
+        for k, v in came:
+            if k[0] >= held[0]:
+                self.early.updateValue(k, v)
+                first = min(first or (k[0], v[0]), (k[0], v[0]))
+        if not known and self.forget is not None and first and self.reached.containsKey(signal):
+            block, frame = self.reached.getValue(signal)
             if first[0] >= block > 0:  # forgotten in the middle of its signal; a number before that begins a new one
                 held[1] = int(frame)
                 self._skip(held, *first)
-        out = self._through(track, held)
+        out = self._through(signal[0], held)
         if self.ahead is not None:
-            out += self._release(track, held, self.ahead)
+            out += self._release(signal[0], held, self.ahead)
         if self.patience is not None or self.event_time:
             self._time(timerValues)
-        yield self._done(out, held)
+        self._end(signal, held)
+        return out
+
+    def handleInputRows(self, key, rows, timerValues):
+        came: dict[tuple, list] = {}
+        for pdf in rows:
+            for track, c, chunk, start, samples, marks, ts in zip(*[pdf[x].tolist() for x in ("track_id", "channel", "chunk", "start_frame", "samples", "marks", "ts")], strict=True):
+                came.setdefault((track, c if self.channels is None else ALL), []).append(((chunk, c), (start, samples, marks, ts)))
+        out: list[tuple] = []
+        for signal, blocks in came.items():
+            out += self._signal(signal, blocks, timerValues)
+            if sum(len(r[4]) for r in out) > OUT_SAMPLES:
+                yield self._table(out)
+                out = []
+        yield self._table(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Nothing came for so long, or what waits is of the past."""
-        self.channel = int(key[1]) if self.channels is None else None
-        known = self.kept.exists()
-        held, self.early = self._held(known), _Early(self.waiting, True)
-        yield self._done(self._release(int(key[0]), held), held)
+        signal = (int(key[0]), int(key[1]) if self.channels is None else ALL)
+        _, held = self._begin(signal)
+        out = self._release(signal[0], held)
+        self._end(signal, held)
+        yield self._table(out)
 
     def close(self) -> None:
         pass
@@ -209,6 +248,8 @@ def _stateful(chunks_stream: DataFrame, fresh: Callable, step: Callable, place:
     extra = [F.col(event_time)] if event_time else []  # the column with the watermark has to stay
     rows = chunks_stream.select("track_id", "channel", "chunk", "start_frame", F.col("samples").cast("array<double>").alias("samples"), told.alias("marks"), ts.alias("ts"), *[c.alias("__watermarked") for c in extra])
     by = KEY if channels is None else ["track_id"]
+    if patience is None and not event_time:
+        rows, by = rows.withColumn("__group", _group(*by)), ["__group"]
     timed = "EventTime" if event_time else ("None" if patience is None and forget is None else "ProcessingTime")
     schema = f"{CHUNKS}, dropped long" if _counts(patience, ahead, event_time, forget) else CHUNKS
     return rows.groupBy(*by).transformWithStateInPandas(_Ordered(fresh, step, place, channels, patience, ahead, bool(event_time), forget), outputStructType=schema, outputMode="Append", timeMode=timed)

@@ -220,3 +220,42 @@ def test_blocks_that_go_on_within_a_batch_do_not_reach_the_state():
     assert made.chunk.tolist() == list(range(6)) and len(calls) <= 4
     made = pd.concat(list(took.handleInputRows((1, 0), rows([6]), None)))
     assert made.chunk.tolist() == [6, 7] and made.samples.tolist() == [[6, 6.5], [7, 7.5]]
+
+
+class _Map(dict):
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+
+class _Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getMapState(self, name, *schema):
+        return self.states.setdefault(name, _Map())
+
+
+def test_signals_of_a_group_share_a_call():
+    """And a table of output; each has its own state, with the blocks that wait if they are few."""
+    import pandas as pd
+
+    took, handle = stateful._Ordered(lambda: [], lambda s, block, chunk, start, lost, marks: [] if block is None else [(chunk, start, block)], lambda *a: a[1:], None, None, None, False, None), _Handle()
+    took.init(handle)
+    rows = lambda ks, n: iter([pd.DataFrame([(t, 0, k, k * n, np.full(n, t + k / 10), np.zeros(0), 0) for t, k in ks], columns=["track_id", "channel", "chunk", "start_frame", "samples", "marks", "ts"])])
+    made = list(took.handleInputRows((5,), rows([(1, 0), (2, 1), (1, 1), (3, 0), (2, 2)], 2), None))
+    assert len(made) == 1 and list(zip(made[0].track_id, made[0].chunk)) == [(1, 0), (1, 1), (3, 0)]
+    assert set(handle.states["kept"]) == {(1, 0), (2, 0), (3, 0)} and not handle.states["early"]
+    made = pd.concat(list(took.handleInputRows((5,), rows([(2, 0)], 2), None)))
+    assert list(zip(made.track_id, made.chunk)) == [(2, 0), (2, 1), (2, 2)] and made.samples.tolist()[2] == [2.2, 2.2]
+    big = stateful.HELD_SAMPLES + 1
+    assert not len(pd.concat(list(took.handleInputRows((5,), rows([(4, 1)], big), None))))
+    assert set(handle.states["early"]) == {(4, 0, 1, 0)}
+    made = pd.concat(list(took.handleInputRows((5,), rows([(4, 0)], big), None)))
+    assert made.chunk.tolist() == [0, 1] and made.samples.tolist()[1] == [4.1] * big and not handle.states["early"]
+
+
+def test_many_waiting_samples(spark, tmp_path):
+    """More than go with their signal's state."""
+    x = np.sin(np.arange(15000) / 9.0)
+    rows = rows_of(x, 3000)
+    got = streamed(spark, tmp_path, [rows[3:], rows[1:3], rows[:1]], lambda s: stateful.stream_effects(s, [fx.Gain(0.0)], 1000.0), "many")
+    assert [r.value for r in tables.unpack(got).orderBy("frame").collect()] == list(x)
