@@ -312,20 +312,27 @@ class _Gaps(StatefulProcessor):
         self.forget = forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "next_frame long, dropped long", None if self.forget is None else int(self.forget * 1000))
+        self.kept = handle.getMapState("kept", "track_id long", "next_frame long, dropped long", None if self.forget is None else int(self.forget * 1000))
 
     def handleInputRows(self, key, rows, timerValues):
+        """The tracks of a group."""
         import pandas as pd
 
-        held = self.kept.get() if self.kept.exists() else None
-        expected, dropped = (held[0], held[1]) if held else (0, 0)
-        for r in pd.concat(list(rows)).sort_values("start_frame").itertuples(index=False):
-            if r.start_frame < expected:
-                continue  # late: its frames were counted as lost when the later block came
-            dropped += int(r.start_frame) - expected
-            expected = int(r.start_frame) + int(r.n)
-        self.kept.update((expected, dropped))
-        yield pd.DataFrame({"track_id": [int(key[0])], "next_frame": [expected], "dropped": [dropped]})
+        came: dict[int, list[tuple[int, int]]] = {}
+        for pdf in rows:
+            for track, start, n in zip(pdf.track_id.tolist(), pdf.start_frame.tolist(), pdf.n.tolist(), strict=True):
+                came.setdefault(track, []).append((start, n))
+        out = []
+        for track, blocks in came.items():
+            expected, dropped = self.kept.getValue((track,)) if self.kept.containsKey((track,)) else (0, 0)
+            for start, n in sorted(blocks):
+                if start < expected:
+                    continue  # late: its frames were counted as lost when the later block came
+                dropped += start - expected
+                expected = start + n
+            self.kept.updateValue((track,), (expected, dropped))
+            out.append((track, expected, dropped))
+        yield pd.DataFrame(out, columns=["track_id", "next_frame", "dropped"])
 
     def close(self) -> None:
         pass
@@ -335,7 +342,7 @@ def dropped_frames(chunks_stream: DataFrame, delay: str = "10 seconds", forget:
     """track_id, next_frame, dropped: frames lost so far, an update for each batch. chunks_stream has ts; repeated blocks count once, blocks that come after a later one count as lost.
     After `forget` seconds without a block a track's counts go; what comes then is counted from frame 0 of a new signal."""
     blocks = chunks_stream.select("track_id", "ts", "start_frame", F.size("samples").alias("n")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["track_id", "start_frame"])
-    return blocks.groupBy("track_id").transformWithStateInPandas(_Gaps(forget), outputStructType="track_id long, next_frame long, dropped long", outputMode="Append", timeMode="None" if forget is None else "ProcessingTime")
+    return blocks.withColumn("__group", _group("track_id")).groupBy("__group").transformWithStateInPandas(_Gaps(forget), outputStructType="track_id long, next_frame long, dropped long", outputMode="Append", timeMode="None" if forget is None else "ProcessingTime")
 
 
 def check_dropped(counts: DataFrame) -> None:

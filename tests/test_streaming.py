@@ -259,3 +259,15 @@ def test_many_waiting_samples(spark, tmp_path):
     rows = rows_of(x, 3000)
     got = streamed(spark, tmp_path, [rows[3:], rows[1:3], rows[:1]], lambda s: stateful.stream_effects(s, [fx.Gain(0.0)], 1000.0), "many")
     assert [r.value for r in tables.unpack(got).orderBy("frame").collect()] == list(x)
+
+
+def test_loss_counts_of_a_group_share_a_call():
+    import pandas as pd
+
+    gaps = stateful._Gaps(None)
+    gaps.init(_Handle())
+    rows = lambda *r: iter([pd.DataFrame(r, columns=["track_id", "start_frame", "n"])])
+    made = list(gaps.handleInputRows((5,), rows((1, 16, 16), (2, 0, 16), (1, 0, 16), (2, 32, 16)), None))
+    assert [m.values.tolist() for m in made] == [[[1, 32, 0], [2, 48, 16]]]
+    made = list(gaps.handleInputRows((5,), rows((2, 16, 16), (1, 48, 16), (3, 16, 16)), None))
+    assert [m.values.tolist() for m in made] == [[[2, 48, 16], [1, 64, 16], [3, 32, 16]]]
