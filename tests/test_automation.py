@@ -71,3 +71,25 @@ def test_one_shuffle_of_samples(spark):
     params = spark.createDataFrame([(1, 1, "a", 0.5)], PARAMS)
     plan = automation.apply_automated(chunks, [fx.Reverb()], RATE, params, {(0, "wet_level"): "a"})._jdf.queryExecution().executedPlan().toString()
     assert sum("Exchange" in line and "samples" in line for line in plan.splitlines()) <= 1
+
+
+def test_a_retuned_filter_makes_matrices_for_what_it_runs_over():
+    """A few samples between two points of a curve; the results are those of the recursion, over any cuts."""
+    from sampleloom.kernels import linear
+
+    rng = np.random.default_rng(4)
+    for own in (linear.lowpass(1000.0, 90.0), linear.peak(1000.0, 120.0, 6.0)):
+        assert [own.block(n)[0].shape[0] for n in (1, 3, 10)] == [1, 4, 16] and own.block(5)[0].shape[0] == 16
+        for cuts in ([10, 6, 1, 64, 65, 0, 130], [130, 3], [1, 2, 200]):
+            x = rng.uniform(-1, 1, (2, sum(cuts)))
+            made, state = [], None
+            for low, n in zip(np.cumsum([0, *cuts]), cuts):
+                y, state = own.run(x[:, low : low + n], state)
+                made.append(y)
+            b, a = np.array([*own.b, 0.0]), np.array([*own.a, 0.0])
+            want, s = np.zeros(x.shape), np.zeros((2, len(b)))
+            for i in range(x.shape[1]):
+                want[:, i] = b[0] * x[:, i] + s[:, 0]
+                for k in range(own.order):
+                    s[:, k] = b[k + 1] * x[:, i] - a[k] * want[:, i] + s[:, k + 1]
+            assert np.allclose(np.concatenate(made, axis=1), want, atol=1e-12)
