@@ -33,3 +33,17 @@ def test_short_tracks_and_none(spark):
     df = spark.createDataFrame([(1, 2, 0.5), (1, 1, 0.25)], "k long, at long, v double")
     assert [(r.frame, r.value) for r in tables.frames_from_long_rows(df, "k", ["at"], "v").orderBy("frame").collect()] == [(0, 0.25), (1, 0.5)]
     assert tables.frames_from_long_rows(df.filter("false"), "k", ["at"], "v").count() == 0
+
+
+def test_tasks_grow_with_rows(spark, sf, monkeypatch):
+    """Each task orders about so many rows; the frames, and what further passes over a track give, are the same."""
+    from sampleloom.jobs import registry, signals
+    from tests.oracle import compare, connect
+
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = signals.read(spark, sf, "lineitem")
+    assert tables.tasks_of(rows) is None and tables.tasks_of(rows, rows.count() // few) in (None, few + 1)
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 300)
+    assert tables.tasks_of(rows) == -(-rows.count() // 300) > few
+    assert registry.QUERIES["w1_param_segments"](spark, sf).rdd.getNumPartitions() == tables.tasks_of(rows)
+    compare(registry.QUERIES["w1_param_segments"](spark, sf), connect(sf), registry.ORACLES["w1_param_segments"])
