@@ -38,6 +38,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 GROUPS = 1024
 #: Samples of waiting blocks that may go with their signal's own state; of more, each block is a row of the map state.
 HELD_SAMPLES = 4096
+#: From so many signals of a group in a batch on, their states are read by one pass over the group's, unless it holds more than SPARSE times as many signals or
+#: more than PASS_BYTES.
+AT_ONCE, SPARSE, PASS_BYTES = 8, 8, 32 << 20
 #: Samples put out at once, about.
 OUT_SAMPLES = 1 << 18
 #: In place of a channel where a signal is all channels of a track.
@@ -100,18 +103,47 @@ class _Ordered(StatefulProcessor):
         self.kept = handle.getMapState("kept", "track_id long, channel int", "state binary", ttl)
         self.waiting = handle.getMapState("early", "track_id long, channel int, chunk long, part int", "block binary", ttl)
         self.reached = handle.getMapState("reached", "track_id long, channel int", "block long, frame long")
+        self.sizes = handle.getMapState("sizes", "part int", "signals long, largest long")  # of a group, about; only how it is read hangs on it
+        self.read: dict[tuple, bytes] | None = None
+        self.news = self.largest = 0
+
+    def _read(self, signals: dict) -> int:
+        """The states of many signals at once, where that pays; else self.read is None and each is read on its own. How many signals the group is known to hold."""
+        self.read, self.news, self.largest = None, 0, 0
+        if len(signals) < AT_ONCE:
+            return 0
+        if not self.sizes.containsKey((0,)):
+            if next(iter(self.kept.keys()), None) is None:
+                self.read = {}
+            return 0
+        held, largest = self.sizes.getValue((0,))
+        if held <= SPARSE * len(signals) and held * largest <= PASS_BYTES:
+            held, self.read = 0, {}
+            for k, v in self.kept.iterator():
+                held += 1
+                if tuple(k) in signals:
+                    self.read[tuple(k)] = v[0]
+        self.largest = largest
+        return held
 
     def _begin(self, signal: tuple) -> tuple[bool, list]:
         """Whether the signal's state is there, and the state; what waits is in `early`."""
-        known = self.kept.containsKey(signal)
-        held, few, stored = pickle.loads(self.kept.getValue(signal)[0]) if known else ([0, 0, self.fresh(), 0, 0], {}, set())
+        if self.read is None:
+            state = self.kept.getValue(signal)[0] if self.kept.containsKey(signal) else None
+        else:
+            state = self.read.pop(signal, None)
+        known = state is not None
+        held, few, stored = pickle.loads(state) if known else ([0, 0, self.fresh(), 0, 0], {}, set())
+        self.news += not known
         if self.forget is not None:  # blocks may have gone before
             stored = {k for k in stored if self.waiting.containsKey((*signal, *k))}
         self.channel, self.early = signal[1], _Early(self.waiting, signal, few, stored)
         return known, held
 
     def _end(self, signal: tuple, held: list) -> None:
-        self.kept.updateValue(signal, (pickle.dumps((held, *self.early.keep())),))
+        state = pickle.dumps((held, *self.early.keep()))
+        self.kept.updateValue(signal, (state,))
+        self.largest = max(self.largest, len(state))
         if self.forget is not None:
             self.reached.updateValue(signal, (held[0], held[1]))
 
@@ -216,12 +248,18 @@ class _Ordered(StatefulProcessor):
         for pdf in rows:
             for track, c, chunk, start, samples, marks, ts in zip(*[pdf[x].tolist() for x in ("track_id", "channel", "chunk", "start_frame", "samples", "marks", "ts")], strict=True):
                 came.setdefault((track, c if self.channels is None else ALL), []).append(((chunk, c), (start, samples, marks, ts)))
+        stored = self._read(came)
         out: list[tuple] = []
+        samples = 0
         for signal, blocks in came.items():
-            out += self._signal(signal, blocks, timerValues)
-            if sum(len(r[4]) for r in out) > OUT_SAMPLES:
+            made = self._signal(signal, blocks, timerValues)
+            out += made
+            samples += sum(len(r[4]) for r in made)
+            if samples > OUT_SAMPLES:
                 yield self._table(out)
-                out = []
+                out, samples = [], 0
+        if len(came) >= AT_ONCE:
+            self.sizes.updateValue((0,), (max(stored + self.news, len(came)), self.largest))
         yield self._table(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):

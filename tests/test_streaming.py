@@ -253,6 +253,86 @@ def test_signals_of_a_group_share_a_call():
     assert made.chunk.tolist() == [0, 1] and made.samples.tolist()[1] == [4.1] * big and not handle.states["early"]
 
 
+def test_output_is_measured_once(monkeypatch):
+    """However many signals a group has, rows that are put out are looked at once; tables of output stay small."""
+    looks = []
+
+    class Samples(list):
+        def __len__(self):
+            looks.append(1)
+            return super().__len__()
+
+    class Silent(stateful._Ordered):
+        def _signal(self, signal, came, timerValues):
+            return [(signal[0], 0, k[0], v[0], Samples(v[1]), 0) for k, v in came]
+
+        def _table(self, out):
+            return [(r[0], r[2]) for r in out]
+
+    import pandas as pd
+
+    monkeypatch.setattr(stateful, "OUT_SAMPLES", 1000)
+    took = Silent(lambda: [], None, None, None, None, None, False, None)
+    took.init(_Handle())
+    rows = pd.DataFrame([(t, 0, 0, 0, [0.5] * 2, [], 0) for t in range(1200)], columns=["track_id", "channel", "chunk", "start_frame", "samples", "marks", "ts"])
+    made = list(took.handleInputRows((5,), iter([rows]), None))
+    assert [len(m) for m in made] == [501, 501, 198] and [t for m in made for t, _ in m] == list(range(1200))
+    assert len(looks) == 1200
+
+
+def test_states_of_many_signals_are_read_by_one_pass(monkeypatch):
+    """Unless the batch has few of the group's signals, or its states are large; the results are the same."""
+    import pandas as pd
+
+    calls = []
+
+    class Map(_Map):
+        def __getattribute__(self, name):
+            calls.append(name)
+            return super().__getattribute__(name)
+
+        def iterator(self):
+            return iter(list(dict.items(self)))
+
+    def blocks(keys):
+        return iter([pd.DataFrame([(t, 0, k, k * 2, np.full(2, t + k / 10), np.zeros(0), 0) for t, k in keys], columns=["track_id", "channel", "chunk", "start_frame", "samples", "marks", "ts"])])
+
+    def run(batches):
+        took, handle = stateful._Ordered(lambda: [], lambda s, block, chunk, start, lost, marks: [] if block is None else [(chunk, start, block)], lambda *a: a[1:], None, None, None, False, None), _Handle()
+        handle.getMapState = lambda name, *schema: handle.states.setdefault(name, Map())
+        took.init(handle)
+        out, counts = [], []
+        for b in batches:
+            calls.clear()
+            made = pd.concat(list(took.handleInputRows((5,), blocks(b), None)))
+            counts.append({c: calls.count(c) for c in set(calls)})
+            out.append(sorted(zip(made.track_id, made.chunk, [tuple(x) for x in made.samples])))
+        return out, counts
+
+    first = [(t, 0 if t % 3 else 1) for t in range(100)]
+    batches = [first, [(t, 1 if t % 3 else 0) for t in range(120)], [(t, 2) for t in range(9)], [(t, 2) for t in range(9, 100)]]
+    out, counts = run(batches)
+    assert [len(o) for o in out] == [66, 66 + 2 * 34 + 6, 9, 91]
+    assert [c.get("iterator", 0) for c in counts] == [0, 1, 0, 1]
+    assert [c.get("containsKey", 0) <= 1 for c in counts] == [True, True, False, True]
+    assert all(c.get("getValue", 0) <= 1 for i, c in enumerate(counts) if i != 2) and all(c["updateValue"] == len({t for t, _ in b}) + 1 for b, c in zip(batches, counts))
+    monkeypatch.setattr(stateful, "PASS_BYTES", 10)
+    each, counts = run(batches)
+    assert each == out and not any("iterator" in c for c in counts)
+
+
+@pytest.mark.parametrize("files", [4, 5])
+def test_a_stream_of_any_number_of_files_takes_two_triggers(spark, monkeypatch, files):
+    monkeypatch.setattr(store_queries, "BLOCKS_A_FILE", 10)
+    folders, own = {}, store_queries.scratch
+    monkeypatch.setattr(store_queries, "scratch", lambda s, name: folders.setdefault(name, own(s, name)))
+    rows = [(t, 0, c, 16 * c, [t + c / 8.0] * 16) for t in range(5) for c in range(2 * files)]
+    got = store_queries._streamed(spark, spark.createDataFrame(rows, tables.CHUNKS), lambda s: stateful.stream_effects(s, [fx.Gain(0.0)], 1000.0))
+    assert sorted((r.track_id, r.channel, r.chunk, r.start_frame, r.samples) for r in got.collect()) == sorted(rows)
+    triggers = spark.read.text(folders["stream-state"] + "/commits").select(F.input_file_name().alias("f")).distinct().count()
+    assert triggers == 2
+
+
 def test_many_waiting_samples(spark, tmp_path):
     """More than go with their signal's state."""
     x = np.sin(np.arange(15000) / 9.0)
